@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-A text is the set of its hashed terms: lower-cased words, and the first four and
-five characters of longer ones, each a 32-bit CRC. The machine scores
+A text is the set of its hashed terms, each 32 bits: lower-cased words, the first
+four and six characters of longer ones, and such beginnings again where two, or
+three and more, different words share them. The machine scores
 
     w0 + sum_i w_i + sum_{i<j} <v_i, v_j>
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import small_batches
 
 _WORD = re.compile(r"\w+")
-PREFIXES = (4, 5)
+PREFIXES = (4, 6)
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -36,7 +38,10 @@ def term_hashes(text: str) -> np.ndarray:
     words = set(_WORD.findall(text.lower()))
     terms = {zlib.crc32(w.encode()) for w in words}
     for n in PREFIXES:
-        terms |= {zlib.crc32(p.encode(), 7) for p in {w[:n] for w in words if len(w) > n}}
+        for p, times in Counter([w[:n] for w in words if len(w) > n]).items():
+            terms.add(stem := zlib.crc32(p.encode(), 7))
+            if times > 1:
+                terms.add(stem ^ (0x5BD1E995 if times == 2 else 0x1B873593))
     return np.sort(np.fromiter(terms, np.uint32, len(terms)))
 
 

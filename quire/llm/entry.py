@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import language_id, media, toxicity
+from quire.llm import class_lm, language_id, media, simhash, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -24,6 +24,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (id_remainder(5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_lm_scores(documents(spark, sf_dir), id_remainder(10) == 0)
+
+
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -31,6 +39,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
+    "op3_class_lm": op3_class_lm,
+    "op6_simhash": op6_simhash,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import class_lm, language_id, media, simhash, toxicity
+from quire.llm import class_lm, language_id, media, simhash, substring_dedup, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -28,6 +28,10 @@ def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_lm_scores(documents(spark, sf_dir), id_remainder(10) == 0)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -40,7 +44,20 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
     "op3_class_lm": op3_class_lm,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
     "op10_media_columns": op10_media_columns,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+        win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),
+        least AS (SELECT h, min(doc_id) AS m FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        hit AS (SELECT doc_id, i FROM win JOIN least USING (h) WHERE m < doc_id),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM hit),
+        sets AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id),
+        word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+        kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN sets USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+}

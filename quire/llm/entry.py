@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import class_lm, language_id, media, simhash, substring_dedup, toxicity
+from quire.llm import class_lm, language_id, media, mixing, packing, simhash, substring_dedup, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -36,6 +36,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
@@ -46,9 +54,12 @@ QUERIES = {
     "op3_class_lm": op3_class_lm,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
+    "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op9_mixing": mixing.ORACLE,
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
         win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),

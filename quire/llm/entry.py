@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import class_lm, language_id, media, mixing, packing, simhash, substring_dedup, toxicity
+from quire.llm import class_lm, language_id, media, mixing, packing, pii, simhash, substring_dedup, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -36,6 +36,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op3_class_lm": op3_class_lm,
     "op4_substring_dedup": op4_substring_dedup,
     "op6_simhash": op6_simhash,
+    "op7_pii": op7_pii,
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,

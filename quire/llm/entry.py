@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import class_lm, language_id, media, mixing, packing, pii, simhash, substring_dedup, toxicity
+from quire.llm import class_lm, language_id, media, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -32,6 +32,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(documents(spark, sf_dir))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    ratios = quality_rules.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
+    return quality_rules.judge(docs, ratios)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
@@ -57,6 +63,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_class_lm": op3_class_lm,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_quality_rules": op5_quality_rules,
     "op6_simhash": op6_simhash,
     "op7_pii": op7_pii,
     "op8_packing": op8_packing,

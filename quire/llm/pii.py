@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_GAP, written
+from quire.llm.common import WORD_GAP, let, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns, with possessive repeats; a match starts where a run does or the last match ended.
@@ -47,8 +47,10 @@ def _cut(text: Column, pattern: str) -> Column:
     levels of chunks, so that many matches don't make it quadratic."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("gap"), m.alias("m")))
+    return let(F.zip_with(pieces, found, lambda p, m: F.struct(p.alias("gap"), m.alias("m"))), _offsets)
 
+
+def _offsets(both: Column) -> Column:
     def run(start: Column, items: Column) -> Column:
         zero = F.struct(start.cast("int").alias("at"), F.expr("CAST(array() AS array<struct<s:int,e:int,m:string,gap:string>>)").alias("out"))
 
@@ -64,8 +66,7 @@ def _cut(text: Column, pattern: str) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<array<struct<s:int,e:int,m:string,gap:string>>>)").alias("out"))
 
     def chunk(acc: Column, items: Column) -> Column:
-        r = run(acc["at"], items)
-        return F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out"))
+        return let(run(acc["at"], items), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
     return F.flatten(F.aggregate(chunks, zero, chunk)["out"])
 
@@ -121,16 +122,16 @@ def _shape(token: Column) -> Column:
 def _mentions(text: Column) -> Column:
     """array<struct<s, e, token, left, right>>; contexts are at most two words of 80 characters before
     and one of 40 after, lower-cased."""
-    cut = _cut(text, MENTION)
     spaced = lambda t: F.trim(F.lower(F.regexp_replace(t, WORD_GAP, " ")))
     tail = lambda t: F.substring_index(F.rtrim(spaced(F.right(t, F.lit(80))), F.lit("\"'` ")), " ", -2)
     head = lambda t: F.substring_index(spaced(F.left(t, F.lit(40))), " ", 1)
 
-    def one(x: Column, i: Column) -> Column:
+    def one(cut: Column, x: Column, i: Column) -> Column:
         token = F.rtrim(x["m"], F.lit(".:-/%"))
         return F.struct(x["s"].alias("s"), (x["s"] + F.length(token)).alias("e"), F.lower(token).alias("token"), tail(x["gap"]).alias("left"), head(F.coalesce(F.get(cut, i + 1)["gap"], F.lit(""))).alias("right"))
 
-    every = F.filter(F.transform(cut, one), lambda x: x["token"].isNotNull())
+    found = let(_cut(text, MENTION), lambda cut: F.transform(cut, lambda x, i: one(cut, x, i)))
+    every = F.filter(found, lambda x: x["token"].isNotNull())
     return F.when(text.rlike("[0-9]"), every).otherwise(F.expr("CAST(array() AS array<struct<s:int,e:int,token:string,left:string,right:string>>)"))
 
 
@@ -190,5 +191,5 @@ def redact(text: Column, spans: Column) -> Column:
         piece = F.concat(F.substring(text, acc["at"] + 1, x["s"] - acc["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]"))
         return F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(piece))).otherwise(acc["out"]).alias("out"))
 
-    r = F.aggregate(spans, start, step)
-    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))
+    done = let(F.aggregate(spans, start, step), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) == 0, text).otherwise(done)

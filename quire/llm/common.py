@@ -17,7 +17,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Sorts after every real id.
@@ -83,3 +83,15 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def one_row_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each row of wanted: o (id_order), h (hash of the
+    text), and whatever else wanted has, in a struct column ``_w``. Rows of docs that agree in id
+    and text are taken once."""
+    extra = [F.col(c) for c in wanted.columns if c not in ("o", "h")]
+    w = wanted.select(F.col("o").alias("_o"), F.col("h").alias("_h"), *([F.struct(*extra).alias("_w")] if extra else []))
+    keyed = docs.withColumn("_o2", id_order()).withColumn("_h2", F.xxhash64("text"))
+    joined = keyed.join(w, (F.col("_o2") == F.col("_o")) & (F.col("_h2") == F.col("_h")))
+    once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_o2", "_h2").orderBy(F.lit(1)))).where("_n = 1")
+    return once.select(*docs.columns, *(["_w"] if extra else []))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import WORD_GAP, written
+from quire.llm.common import WORD_GAP, id_order, one_row_each, written
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -62,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source).
+    """The plan of the mix, without texts: doc_id, size, source_size, target, taken of every row of docs (doc_id, text, source).
 
     taken: words the mix takes of this row, a multiple of size and at most twice it. A null
     or empty text has size 0 and takes 0; a null source is a source, the last one. Keys are
@@ -70,8 +70,13 @@ def mix(docs: DataFrame) -> DataFrame:
     source without words has target 0. An empty table gives an empty one; other columns are
     not carried.
     """
+    return _plan(docs).select("doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def _plan(docs: DataFrame) -> DataFrame:
+    """doc_id, th, size, source_size, target, times."""
     sized = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))).alias("key")),
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))).alias("key")),
         "sized",
     )
     sizes = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
@@ -93,7 +98,14 @@ def mix(docs: DataFrame) -> DataFrame:
     edge = edge.withColumn("extra", (F.col("sum") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("sum")
     rest = marked.where("bin <> last").withColumn("extra", (F.col("bin") < F.col("last")).cast("long"))
     out = rest.unionByName(edge)
-    return out.select("doc_id", "size", "source_size", "target", ((F.col("epochs") + F.col("extra")) * F.col("size")).cast("long").alias("taken"))
+    return out.select("doc_id", "th", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).cast("long").alias("times"))
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: the rows of docs, with all columns, as often as it takes them."""
+    times = _plan(docs).groupBy(id_order().alias("o"), F.col("th").alias("h")).agg(F.sum("times").cast("int").alias("times"))
+    taken = one_row_each(docs, times.where(F.col("times") > 0))
+    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_w.times")))).select(*docs.columns)
 
 
 ORACLE = r"""

@@ -160,19 +160,44 @@ def discovered(narrow: DataFrame, rounds: int = 3, least_pattern: float = 0.6, l
     return new.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("x")).alias("more"))
 
 
-def find(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, th (hash of the text), base and spans (arrays of s, e, kind) of every row of docs
-    (doc_id, text). Offsets are code points, e exclusive. A null or empty text has no spans, a
-    null doc_id is an id like any other, repeated rows give repeated rows, an empty table gives
-    an empty one; other columns are not carried."""
+def _narrow(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    narrow = written(rows.select("doc_id", F.xxhash64("text").alias("th"), base_spans(F.col("text")).alias("base"), _mentions(F.col("text")).alias("mentions")), "spans")
-    more = discovered(narrow, **options).select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "more")
-    out = narrow.drop("mentions").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left").drop("d", "t")
+    return written(rows.select("doc_id", F.xxhash64("text").alias("th"), base_spans(F.col("text")).alias("base"), _mentions(F.col("text")).alias("mentions")), "spans")
+
+
+def _merged(base: Column, more: Column) -> Column:
     order = lambda x: F.struct(x["s"].alias("s"), F.array_position(F.array(*map(F.lit, (*KINDS, "id"))), x["kind"]).alias("i"), x["e"].alias("e"), x["kind"].alias("kind"))
-    every = F.transform(F.sort_array(F.transform(F.concat("base", "more"), order)), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind")))
-    return out.select("doc_id", "th", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(every).alias("spans"))
+    every = F.sort_array(F.transform(F.concat(base, more), order))
+    return F.when(more.isNull(), base).otherwise(F.transform(every, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+
+
+def _with_more(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """rows (with columns doc_id and _th) and the discovered spans of each, null for none."""
+    m = more.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("more").alias("_more"))
+    return rows.join(m, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left").drop("_d", "_t")
+
+
+def find(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, base and spans (arrays of s, e, kind) of every row of docs (doc_id, text).
+    Offsets are code points, e exclusive. A null or empty text has no spans, a null doc_id is an
+    id like any other, repeated rows give repeated rows, an empty table gives an empty one;
+    other columns are not carried."""
+    narrow = _narrow(docs)
+    out = _with_more(narrow.drop("mentions").withColumnRenamed("th", "_th"), discovered(narrow, **options))
+    return out.select("doc_id", "base", _merged(F.col("base"), F.col("_more")).alias("spans"))
+
+
+def redacted(docs: DataFrame, **options) -> DataFrame:
+    """docs with every span of find() replaced by its kind in brackets, all columns kept; where
+    there is a column n_chars it becomes the new length. A null text stays null."""
+    more = discovered(_narrow(docs), **options)
+    rows = _with_more(docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), more)
+    clean = F.when(F.col("text").isNotNull(), let(_merged(base_spans(F.col("text")), F.col("_more")), lambda spans: redact(F.col("text"), spans)))
+    out = rows.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -122,3 +122,11 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = -1.0) -> Data
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return out.select(*columns, failed.alias("base_failed"), (~failed & (F.col("llr") >= threshold)).alias("kept"), "llr")
+
+
+def keep(docs: DataFrame, ratios: list[float], threshold: float = -1.0) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns; one pass, no shuffle."""
+    text = F.col("text")
+    counts = base_counts(text)
+    n = counts["n_words"]
+    return docs.where((n >= LEAST_WORDS) & (100 * counts["n_repeat_words"] <= 50 * n) & (llr_score(text, ratios) >= threshold))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_order, parallelism, small_batches, written
+from quire.llm.common import id_order, one_row_each, parallelism, small_batches, written
 from quire.llm.components import components
 
 RADIUS = 3
@@ -58,13 +58,14 @@ def fingerprint(text: bytes) -> int:
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         f = np.array([fingerprint(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())], np.uint64)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "f": f.view(np.int64)})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "th": batch.column("th"), "f": f.view(np.int64)})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, f (the fingerprint's bits as a signed long) of every row."""
+    """doc_id, th (hash of the text), f (the fingerprint's bits as a signed long) of every row."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, f long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_fingerprint_rows, "doc_id long, th long, f long")
 
 
 class _Groups:
@@ -171,6 +172,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return sorted_tiles.mapInArrow(_tile_rows, "hi long, lo long").distinct()
 
 
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc_id, th, f, component_id (the largest long: no row has an id)."""
+    prints = written(fingerprints(docs), "fingerprints")
+    first = written(prints.groupBy("f").agg(F.min(id_order()).alias("first")), "classes")
+    roots = components(links(first.select("f")))
+    linked = first.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(linked.join(least, "root").select("f", "component_id"), "f")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every row of docs (doc_id, text).
 
@@ -180,12 +191,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     no other row is reachable. Repeated rows give repeated rows; an empty table gives
     an empty one; other columns are not carried.
     """
-    prints = written(fingerprints(docs), "fingerprints")
-    first = written(prints.groupBy("f").agg(F.min(id_order()).alias("first")), "classes")
-    roots = components(links(first.select("f")))
-    linked = first.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = linked.join(least, "root").select("f", "component_id")
-    out = prints.join(classes, "f")
+    out = _classes(docs)
     component = F.when(F.col("component_id") == F.lit(2**63 - 1), F.lit(None)).otherwise(F.col("component_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all columns, but one row of each component: the one with the
+    smallest id (then text hash)."""
+    found = _classes(docs).groupBy("component_id").agg(F.min(F.struct(id_order().alias("o"), F.col("th").alias("h"))).alias("first"))
+    return one_row_each(docs, found.select("first.o", "first.h"))

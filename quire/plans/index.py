@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
-from quire.operators import enrich, tree, validate
+from quire.operators import build, enrich, tree, validate
 from quire.operators import structure as st
 from quire.plans import structure as sp
 from quire.operators import structure as st
 from quire.plans.text import TITLES
+from quire.sources import files
 
 #: Small bodies that mention forms, for metadata that no generated document reaches.
 BODIES = ["", "Download the GST REG 06 certificate from the portal. The due date is the 11th.", "ITC is matched with GSTR-2A and GSTR2B every month; see GSTR 3B.", "Pay by GST PMT-06 or DRC-03. File GST CMP-08 when filing late. GSTR-1 follows.", "Nothing of note."]
 
 
+PROVIDER_TREES = [
+    ("b", {"nodes": [{"title": "Preface", "text": "Words before the book itself begins.", "page_index": 1}, {"title": "Chapter 1: Scope", "page_index": 2, "nodes": [{"title": "1.1 Levy", "text": "The levy covers every supply in the state."}, {"title": "section_3", "text": "1.2 Rates\nThe rates are set by notice each year."}]}, {"title": "Appendix A", "nodes": [{"title": "", "text": "Forms that are named in the text of the book."}]}, {"title": "Loose", "text": "short"}]}),
+    ("s", {"title": "Single", "text": "One node that is the whole tree of its document."}),
+]
+
+
 def _titled(s: SparkSession) -> DataFrame:
     return s.createDataFrame([(i, t, BODIES[i % len(BODIES)]) for i, t in enumerate(TITLES)], "i int, title string, raw_content string")
 
@@ -66,6 +75,10 @@ QUERIES = {
     "enrich_summaries": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.micro_summary(F.lit("6.1 Part"), "text").alias("summary")).select("doc_id", "summary", enrich.capped_summary("summary").alias("capped")),
     "enrich_compressed": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.compressed(F.col("text")).alias("compressed")),
     "enrich_handbook": lambda s, d: _built(s).select("doc_id", "start", "title", "compressed_content", "micro_summary"),
+    "index_build_handbook": lambda s, d: build.build_index(sp.handbook(s)).select("node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
+    "index_provider_trees": lambda s, d: build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string"))),
+    "index_declared_types": lambda s, d: _titled(s).selectExpr("i", f"{build.declared_type(r.SPARK.strip('title'), 'i % 2 = 0')} AS declared", f"{build.container_type(r.SPARK.strip('title'))} AS container"),
+    "index_slim_results": lambda s, d: build.slim_results(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"pipeline": "p", "page_count": '), F.col("event_id"), F.lit(', "validation": {"error_count": 2, "errors": ["a", "b"]}, "structure": '), "props", F.lit("}")).alias("results")), 9).select("doc_id", "page_count", "error_count", F.array_join("errors", ",").alias("errors"), "structure"),
     "validate_node_errors": lambda s, d: validate.node_errors(sections(s, d)),
     "validate_gates": lambda s, d: validate.gates(validate.node_errors(sections(s, d)), sections(s, d)),
     "validate_all_errors": lambda s, d: validate.errors(sections(s, d)).groupBy("doc_id", "error").agg(F.count("*").alias("n")),
@@ -75,6 +88,7 @@ QUERIES = {
 _GATE_SQL = ", ".join(f"NOT coalesce(bool_or({' OR '.join(f'contains(lower(error), {chr(39)}{p.lower()}{chr(39)})' for p in (parts or ('no retrieval',)))}), false) AS {g}" for g, parts in validate.GATES.items())
 _UNDER = "(VALUES " + ", ".join(f"('{p}', '{c}')" for p, cs in tree.UNDER.items() for c in cs) + ") v(pt, ct)"
 ORACLE_SQL = {
+    "index_slim_results": """SELECT event_id AS doc_id, CAST(event_id AS INT) AS page_count, 2 AS error_count, 'a,b' AS errors, CASE WHEN length(replace(props, ' ', '')) <= 9 THEN replace(props, ' ', '') END AS structure FROM events""",
     "validate_node_errors": f"WITH {_NODES} {_ERRORS}",
     "validate_gates": f"WITH {_NODES}, e AS ({_ERRORS}) SELECT doc_id, {_GATE_SQL}, count(error) AS n_errors FROM (SELECT DISTINCT doc_id FROM n) LEFT JOIN e USING (doc_id) GROUP BY doc_id",
     "validate_readiness": f"WITH {_NODES}, e AS ({_ERRORS}), g AS (SELECT doc_id, {_GATE_SQL} FROM (SELECT DISTINCT doc_id FROM n) LEFT JOIN e USING (doc_id) GROUP BY doc_id), o AS (SELECT doc_id, {' AND '.join(validate.GATES)} AS open FROM g), c AS (SELECT doc_id, (doc_id, node_id) NOT IN (SELECT (doc_id, node_id) FROM e) AND length(raw) >= 20 AS sound FROM n WHERE type = 'CONTENT' AND NOT is_front_matter) SELECT doc_id, count(sound) AS candidates, count(*) FILTER (sound AND open) AS ready, open AND count(sound) > 0 AND count(sound) = count(*) FILTER (sound AND open) AS retrieval_ready FROM o LEFT JOIN c USING (doc_id) GROUP BY doc_id, open",

@@ -86,12 +86,9 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def one_row_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row of docs, with all its columns, for each row of wanted: o (id_order), h (hash of the
-    text), and whatever else wanted has, in a struct column ``_w``. Rows of docs that agree in id
-    and text are taken once."""
-    extra = [F.col(c) for c in wanted.columns if c not in ("o", "h")]
-    w = wanted.select(F.col("o").alias("_o"), F.col("h").alias("_h"), *([F.struct(*extra).alias("_w")] if extra else []))
-    keyed = docs.withColumn("_o2", id_order()).withColumn("_h2", F.xxhash64("text"))
-    joined = keyed.join(w, (F.col("_o2") == F.col("_o")) & (F.col("_h2") == F.col("_h")))
-    once = joined.withColumn("_n", F.row_number().over(Window.partitionBy("_o2", "_h2").orderBy(F.lit(1)))).where("_n = 1")
-    return once.select(*docs.columns, *(["_w"] if extra else []))
+    """row (a whole row of docs, as a struct, so no name clashes) and wanted's columns, once for each
+    row of wanted: o (id_order), h (hash of the text), more. Rows of docs that agree in id and text
+    are taken once."""
+    keyed = docs.select(F.struct("*").alias("row"), id_order().alias("o2"), F.xxhash64("text").alias("h2"))
+    joined = keyed.join(wanted, (F.col("o2") == F.col("o")) & (F.col("h2") == F.col("h")))
+    return joined.withColumn("once", F.row_number().over(Window.partitionBy("o2", "h2").orderBy(F.lit(1)))).where("once = 1").select("row", *wanted.columns)

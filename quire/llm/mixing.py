@@ -105,7 +105,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix itself: the rows of docs, with all columns, as often as it takes them."""
     times = _plan(docs).groupBy(id_order().alias("o"), F.col("th").alias("h")).agg(F.sum("times").cast("int").alias("times"))
     taken = one_row_each(docs, times.where(F.col("times") > 0))
-    return taken.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_w.times")))).select(*docs.columns)
+    return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 ORACLE = r"""

@@ -192,12 +192,13 @@ def redacted(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of find() replaced by its kind in brackets, all columns kept; where
     there is a column n_chars it becomes the new length. A null text stays null."""
     more = discovered(_narrow(docs), **options)
-    rows = _with_more(docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), more)
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
+    rows = _with_more(keyed, more)
     clean = F.when(F.col("text").isNotNull(), let(_merged(base_spans(F.col("text")), F.col("_more")), lambda spans: redact(F.col("text"), spans)))
-    out = rows.withColumn("text", clean)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = rows.withColumn("clean", clean)
+    kinds = {f.name: f.dataType for f in docs.schema}
+    new = {"text": F.col("clean"), "n_chars": F.length("clean").cast(kinds.get("n_chars", "long"))}
+    return out.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def digest(found: DataFrame) -> DataFrame:

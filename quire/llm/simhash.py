@@ -200,4 +200,4 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, but one row of each component: the one with the
     smallest id (then text hash)."""
     found = _classes(docs).groupBy("component_id").agg(F.min(F.struct(id_order().alias("o"), F.col("th").alias("h"))).alias("first"))
-    return one_row_each(docs, found.select("first.o", "first.h"))
+    return one_row_each(docs, found.select("first.o", "first.h")).select("row.*")

@@ -117,14 +117,12 @@ def declared_type(t: str = "title", body: str = "has_body") -> str:
     return r.case((D.has(t, r.SECTION), "'SECTION'"), (D.has(t, r.UNIT), "'UNIT'"), (front, f"CASE WHEN contains(lower({t}), 'preface') THEN 'PREFACE' ELSE 'SYLLABUS' END"), (D.has(t, r"^\d+\.\d+\.\d+"), "'SUBTOPIC'"), (D.has(t, _NUMBERED), "'TOPIC'"), (body, "'CONTENT'"), otherwise="'TOPIC'")
 
 
-def provider_title(title: str = "title", raw: str = "text") -> str:
-    """SQL: the declared title if it is structural, else the first heading in the first lines of the body,
-    else a chapter or book title, else empty."""
-    t = D.strip(f"coalesce({title}, '')")
-    line = f"get(filter(transform(slice({D.lines(f'coalesce({raw}, {chr(39) * 2})')}, 1, 6), x -> {D.strip('x')}), x -> {r.valid_heading(D, 'x')}), 0)"
-    usable = f"{t} <> '' AND NOT {D.has(t, r'(?i)^section[_\s-]*\d+$')} AND NOT {r.legal_title(D, t)} AND NOT ({r.paragraph_title(D, t)} AND NOT {r.valid_heading(D, t)}) AND NOT {r.synthetic_title(D, t)}"
+def provider_title(t: str = "t", lines: str = "lines") -> str:
+    """SQL: the declared, stripped title if it is structural, else the first heading in the first lines
+    of the body, else a chapter or book title, else empty."""
+    usable = f"{t} <> '' AND NOT {D.has(t, r'(?i)^section[_\s-]*\d+$')} AND NOT {r.legal_title(D, t)} AND NOT ({r.paragraph_title(D, t)} AND NOT {r.structural_line(D, t)}) AND NOT {r.synthetic_title(D, t)}"
     book = f"({D.has(t, CHAPTER)} OR ({D.has(t, BOOK)} AND length({t}) < 90))"
-    return f"CASE WHEN {usable} THEN {t} ELSE coalesce({line}, CASE WHEN {book} THEN {t} ELSE '' END) END"
+    return f"CASE WHEN {usable} THEN {t} ELSE coalesce(get(filter(slice({lines}, 1, 6), x -> {r.structural_line(D, 'x')}), 0), CASE WHEN {book} THEN {t} ELSE '' END) END"
 
 
 def normalized_trees(flat: DataFrame) -> DataFrame:
@@ -133,13 +131,14 @@ def normalized_trees(flat: DataFrame) -> DataFrame:
     CONTENT; the rest are dropped. A container that may not stand under its parent is a TOPIC."""
     kids = flat.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id")).distinct().withColumn("has_children", F.lit(True))
     n = flat.join(kids, ["doc_id", "node_id"], "left").withColumn("has_children", F.coalesce("has_children", F.lit(False)))
-    n = n.withColumn("raw_content", F.array_join(F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != ""), "\n"))
-    n = n.withColumn("found", F.expr(provider_title("title", "raw_content"))).where(F.col("has_children") | (F.length("raw_content") >= 20))
+    n = n.withColumn("lines", F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")).withColumn("raw_content", F.array_join("lines", "\n")).withColumn("t", F.expr(D.strip("coalesce(title, '')")))
+    # written, so that the long rules below see columns and not the expressions behind them
+    n = materialized(n, "trees").withColumn("found", F.expr(provider_title())).where(F.col("has_children") | (F.length("raw_content") >= 20))
     span = F.when(F.col("page_end") > F.col("page_start"), F.concat(F.lit("Topic (pp. "), "page_start", F.lit("-"), "page_end", F.lit(")"))).otherwise("Topic block")
     first = F.get(F.split("raw_content", "\n"), 0)
     title = F.when(F.col("found") != "", F.col("found")).when(F.col("has_children"), span).otherwise(F.coalesce(F.nullif("title", F.lit("")), F.nullif(first, F.lit("")), F.lit("Content")))
     n = n.withColumn("title", F.substring(title, 1, 85))
-    n = n.withColumn("type", F.when(F.col("has_children"), F.expr(container_type("title"))).otherwise("CONTENT"))
+    n = materialized(n, "titles").withColumn("type", F.when(F.col("has_children"), F.expr(container_type("title"))).otherwise("CONTENT"))
     front = F.col("title").rlike(BOOK) & F.expr(D.contains("lower(title)", FRONT_WORDS)) | F.expr(r.contents_page(D, "title", "raw_content"))
     group = F.when(front, "front").when(F.col("title").rlike(r"(?i)^appendix\b"), F.concat(F.lit("appendix:"), "node_id")).otherwise(F.concat(F.lit("chapter:"), F.coalesce(F.nullif(F.upper(F.regexp_extract("title", CHAPTER, 1)), F.lit("")), F.lit("main"))))
     n = n.withColumn("parent_id", F.when(F.col("parent_id").isNull(), group).otherwise(F.col("parent_id")))
@@ -148,6 +147,7 @@ def normalized_trees(flat: DataFrame) -> DataFrame:
     docs = flat.select("doc_id").distinct()
     fixed = lambda i, p, k, t, o: docs.select("doc_id", F.lit(i).alias("node_id"), F.lit(p).cast("string").alias("parent_id"), F.lit(o).cast("long").alias("ordinal"), F.lit(k).alias("type"), F.lit(t).alias("title"), F.lit("").alias("raw_content"), F.lit(0).alias("page_start"), F.lit(0).alias("page_end"))
     body = n.select("doc_id", "node_id", "parent_id", (F.col("ordinal") * 2).alias("ordinal"), "type", "title", F.when(F.col("has_children"), "").otherwise(F.col("raw_content")).alias("raw_content"), "page_start", "page_end")
+    body = materialized(body, "typed")
     every = fixed("root", None, "ROOT", "ROOT", -9).unionByName(fixed("document", "root", "DOCUMENT", "Document", -8)).unionByName(head).unionByName(body)
     bad = tree.misplaced(every).where("type <> 'CONTENT'").select("doc_id", "node_id", F.lit(True).alias("bad"))
     return every.join(bad, ["doc_id", "node_id"], "left").withColumn("type", F.when(F.col("bad"), "TOPIC").otherwise(F.col("type"))).drop("bad")

@@ -34,7 +34,7 @@ PATTERNS = {
 }
 #: A test that every text with a match passes, cheaper than the pattern.
 HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "card": lambda t: t.rlike(r"[0-9][\x20-]?[0-9]"), "phone": lambda t: t.rlike(r"\+[0-9]")}
-_OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+_OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Labels that introduce a secret: seeds of the bootstrap beside the base entities.
 SECRET_LABEL = r"(?i)(?:^|[^a-z])(?:token|secret|password|passwd|api[_-]?key)['\x22]?\x20?[=:]$"
 MENTION = r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+@:/-]*+[0-9][A-Za-z0-9._%+@:/-]*+"

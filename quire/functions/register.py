@@ -26,7 +26,7 @@ FUNCTIONS = {
     "has_artifact": ("t STRING", "BOOLEAN", r.artifact(D, "t")),
     "clean_line": ("t STRING", "STRING", r.clean_line(D, "t")),
     "is_contents_page": ("title STRING, raw STRING", "BOOLEAN", r.contents_page(D, "title", "raw")),
-    "sentences": ("t STRING", "ARRAY<STRING>", r.sentences(D, "t")),
+    "split_sentences": ("t STRING", "ARRAY<STRING>", r.sentences(D, "t")),
     "micro_sentences": ("t STRING", "ARRAY<STRING>", r.micro_sentences(D, "t")),
     "sentence_score": ("s STRING", "DOUBLE", r.sentence_score(D, "s")),
     "issue_category": ("t STRING", "STRING", r.issue_category(D, "t")),

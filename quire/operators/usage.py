@@ -28,7 +28,8 @@ INPUT_RATE, OUTPUT_RATE, UPLOAD_BASE, UPLOAD_MB, POLL_RATE = 0.01, 0.015, 0.05,
 PAGE_SHARES = {"ocr_extraction": 0.12, "structure_detection": 0.03, "compression_generation": 0.21, "micro_summary_generation": 0.04, "keyword_generation": 0.02}
 PAGE_LIMIT, JOB_LIMIT, RETRY_LIMIT = 1.0, 25.0, 5
 
-_tokens = F.col("input_tokens") + F.col("output_tokens")
+def _tokens() -> Column:
+    return F.sum(F.col("input_tokens") + F.col("output_tokens"))
 
 
 def _credits(of: str | Column = "credits_used") -> Column:
@@ -52,7 +53,7 @@ def job_totals(events: DataFrame) -> DataFrame:
     without = F.sum(F.when(~F.col("cache_hit"), F.col("credits_used")).otherwise(0.0))
     return events.groupBy("job_id").agg(
         _credits().alias("total_credits"),
-        F.sum(_tokens).alias("total_tokens"),
+        _tokens().alias("total_tokens"),
         F.sum("latency_ms").alias("total_latency_ms"),
         F.sum(hit).alias("cache_hits"),
         F.sum(1 - hit).alias("cache_misses"),
@@ -66,7 +67,7 @@ def job_totals(events: DataFrame) -> DataFrame:
 
 def credits_breakdown(events: DataFrame) -> DataFrame:
     """Per job and operation, with the rank by credits (then operation)."""
-    by = events.groupBy("job_id", "operation").agg(_credits().alias("credits"), F.sum(_tokens).alias("tokens"), F.count("*").alias("event_count"), accuracy_label().alias("accuracy"))
+    by = events.groupBy("job_id", "operation").agg(_credits().alias("credits"), _tokens().alias("tokens"), F.count("*").alias("event_count"), accuracy_label().alias("accuracy"))
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("credits"), "operation")))
 
 
@@ -104,7 +105,7 @@ def stage_order(events: DataFrame) -> DataFrame:
 def page_stats(events: DataFrame) -> DataFrame:
     """Per job and page, with operation -> credits in a map; pages <= 0 only where a job has no
     other page number."""
-    by_op = events.groupBy("job_id", "page_number", "operation").agg(F.sum("credits_used").alias("c"), F.sum(_tokens).alias("t"), F.bool_or(F.col("accuracy") == "EXACT").alias("e"), F.bool_or(F.col("accuracy") != "EXACT").alias("o"), F.bool_and(F.col("accuracy") == "LOCAL").alias("l"))
+    by_op = events.groupBy("job_id", "page_number", "operation").agg(F.sum("credits_used").alias("c"), _tokens().alias("t"), F.bool_or(F.col("accuracy") == "EXACT").alias("e"), F.bool_or(F.col("accuracy") != "EXACT").alias("o"), F.bool_and(F.col("accuracy") == "LOCAL").alias("l"))
     note = F.when(F.bool_or("e") & ~F.bool_or("o"), "EXACT").when(F.bool_and("l"), "LOCAL (no API credits)").when(F.bool_or("e"), "MIXED (EXACT + ESTIMATED)").otherwise("ESTIMATED")
     pages = by_op.groupBy("job_id", "page_number").agg(
         F.round(F.sum("c"), 6).alias("total_credits"),

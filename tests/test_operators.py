@@ -1,0 +1,175 @@
+"""Operators that fold over order, against brute force, and the expectations of the document model."""
+
+import json
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.functions import rules as r
+from quire.functions.register import register
+from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, usage, validate
+from quire.plans import structure as handbook
+from quire.sources import files
+from quire.streaming import ingest
+
+E = "event_id string, job_id string, document_id string, page_number int, operation string, model string, input_tokens int, output_tokens int, credits_used double, latency_ms int, cache_hit boolean, accuracy string, status string, timestamp timestamp"
+
+
+def event(spark, *rows):
+    base = lambda i, credits, op: (f"e{i}", "j", "d", i, op, "m", 5, 5, credits, 10, False, "EXACT", "success", None)
+    return spark.createDataFrame([base(i, *x) for i, x in enumerate(rows)], E).withColumn("timestamp", F.timestamp_seconds(F.substring("event_id", 2, 9).cast("int")))
+
+
+def test_usage_expectations(spark):
+    e = event(spark, (0.21, "compression_generation"), (0.12, "ocr_extraction"))
+    assert sum(x.credits_used for x in usage.reverse_trace(e, 0.33).collect()) >= 0.32
+    two = event(spark, (1.0, "a"), (2.0, "b"))
+    assert math.isclose(sum(x.credits for x in usage.credits_breakdown(two).collect()), 3.0)
+    assert [x.credits_cumulative for x in usage.timeline(two).orderBy("timestamp").collect()] == [1.0, 3.0]
+
+
+def test_spans_and_titles(spark):
+    lines = spark.createDataFrame([("d", 1, 1, 0, "Hello"), ("d", 1, 2, 1, "World")], "doc_id string, page int, line_no int, global_idx int, text string")
+    x = structure.char_spans(lines, spark.createDataFrame([("d", 0, 2)], "doc_id string, start int, end int")).first()
+    assert (x.char_start, x.char_end) == (0, 11)
+    register(spark)
+    row = spark.sql("SELECT is_paragraph_title('which is furnished under section 39') a, is_structural_line('6.2 FORM GST REG-06') b, is_garbage_line('42') c, jaccard(token_set('one two six'), token_set('two six ten')) d, is_contents_page('', 'Contents\n1 A .... 1\n2 B .... 2\n3 C .... 3') e").first()
+    assert row.a and row.b and row.c and row.d == 0.5 and row.e
+
+
+def brute_greedy(texts, threshold=0.85):
+    norm = lambda t: re.sub(r"[^\w\s]", "", " ".join(t.lower().split()))
+    words = lambda t: set(re.findall("[a-z0-9]{3,}", t))
+    accepted, hashes, out = [], set(), []
+    for t in texts:
+        n = norm(t)
+        if len(n) < 20:
+            out.append("too_short")
+        elif n in hashes:
+            out.append("exact")
+        elif any(a and words(n) and len(a & words(n)) / len(a | words(n)) >= threshold for a in accepted):
+            out.append("overlap")
+        else:
+            out.append("accepted")
+            hashes.add(n)
+            accepted.append(words(n[:5000]))
+    return out
+
+
+def test_greedy_dedup(spark):
+    word = lambda i: f"word{i:02d}"
+    texts = [" ".join(word(j) for j in range(i, i + 30)) for i in (0, 1, 2, 3, 4, 0, 60, 62, 61)] + ["short", "", " ".join(map(word, range(30))).upper()]
+    got = similarity.greedy_dedup(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).orderBy("id").collect()
+    assert [x.outcome for x in got] == brute_greedy(texts)
+    assert {"accepted", "overlap", "exact", "too_short"} == {x.outcome for x in got}
+
+
+def test_windows_cover_the_text():
+    text = " ".join(f"Sentence {i} is here." for i in range(40)) + "\n\n" + "".join(map(str, range(300))) + "\n\n\n\n" + " ".join(f"Tail {i}? Yes!" for i in range(30))
+    got = chunking.windows(text, 300, 50)
+    assert all(0 < len(c) <= 300 for c in got)
+    clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text).strip())
+    at = 0
+    for c in got:
+        found = clean.index(c, max(0, at - 310))
+        assert found <= at + 2
+        at = found + len(c)
+    assert at == len(clean) and chunking.windows("", 300) == [] and chunking.windows("a  b", 100) == ["a b"]
+
+
+def test_compression_band():
+    raw = " ".join(f"Sentence number {i} says that the form is filed on the portal by the due date of the month." for i in range(30))
+    out = enrich.compressed_text(raw)
+    assert 0.5 <= len(out) / len(raw) <= 0.92 and out[-1] in ".?!"
+    assert enrich.compress("") == "" and enrich.corrected("Ends with dash -", "raw") .endswith(".")
+
+
+def test_metadata(spark):
+    df = spark.createDataFrame([("6.2 FORM GST REG-06", "Download the certificate from the portal.")], "title string, raw string")
+    a, k, s = df.select(enrich.aliases(F.col("title"), F.col("raw")), enrich.keywords(F.col("title"), F.col("raw")), enrich.synonyms(enrich.aliases(F.col("title"), F.col("raw")), F.col("title"))).first()
+    assert a[0] == "6.2 FORM GST REG-06" and "GST REG-06" in a and "6.2" in a and "download GST registration certificate" in k and len(s) <= 18 and len({x.lower() for x in s}) == len(s)
+
+
+def section(i, title, raw="", parent="p", **more):
+    base = {"node_id": i, "parent_id": parent, "ordinal": int(i[1:]), "type": "CONTENT", "title": title, "path": f"ROOT > {title}", "raw_content": raw, "compressed_content": raw, "micro_summary": title, "aliases": [], "synonyms": [], "keywords": [], "is_front_matter": False, "retrieval_ready": True}
+    return {**base, **more}
+
+
+def test_search_with_entities(spark):
+    nodes = [
+        section("n0", "Returns chapter", parent=None, type="SECTION", retrieval_ready=False) | {"node_id": "p"},
+        section("n1", "6.2 FORM GST REG-06", "The registration certificate can be downloaded.", aliases=["GST REG-06", "REG 06"], keywords=["gst reg 06"]),
+        section("n2", "6.3 GSTR-1", "The return of supplies, see reg06.", keywords=["returns"]),
+        section("n3", "10.9 Test your knowledge", "What is a return?"),
+        section("n4", "Preface", "About gst.", is_front_matter=True),
+    ]
+    schema = "node_id string, parent_id string, ordinal int, type string, title string, path string, raw_content string, compressed_content string, micro_summary string, aliases array<string>, synonyms array<string>, keywords array<string>, is_front_matter boolean, retrieval_ready boolean"
+    df = spark.createDataFrame([tuple(n[c.split()[0]] for c in schema.split(", ")) for n in nodes], schema)
+    hits = retrieval.search(df, "what is GST REG 06").collect()
+    assert hits[0].node_id == "n1" and hits[0].matched_title and hits[0].breakdown["entity_title_reg06"] == 200 and hits[0].breakdown["alias_entity"] == 190
+    assert "n4" not in {h.node_id for h in hits} and "n3" not in {h.node_id for h in hits}
+    assert hits[0].parent_title == "Returns chapter" and "6.3 GSTR-1" in hits[0].sibling_titles
+    few = retrieval.search(df, "zzz test knowledge your").collect()
+    assert few[0].node_id == "n3" and retrieval.pass_rate(df, [("GST REG 06", ["6.2"]), ("nothing", ["none"])]) == 0.5
+
+
+def test_bm25_rises_with_the_term(spark):
+    docs = spark.createDataFrame([(0, "tax " * 1 + "x " * 9), (1, "tax " * 3 + "x " * 7), (2, "x " * 10)], "doc_id long, text string")
+    got = retrieval.rank_documents(docs, "tax", 5).collect()
+    assert [h.doc_id for h in got] == [1, 0] and got[0].score > got[1].score > 0
+
+
+def test_index_of_a_handbook(spark):
+    nodes = build.build_index(handbook.handbook(spark)).cache()
+    n = {x.node_id: x for x in nodes.collect()}
+    kinds = {x.type for x in n.values()}
+    assert {"ROOT", "DOCUMENT", "FRONT_MATTER", "SECTION", "UNIT", "TOPIC", "SUBTOPIC", "CONTENT", "CHAPTER"} <= kinds
+    assert all(x.parent_id in n for x in n.values() if x.parent_id) and len({x.path for x in n.values()}) > 10
+    root = next(x for x in n.values() if x.type == "ROOT")
+    assert root.token_count_raw == sum(x.token_count_raw for x in n.values() if x.type == "CONTENT")
+    unit = next(x for x in n.values() if x.type == "UNIT")
+    assert any(x.parent_id == unit.node_id and x.title.startswith("6.1") for x in n.values())
+    broken = nodes.withColumn("compressed_content", F.when(F.col("type") == "CONTENT", "").otherwise(F.col("compressed_content")))
+    errors = {x.error for x in validate.node_errors(broken).select("error").distinct().collect()}
+    assert "Missing compressed_content" in errors
+    assert not validate.gates(validate.node_errors(broken), broken).first().compressed_content_valid
+
+
+def test_saved_trees_and_texts(spark, tmp_path):
+    tree = {"nodes": [{"title": "A", "nodes": [{"title": "B", "start_index": 3}]}, {"title": "C"}]}
+    flat = files.trees(spark.createDataFrame([("d", json.dumps(tree)), ("e", None)], "doc_id string, json string")).orderBy("ordinal").collect()
+    assert [(x.node_id, x.parent_id, x.title) for x in flat] == [("0001", None, "A"), ("0002", "0001", "B"), ("0003", None, "C")]
+    (tmp_path / "cleaned/s/d1").mkdir(parents=True)
+    (tmp_path / "cleaned/s/d1/x.pdf").write_bytes(b"%PDF")
+    (tmp_path / "note.txt").write_text("whole\ntext")
+    assert files.object_of(files.objects(spark, str(tmp_path), "s"), "d1").first().doc_id == "d1"
+    assert files.texts(spark, f"{tmp_path}/note.txt").first().text == "whole\ntext"
+    files.write_index(spark.createDataFrame([("é", None)], "title string, path string"), f"{tmp_path}/index")
+    assert spark.read.json(f"{tmp_path}/index").first().title == "é"
+    with pytest.raises(ValueError):
+        files.Settings.from_options({"nope": 1})
+
+
+def test_stream_upserts(spark, tmp_path):
+    landing, table = tmp_path / "in", f"{tmp_path}/table"
+    landing.mkdir()
+    put = lambda name, rows: (landing / name).write_text("\n".join(json.dumps(x) for x in rows))
+    put("1.json", [{"doc_id": "a", "text": "first", "landed": "2024-01-01T00:00:00"}, {"doc_id": "b", "text": "second", "landed": "2024-01-01T00:01:00"}, {"doc_id": "c", "text": "FIRST!", "landed": "2024-01-01T00:02:00"}])
+    ingest.ingest(ingest.landing_documents(spark, str(landing)), table, f"{tmp_path}/cp").awaitTermination()
+    put("2.json", [{"doc_id": "a", "text": "changed", "landed": "2024-01-01T00:30:00"}])
+    ingest.ingest(ingest.landing_documents(spark, str(landing)), table, f"{tmp_path}/cp").awaitTermination()
+    version = spark.read.text(f"{table}/current").first().value
+    got = {x.doc_id: x.text for x in spark.read.parquet(f"{table}/{version}").collect()}
+    assert got == {"a": "changed", "b": "second"}
+
+
+def test_embeddings(spark):
+    rows = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    got = {x.id: x.embedding for x in store.embedded(rows, "text").collect()}
+    assert got[2] is None and math.isclose(sum(v * v for v in got[1]), 1, rel_tol=1e-5)
+
+
+def test_dialects_agree_on_row_ids():
+    assert "format_string" in r.row_id(r.SPARK, "a", "b") and "printf" in r.row_id(r.DUCK, "a", "b")

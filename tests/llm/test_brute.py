@@ -62,7 +62,7 @@ def test_machine_learns_a_pair():
         return docs, np.array(y, float)
 
     docs, y = sample(3000)
-    m = toxicity.fit_machine(docs, y, float(y.mean()), epochs=40)
+    m = toxicity.fit_machine(docs, y, epochs=40)
     fresh, truth = sample(400)
     assert np.mean([(m.logit(d) > 0) == t for d, t in zip(fresh, truth, strict=True)]) > 0.95
 

@@ -3,16 +3,18 @@
     P(text) = prod_t P(class_t | class_t-1) * P(word_t | class_t)
 
 The exchange algorithm assigns the ``head`` most frequent words to ``classes``
-classes so that the mutual information of neighbouring classes is largest; every
-other word falls into a class by its shape. Emissions use the word's count over
-the whole training corpus, however rare it is.
+classes so that the mutual information of neighbouring classes is largest. Every
+other word of the training part starts in a class by its shape; a distributed pass
+of the exchange then moves each of them, however rare, to the class that its own
+neighbours favour. Only words that no training text holds are classed by shape alone.
+Emissions use the word's count over the whole training corpus.
 
 Each task encodes its documents in blocks: the block's distinct words, split by a
 hash into parts, and the token sequence as positions in that list. A word part is
 merged over all blocks in one place, which answers every block with the words'
 counts; so a word crosses the network once for each block it occurs in, not once
-for each document, and neither vocabulary nor counts are ever broadcast. What is
-broadcast is bounded by parameters: the head words and the class tables.
+for each document, and neither vocabulary nor counts are ever broadcast. The classes
+of a word's neighbours travel and are answered the same way. What is broadcast is bounded by parameters: the head words and the class tables.
 """
 
 from __future__ import annotations
@@ -219,6 +221,10 @@ def _bigram_rows(batches: Iterator[pa.RecordBatch], head: dict[bytes, int]) -> I
     yield pa.RecordBatch.from_pydict({"pair": total[0], "n": total[1]})
 
 
+def xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, head: int, classes: int, rounds: int = 4) -> np.ndarray:
     """Class of each of the head words, from the counts n of the symbol pairs (a, b).
 
@@ -233,7 +239,6 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, head: int, classes: in
     np.add.at(matrix, (of[a], of[b]), n)
     by_a, by_b = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
     cut_a, cut_b = np.searchsorted(a[by_a], np.arange(total + 1)), np.searchsorted(b[by_b], np.arange(total + 1))
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
     for _ in range(rounds):
         moved = 0
         for w in range(head):
@@ -276,7 +281,8 @@ def exchange(a: np.ndarray, b: np.ndarray, n: np.ndarray, head: int, classes: in
 class ClassModel:
     head: dict[bytes, int]
     of_symbol: np.ndarray  # class of each head word, then of each shape
-    log_step: np.ndarray  # log10 P(class | class before), the last row before a text
+    steps: np.ndarray  # counts of class pairs, the last row before a text
+    log_step: np.ndarray  # log10 P(class | class before)
     class_tokens: np.ndarray
     class_words: np.ndarray  # distinct
     train_tokens: int
@@ -307,9 +313,6 @@ def _fit(encoded: DataFrame, merged: DataFrame, head: int, classes: int) -> Clas
     steps = np.zeros((k + 1, k))
     row = np.where(a == m + SHAPES, k, of[np.minimum(a, m + SHAPES - 1)])
     np.add.at(steps, (row, of[b]), n)
-    seen = steps.sum(axis=0)
-    back = (seen + 1) / (seen.sum() + k)  # a row's own counts, smoothed by the classes' shares
-    log_step = np.log10((steps + 5.0 * back) / (steps.sum(axis=1, keepdims=True) + 5.0))
     in_head = np.zeros((2, SHAPES), np.int64)
     tokens_, distinct_ = np.zeros(k, np.int64), np.zeros(k, np.int64)
     for w, i in places.items():
@@ -320,16 +323,198 @@ def _fit(encoded: DataFrame, merged: DataFrame, head: int, classes: int) -> Clas
     for s in range(SHAPES):
         tokens_[classes + s] = stats.get(("tokens", s), 0) - in_head[0, s]
         distinct_[classes + s] = stats.get(("distinct", s), 0) - in_head[1, s]
-    return ClassModel(places, of, log_step, tokens_, distinct_, int(tokens_.sum()), int(distinct_.sum()))
+    return ClassModel(places, of, steps, _log_step(steps), tokens_, distinct_, int(tokens_.sum()), int(distinct_.sum()))
+
+
+def _log_step(steps: np.ndarray) -> np.ndarray:
+    seen = steps.sum(axis=0)
+    back = (seen + 1) / (seen.sum() + steps.shape[1])  # a row's own counts, smoothed by the classes' shares
+    return np.log10((steps + 5.0 * back) / (steps.sum(axis=1, keepdims=True) + 5.0))
+
+
+def likelihood(steps: np.ndarray) -> float:
+    """What the classes add to the training log-likelihood, but for a constant."""
+    return float(xlogx(steps).sum() - xlogx(steps.sum(axis=1)).sum() - xlogx(steps.sum(axis=0)).sum())
+
+
+# --- classes of the words outside the head ------------------------------------------------------
+
+NEIGHBOURS = "part int, block long, words binary, sizes binary, sides binary, counts binary"
+LEARNED = "kind string, block long, part int, payload binary, n long"
+
+
+def _before(seq: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
+    before = np.concatenate(([start], seq[:-1]))
+    before[np.concatenate(([0], np.cumsum(lengths)[:-1]))] = start
+    return before
+
+
+def _neighbour_rows(batches: Iterator[pa.RecordBatch], m: ClassModel) -> Iterator[pa.RecordBatch]:
+    """Of each word outside the head, in a block: how often each class stands before and after it.
+
+    A side is a class before (k: the start of a text), or k + 2 + a class after; k + 1 and
+    2k + 3 are the word itself.
+    """
+    k = m.steps.shape[1]
+    for batch in batches:
+        for row in batch.to_pylist():
+            symbols = _symbols(row["parts"], m.head)
+            codes, lengths = _open(row["codes"], "<u4").astype(np.int64), _open(row["lengths"], "<i8")
+            keep = ~np.repeat(_open(row["held"], "u1").astype(bool), lengths)
+            rare = symbols >= len(m.head)
+            seq = m.of_symbol[symbols][codes]
+            before, word = _before(seq, lengths, k), _before(codes, lengths, -1)
+            left = np.where(word == codes, k + 1, before)
+            right = np.where(word == codes, k + 1, seq) + k + 2
+            is_left, is_right = keep & rare[codes], keep & (word >= 0) & rare[word]
+            width = 2 * (k + 2)
+            key, n = np.unique(np.concatenate((codes[is_left] * width + left[is_left], word[is_right] * width + right[is_right])), return_counts=True)
+            sizes = np.bincount(key // width, minlength=len(symbols))
+            at, first = 0, np.concatenate(([0], np.cumsum(sizes)))
+            out = []
+            for p in row["parts"]:
+                end = at + len(_split_words(p["words"]))
+                own = slice(first[at], first[end])
+                out.append({"part": p["part"], "block": row["block"], "words": p["words"], "sizes": _pack(sizes[at:end].astype("<u4")), "sides": _pack((key[own] % width).astype("<u2")), "counts": _pack(n[own].astype("<u4"))})
+                at = end
+            yield pa.RecordBatch.from_pylist(out, schema=_NEIGHBOURS)
+
+
+_NEIGHBOURS = pa.schema([("part", pa.int32()), ("block", pa.int64())] + [(c, pa.binary()) for c in ("words", "sizes", "sides", "counts")])
+
+
+def placed(word: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray, steps: np.ndarray, chunk: int = 16_384) -> np.ndarray:
+    """The class of each word, from its class own before, by the gain of exchange().
+
+    (word, side, n) are sorted by word, as _neighbour_rows() has sides. All words are judged against
+    the same counts, less their own; what a word adds to both its row and its column of one
+    cell is taken apart, which is exact but for a word beside its own class. A move has to gain
+    more than ln k, what it takes to name a class: else the few neighbours of a rare word would
+    empty the shape classes, where unseen words are.
+    """
+    k = steps.shape[1]
+    d = np.arange(k)
+    rows, cols = steps[:k].sum(axis=1), steps.sum(axis=0)
+    of = own.copy()
+    has, first, size = np.unique(word, return_index=True, return_counts=True)
+    first = np.append(first, len(word))
+    at = 0
+    while at < len(has):
+        to = max(at + 1, int(np.searchsorted(first, first[at] + chunk, "right")) - 1)
+        s = slice(first[at], first[to])
+        e_side, e_n = side[s], n[s].astype(float)
+        local = np.repeat(np.arange(to - at), size[at:to])
+        here = of[has[at:to]]
+        left = e_side < k + 2
+        c = np.where(left, e_side, e_side - k - 2)
+        itself = c == k + 1
+        cell = np.where(left[:, None], steps[np.minimum(c, k)], steps[:k, np.minimum(c, k - 1)].T)
+        cell = np.where(itself[:, None], steps[d, d], cell)
+        mine = d[None, :] == here[local][:, None]
+        cell = np.maximum(cell - mine * e_n[:, None], 0)
+        gain = xlogx(cell + e_n[:, None]) - xlogx(cell)
+        gain[itself & left] = 0  # a pair of the word with itself is in both sides, and once a cell
+        total = np.add.reduceat(gain, np.concatenate(([0], np.cumsum(size[at:to])[:-1])))
+        l_n, r_n = (np.bincount(local, e_n * x, to - at)[:, None] for x in (left, ~left))
+        stays = d[None, :] == here[:, None]
+        r0, c0 = np.maximum(rows - stays * r_n, 0), np.maximum(cols - stays * l_n, 0)
+        total -= xlogx(r0 + r_n) - xlogx(r0) + xlogx(c0 + l_n) - xlogx(c0)
+        total[:, rows + cols == 0] = -np.inf  # all words would meet in an empty class
+        best = total.argmax(axis=1)
+        i = np.arange(to - at)
+        of[has[at:to]] = np.where(total[i, best] > total[i, here] + np.log(k), best, here)
+        at = to
+    return of
+
+
+def _learn_part(batches: list[tuple], m: ClassModel) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of all blocks' rows of one part: each block's words' classes, and the number of moved or shaped words a class."""
+    index: dict[bytes, int] = {}
+    where, keys, counts = [], [], []
+    width = 2 * (m.steps.shape[1] + 2)
+    for _, words, sizes, sides, n in batches:
+        found = _split_words(words)
+        for w in found:
+            if w not in index:
+                index[w] = len(index)
+        at = np.fromiter(map(index.__getitem__, found), np.int64, len(found))
+        where.append(at)
+        keys.append(np.repeat(at, _open(sizes, "<u4")) * width + _open(sides, "<u2"))
+        counts.append(_open(n, "<u4"))
+    key, at = np.unique(np.concatenate(keys), return_inverse=True)
+    n = np.bincount(at, np.concatenate(counts), len(key))
+    own = m.of_symbol[np.array([m.head[w] if w in m.head else len(m.head) + shape(w) for w in index], np.int64)]
+    of = placed(key // width, key % width, n, own, m.steps)
+    return [of[x] for x in where], np.bincount(of[np.unique(key // width)], minlength=m.steps.shape[1])
+
+
+def _learn_rows(batches: Iterator[pa.RecordBatch], m: ClassModel) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, as _neighbour_rows() makes them."""
+
+    def done(part: int, rows: list) -> pa.RecordBatch:
+        answers, distinct = _learn_part(rows, m)
+        out = [("class", b[0], part, _pack(a.astype("<u2")), None) for b, a in zip(rows, answers, strict=True)]
+        out += [("distinct", c, None, None, int(x)) for c, x in enumerate(distinct)]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], names=["kind", "block", "part", "payload", "n"])
+
+    part, rows = None, []
+    for batch in batches:
+        for p, *row in zip(*(batch.column(k).to_pylist() for k in ("part", "block", "words", "sizes", "sides", "counts")), strict=True):
+            if p != part and rows:
+                yield done(part, rows)
+                rows = []
+            part = p
+            rows.append(tuple(row))
+    if rows:
+        yield done(part, rows)
+
+
+PLACED = "docs binary, lengths binary, held binary, codes binary, counts binary, core binary, classes binary"
+
+
+def _placed_rows(batches: Iterator[pa.RecordBatch], m: ClassModel) -> Iterator[pa.RecordBatch]:
+    """Blocks with their words' counts and classes, before (core) and after the pass; the words are not needed any more."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            got = {(x["kind"], x["part"]): x["payload"] for x in row["answers"]}
+            each = lambda kind, dtype: np.concatenate([_open(got[kind, p["part"]], dtype) for p in row["parts"]])  # noqa: B023, E731
+            out = {c: row[c] for c in ("docs", "lengths", "held", "codes")}
+            out |= {"counts": _pack(each("answer", "<i8")), "core": _pack(m.of_symbol[_symbols(row["parts"], m.head)].astype("<u2")), "classes": _pack(each("class", "<u2"))}
+            yield pa.RecordBatch.from_pylist([out], schema=pa.schema([(c, pa.binary()) for c in ("docs", "lengths", "held", "codes", "counts", "core", "classes")]))
+
+
+def _step_rows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((k + 1) * k, np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            seq, lengths = _open(row["classes"], "<u2").astype(np.int64)[_open(row["codes"], "<u4")], _open(row["lengths"], "<i8")
+            keep = ~np.repeat(_open(row["held"], "u1").astype(bool), lengths)
+            total += np.bincount((_before(seq, lengths, k) * k + seq)[keep], minlength=len(total))
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"pair": seen, "n": total[seen]})
+
+
+def _grow(m: ClassModel, learned: DataFrame, blocks: DataFrame) -> tuple[ClassModel, str]:
+    """The model after the pass, and the column of blocks with its classes. All words move at once, so the
+    likelihood could fall: then the classes before the pass stay."""
+    k = m.steps.shape[1]
+    steps = np.zeros((k + 1) * k)
+    for r in blocks.mapInArrow(lambda b: _step_rows(b, k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        steps[r.pair] = r.n
+    steps = steps.reshape(k + 1, k)
+    if likelihood(steps) <= likelihood(m.steps):
+        return m, "core"
+    words = np.bincount(m.of_symbol[: len(m.head)], minlength=k)
+    for r in learned.where("kind = 'distinct'").groupBy("block").agg(F.sum("n").alias("n")).collect():
+        words[r.block] += r.n
+    return ClassModel(m.head, m.of_symbol, steps, _log_step(steps), steps.sum(axis=0).astype(np.int64), words, m.train_tokens, m.distinct), "classes"
 
 
 # --- scores -------------------------------------------------------------------------------------
 
 
-def _score_block(row: dict, answers: dict[int, bytes], m: ClassModel) -> dict:
-    counts = np.concatenate([_open(answers[p["part"]], "<i8") for p in row["parts"]])
-    symbols = _symbols(row["parts"], m.head)
-    classes = m.of_symbol[symbols]
+def _score_block(row: dict, column: str, m: ClassModel) -> dict:
+    counts, classes = _open(row["counts"], "<i8"), _open(row[column], "<u2")
     base = np.log10((counts + ALPHA) / (m.train_tokens + ALPHA * (m.distinct + 1)))
     emit = np.log10((counts + ALPHA) / (m.class_tokens[classes] + ALPHA * (m.class_words[classes] + 1)))
     codes, lengths = _open(row["codes"], "<u4"), _open(row["lengths"], "<i8")
@@ -352,7 +537,7 @@ def _score_block(row: dict, answers: dict[int, bytes], m: ClassModel) -> dict:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def class_lm_scores(docs: DataFrame, held_out, head: int = 1024, classes: int = 48) -> DataFrame:
+def class_lm_scores(docs: DataFrame, held_out, head: int = 2048, classes: int = 48) -> DataFrame:
     """Score every row of docs (doc_id, text), learning from those where held_out is false.
 
     Returns doc_id, held_out, n_tokens (words and one end), n_known (tokens that the
@@ -373,13 +558,20 @@ def class_lm_scores(docs: DataFrame, held_out, head: int = 1024, classes: int =
     parts = encoded.select("block", F.explode("parts").alias("p")).select("p.part", "block", "p.words", "p.counts")
     dealt = parts.repartition(parallelism(spark), "part").sortWithinPartitions("part")
     merged = written(dealt.mapInArrow(lambda b: _merge_rows(b, head), MERGED), "counts")
-    model = spark.sparkContext.broadcast(_fit(encoded, merged, head, classes))
-    answers = merged.where("kind = 'answer'").groupBy("block").agg(F.collect_list(F.struct("part", "payload")).alias("answers"))
+    core = _fit(encoded, merged, head, classes)
+    shared = spark.sparkContext.broadcast(core)
+    beside = encoded.select("block", "codes", "lengths", "held", "parts").mapInArrow(lambda b: _neighbour_rows(b, shared.value), NEIGHBOURS)
+    learned = written(beside.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(lambda b: _learn_rows(b, shared.value), LEARNED), "classes")
+    both = merged.where("kind = 'answer'").select("kind", "block", "part", "payload").unionAll(learned.where("kind = 'class'").select("kind", "block", "part", "payload"))
+    answers = both.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "payload")).alias("answers"))
+    blocks = written(encoded.join(answers.hint("shuffle_hash"), "block").mapInArrow(lambda b: _placed_rows(b, shared.value), PLACED), "placed")
+    grown, column = _grow(core, learned, blocks)
+    model = spark.sparkContext.broadcast(grown)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                yield pa.RecordBatch.from_pydict(_score_block(row, {x["part"]: x["payload"] for x in row["answers"]}, model.value))
+                yield pa.RecordBatch.from_pydict(_score_block(row, column, model.value))
 
-    out = encoded.join(answers.hint("shuffle_hash"), "block").mapInArrow(rows, SCORED)
+    out = blocks.mapInArrow(rows, SCORED)
     return written(out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id"))), "scores")

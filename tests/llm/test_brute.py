@@ -107,6 +107,33 @@ def test_exchange_separates_two_languages():
     assert len(set(of[:4])) == len(set(of[4:])) == 1 and of[0] != of[4]
 
 
+def test_rare_words_get_learned_classes(spark, monkeypatch):
+    """Words outside the head, all of one shape, part by the words they stand between."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{o} {g}{rng.integers(20) * rng.integers(2)}x {c}" for _ in range(6)) for o, c, g in (("a", "b", "p"), ("d", "e", "q")) for _ in range(60)]
+    seen, got = {}, {}
+
+    def grow(m, learned, blocks):
+        out = seen["grow"](m, learned, blocks)
+        got["old"], got["new"], got["column"] = m, out[0], out[1]
+        words = [w for r in seen["encoded"].collect() for p in r.parts for w in class_lm._split_words(bytes(p.words))]
+        codes = [c for r in blocks.collect() for c in class_lm._open(bytes(r.classes), "<u2")]
+        got["of"] = dict(zip(words, codes, strict=True)) if blocks.count() == 1 else {}
+        return out
+
+    write = class_lm.written
+    monkeypatch.setattr(class_lm, "written", lambda df, label: seen.setdefault(label, write(df, label)))
+    seen["grow"] = class_lm._grow
+    monkeypatch.setattr(class_lm, "_grow", grow)
+    class_lm.class_lm_scores(frame(spark, texts).coalesce(1), F.lit(False), head=7, classes=7)
+    of, new, old = got["of"], got["new"], got["old"]
+    sides = [{of[w] for w in of if w[:1] == g and w.endswith(b"x")} for g in (b"p", b"q")]
+    assert got["column"] == "classes" and sides[0] and sides[1] and not sides[0] & sides[1]
+    assert class_lm.likelihood(new.steps) > class_lm.likelihood(old.steps)
+    assert new.class_tokens.sum() == new.train_tokens and new.class_words.sum() == new.distinct
+    assert np.allclose((10**new.log_step).sum(axis=1), 1)
+
+
 def brute_repeats(texts, window=50):
     words = {d: (t or "").encode().split() for d, t in texts.items()}
     first = {}

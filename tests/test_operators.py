@@ -173,3 +173,12 @@ def test_embeddings(spark):
 
 def test_dialects_agree_on_row_ids():
     assert "format_string" in r.row_id(r.SPARK, "a", "b") and "printf" in r.row_id(r.DUCK, "a", "b")
+
+
+def test_similarity_reads_whole_texts(spark):
+    """One opening of 6000 characters and other ends, and other openings of 2000 before one end."""
+    words = lambda a, n: " ".join(f"{a}{i:05d}" for i in range(n))
+    texts = [words("same", 700) + " " + words(e, 700) for e in "xy"] + [words(e, 230) + " " + words("tail", 3000) for e in "vw"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert [(r.a, r.b) for r in similarity.near_duplicate_pairs(docs).collect()] == [(2, 3)]
+    assert [r.outcome for r in similarity.greedy_dedup(docs).orderBy("id").collect()] == ["accepted", "accepted", "accepted", "overlap"]

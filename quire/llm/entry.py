@@ -47,7 +47,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(documents(spark, sf_dir))
+    return packing.pack(documents(spark, sf_dir)).withColumn("words", F.sha2("words", 256)).withColumnRenamed("words", "words_sha256")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,8 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import written
-from quire.llm.mixing import word_count
+from quire.llm.common import let, words_of, written
 
 PER_SALT = 20_000
 
@@ -61,20 +60,26 @@ def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[in
 
 
 def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 16_384, max_len: int = 4096) -> DataFrame:
-    """One row per piece of every row of docs (doc_id, text) that has a word: doc_id, piece,
-    n_pieces, first_word (0-based), n_words, bucket (its boundary: the padded length),
-    padding, batch (numbered inside the bucket), slot (inside the batch).
+    """One row per piece of every row of docs (doc_id, text) that has a word: doc_id, copy,
+    piece, n_pieces, first_word (0-based, in this text), n_words, bucket (its boundary: the padded
+    length), padding, batch (numbered inside the bucket), slot (inside the batch), words (of the
+    piece, one blank between them). copy numbers the rows of one doc_id, from 0.
 
     A batch holds token_budget // bucket pieces, one at least. A null or empty text makes one
     piece of no words, in bucket 0, whose batches hold token_budget pieces. Order inside a
     bucket follows a hash of id and piece; repeated rows are packed as often as they
     occur. An empty table gives an empty one; other columns are not carried.
     """
-    size = docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count(F.col("text")).alias("size"))
-    n_pieces = F.greatest(F.lit(1), F.ceil(F.col("size") / max_len)).cast("int")
-    pieces = size.withColumn("n_pieces", n_pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("n_pieces") - 1)))
-    first = F.col("piece").cast("long") * max_len
-    pieces = written(pieces.select("doc_id", "piece", "n_pieces", first.alias("first_word"), F.least(F.col("size") - first, F.lit(max_len)).alias("n_words")), "pieces")
+    def cut(w):
+        last = F.greatest(F.lit(1), F.ceil(F.size(w) / max_len)).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("piece"), F.size(w).cast("long").alias("size"), F.array_join(F.slice(w, i * max_len + 1, max_len), " ").alias("words")))
+
+    text = F.col("text").cast("string")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), let(words_of(text), cut).alias("cut"))
+    first = F.col("x.piece").cast("long") * max_len
+    whole = written(rows.select("row", "doc_id", "th", F.size("cut").alias("n_pieces"), F.explode("cut").alias("x")).select("row", "doc_id", "th", "x.piece", "n_pieces", first.alias("first_word"), F.least(F.col("x.size") - first, F.lit(max_len)).alias("n_words"), "x.words"), "pieces")
+    copy = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("th", "row")) - 1
+    pieces = written(whole.drop("words").withColumn("copy", copy).drop("th"), "copies")
     rows = pieces.groupBy("n_words").agg(F.count("*").alias("n")).orderBy("n_words").collect()
     lengths, counts = np.array([r.n_words for r in rows if r.n_words], np.int64), np.array([r.n for r in rows if r.n_words], np.int64)
     bounds = ([0] if rows and not rows[0].n_words else []) + boundaries(lengths, counts, buckets)
@@ -84,12 +89,13 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 16_384, max_len
     salts = max(1, -(-sum(r.n for r in rows) // PER_SALT))
     h = F.xxhash64("doc_id", "piece")
     salted = pieces.withColumn("bucket", bucket.cast("int")).withColumn("salt", F.pmod(h, F.lit(salts)))
-    order = Window.partitionBy("bucket", "salt").orderBy(h, "doc_id", "piece", "n_words")
+    order = Window.partitionBy("bucket", "salt").orderBy(h, "doc_id", "piece", "n_words", "copy")
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = salted.groupBy("bucket", "salt").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     ranked = salted.withColumn("r", F.row_number().over(order) - 1).join(offsets, ["bucket", "salt"]).withColumn("rank", F.col("r") + F.col("before"))
     per_batch = F.greatest(F.lit(1), F.expr(f"{token_budget} div greatest(bucket, 1)"))
-    return ranked.select(
-        "doc_id", "piece", "n_pieces", "first_word", "n_words", "bucket", (F.col("bucket") - F.col("n_words")).alias("padding"),
-        F.floor(F.col("rank") / per_batch).cast("long").alias("batch"), (F.col("rank") % per_batch).cast("int").alias("slot"),
+    placed = ranked.join(whole.select("row", "piece", "words"), ["row", "piece"])
+    return placed.select(
+        "doc_id", "copy", "piece", "n_pieces", "first_word", "n_words", "bucket", (F.col("bucket") - F.col("n_words")).alias("padding"),
+        F.floor(F.col("rank") / per_batch).cast("long").alias("batch"), (F.col("rank") % per_batch).cast("int").alias("slot"), "words",
     )

@@ -317,6 +317,17 @@ def test_packing(spark, texts):
     assert all(n == 1 for n in full.values())  # one open batch a bucket at most
 
 
+def test_packing_carries_every_word(spark, texts):
+    given = [(d, t) for d, t in texts.items()] + [(0, texts[0]), (0, "another text with one id")]
+    by = collections.defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(given, "doc_id long, text string"), token_budget=2000, max_len=900).collect():
+        w = r.words.split(" ") if r.words else []
+        assert len(w) == r.n_words and r.first_word == 900 * r.piece
+        by[r.doc_id, r.copy].append((r.piece, w))
+    got = sorted((d, [w for _, p in sorted(ps) for w in p]) for (d, _), ps in by.items())
+    assert got == sorted((d, [w.decode() for w in t.encode().split()]) for d, t in given)
+
+
 def filled(n, w):
     """Shares by weight, with what is above twice the size shared out again until nothing is."""
     budget, capped = 1.5 * n.sum(), np.zeros(len(n), bool)

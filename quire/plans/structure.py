@@ -64,7 +64,7 @@ QUERIES = {
     "structure_headings": lambda s, d: st.headings(everything(s, d)).select("doc_id", "line_idx", "type", "title", "page"),
     "structure_without_clusters": lambda s, d: st.without_clusters(st.headings(everything(s, d))).select("doc_id", "line_idx", "type"),
     "structure_ranges": lambda s, d: _ranges(s, d).select("doc_id", "line_idx", "type", "start", "end"),
-    "structure_placed": lambda s, d: st.placed(_ranges(s, d)).where("doc_id = 'h'"),
+    "structure_placed": lambda s, d: st.placed(_ranges(s, d)),
     "structure_char_spans": lambda s, d: st.char_spans(everything(s, d), _ranges(s, d).select("doc_id", "start", "end")).select("doc_id", "start", "char_start", "char_end", "page_start", "page_end"),
     "structure_semantic_chunks": lambda s, d: st.semantic_chunks(everything(s, d), _ranges(s, d)),
     "structure_usable_chunks": lambda s, d: st.usable_chunks(st.semantic_chunks(everything(s, d), _ranges(s, d))),

@@ -182,3 +182,9 @@ def test_similarity_reads_whole_texts(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     assert [(r.a, r.b) for r in similarity.near_duplicate_pairs(docs).collect()] == [(2, 3)]
     assert [r.outcome for r in similarity.greedy_dedup(docs).orderBy("id").collect()] == ["accepted", "accepted", "accepted", "overlap"]
+
+
+def test_placed_covers_documents(spark):
+    d = "/root/testdata/sf0.001"
+    ids = {str(r.doc_id) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()} | {"h"}
+    assert {r.doc_id for r in handbook.QUERIES["structure_placed"](spark, d).select("doc_id").distinct().collect()} == ids

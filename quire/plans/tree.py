@@ -59,7 +59,9 @@ QUERIES = {
     "tree_unique_ids": lambda s, d: tree.unique_ids(nodes(s, d).withColumn("node_id", F.when(F.col("type") == "CONTENT", F.concat(F.lit("x"), F.col("measure") % 5000)).otherwise(F.col("node_id")))).select("ordinal", "node_id", "new_id"),
     "tree_orphans": lambda s, d: tree.orphans(nodes(s, d).where("node_id <> 'n3'")).select("node_id", "parent_id"),
     "tree_cycles": lambda s, d: tree.cyclic(nodes(s, d).where("type <> 'CONTENT'").withColumn("parent_id", F.when(F.col("node_id") == "w", F.lit("n2")).otherwise(F.col("parent_id")))).select("node_id"),
+    "tree_cycles_all": lambda s, d: tree.cyclic(nodes(s, d).withColumn("parent_id", F.when(F.col("node_id") == "w", F.lit("n2")).otherwise(F.col("parent_id")))).select("node_id"),
     "tree_front_matter_first": lambda s, d: tree.front_matter_first(nodes(s, d).withColumn("type", F.when(F.col("type") == "FRONT_MATTER", "PREFACE").otherwise(F.col("type")))).where("type <> 'CONTENT'").select("node_id", "type"),
+    "tree_front_matter_first_all": lambda s, d: tree.front_matter_first(nodes(s, d).withColumn("type", F.when(F.col("type") == "FRONT_MATTER", "PREFACE").otherwise(F.col("type")))).select("node_id", "type"),
     "tree_container_summaries": lambda s, d: tree.container_summaries(nodes(s, d)).select("node_id", "micro_summary"),
 }
 ORACLE_SQL = {
@@ -77,6 +79,8 @@ ORACLE_SQL = {
     "tree_orphans": _N + " SELECT node_id, parent_id FROM n WHERE parent_id = 'n3'",
     # the root hangs under n2, so every chain runs into the loop
     "tree_cycles": _N + " SELECT node_id FROM n WHERE type <> 'CONTENT'",
+    "tree_cycles_all": _N + " SELECT node_id FROM n",
     "tree_front_matter_first": _N + ", m AS (SELECT node_id, CASE WHEN type = 'FRONT_MATTER' THEN 'PREFACE' ELSE type END AS type, ordinal FROM n WHERE type <> 'CONTENT'), q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS k FROM m) SELECT node_id, type FROM q WHERE type <> 'PREFACE' OR k = 1",
+    "tree_front_matter_first_all": _N + ", m AS (SELECT node_id, CASE WHEN type = 'FRONT_MATTER' THEN 'PREFACE' ELSE type END AS type, ordinal FROM n), q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS k FROM m) SELECT node_id, type FROM q WHERE type <> 'PREFACE' OR k = 1",
     "tree_container_summaries": _N + ", c AS (SELECT parent_id AS node_id, title, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) AS k FROM n WHERE parent_id IS NOT NULL), t AS (SELECT node_id, string_agg(title, ', ' ORDER BY k) AS titles FROM c WHERE k <= 6 GROUP BY 1) SELECT node_id, CASE WHEN titles IS NULL THEN title || ' (structural section).' ELSE title || ': includes ' || titles || '.' END AS micro_summary FROM n LEFT JOIN t USING (node_id) WHERE type <> 'CONTENT'",
 }

@@ -13,19 +13,22 @@ Conventions used by every operator of this subpackage:
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.sources.shared import folder
+
 #: Sorts after every real id.
 NO_ID = 2**63 - 1
 #: A word is a run of characters other than the six ASCII white-space characters.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
-_own_dir: dict[str, str] = {}
+#: Rows and bytes of one Arrow batch of texts: texts can be long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,22 +39,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if known:
-        return known.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
-    return _own_dir[app]
+@contextmanager
+def batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Bound what an Arrow batch holds while plans run inside; the session's own bounds come back."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Write df once in the shared folder and read it from there: cuts the lineage."""
+def written(df: DataFrame, label: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write df once in the shared folder and read it from there: cuts the lineage. Python stages
+    of its plan get Arrow batches of so many rows at most."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    with batches(spark, rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,11 +84,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch holds: texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -92,3 +95,7 @@ def one_row_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), id_order().alias("o2"), F.xxhash64("text").alias("h2"))
     joined = keyed.join(wanted, (F.col("o2") == F.col("o")) & (F.col("h2") == F.col("h")))
     return joined.withColumn("once", F.row_number().over(Window.partitionBy("o2", "h2").orderBy(F.lit(1)))).where("once = 1").select("row", *wanted.columns)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -122,7 +122,7 @@ def test_rare_words_get_learned_classes(spark, monkeypatch):
         return out
 
     write = class_lm.written
-    monkeypatch.setattr(class_lm, "written", lambda df, label: seen.setdefault(label, write(df, label)))
+    monkeypatch.setattr(class_lm, "written", lambda df, label, *rows: seen.setdefault(label, write(df, label, *rows)))
     seen["grow"] = class_lm._grow
     monkeypatch.setattr(class_lm, "_grow", grow)
     class_lm.class_lm_scores(frame(spark, texts).coalesce(1), F.lit(False), head=7, classes=7)
@@ -148,8 +148,11 @@ def brute_repeats(texts, window=50):
     return out
 
 
-@pytest.mark.parametrize("long_prefix", [65_536, 1])
-def test_substring_dedup(spark, long_prefix):
+@pytest.mark.parametrize(("batch_words", "levels"), [(600_000, 1), (400, 2), (1, 4)])
+def test_substring_dedup(spark, monkeypatch, batch_words, levels):
+    """Prefixes of any length remove the same words; only where a group is too large are they lengthened."""
+    seen, write = [], substring_dedup.written
+    monkeypatch.setattr(substring_dedup, "written", lambda df, label: seen.append(label) or write(df, label))
     rng = np.random.default_rng(5)
     passages = [" ".join(rng.choice(list("abcdefgh"), 70)) for _ in range(3)]
     docs = []
@@ -158,10 +161,34 @@ def test_substring_dedup(spark, long_prefix):
         for p in rng.choice(3, rng.integers(0, 3)):
             parts += [passages[p] if rng.random() < 0.7 else " ".join(passages[p].split()[5:58]), " ".join(rng.choice(list("klm"), rng.integers(0, 30)))]
         docs.append(" \n".join(parts))
-    docs += [docs[3], "a " * 120, "a " * 200]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, docs), long_prefix).collect()}
+    docs += [docs[3], "a " * 120, "a " * 200, "a " * 700 + "b c " * 900, "x " + "a " * 650, "b c " * 700]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.remove_repeats(frame(spark, docs), batch_words).collect()}
     assert got == brute_repeats(dict(enumerate(docs)))
-    assert any(x[1] for x in got.values())
+    assert any(x[1] for x in got.values()) and seen.count("stretches") >= levels and (levels > 1 or seen.count("stretches") == 1)
+
+
+def test_blocks_hold_each_window_once(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", 64)
+    words = [b"w%d" % i for i in range(700)]
+    blocks = list(substring_dedup.window_blocks(b" \n".join(words)))
+    assert len(blocks) > 10 and all(w == words[first : first + len(w)] for first, w in blocks)
+    starts = [first + i for first, w in blocks for i in range(max(0, len(w) - 49))]
+    assert starts == list(range(len(words) - 49))
+    whole = substring_dedup.window_anchors(words)
+    parts = np.concatenate([substring_dedup.window_anchors(w) for _, w in blocks])
+    assert (whole == parts).all()
+
+
+def test_batches_of_trees_are_bounded():
+    groups = [(a, b" ".join(b"%d" % (a * 7 + i) for i in range(60)), d, d + 1) for a in range(40) for d in range(2)]
+    cols = {k: [g[i] for g in groups] for i, k in enumerate(("anchor", "ctx", "least", "most"))}
+    sizes, rows = [], substring_dedup._repeat_rows
+    substring_dedup._repeat_rows = lambda r: sizes.append(sum(len(x[1].split()) for x in r)) or rows(r)
+    try:
+        out = list(substring_dedup._tree_rows(iter([media.pa.RecordBatch.from_pydict(cols)]), 300))
+    finally:
+        substring_dedup._repeat_rows = rows
+    assert max(sizes) <= 300 and sum(sizes) == 40 * 120 and sum(b.num_rows for b in out) == 80
 
 
 def test_substring_query(spark, texts):

@@ -30,12 +30,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import parallelism, small_batches, written
+from quire.llm.common import batches as batch_bounds
+from quire.llm.common import parallelism, written
 
 ALPHA = 0.1
 #: The end of a text, as a word that no text can hold.
 END = b"\n"
 BLOCK_BYTES = 6 << 20
+#: Bytes of the input table for which there is one word part, so that a part stays as small at any size.
+PART_BYTES = 16 << 20
+#: Blocks, and rows of word parts, in an Arrow batch.
+BLOCKS, PARTS = 4, 64
 SHAPES = 12
 
 
@@ -184,14 +189,15 @@ def _merge_rows(batches: Iterator[pa.RecordBatch], head: int) -> Iterator[pa.Rec
 
 
 def _head_rows(batches: Iterator[pa.RecordBatch], head: int) -> Iterator[pa.RecordBatch]:
-    """The most frequent words of several parts; ties go to the word that sorts first."""
+    """The most frequent words of several parts, packed; ties go to the word that sorts first."""
     best: list[tuple[int, bytes]] = []
     for batch in batches:
         for words, counts, n in zip(*(batch.column(k).to_pylist() for k in ("payload", "word", "n")), strict=True):
             if n:
                 best += zip((-_open(counts, "<i8")).tolist(), _split_words(words), strict=True)
                 best = heapq.nsmallest(head, best)
-    yield pa.RecordBatch.from_pydict({"word": pa.array([w for _, w in best], pa.binary()), "n": pa.array([-n for n, _ in best], pa.int64())})
+    if best:
+        yield pa.RecordBatch.from_pydict({"words": pa.array([_pack(b" ".join(w for _, w in best))], pa.binary()), "counts": pa.array([_pack(np.array([-n for n, _ in best], "<i8"))], pa.binary())})
 
 
 # --- classes ------------------------------------------------------------------------------------
@@ -221,6 +227,15 @@ def _bigram_rows(batches: Iterator[pa.RecordBatch], head: dict[bytes, int]) -> I
     yield pa.RecordBatch.from_pydict({"pair": total[0], "n": total[1]})
 
 
+def _packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a partition's pairs as one row: what reaches the driver is a few bytes a pair."""
+    got = [(b.column("pair").to_numpy(), b.column("n").to_numpy()) for b in batches]
+    if got:
+        pair, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(pair)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array([_pack(np.diff(pair[order], prepend=0).astype("<u4"))], pa.binary()), "n": pa.array([_pack(n[order].astype("<i8"))], pa.binary())})
+
+
 def xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
@@ -293,20 +308,26 @@ def _fit(encoded: DataFrame, merged: DataFrame, head: int, classes: int) -> Clas
     spark = encoded.sparkSession
     heads = merged.where("kind = 'head'").select("part", "payload", "word", "n")
     # as many tasks as each of them merges parts: neither they nor the driver see many
-    few = heads.repartition(max(1, int(parallelism(spark) ** 0.5)), "part").mapInArrow(lambda b: _head_rows(b, head), "word binary, n long")
-    best = sorted((-r.n, bytes(r.word)) for r in few.collect())[:head]
+    few = heads.repartition(max(1, int(parallelism(spark) ** 0.5)), "part").mapInArrow(lambda b: _head_rows(b, head), "words binary, counts binary")
+    with batch_bounds(spark, PARTS):
+        best = []
+        for r in few.toLocalIterator():  # of one task after the other
+            best = heapq.nsmallest(head, best + list(zip((-_open(bytes(r.counts), "<i8")).tolist(), _split_words(bytes(r.words)), strict=True)))
     count = {w: -n for n, w in best}
     words = list(count)
     stats = {(r.kind, r.block): r.n for r in merged.where("kind IN ('distinct', 'tokens')").groupBy("kind", "block").agg(F.sum("n").alias("n")).collect()}
     places = {w: i for i, w in enumerate(words)}
     shared = spark.sparkContext.broadcast(places)
     pairs = encoded.select("codes", "lengths", "held", "parts").mapInArrow(lambda b: _bigram_rows(b, shared.value), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    table = pairs.toArrow()  # bounded by (head + 13) squared, and sparse
+    counted = written(pairs, "pairs", BLOCKS)
+    with batch_bounds(spark, 1 << 16):
+        got = counted.mapInArrow(_packed_rows, "pair binary, n binary").collect()  # (head + 13) squared pairs at most, and sparse
     m = len(words)
-    pair, n = table.column("pair").to_numpy().astype(np.int64), table.column("n").to_numpy().astype(np.int64)
-    order = np.argsort(pair)
-    pair, n = pair[order], n[order]
-    a, b = pair // (m + SHAPES + 1), pair % (m + SHAPES + 1)
+    pair = np.concatenate([np.zeros(0, np.int64), *(np.cumsum(_open(bytes(r.pair), "<u4"), dtype=np.int64) for r in got)])
+    n = np.concatenate([np.zeros(0), *(_open(bytes(r.n), "<i8").astype(np.float64) for r in got)])
+    del got
+    a, b = (pair // (m + SHAPES + 1)).astype(np.int32), (pair % (m + SHAPES + 1)).astype(np.int32)
+    del pair
     learned = exchange(a, b, n, m, classes)
     of = np.concatenate((learned, classes + np.arange(SHAPES))).astype(np.int64)
     k = classes + SHAPES
@@ -499,8 +520,9 @@ def _grow(m: ClassModel, learned: DataFrame, blocks: DataFrame) -> tuple[ClassMo
     likelihood could fall: then the classes before the pass stay."""
     k = m.steps.shape[1]
     steps = np.zeros((k + 1) * k)
-    for r in blocks.mapInArrow(lambda b: _step_rows(b, k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
-        steps[r.pair] = r.n
+    with batch_bounds(blocks.sparkSession, BLOCKS):
+        for r in blocks.mapInArrow(lambda b: _step_rows(b, k), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+            steps[r.pair] = r.n
     steps = steps.reshape(k + 1, k)
     if likelihood(steps) <= likelihood(m.steps):
         return m, "core"
@@ -537,6 +559,12 @@ def _score_block(row: dict, column: str, m: ClassModel) -> dict:
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _parts(docs: DataFrame) -> int:
+    """Word parts for a table of this size, by the planner's estimate; 1 where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // PART_BYTES) if size < 1 << 50 else 1
+
+
 def class_lm_scores(docs: DataFrame, held_out, head: int = 2048, classes: int = 48) -> DataFrame:
     """Score every row of docs (doc_id, text), learning from those where held_out is false.
 
@@ -549,22 +577,20 @@ def class_lm_scores(docs: DataFrame, held_out, head: int = 2048, classes: int =
     head words, their pairs, and the class tables.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    n_parts = parallelism(spark)
+    n_parts = max(parallelism(spark), _parts(docs))
     no_id = -(2**63)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(no_id)).alias("id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
     encoded = written(source.mapInArrow(lambda b: _encode(b, n_parts), ENCODED), "encoded")
-    small_batches(spark, 4)  # a row is a block from here on
     parts = encoded.select("block", F.explode("parts").alias("p")).select("p.part", "block", "p.words", "p.counts")
     dealt = parts.repartition(parallelism(spark), "part").sortWithinPartitions("part")
-    merged = written(dealt.mapInArrow(lambda b: _merge_rows(b, head), MERGED), "counts")
+    merged = written(dealt.mapInArrow(lambda b: _merge_rows(b, head), MERGED), "counts", PARTS)
     core = _fit(encoded, merged, head, classes)
     shared = spark.sparkContext.broadcast(core)
     beside = encoded.select("block", "codes", "lengths", "held", "parts").mapInArrow(lambda b: _neighbour_rows(b, shared.value), NEIGHBOURS)
-    learned = written(beside.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(lambda b: _learn_rows(b, shared.value), LEARNED), "classes")
+    learned = written(beside.repartition(parallelism(spark), "part").sortWithinPartitions("part").mapInArrow(lambda b: _learn_rows(b, shared.value), LEARNED), "classes", BLOCKS)
     both = merged.where("kind = 'answer'").select("kind", "block", "part", "payload").unionAll(learned.where("kind = 'class'").select("kind", "block", "part", "payload"))
     answers = both.groupBy("block").agg(F.collect_list(F.struct("kind", "part", "payload")).alias("answers"))
-    blocks = written(encoded.join(answers.hint("shuffle_hash"), "block").mapInArrow(lambda b: _placed_rows(b, shared.value), PLACED), "placed")
+    blocks = written(encoded.join(answers.hint("shuffle_hash"), "block").mapInArrow(lambda b: _placed_rows(b, shared.value), PLACED), "placed", BLOCKS)
     grown, column = _grow(core, learned, blocks)
     model = spark.sparkContext.broadcast(grown)
 
@@ -574,4 +600,4 @@ def class_lm_scores(docs: DataFrame, held_out, head: int = 2048, classes: int =
                 yield pa.RecordBatch.from_pydict(_score_block(row, column, model.value))
 
     out = blocks.mapInArrow(rows, SCORED)
-    return written(out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id"))), "scores")
+    return written(out.withColumn("doc_id", F.when(F.col("doc_id") != no_id, F.col("doc_id"))), "scores", BLOCKS)

@@ -95,7 +95,3 @@ def one_row_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     keyed = docs.select(F.struct("*").alias("row"), id_order().alias("o2"), F.xxhash64("text").alias("h2"))
     joined = keyed.join(wanted, (F.col("o2") == F.col("o")) & (F.col("h2") == F.col("h")))
     return joined.withColumn("once", F.row_number().over(Window.partitionBy("o2", "h2").orderBy(F.lit(1)))).where("once = 1").select("row", *wanted.columns)
-
-
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

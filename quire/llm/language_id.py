@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from quire.llm.common import small_batches
+from quire.llm.common import batches as batch_bounds
+from quire.llm.common import written
 
 BUCKETS_LOG2 = 13
 BUCKETS = 1 << BUCKETS_LOG2
@@ -133,10 +134,10 @@ def fit(train: DataFrame, fit_docs: int = 2400, clusters: int = 4, slack: float
     centroids are fitted on; the radius of a centroid is slack times the distance of
     its furthest sampled text."""
     spark = train.sparkSession
-    small_batches(spark)
     t = train.select(F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).where("lang IS NOT NULL")
     df = t.select("text").mapInArrow(_df_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = {r.bucket: r.n for r in df.collect()}  # BUCKETS + 1 rows
+    with batch_bounds(spark):
+        got = {r.bucket: r.n for r in df.collect()}  # BUCKETS + 1 rows
     total = got.get(-1, 0)
     idf = np.array([np.log((1 + total) / (1 + got.get(i, 0))) + 1 for i in range(BUCKETS)], np.float32)
     sizes = {r.lang: r.n for r in t.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -146,7 +147,8 @@ def fit(train: DataFrame, fit_docs: int = 2400, clusters: int = 4, slack: float
     share = spark.createDataFrame([(k, min(1.0, (1.3 * each + 30) / n)) for k, n in sizes.items()], "lang string, share double")
     bounded = t.join(F.broadcast(share), "lang").where((F.col("h") / F.lit(2.0**64) + 0.5) < F.col("share"))
     ranked = bounded.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("r") <= each)
-    rows = ranked.select("lang", "text").mapInArrow(_vector_rows, "lang string, vector binary").collect()
+    with batch_bounds(spark):
+        rows = ranked.select("lang", "text").mapInArrow(_vector_rows, "lang string, vector binary").collect()
     langs, centroids, radius = [], [], []
     for lang in sorted(sizes):
         own = [_unpack(r.vector) for r in rows if r.lang == lang]
@@ -174,7 +176,6 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     language that sorts first. Whole texts are read; repeated rows give repeated rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,4 +195,5 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": lang, "score": score, "rejected": rejected})
 
     out = T.StructType.fromDDL("doc_id long, lang_pred string, score double, rejected boolean")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, out)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(narrow.mapInArrow(rows, out), "languages")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import written
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -181,7 +181,5 @@ def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
     Equal texts give equal values; repeated rows give repeated rows; an empty table
     gives an empty one; other columns are not carried.
     """
-    small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        lambda batches: _rows(batches, keep_media), OUT + (", media binary" if keep_media else "")
-    )
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(narrow.mapInArrow(lambda batches: _rows(batches, keep_media), OUT + (", media binary" if keep_media else "")), "media")

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_order, one_row_each, parallelism, small_batches, written
+from quire.llm.common import id_order, one_row_each, parallelism, written
 from quire.llm.components import components
 
 RADIUS = 3
@@ -63,7 +63,6 @@ def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), f (the fingerprint's bits as a signed long) of every row."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_rows, "doc_id long, th long, f long")
 

@@ -5,9 +5,11 @@ the rest is filled by weighted sampling without replacement: every document draw
 the exponential key -ln(u) / weight, u from a hash of its id, and documents are taken
 in order of their keys until the words reach the remainder.
 
-The order is never built for a whole source. Keys fall into bins that get the same
-share of documents at any size; word sums of the bins, added up in order, show the
-one bin in which the budget ends, and only the documents of that bin are sorted.
+The order is never built for a whole source. The range of its keys is cut into pieces;
+word sums of the pieces, added up in order, show the one in which the budget ends, and that
+one is cut again, until it holds ``SORTED`` documents at most, which alone are sorted. Where
+all keys of a piece are equal it is cut by a hash of the text, then by row, so neither a
+weight nor repeated rows can crowd one piece.
 """
 
 from __future__ import annotations
@@ -20,8 +22,10 @@ from quire.llm.common import WORD_GAP, id_order, one_row_each, written
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
-#: Documents that a bin of keys holds on average.
-PER_BIN = 2048
+#: Pieces that a range is cut into, and documents of one source that are sorted together.
+PIECES, SORTED = 1024, 256
+#: The order of the documents of a source.
+ORDER = ("key", "tie", "row")
 
 
 def word_count(text: Column) -> Column:
@@ -66,7 +70,8 @@ def mix(docs: DataFrame) -> DataFrame:
 
     taken: words the mix takes of this row, a multiple of size and at most twice it. A null
     or empty text has size 0 and takes 0; a null source is a source, the last one. Keys are
-    hashes, so reruns agree; equal keys (repeated rows) are ordered by id, then size. A
+    hashes, so reruns agree; equal keys (repeated rows) are ordered by a hash of text and id, rows
+    that agree in both by their place in the table, which changes no row of the result. A
     source without words has target 0. An empty table gives an empty one; other columns are
     not carried.
     """
@@ -75,34 +80,61 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def _plan(docs: DataFrame) -> DataFrame:
     """doc_id, th, size, source_size, target, times."""
-    sized = written(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), (-F.ln(uniform(F.col("doc_id"))) / quality_weight(F.col("text"))).alias("key")),
-        "sized",
-    )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows"))
-    plan = source_targets(sizes.select("source", "n")).join(sizes.select(F.col("source").alias("s"), "rows"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    text = F.col("text").cast("string")
+    source = F.col("source").cast("string")
+    sized = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("s"),
+        word_count(text).alias("size"), (-F.ln(uniform(F.col("doc_id"))) / quality_weight(text)).alias("key"), F.xxhash64("text", "doc_id").alias("tie"), F.monotonically_increasing_id().alias("row"),
+    )
+    sized = written(sized, "sized")
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("n"))
+    plan = source_targets(sizes)
     # the sampled part: more than 0 words for sources that aren't taken whole times only
     plan = plan.withColumn("epochs", F.floor(F.when(F.col("n") > 0, F.col("target") / F.col("n")).otherwise(0.0))).withColumn("rest", F.col("target") - F.col("epochs") * F.col("n"))
-    plan = written(plan.withColumn("bins", F.greatest(F.lit(1), F.ceil(F.col("rows") / PER_BIN))), "plan")
-    small = plan.select(F.col("source").alias("s"), F.col("n").alias("source_size"), "target", "epochs", "rest", "bins")
-    # exp(-key) falls from 1 to 0 as keys rise: its bins are about as full at every size
-    binned = sized.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("bins")))
-    by_bin = binned.groupBy("source", "bin").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = by_bin.withColumn("through", F.sum("words").over(upto)).withColumn("before", F.col("through") - F.col("words"))
-    ends = running.where("before < rest AND through >= rest").groupBy("source").agg(F.min("bin").alias("last"), F.min_by("before", "bin").alias("before")).withColumnRenamed("source", "s")
-    marked = binned.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s").withColumn("last", F.when(F.col("rest") > 0, F.coalesce("last", F.lit(2**62))).otherwise(F.lit(-1)))
-    inside = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = marked.where("bin = last").withColumn("sum", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("before"))
+    plan = written(plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), F.col("n").alias("source_size"), "target", "epochs", "rest"), "plan")
+    ends = plan.join(_ends(sized, plan.where("rest > 0")), "s", "left")
+    place = F.struct(*ORDER)
+    extra = F.when(F.col("upto").isNotNull(), place <= F.col("upto")).otherwise(F.coalesce(place < F.col("low"), F.lit(False)))
+    return sized.join(ends, "s").select("doc_id", "th", "size", "source_size", "target", (F.col("epochs") + extra.cast("long")).cast("long").alias("times"))
+
+
+def _ends(sized: DataFrame, plan: DataFrame) -> DataFrame:
+    """Of each source of plan (s, rest): the last place in the order that the rest takes (upto, a struct
+    of ORDER), or, where upto is null, the first place (low) from which on it takes none."""
+    found = sized.select("s", "size", *ORDER).join(plan.select("s", "rest", F.lit(0).cast("long").alias("before")), "s")
+    while True:
+        ranges = written(found.groupBy("s").agg(F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"), *(f(c).alias(f"{x}_{c}") for c in ORDER for x, f in (("lo", F.min), ("hi", F.max)))), "ranges")
+        if (ranges.agg(F.max("n")).first()[0] or 0) <= SORTED:
+            break
+        cut = found.drop("rest", "before").join(ranges, "s").withColumn("piece", _piece())
+        words = cut.groupBy("s", "piece").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+        through = F.col("before") + F.sum("words").over(Window.partitionBy("s").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        ending = words.withColumn("through", through).withColumn("short", F.col("through") < F.col("rest"))
+        # the first piece that reaches the rest; rounding could leave none, then the last
+        last = ending.groupBy("s").agg(F.coalesce(F.min(F.when(~F.col("short"), F.col("piece"))), F.max("piece")).alias("piece"))
+        state = ending.join(last, ["s", "piece"]).select("s", "piece", "rest", (F.col("through") - F.col("words")).alias("before"))
+        found = written(cut.select("s", "size", *ORDER, "piece").join(state, ["s", "piece"]).drop("piece"), "edge")
+    sofar = F.col("before") + F.coalesce(F.sum("size").over(Window.partitionBy("s").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # the document in which the budget ends is taken if that brings the total nearer
-    edge = edge.withColumn("extra", (F.col("sum") + F.col("size") / 2.0 <= F.col("rest")).cast("long")).drop("sum")
-    rest = marked.where("bin <> last").withColumn("extra", (F.col("bin") < F.col("last")).cast("long"))
-    out = rest.unionByName(edge)
-    return out.select("doc_id", "th", "size", "source_size", "target", (F.col("epochs") + F.col("extra")).cast("long").alias("times"))
+    taken = found.withColumn("taken", sofar + F.col("size") / 2.0 <= F.col("rest"))
+    return taken.groupBy("s").agg(F.max(F.when(F.col("taken"), F.struct(*ORDER))).alias("upto"), F.min(F.struct(*ORDER)).alias("low"))
+
+
+def _piece() -> Column:
+    """Number of the piece of a row, by the first of ORDER that differs in its range; never falls as the order rises."""
+    out = F.lit(0)
+    for c in reversed(ORDER):
+        exact = (lambda name: F.col(name)) if c == "key" else (lambda name: F.col(name).cast("decimal(20,0)"))
+        share = (exact(c) - exact(f"lo_{c}")).cast("double") / (exact(f"hi_{c}") - exact(f"lo_{c}")).cast("double")
+        out = F.when(F.col(f"lo_{c}") < F.col(f"hi_{c}"), F.least(F.floor(share * PIECES), F.lit(PIECES - 1)).cast("int")).otherwise(out)
+    return out
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: the rows of docs, with all columns, as often as it takes them."""
+    """The mix itself: the rows of docs, with all columns, as often as it takes them. A text without
+    words, null ones too, is taken as often as its place in the order says; rows that agree in id
+    and text come out as often as they are taken together; an empty table gives an empty one;
+    columns may have any names, as whole rows are carried."""
     times = _plan(docs).groupBy(id_order().alias("o"), F.col("th").alias("h")).agg(F.sum("times").cast("int").alias("times"))
     taken = one_row_each(docs, times.where(F.col("times") > 0))
     return taken.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

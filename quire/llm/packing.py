@@ -63,7 +63,8 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 16_384, max_len
     """One row per piece of every row of docs (doc_id, text) that has a word: doc_id, copy,
     piece, n_pieces, first_word (0-based, in this text), n_words, bucket (its boundary: the padded
     length), padding, batch (numbered inside the bucket), slot (inside the batch), words (of the
-    piece, one blank between them). copy numbers the rows of one doc_id, from 0.
+    piece, one blank between them). copy numbers the rows of one doc_id, from 0; a null id names no
+    document, and copy is a number of its own for each such row.
 
     A batch holds token_budget // bucket pieces, one at least. A null or empty text makes one
     piece of no words, in bucket 0, whose batches hold token_budget pieces. Order inside a
@@ -78,8 +79,10 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 16_384, max_len
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), let(words_of(text), cut).alias("cut"))
     first = F.col("x.piece").cast("long") * max_len
     whole = written(rows.select("row", "doc_id", "th", F.size("cut").alias("n_pieces"), F.explode("cut").alias("x")).select("row", "doc_id", "th", "x.piece", "n_pieces", first.alias("first_word"), F.least(F.col("x.size") - first, F.lit(max_len)).alias("n_words"), "x.words"), "pieces")
-    copy = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("th", "row")) - 1
-    pieces = written(whole.drop("words").withColumn("copy", copy).drop("th"), "copies")
+    narrow = whole.drop("words")
+    copy = (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("th", "row")) - 1).cast("long")
+    named = narrow.where("doc_id IS NOT NULL").withColumn("copy", copy)
+    pieces = written(named.unionByName(narrow.where("doc_id IS NULL").withColumn("copy", F.col("row"))).drop("th"), "copies")
     rows = pieces.groupBy("n_words").agg(F.count("*").alias("n")).orderBy("n_words").collect()
     lengths, counts = np.array([r.n_words for r in rows if r.n_words], np.int64), np.array([r.n for r in rows if r.n_words], np.int64)
     bounds = ([0] if rows and not rows[0].n_words else []) + boundaries(lengths, counts, buckets)
@@ -87,7 +90,7 @@ def pack(docs: DataFrame, buckets: int = 16, token_budget: int = 16_384, max_len
     for b in reversed(bounds):
         bucket = F.when(F.col("n_words") <= b, F.lit(b)).otherwise(bucket)
     salts = max(1, -(-sum(r.n for r in rows) // PER_SALT))
-    h = F.xxhash64("doc_id", "piece")
+    h = F.xxhash64("doc_id", "piece", "copy")
     salted = pieces.withColumn("bucket", bucket.cast("int")).withColumn("salt", F.pmod(h, F.lit(salts)))
     order = Window.partitionBy("bucket", "salt").orderBy(h, "doc_id", "piece", "n_words", "copy")
     before = Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

@@ -88,10 +88,24 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: A key that holds more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 1000
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with classes, which has one row a key and n, the rows of that key (left out of
+    the result); total is the sum of n. Hot keys' classes, HOT_KEYS rows at most, are broadcast, so
+    that the rows of a hot key stay where they are; the others meet by a shuffle."""
+    hot = classes.where(F.col("n") * HOT_KEYS > total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(classes.where(F.col("n") * HOT_KEYS <= total).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def one_row_each(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """row (a whole row of docs, as a struct, so no name clashes) and wanted's columns, once for each
     row of wanted: o (id_order), h (hash of the text), more. Rows of docs that agree in id and text
-    are taken once."""
+    are taken once: each task keeps one of them before they are shuffled (the plan's WindowGroupLimit),
+    so a group of copies, however large, brings one row a task."""
     keyed = docs.select(F.struct("*").alias("row"), id_order().alias("o2"), F.xxhash64("text").alias("h2"))
-    joined = keyed.join(wanted, (F.col("o2") == F.col("o")) & (F.col("h2") == F.col("h")))
-    return joined.withColumn("once", F.row_number().over(Window.partitionBy("o2", "h2").orderBy(F.lit(1)))).where("once = 1").select("row", *wanted.columns)
+    single = keyed.withColumn("once", F.row_number().over(Window.partitionBy("o2", "h2").orderBy(F.lit(1)))).where("once = 1").drop("once")
+    return single.join(wanted, (F.col("o2") == F.col("o")) & (F.col("h2") == F.col("h"))).select("row", *wanted.columns)

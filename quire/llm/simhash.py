@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import id_order, one_row_each, parallelism, written
+from quire.llm.common import id_order, join_classes, one_row_each, parallelism, written
 from quire.llm.components import components
 
 RADIUS = 3
 SHINGLE = 3
 #: Fingerprints in a tile from which on it is dealt again, and side of a sub-tile.
 TILE, SIDE = 4096, 2048
+#: Fingerprints of one tile from which on its task deals them again by a quarter of the bits that differ.
+SPLIT = 16_384
 _BLOCK = 1 << 16
 
 
@@ -91,9 +93,16 @@ def tile_groups(tile: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray
     tile and f are sorted by tile, then population count. Returns (fingerprint,
     the first of its group) for each one that isn't the first.
     """
+    groups = _Groups(len(f))
+    _compare(tile, f, np.arange(len(f)), groups)
+    other = np.flatnonzero(groups.parent != np.arange(len(f)))
+    return f[other], f[groups.parent[other]]
+
+
+def _compare(tile: np.ndarray, f: np.ndarray, place: np.ndarray, groups: _Groups) -> None:
+    """Link the places of near fingerprints of one tile; all sorted by tile, then population count."""
     n = len(f)
     pop = np.bitwise_count(f).astype(np.int16)
-    groups = _Groups(n)
     cuts = np.flatnonzero(tile[1:] != tile[:-1]) + 1
     starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [n])))
     small = sizes <= 128
@@ -104,9 +113,19 @@ def tile_groups(tile: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray
         at = at[at + step < ends[at]]
         at = at[pop[at + step] - pop[at] <= RADIUS]
         near = np.bitwise_count(f[at] ^ f[at + step]) <= RADIUS
-        groups.link(at[near], at[near] + step)
+        groups.link(place[at[near]], place[at[near] + step])
         step += 1
     for start, size in zip(starts[~small].tolist(), sizes[~small].tolist(), strict=True):
+        if size > SPLIT:
+            # of four parts of the bits that differ at all, one agrees in fingerprints within 3 bits
+            own, where = f[start : start + size], place[start : start + size]
+            differ = int(np.bitwise_or.reduce(own ^ own[0]))
+            bits = [k for k in range(64) if differ >> k & 1]
+            for part in range(RADIUS + 1):
+                key = own & np.uint64(sum(1 << k for k in bits[part :: RADIUS + 1]))
+                order = np.lexsort((own, np.bitwise_count(own), key))
+                _compare(key[order], own[order], where[order], groups)
+            continue
         for a in range(start, start + size, SIDE):
             a_end = min(a + SIDE, start + size)
             for b in range(a, start + size, SIDE):
@@ -115,9 +134,7 @@ def tile_groups(tile: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray
                 b_end = min(b + SIDE, start + size)
                 for lo in range(a, a_end, 256):
                     x, y = np.nonzero(np.bitwise_count(f[lo : min(lo + 256, a_end), None] ^ f[None, b:b_end]) <= RADIUS)
-                    groups.link(x + lo, y + b)
-    other = np.flatnonzero(groups.parent != np.arange(n))
-    return f[other], f[groups.parent[other]]
+                    groups.link(place[x + lo], place[y + b])
 
 
 def _tile_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,11 +191,12 @@ def links(distinct: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> DataFrame:
     """doc_id, th, f, component_id (the largest long: no row has an id)."""
     prints = written(fingerprints(docs), "fingerprints")
-    first = written(prints.groupBy("f").agg(F.min(id_order()).alias("first")), "classes")
+    first = written(prints.groupBy("f").agg(F.min(id_order()).alias("first"), F.count("*").alias("n")), "classes")
     roots = components(links(first.select("f")))
     linked = first.join(roots.withColumnRenamed("node", "f"), "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(linked.join(least, "root").select("f", "component_id"), "f")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    return join_classes(prints, linked.join(least, "root").select("f", "component_id", "n"), "f", total)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -197,6 +215,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, but one row of each component: the one with the
-    smallest id (then text hash)."""
+    smallest id (then text hash). Texts without a word, null ones too, are one component; null
+    ids come last; of repeated rows one stays; an empty table gives an empty one; columns may
+    have any names, as whole rows are carried."""
     found = _classes(docs).groupBy("component_id").agg(F.min(F.struct(id_order().alias("o"), F.col("th").alias("h"))).alias("first"))
     return one_row_each(docs, found.select("first.o", "first.h")).select("row.*")

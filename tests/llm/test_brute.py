@@ -282,6 +282,30 @@ def test_large_tiles_are_compared_by_parts(monkeypatch):
     assert root == slow_components(f)
 
 
+def test_tiles_too_large_are_dealt_again(monkeypatch):
+    """Fingerprints that vary in 14 bits only, more of them than a task compares at once."""
+    monkeypatch.setattr(simhash, "SPLIT", 200)
+    rng = np.random.default_rng(2)
+    at = rng.choice(64, 14, replace=False)
+    f = np.array(sorted({sum(1 << int(k) for k, x in zip(at, row, strict=True) if x) for row in rng.random((400, 14)) < 0.3}), np.uint64)
+    f = f[np.lexsort((f, np.bitwise_count(f)))]
+    a, b = simhash.tile_groups(np.zeros(len(f), np.int64), f)
+    place = {int(x): i for i, x in enumerate(f)}
+    root = list(range(len(f)))
+    for x, y in zip(a, b, strict=True):
+        root[place[int(x)]] = place[int(y)]
+    assert len(f) > 200 and root == slow_components(f)
+
+
+def test_hot_fingerprints_meet_their_class(spark, monkeypatch):
+    """A third of all rows have one text, and thousands of texts are alone."""
+    texts = ["one and the same text again"] * 700 + [f"text number {i} of its own kind {i * 7}" for i in range(1400)] + [None, ""] * 5
+    got = {r.doc_id: r for r in simhash.near_duplicates(frame(spark, texts)).collect()}
+    want = slow_components([slow_fingerprint(t or "") for t in texts[:1] + texts[700:]])
+    assert len(got) == len(texts) and all(got[i].component_id == 0 for i in range(700))
+    assert [got[700 + i].component_id for i in range(len(texts) - 700)] == [0 if c == 0 else c + 699 for c in want[1:]]
+
+
 PII = "Write to a.b@c.de, x@y.z_w@q.r, 10.0.0.1, 300.1.1.1, 1.2.3.4.5.6.7.8, 4111 1111 1111 1111, 4111-1111-1111-1112, +1 (555) 555-1234, +12 3, é😀 me@host.org"
 
 
@@ -376,9 +400,59 @@ def test_targets(spark):
         assert all(math.isclose(got[f"s{i:02d}"], x, rel_tol=1e-9) for i, x in enumerate(t))
 
 
+def slow_mix(docs):
+    """docs: (doc_id, text, source). (doc_id, size, source_size, target, taken), sorted."""
+    names = sorted({s for *_, s in docs if s is not None}) + [None] * any(s is None for *_, s in docs)
+    size = [len((t or "").encode().split()) for _, t, _ in docs]
+    n = np.array([sum(z for z, (*_, s) in zip(size, docs, strict=True) if s == x) for x in names], float)
+    targets = filled(n, np.array([(5.0, 2.0, 1.0)[i % 3] for i in range(len(n))]))
+    out = []
+    for x, total, target in zip(names, n, targets, strict=True):
+        epochs = math.floor(target / total + 1e-12) if total else 0
+        rest, order = target - epochs * total, []
+        for (d, t, s), z in zip(docs, size, strict=True):
+            if s == x:
+                t = t or ""
+                u = (int(hashlib.md5(("" if d is None else str(d)).encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                odd = sum(c in "#*$%&|<>!0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in t)
+                order.append((-math.log(u) / max(0.05, 1 - odd / max(len(t), 1)), -1 if d is None else d, z))
+        upto = 0
+        for key, d, z in sorted(order):
+            take = rest > 1e-9 and upto + z / 2 <= rest
+            upto += z
+            out.append((d, z, int(total), round(target, 4), int((epochs + take) * z)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("pieces", "at_once"), [(1024, 256), (3, 1)])
+def test_mixing_against_brute_force(spark, monkeypatch, pieces, at_once):
+    """A whole source of least weight, another of equal texts, null ids, null sources and texts."""
+    monkeypatch.setattr(mixing, "PIECES", pieces)
+    monkeypatch.setattr(mixing, "SORTED", at_once)
+    rng = np.random.default_rng(11)
+    docs = [(i, "WORD " * int(rng.integers(1, 40)), "a") for i in range(150)] + [(1000 + i, "same text here", "b") for i in range(80)]
+    docs += [(None, f"no id {i}", "c") for i in range(30)] + [(2000 + i, None if i % 5 == 0 else "x y " * i, None) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    got = [(-1 if r.doc_id is None else r.doc_id, r["size"], r.source_size, round(r.target, 4), r.taken) for r in mixing.mix(df).collect()]
+    want = slow_mix(docs)
+    assert [x for x in sorted(got) if x[0] >= 0] == [x for x in want if x[0] >= 0]
+    # null ids draw one number: which of them are taken is a tie, how many words is not
+    null = lambda rows: sum(x[4] for x in rows if x[0] < 0)
+    assert abs(null(got) - null(want)) <= 3
+
+
+def test_one_key_for_all_rows_is_cut_again(spark):
+    """5000 equal rows: one key, one tie; the rows themselves are cut."""
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("two words").alias("text"), F.when(F.col("id") < 4000, "a").otherwise("b").alias("source"))
+    for s, rows in itertools.groupby(sorted(mixing.mix(df.withColumn("source", F.col("source"))).collect(), key=lambda r: r.source_size), lambda r: r.source_size):
+        rows = list(rows)
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= 1, s
+
+
 def test_mixing(spark, monkeypatch):
     whole = {r.doc_id: r.taken for r in QUERIES["op9_mixing"](spark, SF).collect()}
-    monkeypatch.setattr(mixing, "PER_BIN", 1)  # many bins: the same documents
+    monkeypatch.setattr(mixing, "SORTED", 1)  # many rounds: the same documents
+    monkeypatch.setattr(mixing, "PIECES", 4)
     got = QUERIES["op9_mixing"](spark, SF).collect()
     assert {r.doc_id: r.taken for r in got} == whole
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -103,16 +103,33 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means; starts from the mean's nearest row, then the furthest rows."""
-    seeds = [int(np.argmax(x @ x.mean(axis=0)))]
-    while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(axis=1))))
-    c = x[seeds]
-    for _ in range(rounds):
-        own = (x @ c.T).argmax(axis=1)
-        c = _unit(np.stack([x[own == i].mean(axis=0) for i in range(len(c)) if (own == i).any()]))
-    return c
+def _clusters(x: np.ndarray, k: int, rounds: int = 12, starts: int = 4, least: float = 0.02) -> np.ndarray:
+    """Spherical k-means, the best of several k-means++ starts; clusters of less than a share of
+    ``least`` of the rows are left out and their rows go to the others."""
+    rng, best, most = np.random.default_rng(5), x[:1], -np.inf
+    for _ in range(starts):
+        c = x[[rng.integers(len(x))]]
+        while len(c) < min(k, len(x)):
+            far = np.maximum(1 - (x @ c.T).max(axis=1), 0)
+            if far.sum() < 1e-6:
+                break
+            c = np.concatenate((c, x[[rng.choice(len(x), p=far / far.sum())]]))
+        for _ in range(rounds):
+            own = np.bincount((x @ c.T).argmax(axis=1), minlength=len(c))
+            c = c[own >= max(1, least * len(x))] if own.max() >= least * len(x) else c
+            own = (x @ c.T).argmax(axis=1)
+            c = _unit(np.stack([x[own == i].mean(axis=0) for i in range(len(c)) if (own == i).any()]))
+        if (total := (x @ c.T).max(axis=1).sum()) > most:
+            best, most = c, total
+    return best
+
+
+def _radius(x: np.ndarray, c: np.ndarray, quantile: float, least: int = 20) -> list[float]:
+    """Of each centroid: the distance that so large a part of the rows nearest to it stay within; of
+    all rows, where it has few."""
+    cos = x @ c.T
+    own, far = cos.argmax(axis=1), 1 - cos.max(axis=1)
+    return [float(np.quantile(far[own == i] if (own == i).sum() >= least else far, quantile)) for i in range(len(c))]
 
 
 @dataclass
@@ -129,10 +146,12 @@ class LanguageModel:
         return best, cos[np.arange(len(best)), best]
 
 
-def fit(train: DataFrame, fit_docs: int = 2400, clusters: int = 4, slack: float = 1.5) -> LanguageModel:
+def fit(train: DataFrame, fit_docs: int = 2400, clusters: int = 4, quantile: float = 0.995) -> LanguageModel:
     """Learn from the text and non-null lang of train. fit_docs bounds the sample the
-    centroids are fitted on; the radius of a centroid is slack times the distance of
-    its furthest sampled text."""
+    centroids are fitted on. A quarter of it is kept out of the clusters and sets the radius
+    of each: the distance that a share of ``quantile`` of these texts stay within. Null and empty
+    texts, null languages and languages without a letter teach nothing; repeated rows count as
+    often as they occur, ties go to the row that sorts first; an empty table learns no language."""
     spark = train.sparkSession
     t = train.select(F.col("lang").alias("lang"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("doc_id").alias("h")).where("lang IS NOT NULL")
     df = t.select("text").mapInArrow(_df_rows, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
@@ -151,19 +170,18 @@ def fit(train: DataFrame, fit_docs: int = 2400, clusters: int = 4, slack: float
         rows = ranked.select("lang", "text").mapInArrow(_vector_rows, "lang string, vector binary").collect()
     langs, centroids, radius = [], [], []
     for lang in sorted(sizes):
-        own = [_unpack(r.vector) for r in rows if r.lang == lang]
+        own = [_unpack(v) for v in sorted(bytes(r.vector) for r in rows if r.lang == lang)]
         x = np.zeros((len(own), BUCKETS), np.float32)
         for i, (at, tf) in enumerate(own):
             x[i, at] = tf * idf[at]
         x = _unit(x[x.any(axis=1)])
         if not len(x):
             continue
-        c = _clusters(x, clusters)
-        cos = x @ c.T
-        best = cos.argmax(axis=1)
+        out = (np.arange(len(x)) % 4 == 3) if len(x) >= 8 else np.zeros(len(x), bool)
+        c = _clusters(x[~out], clusters)
         langs += [lang] * len(c)
         centroids.append(c)
-        radius += [slack * float(1 - cos[best == i, i].min()) if (best == i).any() else 1.0 for i in range(len(c))]
+        radius += _radius(x[out] if out.any() else x, c, quantile)
     return LanguageModel(idf, np.concatenate(centroids) if centroids else np.zeros((0, BUCKETS), np.float32), langs, np.array(radius))
 
 

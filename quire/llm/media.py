@@ -151,35 +151,47 @@ def cosine_hash(image: np.ndarray) -> str:
     return np.packbits(bits).tobytes().hex()
 
 
+STORED = "doc_id long, n_bytes long, media binary"
 OUT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _rows(batches: Iterator[pa.RecordBatch], keep_media: bool) -> Iterator[pa.RecordBatch]:
+def _stored_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        cols: list[list] = [[] for _ in range(8 + keep_media)]
-        for text in batch.column("text").cast(pa.binary()):
-            text = text.as_py() or b""
-            media = encode_png(payload_of(text))
+        texts = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_bytes": pa.array(map(len, texts), pa.int64()), "media": pa.array([encode_png(payload_of(t)) for t in texts], pa.binary())})
+
+
+def _read_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for media in batch.column("media"):
+            media = media.as_py()
             image = decode_png(media)
             back = image.tobytes()
-            row = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image))
-            for c, v in zip(cols[1:], row, strict=False):
-                c.append(v)
-            if keep_media:
-                cols[8].append(media)
-        kinds = [None, pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media"]
-        arrays = [batch.column("doc_id").cast(pa.int64())] + [pa.array(c, k) for c, k in zip(cols[1:], kinds[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
-
-
-def media_columns(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """One row per input row: sizes, digests and hash of the stored image, and with
-    keep_media the image itself in a binary column ``media``.
-
-    Null text: as the empty text, whose payload is 64 zero bytes. Null doc_id: kept.
-    Equal texts give equal values; repeated rows give repeated rows; an empty table
-    gives an empty one; other columns are not carried.
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), cosine_hash(image)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes (of the text) and ``media``, a binary column with the PNG of the text, of every
+    row of docs (doc_id, text), as a written table.
+
+    Null text: as the empty text, whose payload is 64 zero bytes. Null doc_id: kept. Equal
+    texts give equal values; repeated rows give repeated rows; an empty table gives an empty
+    one; other columns are not carried.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return written(narrow.mapInArrow(lambda batches: _rows(batches, keep_media), OUT + (", media binary" if keep_media else "")), "media")
+    return written(narrow.mapInArrow(_stored_rows, STORED), "media")
+
+
+def features(media: DataFrame) -> DataFrame:
+    """Sizes, digests and hash of each image of stored(), from the bytes that are read back. A damaged
+    image ends the job with a ValueError."""
+    return written(media.select("doc_id", "n_bytes", "media").mapInArrow(_read_rows, OUT), "features")
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """features() of the table that stored() makes of docs: one row per input row."""
+    return features(stored(docs))

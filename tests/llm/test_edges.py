@@ -45,7 +45,7 @@ OPERATORS = {
     "simhash": lambda s, d, e: simhash.near_duplicates(d),
     "pii": lambda s, d, e: pii.digest(pii.find(d)),
     "mixing": lambda s, d, e: mixing.mix(d),
-    "media": lambda s, d, e: media.media_columns(d, keep_media=True),
+    "media": lambda s, d, e: media.media_columns(d),
 }
 
 

@@ -3,14 +3,13 @@
 An n-gram is three neighbouring word shapes (runs of capitals, small letters, other letters
 and digits become one sign each; everything else stays), hashed into ``BUCKETS``. Two
 multinomials over the buckets, one of trusted documents and one of the raw corpus, give each
-bucket ln P(bucket | trusted) - ln P(bucket | raw), both smoothed by one count. A document's
-score is the mean over its n-grams, so length doesn't count, and it is kept from
-``threshold`` on.
-
-The raw counts cover every document; the trusted ones come from at most ``trusted_rows``
-labelled documents, chosen by a hash of the id. Counting is one pass with partial
-aggregation into BUCKETS groups, scoring one pass without a shuffle; the ratios, BUCKETS
-numbers, are a literal in the plan.
+bucket ln P(bucket | trusted) - ln P(bucket | raw). Both are smoothed by the same share FLOOR,
+not by a count, so the ratios are alike at every size. A document's score is the mean over its
+n-grams, so length doesn't count, and it is kept from ``threshold`` on.
+
+Both counts cover every document. What is shuffled to mark the trusted ones is the buckets,
+two bytes an n-gram, not the texts; counting aggregates partially into BUCKETS groups, scoring
+is one pass without a shuffle; the ratios, BUCKETS numbers, are a literal in the plan.
 """
 
 from __future__ import annotations
@@ -24,6 +23,8 @@ from quire.llm.common import let, words_of
 
 BUCKETS = 1 << 14
 N = 3
+#: Share of all n-grams that each bucket has at least, in either multinomial.
+FLOOR = 1e-6
 LEAST_WORDS = 50
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\f\r"
@@ -86,20 +87,22 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def fit(docs: DataFrame, trusted: DataFrame, trusted_rows: int = 20_000) -> list[float]:
-    """Ratio of each bucket. docs: doc_id, text (the raw corpus); trusted: doc_id of trusted
-    documents, of which trusted_rows at most are used (null ids aren't)."""
-    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows).withColumn("is_trusted", F.lit(1))
-    flagged = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
-    grams = flagged.select("is_trusted", F.explode(ngram_buckets(F.col("text"))).alias("bucket"))
-    rows = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("is_trusted").alias("good")).collect()  # BUCKETS at most
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+def fit(docs: DataFrame, trusted: DataFrame) -> list[float]:
+    """Ratio of each bucket. docs: doc_id, text (the raw corpus, all of it counted); trusted: doc_id
+    of trusted documents. Ids that are trusted twice count once, null ids are not trusted, rows
+    that have one id are trusted together. With no trusted n-gram all ratios are 0."""
+    ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
+    grams = docs.select("doc_id", ngram_buckets(F.col("text")).cast("array<short>").alias("buckets")).where(F.size("buckets") > 0)
+    # rows without an id don't meet: they would all go to one task
+    marked = grams.where("doc_id IS NOT NULL").join(ids, "doc_id", "left").select("good", "buckets").unionByName(grams.where("doc_id IS NULL").select(F.lit(None).cast("int").alias("good"), "buckets"))
+    each = marked.select("good", F.explode("buckets").alias("bucket"))
+    rows = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS at most
+    raw_n, good_n = sum(r.raw for r in rows), sum(r.good for r in rows)
+    out = [0.0] * BUCKETS
     for r in rows:
-        raw[r.bucket] += r.raw
-        good[r.bucket] += r.good
-    shift = math.log(sum(raw)) - math.log(sum(good))
-    return [math.log(g) - math.log(r) + shift for g, r in zip(good, raw, strict=True)]
+        if good_n:
+            out[r.bucket] = math.log(r.good / good_n + FLOOR) - math.log(r.raw / raw_n + FLOOR)
+    return out
 
 
 def llr_score(text: Column, ratios: list[float]) -> Column:
@@ -125,7 +128,9 @@ def judge(docs: DataFrame, ratios: list[float], threshold: float = -1.0) -> Data
 
 
 def keep(docs: DataFrame, ratios: list[float], threshold: float = -1.0) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns; one pass, no shuffle."""
+    """The rows of docs that judge() keeps, with all their columns, in one pass without a shuffle. Null,
+    empty and short texts go; repeated rows stay or go together; null ids are kept like others;
+    an empty table gives an empty one; columns may have any names, as only text is read."""
     text = F.col("text")
     counts = base_counts(text)
     n = counts["n_words"]

@@ -4,17 +4,19 @@ Base entities (e-mail, IP address, card, phone) are matched by regular expressio
 cannot backtrack over a run twice, so a text is read in linear time. They and labelled
 secrets are the seeds of the bootstrap:
 
-1. A mention is a run of identifier characters with a digit in it. Its lexical patterns are
-   the two words before it, the word after it, and its shape.
+1. A mention is a run of identifier characters that has a digit in it or follows a colon or an
+   equals sign. Its lexical patterns are the two words before it, the word after it, and its shape.
 2. The pattern-instance graph holds each (pattern, token) pair once, with its count. In each
    round a pattern scores the mean of its instances' scores, damped by ``doubt`` imaginary
    instances of score 0, and a token that is no seed gets the noisy-or of its patterns that
-   score at least ``least_pattern``, if its shape and one of its contexts are among them.
+   score at least ``least_pattern``, if there are two of different kinds among them, or two
+   different contexts: a token of a shape that no seed has is found by its contexts alone.
 3. Mentions outside the base spans whose token reaches ``least_token`` become spans of kind
    ``id``; patterns that only they support discover further ones in the next round.
 
 Documents stay rows from first to last: only mentions are exploded, and spans come back as
-one array a document.
+one array a document. Joins on a pattern or a token are salted, so that a frequent one is dealt
+over several tasks.
 """
 
 from __future__ import annotations
@@ -37,7 +39,12 @@ HINTS = {"email": lambda t: t.contains("@"), "ip": lambda t: t.rlike(r"[0-9]\.[0
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Labels that introduce a secret: seeds of the bootstrap beside the base entities.
 SECRET_LABEL = r"(?i)(?:^|[^a-z])(?:token|secret|password|passwd|api[_-]?key)['\x22]?\x20?[=:]$"
-MENTION = r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+@:/-]*+[0-9][A-Za-z0-9._%+@:/-]*+"
+MENTION = r"(?<![A-Za-z0-9._%+@:/-])[A-Za-z._%+@:/-]*+[0-9][A-Za-z0-9._%+@:/-]*+|(?<=[:=]\x20?['\x22]?)(?<![A-Za-z0-9._%+@/-])[A-Za-z][A-Za-z0-9._%+@/-]*+"
+_SPACE, _WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+#: From the end of a text before a mention, reversed: quotes and white space, then the word or two before it.
+LEFT = rf"^(?:{_SPACE}|[\x22'`])*+({_WORD}++(?:{_SPACE}++{_WORD}++)?)"
+RIGHT = rf"^{_SPACE}*+({_WORD}++)"
+SALTS = 16
 CHUNK = 256
 
 
@@ -120,19 +127,25 @@ def _shape(token: Column) -> Column:
 
 
 def _mentions(text: Column) -> Column:
-    """array<struct<s, e, token, left, right>>; contexts are at most two words of 80 characters before
-    and one of 40 after, lower-cased."""
-    spaced = lambda t: F.trim(F.lower(F.regexp_replace(t, WORD_GAP, " ")))
-    tail = lambda t: F.substring_index(F.rtrim(spaced(F.right(t, F.lit(80))), F.lit("\"'` ")), " ", -2)
-    head = lambda t: F.substring_index(spaced(F.left(t, F.lit(40))), " ", 1)
+    """array<struct<s, e, token, left, right>>; contexts are the two words before, the word after,
+    lower-cased and whole, however long, with one blank between them."""
+    left = lambda t: F.lower(F.regexp_replace(F.reverse(F.regexp_extract(F.reverse(t), LEFT, 1)), WORD_GAP, " "))
+    right = lambda t: F.lower(F.regexp_extract(t, RIGHT, 1))
 
     def one(cut: Column, x: Column, i: Column) -> Column:
         token = F.rtrim(x["m"], F.lit(".:-/%"))
-        return F.struct(x["s"].alias("s"), (x["s"] + F.length(token)).alias("e"), F.lower(token).alias("token"), tail(x["gap"]).alias("left"), head(F.coalesce(F.get(cut, i + 1)["gap"], F.lit(""))).alias("right"))
+        return F.struct(x["s"].alias("s"), (x["s"] + F.length(token)).alias("e"), F.lower(token).alias("token"), left(x["gap"]).alias("left"), right(F.coalesce(F.get(cut, i + 1)["gap"], F.lit(""))).alias("right"))
 
-    found = let(_cut(text, MENTION), lambda cut: F.transform(cut, lambda x, i: one(cut, x, i)))
-    every = F.filter(found, lambda x: x["token"].isNotNull())
-    return F.when(text.rlike("[0-9]"), every).otherwise(F.expr("CAST(array() AS array<struct<s:int,e:int,token:string,left:string,right:string>>)"))
+    found = let(_cut(text, MENTION), lambda cut: F.transform(F.filter(F.transform(cut, lambda x, i: F.when(x["m"].isNotNull(), one(cut, x, i))), lambda x: x.isNotNull()), lambda x: x))
+    return F.when(text.rlike("[0-9:=]"), found).otherwise(F.expr("CAST(array() AS array<struct<s:int,e:int,token:string,left:string,right:string>>)"))
+
+
+def _salted(many: DataFrame, few: DataFrame, key: str, by: list[str], how: str) -> DataFrame:
+    """many joined with few, which has one row a key, on key: each row of few is there SALTS times, and
+    the rows of many that share a key part by a hash of the columns by."""
+    salted = many.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [key, "salt"], how).drop("salt")
 
 
 def discovered(narrow: DataFrame, rounds: int = 3, least_pattern: float = 0.6, least_token: float = 0.75, doubt: float = 2.0) -> DataFrame:
@@ -150,13 +163,14 @@ def discovered(narrow: DataFrame, rounds: int = 3, least_pattern: float = 0.6, l
     score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("score", F.lit(0.0)))
     tokens = None
     for _ in range(rounds):
-        scored = graph.withColumn("score", F.lit(None).cast("double")) if tokens is None else graph.join(tokens, "token", "left")
+        scored = graph.withColumn("score", F.lit(None).cast("double")) if tokens is None else _salted(graph, tokens, "token", ["pattern"], "left")
         rated = scored.groupBy("pattern").agg((F.sum(score) / (F.count("*") + doubt)).alias("p")).where(F.col("p") >= least_pattern)
-        by_token = graph.join(rated, "pattern").groupBy("token").agg(F.sum(F.ln(1 - F.least("p", F.lit(0.999)))).alias("l"), F.count_distinct(F.col("pattern").startswith("S ")).alias("kinds"))
-        # a shape alone, or a context alone, is no evidence
-        tokens = written(by_token.where("kinds = 2").select("token", (1 - F.exp("l")).alias("score")), "tokens")
+        shape = F.col("pattern").startswith("S ")
+        by_token = _salted(graph, rated, "pattern", ["token"], "inner").groupBy("token").agg(F.sum(F.ln(1 - F.least("p", F.lit(0.999)))).alias("l"), F.max(shape).alias("shape"), F.count_if(~shape).alias("contexts"))
+        # a shape alone, or one context alone, is no evidence
+        tokens = written(by_token.where("contexts > 1 OR shape AND contexts > 0").select("token", (1 - F.exp("l")).alias("score")), "tokens")
     good = tokens.where(F.col("score") >= least_token).select("token")
-    new = m.where(~F.col("in_base")).join(good, "token", "left_semi").unionByName(m.where("seed AND NOT in_base")).select("doc_id", "th", F.struct("s", "e", F.lit("id").alias("kind")).alias("x"))
+    new = _salted(m.where(~F.col("in_base")), good, "token", ["doc_id", "th", "s"], "left_semi").unionByName(m.where("seed AND NOT in_base")).select("doc_id", "th", F.struct("s", "e", F.lit("id").alias("kind")).alias("x"))
     return new.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("x")).alias("more"))
 
 
@@ -190,7 +204,9 @@ def find(docs: DataFrame, **options) -> DataFrame:
 
 def redacted(docs: DataFrame, **options) -> DataFrame:
     """docs with every span of find() replaced by its kind in brackets, all columns kept; where
-    there is a column n_chars it becomes the new length. A null text stays null."""
+    there is a column n_chars it becomes the new length. A null text stays null, an empty one
+    empty; spans that overlap are replaced together, by the kind that starts first; null ids and
+    repeated rows are rows like any other; an empty table gives an empty one."""
     more = discovered(_narrow(docs), **options)
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_th"))
     rows = _with_more(keyed, more)

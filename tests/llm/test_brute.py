@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -214,7 +215,8 @@ def test_quality_counts_and_score(spark, texts):
     raw = collections.Counter(b for bs in grams.values() for b in bs)
     good = collections.Counter(b for d, bs in grams.items() if d % 2 == 0 for b in bs)
     b = quality_rules.BUCKETS
-    want = lambda i: math.log((good[i] + 1) / (sum(good.values()) + b)) - math.log((raw[i] + 1) / (sum(raw.values()) + b))
+    floor = quality_rules.FLOOR
+    want = lambda i: math.log(good[i] / sum(good.values()) + floor) - math.log(raw[i] / sum(raw.values()) + floor)
     assert all(math.isclose(ratios[i], want(i), abs_tol=1e-9) for i in range(b))
 
 
@@ -341,6 +343,71 @@ def test_bootstrap_finds_new_identifiers(spark):
     assert all("id:" in got[i] for i in range(21)) and not got[21] and not got[22]
 
 
+def slow_discovered(texts, rounds=3, least_pattern=0.6, least_token=0.75, doubt=2.0):
+    """The bootstrap in plain Python: of each text, the spans beyond the base."""
+    space = "\x20\x09-\x0D"
+    ident = "A-Za-z0-9._%+@/-"
+    mention = regex.compile(rf"(?<![{ident}:])[A-Za-z._%+@:/-]*+[0-9][{ident}:]*+|(?<=[:=]\x20?['\"]?)(?<![{ident}])[A-Za-z][{ident}]*+")
+    found = []
+    for d, t in enumerate(texts):
+        base, hits = slow_spans(t), list(mention.finditer(t))
+        for i, m in enumerate(hits):
+            token = m.group().rstrip(".:-/%")
+            s, e = m.start(), m.start() + len(token)
+            before = t[hits[i - 1].end() if i else 0 : s].rstrip(" \t\n\x0b\f\r\"'`")
+            after = t[m.end() : hits[i + 1].start() if i + 1 < len(hits) else len(t)]
+            words = lambda x: re.findall(f"[^{space}]+", x)
+            left, right = " ".join(words(before)[-2:]).lower(), (words(after) or [""])[0].lower()
+            token = token.lower()
+            hexa = re.fullmatch("[0-9a-f]*[a-f][0-9a-f]*", token) and len(token) >= 16
+            shape = f"x{len(token)}" if hexa else re.sub("[a-z]+", "a", re.sub("[0-9]", "9", token))
+            in_base = any(b < e and s < f for b, _, f, _ in base)
+            secret = re.search(r"(?i)(?:^|[^a-z])(?:token|secret|password|passwd|api[_-]?key)['\"]? ?[=:]$", left) and len(token) >= 16
+            found.append((d, s, e, token, {p for p in (f"L {left}", f"R {right}", f"S {shape}") if len(p) > 2}, in_base, bool(in_base or secret)))
+    graph, seeds = collections.defaultdict(set), collections.defaultdict(set)
+    for *_, token, patterns, _, seed in found:
+        for p in patterns:
+            graph[p].add(token)
+            seeds[p, token] = seeds[p, token] or seed
+    score = {}
+    for _ in range(rounds):
+        rated = {p: sum(1.0 if seeds[p, t] else score.get(t, 0.0) for t in ts) / (len(ts) + doubt) for p, ts in graph.items()}
+        rated = {p: x for p, x in rated.items() if x >= least_pattern}
+        of = collections.defaultdict(list)
+        for p in rated:
+            for t in graph[p]:
+                of[t].append(p)
+        shaped = lambda ps: sum(p[0] == "S" for p in ps)
+        score = {t: 1 - math.prod(1 - min(rated[p], 0.999) for p in ps) for t, ps in of.items() if len(ps) - shaped(ps) > 1 or shaped(ps) and len(ps) > shaped(ps)}
+    out = collections.defaultdict(set)
+    for d, s, e, token, _, in_base, seed in found:
+        if not in_base and (seed or score.get(token, 0) >= least_token):
+            out[d].add(f"id:{s}:{e}")
+    return out
+
+
+def test_discovery_equals_brute_force(spark, texts):
+    rng = np.random.default_rng(9)
+    hexa = lambda: "".join(rng.choice(list("0123456789abcdef"), 38)) + "a1"
+    more = [f'my words here token = "{hexa()}" end of it' for _ in range(12)] + [f'some  key: "{hexa()}" end of it, user: Bob, x=1' for _ in range(9)]
+    more += [f"write to u{i}@h.org about it, badge QX-{i:03d} about it" for i in range(9)] + ["x" * 3000 + f" 12.5.{i}.7 is here" for i in range(4)]
+    all_ = [*texts.values(), *more]
+    want = slow_discovered(all_)
+    for r in pii.digest(pii.find(frame(spark, all_))).collect():
+        assert {x for x in r.spans.split(",") if x.startswith("id:")} == want[r.doc_id], all_[r.doc_id][:300]
+    assert sum(map(len, want.values())) >= 12
+
+
+def test_contexts_alone_find_an_unseen_shape(spark):
+    """Staff names and badges stand where addresses do; shapes and words that no seed has."""
+    seeds = [f"please write to user{i}@example.org before noon today" for i in range(12)] + [f"the owner is: user{i}@example.org as agreed" for i in range(12)]
+    unseen = ["please write to QX-77-b before noon today", "the owner is: hunter as agreed"]
+    clean = ["the year 1999 was fine", "note: this is fine", "room 12 before 3 today"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(frame(spark, seeds + unseen + clean))).collect()}
+    assert "id:16:23" in got[24] and "id:14:20" in got[25]
+    assert not any("id:" in got[i] for i in (26, 27, 28))
+
+
 def test_redaction(spark):
     row = pii.redacted(frame(spark, [PII])).first()
     assert "[EMAIL]" in row.text and "[IP]" in row.text and "10.0.0.1" not in row.text and "300.1.1.1" in row.text

@@ -68,9 +68,82 @@ def test_machine_learns_a_pair():
     assert np.mean([(m.logit(d) > 0) == t for d, t in zip(fresh, truth, strict=True)]) > 0.95
 
 
-def test_toxicity_shape(spark):
+def slow_terms(text):
+    words = set(re.findall(r"\w+", text.lower()))
+    terms = {zlib.crc32(w.encode()) for w in words}
+    for n in (4, 6):
+        for p in {w[:n] for w in words if len(w) > n}:
+            times = sum(w[:n] == p and len(w) > n for w in words)
+            stem = zlib.crc32(p.encode(), 7)
+            terms |= {stem} | ({stem ^ 0x5BD1E995} if times == 2 else {stem ^ 0x1B873593} if times > 2 else set())
+    return terms
+
+
+def test_toxicity_query(spark, texts, monkeypatch):
+    """Every score, from the machine's definition: intercept, weights and all pairs of known terms."""
+    model, fit = {}, toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *a: model.setdefault("m", fit(*a)))
     got = rows(spark, "op2_toxicity")
-    assert len(got) == 200 and all(r.predicted == (r.score >= 0.5) for r in got.values())
+    m = model["m"]
+    place = {int(k): i for i, k in enumerate(m.keys)}
+    assert len(got) == len(texts) and len(place) == len(m.keys) > 100
+    for d, t in texts.items():
+        at = sorted(place[x] for x in slow_terms(t) if x in place)
+        z = m.w0 + sum(m.w[i] for i in at) + sum(float(m.v[i] @ m.v[j]) for i, j in itertools.combinations(at, 2))
+        assert math.isclose(got[d].score, 1 / (1 + math.exp(-min(30, max(-30, z)))), abs_tol=1e-9)
+        assert got[d].predicted == (got[d].score >= 0.5) and got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
+
+
+def test_best_terms_equal_those_of_texts_in_memory(spark, texts):
+    docs = [toxicity.term_hashes(t) for t in texts.values()]
+    y = np.array([i % 3 == 0 for i in range(len(docs))], float)
+    df = spark.createDataFrame([(int(a), d.astype("<u4").tobytes()) for a, d in zip(y, docs, strict=True)], "y int, terms binary")
+    assert (toxicity.best_terms(df, 300) == toxicity._chi_square(docs, y, 300)).all()
+
+
+def slow_grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    seq = [ord(c) for c in f" {' '.join(letters.split(' '))} "]
+    seq = [c for i, c in enumerate(seq) if not i or c != 32 or seq[i - 1] != 32]
+    m = 0xFFFFFFFF
+    counts = collections.Counter()
+    for i in range(len(seq)):
+        h = 0
+        for n, j in enumerate(range(i, min(i + 3, len(seq)))):
+            one = seq[j] * 0x9E3779B1 & m
+            h = one if not n else ((h ^ h >> (15 if n == 1 else 13)) * (0x85EBCA77 if n == 1 else 0xC2B2AE3D) + one) & m
+            counts[((h ^ h >> 16) * 0x27D4EB2F & m) >> (32 - language_id.BUCKETS_LOG2)] += i + n > 0  # the first blank is no gram
+    return counts
+
+
+def test_language_query_against_all_centroids(spark, texts, monkeypatch):
+    model, fit = {}, language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda *a: model.setdefault("m", fit(*a)))
+    got = rows(spark, "op1_language_id")
+    m = model["m"]
+    for d, t in texts.items():
+        v = {k: math.log1p(c) * float(m.idf[k]) for k, c in slow_grams(t).items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[k]) for k, x in v.items()) / norm for c in m.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert any(c.isalpha() for c in t) and math.isclose(got[d].score, min(1.0, max(0.0, cos[best])), abs_tol=1e-4)
+        near = {m.langs[i] for i, x in enumerate(cos) if x > cos[best] - 1e-5}
+        assert got[d].lang_pred in near
+        if len(near) == 1 and abs(1 - cos[best] - m.radius[best]) > 1e-4:
+            assert got[d].rejected == (1 - cos[best] > m.radius[best])
+
+
+def test_unlearned_language_is_rejected(spark):
+    """Four learned languages of made words, and a fifth of other letters."""
+    rng = np.random.default_rng(4)
+    made = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(60))
+    alphabets = {"a": "abcdef", "b": "ghijkl", "c": "mnopqr", "d": "stuvwx"}
+    train = spark.createDataFrame([(i, made(x), k) for k, x in alphabets.items() for i in range(120)], "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    fresh = [(i, made(alphabets[k]), k) for i, k in enumerate("abcd" * 20)] + [(1000 + i, made("yzåäö"), "e") for i in range(40)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(fresh, "doc_id long, text string, lang string"), model).collect()}
+    assert all(got[d].lang_pred == k for d, _, k in fresh if d < 1000)
+    assert sum(got[d].rejected for d, *_ in fresh if d < 1000) <= 8 and all(got[d].rejected for d, *_ in fresh if d >= 1000)
 
 
 def test_language_model(spark, texts):
@@ -220,6 +293,41 @@ def test_quality_counts_and_score(spark, texts):
     assert all(math.isclose(ratios[i], want(i), abs_tol=1e-9) for i in range(b))
 
 
+def slow_ratio_buckets(text):
+    """Buckets of the n-grams of word shapes; the hash is XXH64, one word seeding the next."""
+    t = text
+    for pattern, sign in ((r"\p{Lu}+", "A"), (r"\p{Ll}+", "a"), (r"[\p{L}--[Aa]]+", "o"), (r"[0-9]+", "9")):
+        t = regex.sub(pattern, sign, t, flags=regex.V1)
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    out = []
+    for i in range(max(1, len(w) - 2) if w else 0):
+        h = 42
+        for x in w[i : i + 3]:
+            h = xxhash.xxh64_intdigest(x.encode(), h)
+        out.append((h - (h >> 63 << 64)) % quality_rules.BUCKETS)
+    return out
+
+
+def slow_quality(texts, trusted):
+    """Of each text (by id): whether it is kept."""
+    grams = {d: slow_ratio_buckets(t) for d, t in texts.items()}
+    raw, good = collections.Counter(itertools.chain(*grams.values())), collections.Counter(itertools.chain(*(g for d, g in grams.items() if d in trusted)))
+    ratio = {b: math.log(good[b] / sum(good.values()) + 1e-6) - math.log(n / sum(raw.values()) + 1e-6) if good else 0.0 for b, n in raw.items()}
+    out = {}
+    for d, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        inside = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        llr = sum(ratio[b] for b in grams[d]) / len(grams[d]) if grams[d] else 0.0
+        out[d] = len(w) >= 50 and 100 * len(inside) <= 50 * len(w) and llr >= -1.0
+    return out
+
+
+def test_quality_query(spark, texts):
+    trusted = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1").collect()}
+    assert {d: r.kept for d, r in rows(spark, "op5_quality_rules").items()} == slow_quality(texts, trusted)
+
+
 def test_quality_keeps_good_and_rejects_junk(spark):
     got = rows(spark, "op5_quality_rules")
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -561,6 +669,50 @@ def test_png():
             media.decode_png(bytes(broken))
 
 
+def slow_png(data):
+    """Samples of an 8-bit greyscale PNG, filter by filter as the format defines them."""
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, packed = 8, b""
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(kind + body)
+        if kind == b"IHDR":
+            width, height = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+            assert body[8:] == bytes([8, 0, 0, 0, 0])
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, out = zlib.decompress(packed), []
+    assert len(raw) == height * (width + 1)
+    for y in range(height):
+        kind, line, up, row = raw[y * (width + 1)], raw[y * (width + 1) + 1 : (y + 1) * (width + 1)], out[-1] if out else [0] * width, []
+        assert kind in (0, 1, 2)
+        for x, v in enumerate(line):
+            row.append((v + (0, row[x - 1] if x else 0, up[x])[kind]) % 256)
+        out.append(row)
+    return out
+
+
+def test_media_feature(spark, texts):
+    """The stored image and its hash, from the definitions of the format and of the cosine transform."""
+    some = dict(list(texts.items())[:12]) | {-1: "", -2: "short", -3: max(texts.values(), key=len)}
+    docs = spark.createDataFrame(list(some.items()), "doc_id long, text string")
+    held = {r.doc_id: r for r in media.stored(docs).collect()}
+    for r in media.media_columns(docs).collect():
+        data, payload = bytes(held[r.doc_id].media), media.payload_of(some[r.doc_id].encode())
+        image = slow_png(data)
+        assert bytes(itertools.chain(*image)) == payload and r.media_bytes == len(data) and r.media_sha256 == hashlib.sha256(data).hexdigest()
+        n = len(image)
+        bands = [image[i * n // 32 : (i + 1) * n // 32] if n >= 32 else [image[i * n // 32]] for i in range(32)]
+        small = [[sum(line[2 * x] + line[2 * x + 1] for line in b) / (2 * len(b)) for x in range(32)] for b in bands]
+        wave = [[math.cos(math.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+        half = [[sum(wave[k][y] * small[y][x] for y in range(32)) for x in range(32)] for k in range(8)]
+        low = [sum(half[k][x] * wave[j][x] for x in range(32)) for k in range(8) for j in range(8)]
+        middle = sorted(low[1:])[31]
+        bits = f"{int(r.feature, 16):064b}"
+        assert all((b == "1") == (v > middle) for b, v in zip(bits, low, strict=True) if abs(v - middle) > 1e-5)
+
+
 def test_media_query(spark, texts):
     for d, r in rows(spark, "op10_media_columns").items():
         p = media.payload_of(texts[d].encode())

@@ -48,6 +48,11 @@ def term_hashes(text: str) -> np.ndarray:
     return np.sort(np.fromiter(terms, np.uint32, len(terms)))
 
 
+def _places(terms: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places in keys of the terms that are there; both sorted, without repeats."""
+    return np.searchsorted(keys, np.intersect1d(terms, keys, assume_unique=True))
+
+
 @dataclass
 class FactorizationMachine:
     keys: np.ndarray  # sorted hashed terms
@@ -57,9 +62,7 @@ class FactorizationMachine:
 
     def known(self, terms: np.ndarray) -> np.ndarray:
         """Positions in keys of the terms that are there."""
-        at = np.searchsorted(self.keys, terms)
-        at = at[at < len(self.keys)] if len(self.keys) else at[:0]
-        return at[np.isin(self.keys[at], terms, assume_unique=True)]
+        return _places(terms, self.keys)
 
     def logit(self, terms: np.ndarray) -> float:
         return self.value(self.known(terms))
@@ -121,7 +124,7 @@ def fit_machine(docs: list[np.ndarray], y: np.ndarray, terms: int = TERMS, **opt
     """A machine for sets of hashed terms in memory; every seventh row only sets the intercept."""
     out = np.arange(len(y)) % 7 == 3
     keys = _chi_square([d for d, x in zip(docs, out, strict=True) if not x], y[~out], terms)
-    return train(keys, [np.searchsorted(keys, np.intersect1d(d, keys)) for d in docs], y, out, **options)
+    return train(keys, [_places(d, keys) for d in docs], y, out, **options)
 
 
 def train(keys: np.ndarray, rows: list[np.ndarray], y: np.ndarray, out: np.ndarray, rank: int = 8, epochs: int = 12, rate: float = 0.1, decay: float = 2e-4, seed: int = 7) -> FactorizationMachine:
@@ -167,7 +170,7 @@ def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _known_rows(batches: Iterator[pa.RecordBatch], keys: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        at = [np.searchsorted(keys, np.intersect1d(np.frombuffer(t, "<u4"), keys)).astype("<u4").tobytes() for t in batch.column("terms").to_pylist()]
+        at = [_places(np.frombuffer(t, "<u4"), keys).astype("<u4").tobytes() for t in batch.column("terms").to_pylist()]
         yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "kept_out": batch.column("kept_out"), "at": pa.array(at, pa.binary())})
 
 

@@ -153,11 +153,20 @@ def _taken(pool: list[str], enough: int, limit: int) -> tuple[list[str], int]:
     return out, total
 
 
+#: Texts over LONG characters are cut to at most MOST of their length; what fills up to the least
+#: share stops at FILLED, what repairs a short text at REPAIRED.
+LONG, MOST, FILLED, REPAIRED = 400, 0.92, 0.85, 0.88
+
+
 def compress(raw: str, target: float = 0.70, least: float = 0.60) -> str:
-    """The best sentences, in their order, up to the target share of the text and at least the least."""
+    """The best sentences, in the order of their first occurrence, up to the target share of the text and at
+    least the least."""
     if not raw or not raw.strip():
         return ""
-    unique = list({" ".join(s.lower().split())[:200]: s for s in reversed(sentences(raw))}.values())[::-1]
+    first: dict[str, str] = {}
+    for s in sentences(raw):
+        first.setdefault(" ".join(s.lower().split())[:200], s)
+    unique = list(first.values())
     if not unique:
         return raw.strip()
     limit, enough = int(len(raw) * target), int(len(raw) * least)
@@ -166,7 +175,7 @@ def compress(raw: str, target: float = 0.70, least: float = 0.60) -> str:
     for s in ranked if total < enough else []:
         if s in kept:
             continue
-        if kept and total + len(s) > int(len(raw) * 0.85):
+        if kept and total + len(s) > int(len(raw) * FILLED):
             break
         kept.append(s)
         total += len(s) + 1
@@ -174,9 +183,9 @@ def compress(raw: str, target: float = 0.70, least: float = 0.60) -> str:
             break
     chosen = set(kept)
     result = "\n".join(s for s in unique if s in chosen).strip() or raw.strip()
-    if len(raw) > 400 and len(result) > 0.92 * len(raw):
+    if len(raw) > LONG and len(result) > MOST * len(raw):
         result = "\n".join(_taken(unique, enough, limit)[0]).strip() or result
-        if len(result) > 0.92 * len(raw):
+        if len(result) > MOST * len(raw):
             result = _closed(_budgeted(result.split(), max(limit, enough)))
     return result
 
@@ -204,7 +213,7 @@ def corrected(text: str, raw: str, least: int = 100) -> str:
         ends = [m.end() for m in re.finditer(r"[.!?]\s", text)]
         text = text[: ends[-1]].strip() if ends else text + "."
     if len(text) < least <= len(raw):
-        held, budget = sentences(text, 0), int(len(raw) * 0.88) if len(raw) > 400 else len(raw)
+        held, budget = sentences(text, 0), int(len(raw) * REPAIRED) if len(raw) > LONG else len(raw)
         for s in sentences(raw, 0):
             if _known(s, held):
                 continue
@@ -223,7 +232,7 @@ def corrected(text: str, raw: str, least: int = 100) -> str:
 
 def compressed_text(raw: str, target: float = 0.70, least: float = 0.60) -> str:
     text = compress(raw, target, least)
-    if len(raw) > 400 and len(text) > 0.92 * len(raw):
+    if len(raw) > LONG and len(text) > MOST * len(raw):
         text = compress(raw, max(0.60, least), least)
     return corrected(text, raw)
 

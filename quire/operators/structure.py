@@ -210,8 +210,8 @@ def overlap(a: str, b: str) -> float:
 
 
 class _Cutter:
-    def __init__(self, lines: pd.DataFrame, max_chars: int) -> None:
-        self.flag, self.structural = lines.boundary.tolist(), lines.structural.tolist()
+    def __init__(self, lines: pd.DataFrame, max_chars: int, whole: bool) -> None:
+        self.flag, self.structural, self.whole = lines.boundary.tolist(), lines.structural.tolist(), whole
         self.title, self.text, self.max = lines.as_title.tolist(), lines.cleaned.tolist(), max_chars
 
     def raw(self, a: int, b: int) -> str:
@@ -224,7 +224,8 @@ class _Cutter:
         return next((self.title[i] for i in range(a, b) if self.structural[i]), fallback[:80])
 
     def cut(self, title: str, a: int, b: int) -> list[tuple[str, str, int, int]]:
-        """Ranges that are small enough and hold one concept; a single line is cut off at max."""
+        """Ranges that are small enough and hold one concept; a single line is cut into pieces of max, or,
+        if not whole, cut off there."""
         raw = self.raw(a, b)
         if len(raw) <= self.max and concepts(raw) <= 1:
             return [(title, raw, a, b)] if len(raw) >= 20 else []
@@ -232,7 +233,7 @@ class _Cutter:
         if len(edges) == 2:
             middle = a + (b - a) // 2
             if not a < middle < b:
-                return [(title, raw[: self.max], a, b)] if raw else []
+                return [(title, raw[i : i + self.max], a, b) for i in range(0, len(raw) if self.whole else min(len(raw), 1), self.max)]
             edges = [a, middle, b]
         parts = zip(edges[:-1], edges[1:], strict=True)
         return [chunk for s, e in parts for chunk in self.cut(self.name(s, e, title), s, e)]
@@ -268,15 +269,16 @@ def merged_neighbours(chunks: list[tuple], structural, threshold: float) -> list
 CHUNK = "doc_id string, line_idx long, chunk int, title string, raw_content string, start long, end long"
 
 
-def semantic_chunks(lines: DataFrame, spans: DataFrame, max_chars: int = 6000, threshold: float = 0.15) -> DataFrame:
+def semantic_chunks(lines: DataFrame, spans: DataFrame, max_chars: int = 6000, threshold: float = 0.15, whole: bool = True) -> DataFrame:
     """spans: doc_id, line_idx, title, start, end. The chunks of each range, in order: doc_id, line_idx,
-    chunk, title, raw_content, start, end. One task holds the lines of one document at a time."""
+    chunk, title, raw_content, start, end. One task holds the lines of one document at a time. A line
+    longer than max_chars becomes several chunks; without whole, what is over is dropped."""
     ready = prepared_lines(lines).withColumn("doc_id", F.col("doc_id").cast("string"))
     wanted = spans.select(F.col("doc_id").cast("string").alias("doc_id"), "line_idx", "title", "start", "end")
 
     def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.sort_values("global_idx")
-        cutter = _Cutter(left, max_chars)
+        cutter = _Cutter(left, max_chars, whole)
         named = set(left.as_title[left.structural])
         rows = []
         for x in right.sort_values("start").itertuples():

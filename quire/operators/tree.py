@@ -7,6 +7,9 @@ number of self joins on (doc_id, parent_id); nothing is nested and nothing is co
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,13 +126,62 @@ def chapter_groups(nodes: DataFrame, last_leaf: int = 82) -> DataFrame:
     return chapters.join(last, _KEY, "left").select(*_KEY, F.when(F.coalesce("last", F.lit(0)) <= last_leaf, "Main Guidance").otherwise("Appendices").alias("grouped_under"))
 
 
+_TAIL = re.compile(r"(.*)_([a-z0-9]+)", re.S)
+
+
+def _later(tail: str) -> str:
+    return chr(ord(tail) + 1) if len(tail) == 1 and "a" <= tail <= "y" else tail + "a"
+
+
+def renamed(ids: list[str]) -> list[str]:
+    """The ids in order; one that was there before gets the first free suffix: _a, _b, ... _z, _za, _zaa, in
+    place of a suffix that it has, or after it if that is a letter."""
+    taken: set[str] = set()
+    out = []
+    for i in ids:
+        if i in taken:
+            cut = _TAIL.fullmatch(i)
+            base, tail = cut.groups() if cut else (i, "")
+            tail = _later(tail) if len(tail) == 1 and "a" <= tail <= "y" else "a"
+            while f"{base}_{tail}" in taken:
+                tail = _later(tail)
+            i = f"{base}_{tail}"
+        taken.add(i)
+        out.append(i)
+    return out
+
+
 def unique_ids(nodes: DataFrame) -> DataFrame:
-    """Repeated ids of a document get _a, _b, ... after the first, in order; from the 27th repeat on
-    _aa, _ab, ... Adds new_id."""
-    n = F.row_number().over(Window.partitionBy(*_KEY).orderBy("ordinal")) - 2
-    letter = lambda x: F.char(F.lit(97) + x)
-    suffix = F.when(n < 26, letter(n)).otherwise(F.concat(letter(F.floor(n / 26) - 1), letter(n % 26)))
-    return nodes.withColumn("new_id", F.when(n < 0, F.col("node_id")).otherwise(F.concat("node_id", F.lit("_"), suffix)))
+    """Adds new_id: repeated ids of a document renamed, in order, as renamed() does. Only ids that share
+    what stands before their suffix can meet, so a task holds those at a time, and only where one
+    of them is repeated."""
+    base = F.coalesce(F.nullif(F.regexp_extract("node_id", r"(?s)^(.*)_[a-z0-9]+$", 1), F.lit("")), F.col("node_id"))
+    ids = nodes.select("doc_id", "ordinal", "node_id", base.alias("base"))
+    again = ids.groupBy("doc_id", "base").agg(F.count("*").alias("n"), F.count_distinct("node_id").alias("d")).where("n > d").select("doc_id", "base")
+
+    def one(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ordinal")
+        return group.assign(new_id=renamed(group.node_id.tolist()))[["doc_id", "ordinal", "node_id", "new_id"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
+    found = ids.join(again, ["doc_id", "base"], "left_semi").groupBy("doc_id", "base").applyInPandas(one, f"doc_id {kinds['doc_id']}, ordinal {kinds['ordinal']}, node_id string, new_id string")
+    return nodes.join(found, ["doc_id", "ordinal", "node_id"], "left").withColumn("new_id", F.coalesce("new_id", "node_id"))
+
+
+def relinked(nodes: DataFrame) -> DataFrame:
+    """nodes with unique ids, and parent_id of a child of a repeated id as the last node of that id before
+    the child, in the order of the document."""
+    n = unique_ids(nodes)
+    key = ["doc_id", "link"]
+    ups = n.select("doc_id", F.col("node_id").alias("link"), "ordinal", F.lit(0).alias("side"), "new_id")
+    downs = n.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("link"), "ordinal", F.lit(1).alias("side"), "new_id")
+    # a child stands after its parent; one that stands before all of them belongs to the first
+    order = Window.partitionBy(*key).orderBy("ordinal", "side")
+    parent = F.when(F.col("side") == 0, F.col("new_id"))
+    above = F.coalesce(F.last(parent, True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first(parent, True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    links = ups.unionByName(downs).withColumn("new_parent", above).where("side = 1").select("doc_id", "new_id", "new_parent")
+    out = n.join(links, ["doc_id", "new_id"], "left")
+    return out.withColumn("node_id", F.col("new_id")).withColumn("parent_id", F.coalesce("new_parent", "parent_id")).select(*nodes.columns)
 
 
 def misplaced(nodes: DataFrame) -> DataFrame:
@@ -138,10 +190,12 @@ def misplaced(nodes: DataFrame) -> DataFrame:
     return with_parent(nodes).where("parent_type IS NOT NULL").join(pairs, ["parent_type", "type"], "left_anti")
 
 
-def reparented(nodes: DataFrame, most: int = 10) -> DataFrame:
-    """Each of the first ``most`` misplaced nodes of a document moves to its nearest ancestor that
+def reparented(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Each misplaced node of a document, or each of the first ``most``, moves to its nearest ancestor that
     may hold it, else to the document's first DOCUMENT. Adds new_parent (null: stays)."""
-    bad = misplaced(nodes).select("doc_id", "node_id", "type", "ordinal").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("r") <= most)
+    bad = misplaced(nodes).select("doc_id", "node_id", "type", "ordinal")
+    if most is not None:
+        bad = bad.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("ordinal"))).where(F.col("r") <= most)
     up = ancestors(nodes).where("distance > 0").join(nodes.select("doc_id", F.col("node_id").alias("ancestor_id"), F.col("type").alias("parent_type")), ["doc_id", "ancestor_id"])
     pairs = F.broadcast(valid_pairs(nodes.sparkSession))
     near = bad.join(up, _KEY).join(pairs, ["parent_type", "type"]).groupBy(*_KEY).agg(F.min_by("ancestor_id", "distance").alias("near"))
@@ -172,3 +226,37 @@ def container_summaries(nodes: DataFrame) -> DataFrame:
     kids = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "title"))), 1, 6), lambda x: x["title"]).alias("titles"))
     n = nodes.where(F.col("type").isin(*CONTAINERS)).join(kids, _KEY, "left")
     return n.select(*_KEY, F.when(F.size("titles") > 0, F.concat("title", F.lit(": includes "), F.array_join("titles", ", "), F.lit("."))).otherwise(F.concat("title", F.lit(" (structural section)."))).alias("micro_summary"))
+
+
+def grouped(nodes: DataFrame, last_leaf: int = 82) -> DataFrame:
+    """nodes (doc_id, node_id, parent_id, ordinal, type, title, ...) with the chapters of each DOCUMENT under new
+    chapters 'Main Guidance' and 'Appendices', where chapter_groups() puts them; ordinals are spread so
+    that a new chapter stands right before its first one. Columns that a new chapter has no value for
+    are null."""
+    to = chapter_groups(nodes, last_leaf).withColumn("group_id", F.when(F.col("grouped_under") == "Main Guidance", "ch_g1_1").otherwise("ch_g2_2"))
+    n = nodes.withColumn("ordinal", F.col("ordinal") * 2).join(to, _KEY, "left")
+    made = n.where("group_id IS NOT NULL").groupBy("doc_id", F.col("group_id").alias("node_id")).agg((F.min("ordinal") - 1).alias("ordinal"), F.min_by("parent_id", "ordinal").alias("parent_id"), F.first("grouped_under").alias("title"))
+    kinds = {f.name: f.dataType for f in nodes.schema}
+    own = {"doc_id": F.col("doc_id"), "node_id": F.col("node_id"), "parent_id": F.col("parent_id"), "ordinal": F.col("ordinal"), "type": F.lit("CHAPTER"), "title": F.col("title")}
+    new = made.select(*(own.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in nodes.columns))
+    return n.withColumn("parent_id", F.coalesce("group_id", "parent_id")).select(*(F.col(c).cast(kinds[c]) for c in nodes.columns)).unionByName(new)
+
+
+def nested(nodes: DataFrame, fields: tuple[str, ...] = ("node_id", "type", "title"), depth: int = DEPTH) -> DataFrame:
+    """doc_id, tree: a document's nodes as one JSON array of roots, each with its children under nodes, by
+    ordinal. Built from the lowest level up, one join a level; an orphan is a root."""
+    at = chains(nodes, F.lit(0), depth).select(*_KEY, (F.size("chain") - 1).alias("depth"))
+    n = nodes.join(at, _KEY).select(*_KEY, "parent_id", "ordinal", "depth", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
+    none = F.expr("CAST(array() AS array<string>)")
+    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "json"))), lambda x: x["json"])
+    below = None
+    for level in range(depth, -1, -1):
+        here = n.where(F.col("depth") == level)
+        here = here.withColumn("kids", none) if below is None else here.join(below, _KEY, "left").withColumn("kids", F.coalesce("kids", none))
+        json = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"nodes":'), listed(F.col("kids")), F.lit("}"))
+        done = here.select("doc_id", "parent_id", "ordinal", json.alias("json"))
+        if level:
+            below = done.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(in_order.alias("kids"))
+        else:
+            return done.groupBy("doc_id").agg(listed(in_order).alias("tree"))

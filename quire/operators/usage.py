@@ -215,11 +215,31 @@ def latest_job(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("document_id").agg(F.max_by("job_id", F.struct("started_at", "job_id")).alias("job_id"))
 
 
-def events_of(events: DataFrame, limit: int = 5000, **where) -> DataFrame:
-    """Events that equal the given columns, oldest first, limit at most."""
+def events_of(events: DataFrame, limit: int | None = None, **where) -> DataFrame:
+    """Events that equal the given columns, oldest first; with limit, a page of so many at most."""
     for k, v in where.items():
         events = events.where(F.col(k) == v)
-    return events.orderBy("timestamp", "event_id").limit(limit)
+    return events.orderBy("timestamp", "event_id") if limit is None else events.orderBy("timestamp", "event_id").limit(limit)
+
+
+def page_summary(events: DataFrame, **where) -> DataFrame:
+    """operation, credits, note of all events that equal the given columns."""
+    for k, v in where.items():
+        events = events.where(F.col(k) == v)
+    return events.groupBy("operation").agg(_credits().alias("credits"), accuracy_note().alias("note"))
+
+
+def appended(events: DataFrame, new: DataFrame) -> DataFrame:
+    """events and those new ones whose event_id they lack, each once."""
+    return events.unionByName(new.dropDuplicates(["event_id"]).join(events.select("event_id"), "event_id", "left_anti").select(*events.columns))
+
+
+def alerts_by_time(events: DataFrame, **where) -> DataFrame:
+    """The alerts of events that equal the given columns, with the time of their event, newest first."""
+    for k, v in where.items():
+        events = events.where(F.col(k) == v)
+    timed = event_alerts(events).join(events.select("event_id", F.col("timestamp").alias("created_at")), "event_id")
+    return timed.orderBy(F.desc("created_at"), F.desc("event_id"), "alert_type")
 
 
 def dashboard(events: DataFrame, needle: str) -> DataFrame:

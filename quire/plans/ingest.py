@@ -68,10 +68,11 @@ QUERIES = {
     "store_upserted_jobs": lambda s, d: store.upserted_jobs(_jobs(s, d).select("doc_id", "file_name", "status", "error_message"), _jobs(s, d).where("doc_id % 5 = 0").select((F.col("doc_id") * 2).alias("doc_id"), F.lit(None).cast("string").alias("file_name"), "status", F.lit("again").alias("error_message"))),
     "store_unfinished": lambda s, d: store.unfinished(_vectors(s, d).select("doc_id"), _jobs(s, d)),
     "store_status_list": lambda s, d: store.status_list(_jobs(s, d).where("seq_id IS NOT NULL"), _vectors(s, d)),
+    "store_status_oldest": lambda s, d: store.status_list(_jobs(s, d).where("seq_id IS NOT NULL"), _vectors(s, d), oldest=True),
     "store_page": lambda s, d: store.page(_jobs(s, d), 20, 10, F.col("seq_id").asc_nulls_last(), "doc_id").select("doc_id", "seq_id"),
     "store_synced": lambda s, d: store.synced(_vectors(s, d).select("id", "doc_id").withColumn("seq_id", F.lit(-1).cast("long")).withColumn("file_name", F.lit("own")), _jobs(s, d)),
     "store_last_of_each": lambda s, d: store.last_of_each(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", order="l_linenumber"),
-    "store_cosine_top_k": lambda s, d: store.cosine_top_k(_t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _queries(s, d)).select("query_id", "id", "rank"),
+    "store_cosine_top_k": lambda s, d: store.cosine_top_k(_t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _queries(s, d)).select("query_id", "id", "cosine", "rank"),
     "stream_credit_windows": lambda s, d: stream.credit_windows(up.events(s, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "operation", "credits", "n"),
     "stream_job_sessions": lambda s, d: stream.job_sessions(up.events(s, d)).select("job_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "credits"),
 }
@@ -90,10 +91,11 @@ ORACLE_SQL = {
     "store_upserted_jobs": f"WITH {_JOBS}, n AS (SELECT doc_id * 2 AS doc_id, status FROM jobs WHERE doc_id % 5 = 0) SELECT coalesce(j.doc_id, n.doc_id) AS doc_id, file_name, coalesce(n.status, j.status) AS status, CASE WHEN n.status = 'completed' THEN NULL WHEN n.doc_id IS NOT NULL THEN 'again' ELSE error_message END AS error_message FROM jobs j FULL JOIN n ON j.doc_id = n.doc_id",
     "store_unfinished": f"WITH {_JOBS}, {_VECTORS} SELECT doc_id FROM vec WHERE doc_id NOT IN (SELECT doc_id FROM jobs WHERE status = 'completed')",
     "store_status_list": f"WITH {_JOBS}, {_VECTORS}, s AS (SELECT * FROM jobs WHERE seq_id IS NOT NULL ORDER BY seq_id DESC LIMIT 100), v AS (SELECT doc_id, max(created_at) AS vc, count(*) AS n, bool_and(status = 'completed') AS done FROM vec GROUP BY 1) SELECT coalesce(s.doc_id, v.doc_id) AS doc_id, CASE WHEN s.doc_id IS NOT NULL AND v.doc_id IS NOT NULL THEN 'hybrid' WHEN s.doc_id IS NOT NULL THEN 'structure' ELSE 'vector' END AS path, coalesce(s.status, CASE WHEN done THEN 'completed' ELSE 'pending' END) AS status, coalesce(n, 0) AS n_vectors, coalesce(s.created_at, vc) AS created_at FROM s FULL JOIN v ON s.doc_id = v.doc_id ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 100",
+    "store_status_oldest": f"WITH {_JOBS}, {_VECTORS}, s AS (SELECT * FROM jobs WHERE seq_id IS NOT NULL ORDER BY seq_id LIMIT 100), v AS (SELECT doc_id, max(created_at) AS vc, count(*) AS n, bool_and(status = 'completed') AS done FROM vec GROUP BY 1) SELECT coalesce(s.doc_id, v.doc_id) AS doc_id, CASE WHEN s.doc_id IS NOT NULL AND v.doc_id IS NOT NULL THEN 'hybrid' WHEN s.doc_id IS NOT NULL THEN 'structure' ELSE 'vector' END AS path, coalesce(s.status, CASE WHEN done THEN 'completed' ELSE 'pending' END) AS status, coalesce(n, 0) AS n_vectors, coalesce(s.created_at, vc) AS created_at FROM s FULL JOIN v ON s.doc_id = v.doc_id ORDER BY created_at DESC NULLS LAST, doc_id LIMIT 100",
     "store_page": f"WITH {_JOBS} SELECT doc_id, seq_id FROM jobs ORDER BY seq_id NULLS LAST, doc_id LIMIT 10 OFFSET 20",
     "store_synced": f"WITH {_JOBS}, {_VECTORS} SELECT id, vec.doc_id, coalesce(seq_id, -1) AS seq_id, coalesce(file_name, 'own') AS file_name FROM vec LEFT JOIN jobs ON vec.doc_id = jobs.doc_id",
     "store_last_of_each": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1",
-    "store_cosine_top_k": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
+    "store_cosine_top_k": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, c AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
     "stream_credit_windows": up._WITH + "SELECT date_trunc('hour', \"timestamp\") AS start, operation, round(sum(credits_used), 6) AS credits, count(*) AS n FROM e GROUP BY ALL",
     "stream_job_sessions": up._WITH + ", g AS (SELECT *, CASE WHEN \"timestamp\" - lag(\"timestamp\") OVER (PARTITION BY job_id ORDER BY \"timestamp\") < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e), k AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY \"timestamp\" ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, min(\"timestamp\") AS start, count(*) AS n, round(sum(credits_used), 6) AS credits FROM k GROUP BY job_id, k",
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
@@ -37,6 +37,14 @@ def nodes(s: SparkSession, d: str) -> DataFrame:
     return world.select(F.lit("d").alias("doc_id"), "*", ordinal.alias("ordinal"), F.lit(1).alias("page_start"))
 
 
+def repeated(s: SparkSession, d: str) -> DataFrame:
+    """Customers in order, every second one with the id 'c', and a leaf after each."""
+    c = nodes(s, d).where("node_id LIKE 'c%'").withColumn("o", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.substring("node_id", 2, 20).try_cast("long"))))
+    c = c.withColumn("node_id", F.when(F.col("o") % 2 == 1, "c").otherwise(F.col("node_id")))
+    leaf = c.select("doc_id", F.concat(F.lit("l"), "o").alias("node_id"), F.col("node_id").alias("parent_id"), (F.col("o") * 2 + 1).cast("long").alias("ordinal"))
+    return c.select("doc_id", "node_id", "parent_id", (F.col("o") * 2).cast("long").alias("ordinal")).unionByName(leaf)
+
+
 _LEVEL = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in tree.LEVEL.items()) + " END"
 _N = f"WITH RECURSIVE n0 AS ({NODES}), n AS (SELECT 'd' AS doc_id, *, {_LEVEL} * 100000000 + coalesce(try_cast(substring(node_id, 2) AS BIGINT), 0) AS ordinal FROM n0)"
 _UP = ", up(node_id, ancestor_id, distance) AS (SELECT node_id, node_id, 0 FROM n UNION ALL SELECT up.node_id, n.parent_id, distance + 1 FROM up JOIN n ON n.node_id = up.ancestor_id WHERE n.parent_id IS NOT NULL)"
@@ -56,6 +64,9 @@ QUERIES = {
     "tree_chapter_groups": lambda s, d: tree.chapter_groups(nodes(s, d), 10_000).select("node_id", "grouped_under"),
     "tree_misplaced": lambda s, d: tree.misplaced(nodes(s, d)).select("node_id", "type", "parent_type"),
     "tree_reparented": lambda s, d: tree.reparented(nodes(s, d)).where("new_parent IS NOT NULL").select("node_id", "new_parent"),
+    "tree_relinked": lambda s, d: tree.relinked(repeated(s, d)).select("node_id", "parent_id", "ordinal"),
+    "tree_grouped": lambda s, d: tree.grouped(nodes(s, d), 10_000).where("type <> 'CONTENT'").select("node_id", "parent_id", "type", "title"),
+    "tree_nested": lambda s, d: tree.nested(nodes(s, d).where("type <> 'CONTENT'"), ("node_id", "type")),
     "tree_unique_ids": lambda s, d: tree.unique_ids(nodes(s, d).withColumn("node_id", F.when(F.col("type") == "CONTENT", F.concat(F.lit("x"), F.col("measure") % 5000)).otherwise(F.col("node_id")))).select("ordinal", "node_id", "new_id"),
     "tree_orphans": lambda s, d: tree.orphans(nodes(s, d).where("node_id <> 'n3'")).select("node_id", "parent_id"),
     "tree_cycles": lambda s, d: tree.cyclic(nodes(s, d).where("type <> 'CONTENT'").withColumn("parent_id", F.when(F.col("node_id") == "w", F.lit("n2")).otherwise(F.col("parent_id")))).select("node_id"),
@@ -74,8 +85,15 @@ ORACLE_SQL = {
     "tree_structural_hashes": _N + ", c AS (SELECT parent_id AS node_id, string_agg(node_id, '' ORDER BY node_id) AS ids FROM n GROUP BY parent_id) SELECT n.node_id, sha256(coalesce(ids, '') || title || '1') AS content_hash FROM n LEFT JOIN c USING (node_id) WHERE type <> 'CONTENT'",
     "tree_chapter_groups": _N + _UP + ", l AS (SELECT node_id, row_number() OVER (ORDER BY ordinal) AS leaf FROM n WHERE type = 'CONTENT'), m AS (SELECT ancestor_id AS node_id, max(leaf) AS last FROM up JOIN l USING (node_id) GROUP BY 1) SELECT node_id, CASE WHEN coalesce(last, 0) <= 10000 THEN 'Main Guidance' ELSE 'Appendices' END AS grouped_under FROM n LEFT JOIN m USING (node_id) WHERE type IN ('CHAPTER', 'APPENDIX')",
     "tree_misplaced": _N + _BAD + " SELECT node_id, type, parent_type FROM bad",
-    "tree_reparented": _N + _UP + _BAD + f", f AS (SELECT * FROM bad ORDER BY ordinal LIMIT 10), a AS (SELECT f.node_id, arg_min(up.ancestor_id, distance) AS near FROM f JOIN up USING (node_id) JOIN n p ON p.node_id = up.ancestor_id JOIN {_PAIRS_SQL} ON pt = p.type AND ct = f.type WHERE distance > 0 GROUP BY 1) SELECT f.node_id, coalesce(near, (SELECT arg_min(node_id, ordinal) FROM n WHERE type = 'DOCUMENT')) AS new_parent FROM f LEFT JOIN a USING (node_id)",
-    "tree_unique_ids": _N + ", x AS (SELECT ordinal, CASE WHEN type = 'CONTENT' THEN 'x' || (measure % 5000) ELSE node_id END AS node_id FROM n), y AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ordinal) - 2 AS k FROM x) SELECT ordinal, node_id, CASE WHEN k < 0 THEN node_id WHEN k < 26 THEN node_id || '_' || chr(CAST(97 + k AS INT)) ELSE node_id || '_' || chr(CAST(96 + k // 26 AS INT)) || chr(CAST(97 + k % 26 AS INT)) END AS new_id FROM y",
+    "tree_reparented": _N + _UP + _BAD + f", f AS (SELECT * FROM bad), a AS (SELECT f.node_id, arg_min(up.ancestor_id, distance) AS near FROM f JOIN up USING (node_id) JOIN n p ON p.node_id = up.ancestor_id JOIN {_PAIRS_SQL} ON pt = p.type AND ct = f.type WHERE distance > 0 GROUP BY 1) SELECT f.node_id, coalesce(near, (SELECT arg_min(node_id, ordinal) FROM n WHERE type = 'DOCUMENT')) AS new_parent FROM f LEFT JOIN a USING (node_id)",
+    "tree_unique_ids": _N + ", x AS (SELECT ordinal, CASE WHEN type = 'CONTENT' THEN 'x' || (measure % 5000) ELSE node_id END AS node_id FROM n), y AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY ordinal) - 2 AS k FROM x) SELECT ordinal, node_id, CASE WHEN k < 0 THEN node_id WHEN k < 26 THEN node_id || '_' || chr(CAST(97 + k AS INT)) ELSE node_id || '_z' || repeat('a', CAST(k - 25 AS INT)) END AS new_id FROM y",
+    "tree_relinked": _N + """, c AS (SELECT CASE WHEN o % 2 = 1 THEN 'c' ELSE node_id END AS node_id, parent_id, o FROM (SELECT *, CASE WHEN type IN ('SECTION', 'TOPIC', 'FRONT_MATTER') THEN row_number() OVER (PARTITION BY type IN ('SECTION', 'TOPIC', 'FRONT_MATTER') ORDER BY substring(node_id, 2)::BIGINT) END AS o FROM n WHERE node_id LIKE 'c%')),
+        k AS (SELECT *, count(*) FILTER (o % 2 = 1) OVER (ORDER BY o) - 2 AS j FROM c), s AS (SELECT *, CASE WHEN o % 2 = 0 OR j < 0 THEN node_id WHEN j < 26 THEN 'c_' || chr(CAST(97 + j AS INT)) ELSE 'c_z' || repeat('a', CAST(j - 25 AS INT)) END AS id FROM k)
+        SELECT id AS node_id, parent_id, o * 2 AS ordinal FROM s UNION ALL SELECT 'l' || o, id, o * 2 + 1 FROM s""",
+    "tree_grouped": _N + _UP + ", l AS (SELECT node_id, row_number() OVER (ORDER BY ordinal) AS leaf FROM n WHERE type = 'CONTENT'), m AS (SELECT ancestor_id AS node_id, max(leaf) AS last FROM up JOIN l USING (node_id) GROUP BY 1), g AS (SELECT node_id, ordinal, parent_id, CASE WHEN coalesce(last, 0) <= 10000 THEN 1 ELSE 2 END AS g FROM n LEFT JOIN m USING (node_id) WHERE type IN ('CHAPTER', 'APPENDIX')) SELECT n.node_id, CASE WHEN g IS NULL THEN n.parent_id ELSE 'ch_g' || g || '_' || g END AS parent_id, type, title FROM n LEFT JOIN g USING (node_id) WHERE type <> 'CONTENT' UNION ALL SELECT 'ch_g' || g || '_' || g, arg_min(parent_id, ordinal), 'CHAPTER', CASE g WHEN 1 THEN 'Main Guidance' ELSE 'Appendices' END FROM g GROUP BY g",
+    "tree_nested": _N + """, x AS (SELECT * FROM n WHERE type <> 'CONTENT'), j AS (SELECT node_id, parent_id, ordinal, '{"node_id":"' || node_id || '","type":"' || type || '","nodes":' AS h FROM x),
+        a AS (SELECT parent_id, '[' || string_agg(h || '[]}', ',' ORDER BY ordinal) || ']' AS kids FROM j WHERE node_id LIKE 'c%' GROUP BY 1), b AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN a ON a.parent_id = j.node_id WHERE node_id LIKE 'n%' GROUP BY 1),
+        c AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN b ON b.parent_id = j.node_id WHERE node_id LIKE 'r%' GROUP BY 1) SELECT 'd' AS doc_id, '[' || h || kids || '}]' AS tree FROM j JOIN c ON c.parent_id = j.node_id""",
     "tree_orphans": _N + " SELECT node_id, parent_id FROM n WHERE parent_id = 'n3'",
     # the root hangs under n2, so every chain runs into the loop
     "tree_cycles": _N + " SELECT node_id FROM n WHERE type <> 'CONTENT'",

@@ -82,14 +82,33 @@ def finished(nodes: DataFrame, lines: DataFrame, settings=None) -> DataFrame:
     return out.withColumn("content_hash", F.coalesce("_hash", "content_hash")).drop("_hash").withColumn("is_front_matter", F.coalesce("is_front_matter", F.lit(False)))
 
 
+def repaired(nodes: DataFrame, last_leaf: int = 82) -> DataFrame:
+    """Nodes as adjacency rows with unique ids, misplaced ones under an ancestor that may hold them, and
+    chapters in their groups."""
+    n = materialized(tree.relinked(nodes), "relinked")
+    n = tree.reparented(n).withColumn("parent_id", F.coalesce("new_parent", "parent_id")).drop("new_parent")
+    return tree.grouped(materialized(n, "reparented"), last_leaf)
+
+
+def with_pages(nodes: DataFrame) -> DataFrame:
+    """A CONTENT node without a page takes that of the first index tag in its text; one without a tag
+    becomes FRONT_MATTER."""
+    tag = F.regexp_extract("raw_content", r"<\s*physical_index_(\d+)\s*>", 1).try_cast("int")
+    bare = (F.col("type") == "CONTENT") & (F.coalesce("page_start", F.lit(0)) == 0)
+    n = nodes.withColumn("_tag", F.when(bare, tag)).withColumn("_lost", bare & F.col("_tag").isNull())
+    n = n.withColumn("page_end", F.when(F.col("_tag").isNotNull() & (F.coalesce("page_end", F.lit(0)) == 0), F.col("_tag")).otherwise(F.col("page_end")))
+    n = n.withColumn("page_start", F.coalesce("_tag", "page_start")).withColumn("type", F.when(F.col("_lost"), "FRONT_MATTER").otherwise(F.col("type")))
+    return n.drop("_tag", "_lost")
+
+
 def build_index(lines: DataFrame, max_chars: int = 6000, adjacent: float = 0.15, near: float = 0.85, settings=None) -> DataFrame:
-    """Lines to sections: headings, hierarchy, chunks, metadata, validation. A document's leaves are
-    retrieval_ready if all its gates are open."""
+    """Lines to sections: headings, hierarchy, chunks, repair, metadata, validation. A document's leaves
+    are retrieval_ready if all its gates are open."""
     lines = materialized(lines, "lines")
     heads = materialized(st.ranges(st.without_clusters(st.headings(lines)), lines), "headings")
     placed = materialized(st.placed(heads), "placed")
     chunks = placed_chunks(lines, heads, placed, max_chars, adjacent, near)
-    nodes = materialized(finished(materialized(tree_of(placed, chunks), "tree"), lines, settings).withColumn("retrieval_ready", F.lit(False)), "index")
+    nodes = materialized(finished(materialized(repaired(materialized(tree_of(placed, chunks), "tree")), "repaired"), lines, settings).withColumn("retrieval_ready", F.lit(False)), "index")
     found = materialized(validate.errors(nodes), "errors")
     ready = validate.readiness(nodes, found).select("doc_id", F.col("retrieval_ready").alias("open"))
     leaf = (F.col("type") == "CONTENT") & ~F.col("is_front_matter")

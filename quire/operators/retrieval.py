@@ -2,8 +2,8 @@
 
 A section row has node_id, parent_id, ordinal, type, title, path, raw_content, compressed_content,
 micro_summary, aliases, synonyms, keywords, is_front_matter, retrieval_ready. A query is a
-literal, so every stage is one expression over the sections; what comes to the driver is one
-row of corpus counts and the k best hits.
+literal, so the texts are read once, into a narrow table of flags and term counts; what comes to
+the driver is one row of corpus counts.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
+from quire.sources.shared import materialized
 
 D = r.SPARK
 FIELDS = {"micro_summary": 1.5, "compressed_content": 2.2, "raw_content": 1.5}
@@ -32,26 +33,33 @@ def ready(nodes: DataFrame) -> DataFrame:
     return nodes.where("retrieval_ready AND type = 'CONTENT'")
 
 
-def indexed(sections: DataFrame) -> DataFrame:
-    """sections with a token array for each field."""
-    return sections.withColumns({f"{f}_tokens": F.expr(r.query_tokens(D, f)) for f in FIELDS})
+def counted(sections: DataFrame, tokens: list[str], fields: list[str]) -> dict[str, Column]:
+    """Columns n_<field>, its number of tokens, and tf_<field>, how often each of tokens is among them: all
+    that BM25 needs of a text, so that it is split once."""
+    out = {}
+    for f in fields:
+        words = F.expr(r.query_tokens(D, f))
+        out[f"n_{f}"] = F.size(words)
+        out[f"tf_{f}"] = F.array(*(F.size(words) - F.size(F.array_remove(words, t)) for t in tokens)) if tokens else F.expr("CAST(array() AS array<int>)")
+    return out
 
 
 def corpus_counts(index: DataFrame, tokens: list[str], fields: list[str]) -> tuple[int, float, dict[str, int]]:
     """Sections, mean length of the joined fields, and in how many of them each token occurs."""
-    size = sum((F.size(f"{f}_tokens") for f in fields), F.lit(0))
-    holds = lambda t: F.greatest(*(F.array_contains(f"{f}_tokens", t) for f in fields), F.lit(False))
-    row = index.agg(F.count("*"), F.sum(size), *(F.count_if(holds(t)) for t in dict.fromkeys(tokens))).first()
+    size = sum((F.col(f"n_{f}") for f in fields), F.lit(0))
+    holds = lambda i: F.greatest(*(F.get(f"tf_{f}", F.lit(i)) > 0 for f in fields), F.lit(False))
+    row = index.agg(F.count("*"), F.sum(size), *(F.count_if(holds(i)) for i in range(len(tokens)))).first()
     n = max(row[0], 1)
-    return n, (row[1] or 0) / n, dict(zip(dict.fromkeys(tokens), row[2:], strict=True))
+    return n, (row[1] or 0) / n, dict(zip(tokens, row[2:], strict=True))
 
 
-def bm25(array: str, tokens: list[str], n: int, avgdl: float, df: dict[str, int]) -> Column:
-    """k1 = 1.5, b = 0.75; a token that the query repeats counts each time."""
-    length = 1.5 * (F.lit(0.25) + 0.75 * F.size(array) / max(avgdl, 1.0))
+def bm25(field: str, query: list[str], n: int, avgdl: float, df: dict[str, int]) -> Column:
+    """k1 = 1.5, b = 0.75; a token that the query repeats counts each time. df: in the order of tf_<field>."""
+    length = 1.5 * (F.lit(0.25) + 0.75 * F.col(f"n_{field}") / max(avgdl, 1.0))
+    place = {t: i for i, t in enumerate(df)}
     total = F.lit(0.0)
-    for t in tokens:
-        f = F.size(F.filter(array, lambda x: x == t))  # noqa: B023
+    for t in query:
+        f = F.get(f"tf_{field}", F.lit(place[t]))
         idf = F.ln(F.lit((n - df[t] + 0.5) / (df[t] + 0.5) + 1.0))
         total = total + F.when(f > 0, idf * (f * 2.5) / (f + length)).otherwise(0.0)
     return total
@@ -60,9 +68,10 @@ def bm25(array: str, tokens: list[str], n: int, avgdl: float, df: dict[str, int]
 def rank_documents(docs: DataFrame, query: str, k: int = 10) -> DataFrame:
     """docs: doc_id, text. The k best by BM25: doc_id, score; ties go to the smaller id."""
     tokens = query_tokens(query)
-    index = docs.select("doc_id", F.expr(r.query_tokens(D, "text")).alias("text_tokens"))
-    n, avgdl, df = corpus_counts(index, tokens, ["text"])
-    return index.select("doc_id", F.round(bm25("text_tokens", tokens, n, avgdl, df), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
+    wanted = list(dict.fromkeys(tokens))
+    index = materialized(docs.select("doc_id", "text").select("doc_id", *(c.alias(x) for x, c in counted(docs, wanted, ["text"]).items())), "counted")
+    n, avgdl, df = corpus_counts(index, wanted, ["text"])
+    return index.select("doc_id", F.round(bm25("text", tokens, n, avgdl, df), 6).alias("score")).where("score > 0").orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -73,15 +82,18 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def rank_queries(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """docs: doc_id, text; queries: query_id, query. The k best documents of every query, by a join of
-    the queries' terms with the postings."""
-    index = postings(docs)
-    stats = docs.agg(F.count("*").alias("n"), F.sum(F.size(F.expr(r.query_tokens(D, "text")))).alias("words")).first()
-    n, avgdl = max(stats.n, 1), max((stats.words or 0) / max(stats.n, 1), 1.0)
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    the queries' terms with the postings, which are written once. Each task keeps k hits a query
+    before they are ranked."""
+    index = materialized(postings(docs), "postings")
+    n = max(docs.count(), 1)
+    avgdl = max((index.agg(F.sum("tf")).first()[0] or 0) / n, 1.0)
     terms = queries.select("query_id", F.explode(F.expr(r.query_tokens(D, "query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = materialized(terms, "terms")
+    found = index.join(terms.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     part = F.col("times") * idf * (F.col("tf") * 2.5) / (F.col("tf") + 1.5 * (F.lit(0.25) + 0.75 * F.col("dl") / avgdl))
-    scored = terms.join(df, "term").join(index, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    scored = terms.join(df, "term").join(found, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= k)
 
@@ -98,8 +110,7 @@ def search(nodes: DataFrame, query: str, top_k: int = 5, traversal: bool = True)
     breakdown (their points; a stage that scores twice shows once), matched_title, matched_alias,
     matched_keyword, matched_source, and with traversal parent_title, sibling_titles, child_titles."""
     q, tokens, tags = query.strip().lower(), query_tokens(query.strip()), query_entities(query)
-    index = indexed(ready(nodes))
-    n, avgdl, df = corpus_counts(index, tokens, list(FIELDS))
+    wanted = list(dict.fromkeys(tokens))
     title, raw = F.lower(F.coalesce("title", F.lit(""))), F.coalesce("raw_content", F.lit(""))
     lowered = lambda c: F.transform(F.coalesce(c, F.expr("CAST(array() AS array<string>)")), F.lower)
     aliases, names, keywords = lowered("aliases"), F.concat(lowered("aliases"), lowered("synonyms")), lowered("keywords")
@@ -120,25 +131,32 @@ def search(nodes: DataFrame, query: str, top_k: int = 5, traversal: bool = True)
     longer = [t for t in tokens if len(t) > 3]
     same, part, keyword = _stops(keywords, lambda k: k.contains(q) | F.lit(q).contains(k), lambda k: F.greatest(no, no, *(k.contains(t) for t in longer)))
     steps += [("keyword_partial", part > 0, 35.0 * part), ("keyword_exact", same, F.lit(70.0))]
+    # one pass over the texts: what the later stages need is a narrow table
+    snippet = F.replace(F.lower(F.substring(raw, 1, 800)), F.lit("-"), F.lit(""))
+    overlap = sum((title.contains(t).cast("int") for t in tokens), F.lit(0))
+    kept = {"mentioned": F.greatest(no, no, *(snippet.contains(t) for t in tags)), "overlap": overlap, "alias": alias, "keyword": keyword}
+    flags = {f"{x}{i}": c for i, (_, cond, points) in enumerate(steps) for x, c in (("c", F.coalesce(cond, no)), ("p", points.cast("double")))}
+    index = ready(nodes).select("node_id", "parent_id", "ordinal", "title", "path", *(c.alias(x) for x, c in {**flags, **kept, **counted(nodes, wanted, list(FIELDS))}.items()))
+    index = materialized(index, "counted")
+    n, avgdl, df = corpus_counts(index, wanted, list(FIELDS))
+    steps = [(name, F.col(f"c{i}"), F.col(f"p{i}")) for i, (name, *_) in enumerate(steps)]
     for f, weight in FIELDS.items():
-        points = bm25(f"{f}_tokens", tokens, n, avgdl, df)
+        points = bm25(f, tokens, n, avgdl, df)
         steps.append((NAMES[f], points > 0, points * weight))
     if traversal:
-        index = _context(index, nodes, [t for t in tokens if len(t) > 2])
-        steps += [("parent_traversal", F.col("parent_hit"), F.lit(15.0)), ("has_children", F.size("child_titles") > 0, F.lit(5.0)), ("sibling_context", F.col("sibling_hit"), F.lit(8.0))]
+        index = _near(index, nodes, [t for t in tokens if len(t) > 2])
+        steps += [("parent_traversal", F.col("parent_hit"), F.lit(15.0)), ("has_children", F.col("own_ready") > 0, F.lit(5.0)), ("sibling_context", F.col("sibling_hit"), F.lit(8.0))]
     held = [(name, F.coalesce(c, no), p) for name, c, p in steps]
     struct = F.filter(F.array(*(F.when(c, F.struct(F.lit(name).alias("stage"), p.cast("double").alias("points"))) for name, c, p in held)), lambda x: x.isNotNull())
     hit = lambda *starts: F.exists("steps", lambda x: F.greatest(no, no, *(x["stage"].startswith(s) for s in starts)))
     rows = index.withColumn("steps", struct).withColumn("score", F.aggregate("steps", F.lit(0.0), lambda a, x: a + x["points"]))
-    snippet = F.replace(F.lower(F.substring(raw, 1, 800)), F.lit("-"), F.lit(""))
-    kept = rows.where((F.col("score") > 0) | F.greatest(no, no, *(snippet.contains(t) for t in tags)))
-    kept = kept.withColumns({"source": F.lit(0), "matched_title": hit("title_", "entity_title_"), "matched_alias": F.when(hit("alias_"), alias), "matched_keyword": F.when(hit("keyword_"), keyword)})
+    kept = rows.where((F.col("score") > 0) | F.col("mentioned"))
+    kept = kept.withColumns({"source": F.lit(0), "matched_title": hit("title_", "entity_title_"), "matched_alias": F.when(hit("alias_"), F.col("alias")), "matched_keyword": F.when(hit("keyword_"), F.col("keyword"))})
     content = F.coalesce(*(F.when(hit(NAMES[f]), f) for f in reversed(FIELDS)))
     kept = kept.withColumn("matched_source", content)
     first = kept.agg(F.min_by("score", "ordinal")).first()[0]
     if first is None or first < 30:  # in the order of the document, not of the scores
-        overlap = sum((title.contains(t).cast("int") for t in tokens), F.lit(0))
-        extra = rows.withColumn("overlap", overlap).where("overlap >= 2").withColumn("score", 20.0 + F.col("overlap") * 5)
+        extra = rows.where("overlap >= 2").withColumn("score", 20.0 + F.col("overlap") * 5)
         extra = extra.withColumn("steps", F.array(F.struct(F.lit("fallback_lexical").alias("stage"), F.col("score").alias("points"))))
         extra = extra.withColumns({"source": F.lit(1), "matched_title": no, "matched_alias": F.lit(None).cast("string"), "matched_keyword": F.lit(None).cast("string"), "matched_source": F.lit("fallback")})
         both = kept.unionByName(extra.select(*kept.columns))
@@ -146,34 +164,54 @@ def search(nodes: DataFrame, query: str, top_k: int = 5, traversal: bool = True)
         kept = best.select("b.*")
     context = ["parent_title", "sibling_titles", "child_titles"] if traversal else []
     top = kept.orderBy(F.desc("score"), "source", "ordinal").limit(top_k)
+    if traversal:
+        top = _titles(materialized(top, "hits"), nodes).orderBy(F.desc("score"), "source", "ordinal")
     breakdown = F.map_from_entries(F.transform("steps", lambda x: F.struct(x["stage"], F.round(x["points"], 3))))
     return top.select("node_id", "title", "path", F.round("score", 3).alias("score"), F.array_join(F.transform("steps", lambda x: x["stage"]), ",").alias("match_reason"), breakdown.alias("breakdown"), "matched_title", "matched_alias", "matched_keyword", "matched_source", *context)
 
 
-def _context(index: DataFrame, nodes: DataFrame, tokens: list[str]) -> DataFrame:
-    """Adds parent_title, parent_hit, sibling_hit, and the titles of ready siblings and children (8 at most)."""
+def _near(index: DataFrame, nodes: DataFrame, tokens: list[str]) -> DataFrame:
+    """Adds parent_title, parent_hit, sibling_hit and own_ready (ready children), from one row a parent."""
     no = F.lit(False)
     has = lambda c: F.greatest(no, no, *(F.lower(F.coalesce(c, F.lit(""))).contains(t) for t in tokens))
-    parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("title").alias("parent_title"))
-    shown = F.filter(F.array_sort(F.collect_list(F.struct("ordinal", "node_id", "title", F.coalesce("retrieval_ready", no).alias("ok")))), lambda x: x["ok"])
-    kids = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.sum(has(F.col("title")).cast("int")).alias("hits"), shown.alias("kids"))
-    own = kids.select(F.col("parent_id").alias("node_id"), F.transform(F.slice("kids", 1, 8), lambda x: x["title"]).alias("child_titles"))
-    j = index.join(parents, "parent_id", "left").join(kids, "parent_id", "left").join(own, "node_id", "left")
-    none = F.expr("CAST(array() AS array<string>)")
-    siblings = F.transform(F.slice(F.filter("kids", lambda x: x["node_id"] != F.col("node_id")), 1, 8), lambda x: x["title"])
+    of = nodes.where("parent_id IS NOT NULL").groupBy("parent_id").agg(F.sum(has(F.col("title")).cast("int")).alias("hits"), F.count_if(F.coalesce("retrieval_ready", no)).alias("n_ready"))
+    of = materialized(of, "parents")
+    parents = nodes.select(F.col("node_id").alias("parent_id"), F.col("title").alias("parent_title")).join(of.select("parent_id", "hits"), "parent_id")
+    own = of.select(F.col("parent_id").alias("node_id"), F.col("n_ready").alias("own_ready"))
+    j = index.join(parents, "parent_id", "left").join(own, "node_id", "left")
     known = F.col("parent_title").isNotNull()
-    return j.withColumns({
-        "parent_hit": known & has(F.col("parent_title")),
-        "sibling_hit": known & (F.col("hits") - has(F.col("title")).cast("int") > 0),
-        "sibling_titles": F.when(known, F.coalesce(siblings, none)).otherwise(none),
-        "child_titles": F.coalesce("child_titles", none),
-    }).drop("hits", "kids")
+    return j.withColumns({"parent_hit": known & has(F.col("parent_title")), "sibling_hit": known & (F.col("hits") - has(F.col("title")).cast("int") > 0), "own_ready": F.coalesce("own_ready", F.lit(0))}).drop("hits")
 
 
-def pass_rate(nodes: DataFrame, queries: list[tuple[str, list[str]]], top_k: int = 5) -> float:
-    """Share of queries with a needle in title, summary or path of one of their hits."""
-    passed = 0
+def _titles(top: DataFrame, nodes: DataFrame, most: int = 8) -> DataFrame:
+    """Adds the titles of ready siblings and children (8 at most) of the few rows of top: of their parents
+    the first nine children are looked up, not all."""
+    wanted = top.select(F.col("parent_id").alias("parent_id")).unionAll(top.select(F.col("node_id").alias("parent_id"))).where("parent_id IS NOT NULL").distinct()
+    ready_kids = nodes.where(F.coalesce("retrieval_ready", F.lit(False))).select("parent_id", "ordinal", "node_id", "title").join(F.broadcast(wanted), "parent_id")  # two rows a hit
+    rank = F.row_number().over(Window.partitionBy("parent_id").orderBy("ordinal", "node_id"))
+    first = ready_kids.withColumn("k", rank).where(F.col("k") <= most + 1).groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("k", "node_id", "title"))).alias("kids"))
+    first = materialized(first, "kids")
+    none = F.expr("CAST(array() AS array<string>)")
+    own = first.select(F.col("parent_id").alias("node_id"), F.col("kids").alias("own_kids"))
+    j = top.join(first, "parent_id", "left").join(own, "node_id", "left")
+    siblings = F.transform(F.slice(F.filter("kids", lambda x: x["node_id"] != F.col("node_id")), 1, most), lambda x: x["title"])
+    children = F.transform(F.slice("own_kids", 1, most), lambda x: x["title"])
+    return j.withColumns({"sibling_titles": F.when(F.col("parent_title").isNotNull(), F.coalesce(siblings, none)).otherwise(none), "child_titles": F.coalesce(children, none)}).drop("kids", "own_kids")
+
+
+def harness(nodes: DataFrame, queries: list[tuple[str, list[str]]], top_k: int = 5) -> DataFrame:
+    """query, passed: whether a needle stands in title, summary or path of one of the query's hits; a report
+    over a list of queries, so it grows with that."""
+    nodes = materialized(nodes, "nodes")
+    out = None
     for query, needles in queries:
-        hits = search(nodes, query, top_k).join(nodes.select("node_id", "micro_summary"), "node_id").select(F.lower(F.concat_ws(" ", "title", "micro_summary", "path")).alias("blob")).collect()
-        passed += any(n.lower() in h.blob for h in hits for n in needles)
-    return passed / max(len(queries), 1)
+        hits = search(nodes, query, top_k).join(nodes.select("node_id", "micro_summary"), "node_id").select(F.lower(F.concat_ws(" ", "title", "micro_summary", "path")).alias("blob"))
+        found = F.greatest(F.lit(False), F.lit(False), *(F.col("blob").contains(n.lower()) for n in needles))
+        one = hits.agg(F.coalesce(F.bool_or(found), F.lit(False)).alias("passed")).select(F.lit(query).alias("query"), "passed")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def pass_rate(nodes: DataFrame, queries: list[tuple[str, list[str]]], top_k: int = 5) -> float:
+    """Share of the queries that harness() passes."""
+    return harness(nodes, queries, top_k).agg(F.avg(F.col("passed").cast("int"))).first()[0] if queries else 0.0

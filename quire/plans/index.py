@@ -11,7 +11,6 @@ from quire.functions import rules as r
 from quire.operators import build, enrich, tree, validate
 from quire.operators import structure as st
 from quire.plans import structure as sp
-from quire.operators import structure as st
 from quire.plans.text import TITLES
 from quire.sources import files
 
@@ -76,7 +75,7 @@ QUERIES = {
     "enrich_compressed": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.compressed(F.col("text")).alias("compressed")),
     "enrich_handbook": lambda s, d: _built(s).select("doc_id", "start", "title", "compressed_content", "micro_summary"),
     "index_build_handbook": lambda s, d: build.build_index(sp.handbook(s)).select("node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
-    "index_provider_trees": lambda s, d: build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string"))),
+    "index_provider_trees": lambda s, d: build.with_pages(build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string")))),
     "index_declared_types": lambda s, d: _titled(s).selectExpr("i", f"{build.declared_type(r.SPARK.strip('title'), 'i % 2 = 0')} AS declared", f"{build.container_type(r.SPARK.strip('title'))} AS container"),
     "index_slim_results": lambda s, d: build.slim_results(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"pipeline": "p", "page_count": '), F.col("event_id"), F.lit(', "validation": {"error_count": 2, "errors": ["a", "b"]}, "structure": '), "props", F.lit("}")).alias("results")), 9).select("doc_id", "page_count", "error_count", F.array_join("errors", ",").alias("errors"), "structure"),
     "validate_node_errors": lambda s, d: validate.node_errors(sections(s, d)),
@@ -90,6 +89,16 @@ _UNDER = "(VALUES " + ", ".join(f"('{p}', '{c}')" for p, cs in tree.UNDER.items(
 ORACLE_SQL = {
     "index_slim_results": """SELECT event_id AS doc_id, CAST(event_id AS INT) AS page_count, 2 AS error_count, 'a,b' AS errors, CASE WHEN length(replace(props, ' ', '')) <= 9 THEN replace(props, ' ', '') END AS structure FROM events""",
     "validate_node_errors": f"WITH {_NODES} {_ERRORS}",
+    "validate_all_errors": f"""WITH {_NODES}, lv AS (SELECT * FROM n WHERE type = 'CONTENT' AND raw <> '' AND NOT is_front_matter),
+        bad AS (SELECT c.doc_id, c.node_id FROM n c JOIN n p ON c.doc_id = p.doc_id AND c.parent_id = p.node_id WHERE (p.type, c.type) NOT IN (SELECT (pt, ct) FROM {_UNDER})),
+        k AS (SELECT doc_id, node_id, ordinal, trim(title) AS title, length(raw) AS chars, regexp_extract(title, '^\\s*(\\d+(?:\\.\\d+)*)', 1) AS sec, {r.token_set(r.DUCK, 'raw')} AS t, {r.content_hash(r.DUCK, 'raw')} AS h FROM lv),
+        u AS (SELECT *, len(t) AS m FROM k WHERE chars >= 40 QUALIFY row_number() OVER (PARTITION BY doc_id, h ORDER BY ordinal) = 1),
+        e AS ({_ERRORS}
+            UNION ALL SELECT doc_id, node_id, 'Duplicate hash' FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, content_hash ORDER BY ordinal) AS i FROM lv WHERE content_hash <> '') WHERE i > 1
+            UNION ALL SELECT doc_id, node_id, 'Invalid hierarchy' FROM bad
+            UNION ALL SELECT DISTINCT b.doc_id, b.node_id, 'Adjacent overlap' FROM k a JOIN k b ON a.doc_id = b.doc_id AND a.sec = b.sec AND a.ordinal < b.ordinal AND a.title <> b.title AND a.h <> b.h WHERE a.sec <> '' AND len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.15
+            UNION ALL SELECT b.doc_id, b.node_id, 'Overlap duplicate' FROM u a JOIN u b ON a.doc_id = b.doc_id AND a.ordinal < b.ordinal AND least(a.m, b.m) >= 0.85 * greatest(a.m, b.m) WHERE b.m > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / (a.m + b.m - len(list_intersect(a.t, b.t))) >= 0.85)
+        SELECT doc_id, error, count(*) AS n FROM e GROUP BY ALL""",
     "validate_gates": f"WITH {_NODES}, e AS ({_ERRORS}) SELECT doc_id, {_GATE_SQL}, count(error) AS n_errors FROM (SELECT DISTINCT doc_id FROM n) LEFT JOIN e USING (doc_id) GROUP BY doc_id",
     "validate_readiness": f"WITH {_NODES}, e AS ({_ERRORS}), g AS (SELECT doc_id, {_GATE_SQL} FROM (SELECT DISTINCT doc_id FROM n) LEFT JOIN e USING (doc_id) GROUP BY doc_id), o AS (SELECT doc_id, {' AND '.join(validate.GATES)} AS open FROM g), c AS (SELECT doc_id, (doc_id, node_id) NOT IN (SELECT (doc_id, node_id) FROM e) AND length(raw) >= 20 AS sound FROM n WHERE type = 'CONTENT' AND NOT is_front_matter) SELECT doc_id, count(sound) AS candidates, count(*) FILTER (sound AND open) AS ready, open AND count(sound) > 0 AND count(sound) = count(*) FILTER (sound AND open) AS retrieval_ready FROM o LEFT JOIN c USING (doc_id) GROUP BY doc_id, open",
     "validate_chunk_flags": f"WITH {_NODES}, b AS (SELECT c.doc_id, c.node_id FROM n c JOIN n p ON c.doc_id = p.doc_id AND c.parent_id = p.node_id WHERE (p.type, c.type) NOT IN (SELECT (pt, ct) FROM {_UNDER})), f AS (SELECT doc_id, node_id, type = 'CONTENT' AND length(compressed_content) > 50 AND content_hash <> '' AND page_start >= 1 AND (doc_id, node_id) NOT IN (SELECT (doc_id, node_id) FROM b) AS ok FROM n) SELECT doc_id, node_id, ok AS retrieval_ready, ok AS is_retrieval_chunk FROM f",

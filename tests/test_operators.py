@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules as r
 from quire.functions.register import register
-from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, usage, validate
+from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, tree, usage, validate
+from quire.plans import index as sections_plan
 from quire.plans import structure as handbook
 from quire.sources import files
 from quire.streaming import ingest
@@ -86,6 +87,68 @@ def test_compression_band():
     assert enrich.compress("") == "" and enrich.corrected("Ends with dash -", "raw") .endswith(".")
 
 
+def test_repeated_sentences_stay_where_they_came_first():
+    a, b, c = (f"The {x} is filed on the portal by the due date 11 of each month." for x in ("first form", "second form", "third form"))
+    raw = f"{a} {b} {a} {c} {b}"
+    assert enrich.compress(raw, 1.0, 0.9).split("\n") == [a, b, c]
+
+
+def test_links_inside_a_document_are_not_lost(spark):
+    """A/x equals B/x, and B/y is like B/x: B has an overlap of its own, A has none."""
+    x = " ".join(f"word{i}" for i in range(60))
+    rows = [("A", "a1", x), ("B", "b1", x), ("B", "b2", x + " more"), ("C", "c1", "quite another text of enough length to count here")]
+    docs = spark.createDataFrame(rows, "doc string, id string, text string")
+    assert [(r.a, r.b) for r in similarity.near_duplicate_pairs(docs, scope="doc").collect()] == [("b1", "b2")]
+    assert [(r.a, r.b) for r in similarity.near_duplicate_pairs(docs).collect()] == [("a1", "b2")]
+
+
+def test_renamed_ids(spark):
+    assert tree.renamed(["x", "x", "x_a", "x", "content_0001", "content_0001", "content_0001"]) == ["x", "x_a", "x_b", "x_c", "content_0001", "content_a", "content_b"]
+    assert tree.renamed(["k"] * 29)[-3:] == ["k_z", "k_za", "k_zaa"]
+    n = spark.createDataFrame([("d", 1, "s", None), ("d", 2, "c", "s"), ("d", 3, "s", None), ("d", 4, "c", "s"), ("e", 1, "s", None)], "doc_id string, ordinal int, node_id string, parent_id string")
+    got = [(x.doc_id, x.node_id, x.parent_id) for x in tree.relinked(n).orderBy("doc_id", "ordinal").collect()]
+    assert got == [("d", "s", None), ("d", "c", "s"), ("d", "s_a", None), ("d", "c_a", "s_a"), ("e", "s", None)]
+
+
+def test_repair_stage(spark):
+    rows = [("root", None, 1, "ROOT", "ROOT"), ("document", "root", 2, "DOCUMENT", "Document"), ("c1", "document", 3, "CHAPTER", "One"), ("t", "c1", 4, "TOPIC", "T"), ("s", "t", 5, "SECTION", "misplaced"), ("l", "s", 6, "CONTENT", "leaf"), ("l", "s", 7, "CONTENT", "leaf again"), ("c2", "document", 8, "CHAPTER", "Two"), ("m", "c2", 9, "CONTENT", "last")]
+    n = spark.createDataFrame([("d", *x) for x in rows], "doc_id string, node_id string, parent_id string, ordinal int, type string, title string")
+    got = {x.node_id: (x.parent_id, x.title) for x in build.repaired(n, 2).collect()}
+    assert got["s"][0] == "c1" and got["l"][0] == got["l_a"][0] == "s"
+    assert got["c1"][0] == "ch_g1_1" and got["c2"][0] == "ch_g2_2" and got["ch_g1_1"] == ("document", "Main Guidance") and got["ch_g2_2"] == ("document", "Appendices")
+
+
+def test_page_of_a_leaf(spark):
+    n = spark.createDataFrame([("a", "CONTENT", "x <physical_index_7> y", 0, 0), ("b", "CONTENT", "no tag", 0, 0), ("c", "CONTENT", "paged", 3, 4)], "node_id string, type string, raw_content string, page_start int, page_end int")
+    got = {x.node_id: (x.type, x.page_start, x.page_end) for x in build.with_pages(n).collect()}
+    assert got == {"a": ("CONTENT", 7, 7), "b": ("FRONT_MATTER", 0, 0), "c": ("CONTENT", 3, 4)}
+
+
+def test_page_summary_counts_all_events(spark):
+    e = spark.range(6000).selectExpr("concat('e', id) event_id", "'j' job_id", "'d' document_id", "1 page_number", "'op' operation", "'m' model", "1 input_tokens", "1 output_tokens", "1.0D credits_used", "1 latency_ms", "false cache_hit", "'EXACT' accuracy", "'success' status", "timestamp_seconds(id) timestamp")
+    assert usage.page_summary(e, document_id="d", page_number=1).first().credits == 6000.0 and usage.events_of(e, job_id="j").count() == 6000
+
+
+def test_long_lines_keep_their_tail(spark):
+    text = "word " * 40
+    lines = spark.createDataFrame([("d", 1, 1, 0, "6.1 Scope", 10.0, False), ("d", 1, 2, 1, text, 10.0, False)], "doc_id string, page int, line_no int, global_idx int, text string, font_size double, is_bold boolean")
+    spans = spark.createDataFrame([("d", 0, "6.1 Scope", 0, 2)], "doc_id string, line_idx int, title string, start int, end int")
+    words = lambda **k: sum(len(x.raw_content.split()) for x in structure.semantic_chunks(lines, spans, 60, 2.0, **k).collect())
+    assert words() >= 40 > words(whole=False)
+
+
+def test_stored_columns_and_children(spark):
+    n = validate_nodes(spark).withColumn("text", F.lit("old")).withColumn("children", F.array(F.lit("zzz")))
+    errors = {x.error for x in validate.errors(n).select("error").distinct().collect()}
+    assert {"Forbidden field 'text' must not be stored on nodes", "Legacy field 'text' present", "children mismatch"} <= errors
+    listed = validate.blocking_errors(validate.errors(n), n).collect()
+    assert all(0 < len(x.blocking_errors) <= 20 for x in listed)
+
+
+def validate_nodes(spark):
+    return sections_plan.sections(spark, "/root/testdata/sf0.001").where("ordinal < 40")
+
+
 def test_metadata(spark):
     df = spark.createDataFrame([("6.2 FORM GST REG-06", "Download the certificate from the portal.")], "title string, raw string")
     a, k, s = df.select(enrich.aliases(F.col("title"), F.col("raw")), enrich.keywords(F.col("title"), F.col("raw")), enrich.synonyms(enrich.aliases(F.col("title"), F.col("raw")), F.col("title"))).first()

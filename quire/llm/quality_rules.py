@@ -92,9 +92,10 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[float]:
     of trusted documents. Ids that are trusted twice count once, null ids are not trusted, rows
     that have one id are trusted together. With no trusted n-gram all ratios are 0."""
     ids = trusted.select("doc_id").where("doc_id IS NOT NULL").distinct().withColumn("good", F.lit(1))
-    grams = docs.select("doc_id", ngram_buckets(F.col("text")).cast("array<short>").alias("buckets")).where(F.size("buckets") > 0)
-    # rows without an id don't meet: they would all go to one task
-    marked = grams.where("doc_id IS NOT NULL").join(ids, "doc_id", "left").select("good", "buckets").unionByName(grams.where("doc_id IS NULL").select(F.lit(None).cast("int").alias("good"), "buckets"))
+    grams = docs.select("doc_id", ngram_buckets(F.col("text")).cast("array<short>").alias("buckets"))
+    # rows without an id don't meet: they would all go to one task; a task's ids are hashed, so that the wide
+    # rows need not be sorted
+    marked = grams.where("doc_id IS NOT NULL").join(ids.hint("shuffle_hash"), "doc_id", "left").select("good", "buckets").unionByName(grams.where("doc_id IS NULL").select(F.lit(None).cast("int").alias("good"), "buckets"))
     each = marked.select("good", F.explode("buckets").alias("bucket"))
     rows = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS at most
     raw_n, good_n = sum(r.raw for r in rows), sum(r.good for r in rows)

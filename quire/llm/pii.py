@@ -145,7 +145,7 @@ def _salted(many: DataFrame, few: DataFrame, key: str, by: list[str], how: str)
     the rows of many that share a key part by a hash of the columns by."""
     salted = many.withColumn("salt", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
     copies = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "salt"], how).drop("salt")
+    return salted.join(copies.hint("merge"), [key, "salt"], how).drop("salt")  # not to be broadcast, SALTS times its size
 
 
 def discovered(narrow: DataFrame, rounds: int = 3, least_pattern: float = 0.6, least_token: float = 0.75, doubt: float = 2.0) -> DataFrame:

@@ -96,8 +96,9 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[float]:
     # rows without an id don't meet: they would all go to one task; a task's ids are hashed, so that the wide
     # rows need not be sorted
     marked = grams.where("doc_id IS NOT NULL").join(ids.hint("shuffle_hash"), "doc_id", "left").select("good", "buckets").unionByName(grams.where("doc_id IS NULL").select(F.lit(None).cast("int").alias("good"), "buckets"))
-    each = marked.select("good", F.explode("buckets").alias("bucket"))
-    rows = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).collect()  # BUCKETS at most
+    # outer: else a test of the arrays' size would go below the projection and make them twice
+    each = marked.select("good", F.explode_outer("buckets").alias("bucket"))
+    rows = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("good").alias("good")).where("bucket IS NOT NULL").collect()  # BUCKETS at most
     raw_n, good_n = sum(r.raw for r in rows), sum(r.good for r in rows)
     out = [0.0] * BUCKETS
     for r in rows:

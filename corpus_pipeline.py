@@ -15,28 +15,33 @@ from quire.llm.common import documents, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null, empty and short texts go; rows with null ids and repeated
+    rows are judged by their text; an empty table stays empty; all columns are kept as they are."""
     ratios = quality_rules.fit(docs, table(spark, sf_dir, "labels").where("quality = 1"))
     return quality_rules.keep(docs, ratios)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates."""
+    """The first document of each group of near duplicates: the smallest id, null ids last. Texts without a
+    word are one group, repeated rows become one, an empty table stays empty."""
     return simhash.one_of_each(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with personal data replaced by its kind. Null and empty texts stay as they are, repeated
+    rows stay repeated, long texts are read whole, an empty table stays empty."""
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most. A null source is a source; texts without words
+    add nothing to the budget; ties are settled by a hash; an empty table stays empty."""
     return mixing.mixed(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in length buckets and batches."""
+    """Pieces in length buckets and batches. A null or empty text is one piece of no words in bucket 0; long
+    texts are cut, not dropped; repeated rows are packed each; an empty table gives no piece."""
     return packing.pack(docs)
 
 

@@ -64,7 +64,9 @@ def finished(nodes: DataFrame, lines: DataFrame, settings=None) -> DataFrame:
     target, least = (0.70, 0.60) if settings is None else (settings.compression_target_ratio, settings.compression_min_ratio)
     leaves = nodes.where("type = 'CONTENT'")
     spans = st.char_spans(lines.withColumn("doc_id", F.col("doc_id").cast("string")), leaves.select("doc_id", "node_id", "start", "end")).drop("start", "end")
-    rich = enrich.enriched(leaves.join(spans, ["doc_id", "node_id"], "left").drop("start", "end"), target, least)
+    # the join's own shuffle, with a given number of partitions: compressing a leaf is large work against its bytes
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rich = enrich.enriched(leaves.repartition(tasks, "doc_id", "node_id").join(spans, ["doc_id", "node_id"], "left").drop("start", "end"), target, least)
     rich = rich.withColumn("micro_summary", F.when(F.coalesce("is_front_matter", F.lit(False)), "Front matter (non-retrieval).").otherwise(F.col("micro_summary")))
     rich = materialized(rich, "leaves")
     none = F.expr("CAST(array() AS array<string>)")

@@ -273,7 +273,9 @@ def semantic_chunks(lines: DataFrame, spans: DataFrame, max_chars: int = 6000, t
     """spans: doc_id, line_idx, title, start, end. The chunks of each range, in order: doc_id, line_idx,
     chunk, title, raw_content, start, end. One task holds the lines of one document at a time. A line
     longer than max_chars becomes several chunks; without whole, what is over is dropped."""
-    ready = prepared_lines(lines).withColumn("doc_id", F.col("doc_id").cast("string"))
+    # a given number of partitions: the work on a line is large against its bytes, by which they would be joined
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ready = prepared_lines(lines).withColumn("doc_id", F.col("doc_id").cast("string")).repartition(tasks, "doc_id")
     wanted = spans.select(F.col("doc_id").cast("string").alias("doc_id"), "line_idx", "title", "start", "end")
 
     def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

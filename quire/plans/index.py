@@ -62,9 +62,9 @@ _NODES = f"""nodes AS (SELECT source AS doc_id, CAST(doc_id AS VARCHAR) AS node_
 _ERRORS = " UNION ALL ".join(f"SELECT doc_id, node_id, '{text}' AS error FROM n WHERE {c}" for c, text in validate._row_rules(r.DUCK))
 
 
-def _built(s: SparkSession) -> DataFrame:
-    """The handbook's chunks as enriched nodes."""
-    x = sp.handbook(s)
+def _built(s: SparkSession, d: str) -> DataFrame:
+    """The chunks of all documents and of the handbook as enriched nodes."""
+    x = sp.everything(s, d)
     chunks = st.usable_chunks(st.semantic_chunks(x, st.ranges(st.without_clusters(st.headings(x)), x)))
     return enrich.enriched(chunks)
 
@@ -73,8 +73,8 @@ QUERIES = {
     "enrich_metadata": lambda s, d: _titled(s).select("i", F.array_join(enrich.aliases(F.col("title"), F.col("raw_content")), "|").alias("aliases"), F.array_join(enrich.keywords(F.col("title"), F.col("raw_content")), "|").alias("keywords"), F.array_join(enrich.synonyms(enrich.aliases(F.col("title"), F.col("raw_content")), F.col("title")), "|").alias("synonyms")),
     "enrich_summaries": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.micro_summary(F.lit("6.1 Part"), "text").alias("summary")).select("doc_id", "summary", enrich.capped_summary("summary").alias("capped")),
     "enrich_compressed": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.compressed(F.col("text")).alias("compressed")),
-    "enrich_handbook": lambda s, d: _built(s).select("doc_id", "start", "title", "compressed_content", "micro_summary"),
-    "index_build_handbook": lambda s, d: build.build_index(sp.handbook(s)).select("node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
+    "enrich_chunks": lambda s, d: _built(s, d).select("doc_id", "start", "title", "compressed_content", "micro_summary"),
+    "index_build": lambda s, d: build.build_index(sp.everything(s, d)).select("doc_id", "node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
     "index_provider_trees": lambda s, d: build.with_pages(build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string")))),
     "index_declared_types": lambda s, d: _titled(s).selectExpr("i", f"{build.declared_type(r.SPARK.strip('title'), 'i % 2 = 0')} AS declared", f"{build.container_type(r.SPARK.strip('title'))} AS container"),
     "index_slim_results": lambda s, d: build.slim_results(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"pipeline": "p", "page_count": '), F.col("event_id"), F.lit(', "validation": {"error_count": 2, "errors": ["a", "b"]}, "structure": '), "props", F.lit("}")).alias("results")), 9).select("doc_id", "page_count", "error_count", F.array_join("errors", ",").alias("errors"), "structure"),

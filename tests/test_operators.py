@@ -11,6 +11,7 @@ from quire.functions import rules as r
 from quire.functions.register import register
 from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, tree, usage, validate
 from quire.plans import index as sections_plan
+from quire.plans import index as index_queries
 from quire.plans import structure as handbook
 from quire.sources import files
 from quire.streaming import ingest
@@ -200,6 +201,18 @@ def test_index_of_a_handbook(spark):
     assert not validate.gates(validate.node_errors(broken), broken).first().compressed_content_valid
 
 
+def test_index_of_all_documents(spark):
+    """Every document has one tree; the handbook's is the one that it gets alone."""
+    d = "/root/testdata/sf0.001"
+    rows = index_queries.QUERIES["index_build"](spark, d).collect()
+    ids = {str(r.doc_id) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()} | {"h"}
+    nodes = {(r.doc_id, r.node_id) for r in rows}
+    assert {r.doc_id for r in rows if r.type == "ROOT"} == ids and len(nodes) == len(rows)
+    assert all((r.doc_id, r.parent_id) in nodes for r in rows if r.parent_id)
+    alone = build.build_index(handbook.handbook(spark)).select(*rows[0].__fields__).collect()
+    assert sorted(map(str, alone)) == sorted(str(r) for r in rows if r.doc_id == "h")
+
+
 def test_saved_trees_and_texts(spark, tmp_path):
     tree = {"nodes": [{"title": "A", "nodes": [{"title": "B", "start_index": 3}]}, {"title": "C"}]}
     flat = files.trees(spark.createDataFrame([("d", json.dumps(tree)), ("e", None)], "doc_id string, json string")).orderBy("ordinal").collect()

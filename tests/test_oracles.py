@@ -43,6 +43,6 @@ def test_query(spark, db, name):
     assert table(df.collect(), columns) == table([dict(zip(names, r, strict=True)) for r in result.fetchall()], columns)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"index_build_handbook", "validate_all_errors"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"index_build", "validate_all_errors"}))
 def test_other_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() >= 0

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
+from quire.functions import unicode
 from quire.operators import enrich, similarity, tree, validate
 from quire.operators import structure as st
 from quire.sources.shared import materialized
@@ -29,7 +31,34 @@ def placed_chunks(lines: DataFrame, heads: DataFrame, placed: DataFrame, max_cha
     pages = lines.join(st.contents_pages(lines), ["doc_id", "page"]).select("doc_id", F.col("global_idx").cast("long").alias("start"))
     chunks = materialized(chunks.join(pages, ["doc_id", "start"], "left_anti").withColumn("id", F.concat_ws("\x1f", "doc_id", F.format_string("%012d%04d", "line_idx", "chunk"))), "chunks")
     kept = similarity.greedy_dedup(chunks.select("id", "doc_id", F.col("raw_content").alias("text")), near, scope="doc_id").where("outcome = 'accepted'").select("id")
-    return chunks.join(kept, "id", "left_semi").drop("id").join(placed.select("doc_id", "line_idx", "role", "parent_key"), ["doc_id", "line_idx"])
+    return merged_siblings(chunks.join(kept, "id", "left_semi").drop("id").join(placed.select("doc_id", "line_idx", "role", "parent_key"), ["doc_id", "line_idx"]), adjacent)
+
+
+_SIBLING = "doc_id string, line_idx long, chunk int, title string, raw_content string, start long, end long, role string, parent_key string"
+
+
+def merged_siblings(chunks: DataFrame, adjacent: float = 0.15) -> DataFrame:
+    """Leaves of one parent with the same section number, in order: a leaf joins the first earlier one
+    whose words it shares, unless their titles differ and one is structural. Wrapped leaves have a
+    parent of their own. One task holds the leaves of one number below one parent."""
+    wrapped = (F.col("role") == "content") & F.col("title").rlike(_NUMBERED) & F.col("parent_key").rlike("^(unit|section):")
+    n = chunks.withColumn("number", F.when(~wrapped, F.nullif(F.regexp_extract(F.trim("title"), r"^(\d+(?:\.\d+)*)", 1), F.lit(""))))
+    n = n.withColumn("structural", F.expr(r.structural_line(D, "title")))
+    columns = [c.split()[0] for c in _SIBLING.split(", ")]
+
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        out: list[dict] = []
+        for x in group.sort_values(["line_idx", "chunk"]).to_dict("records"):
+            same = lambda y, x=x: y["title"].strip().lower() == x["title"].strip().lower() or not (x["structural"] or y["structural"])
+            host = next((y for y in out if same(y) and st.overlap(y["raw_content"], x["raw_content"]) >= adjacent), None)
+            if host is None:
+                out.append(x)
+            else:
+                host.update(raw_content=host["raw_content"] + "\n" + x["raw_content"], start=min(host["start"], x["start"]), end=max(host["end"], x["end"]))
+        return pd.DataFrame(out, columns=columns)
+
+    folded = n.where("number IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("string")).groupBy("doc_id", "parent_key", "number").applyInPandas(fold, _SIBLING)
+    return n.where("number IS NULL").select(*columns).unionByName(folded)
 
 
 def tree_of(placed: DataFrame, chunks: DataFrame, max_title: int = 85) -> DataFrame:
@@ -103,10 +132,10 @@ def with_pages(nodes: DataFrame) -> DataFrame:
     return n.drop("_tag", "_lost")
 
 
-def build_index(lines: DataFrame, max_chars: int = 6000, adjacent: float = 0.15, near: float = 0.85, settings=None) -> DataFrame:
+def build_index(lines: DataFrame, max_chars: int = 6000, adjacent: float = 0.15, near: float = 0.85, settings=None, nfkc: bool = False) -> DataFrame:
     """Lines to sections: headings, hierarchy, chunks, repair, metadata, validation. A document's leaves
-    are retrieval_ready if all its gates are open."""
-    lines = materialized(lines, "lines")
+    are retrieval_ready if all its gates are open. nfkc: lines are in compatibility form first."""
+    lines = materialized(lines.withColumn("text", unicode.nfkc("text")) if nfkc else lines, "lines")
     heads = materialized(st.ranges(st.without_clusters(st.headings(lines)), lines), "headings")
     placed = materialized(st.placed(heads), "placed")
     chunks = placed_chunks(lines, heads, placed, max_chars, adjacent, near)
@@ -178,12 +207,14 @@ def page_estimate(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc_id").agg(F.max(F.greatest("page_start", "page_end")).alias("pages"))
 
 
-def exported(nodes: DataFrame) -> DataFrame:
-    """The public columns of nodes, nulls filled, children listed, nothing else."""
+def exported(nodes: DataFrame, body: bool = True) -> DataFrame:
+    """The public columns of nodes, nulls filled, children listed, nothing else; without body, no texts
+    but titles and summaries."""
     kids = tree.children(nodes)
     text, numbers, lists = ("parent_id", "type", "title", "path", "raw_content", "compressed_content", "micro_summary", "content_hash"), ("page_start", "page_end", "char_start", "char_end", "token_count_raw", "token_count_compressed"), ("aliases", "keywords", "synonyms")
     level = F.element_at(F.create_map(*(F.lit(x) for kv in tree.LEVEL.items() for x in kv)), F.col("type"))
     none = F.expr("CAST(array() AS array<string>)")
+    text = text if body else tuple(c for c in text if c not in ("raw_content", "compressed_content"))
     n = nodes.join(kids, ["doc_id", "node_id"], "left")
     return n.select("doc_id", "node_id", level.alias("level"), *(F.coalesce(c, F.lit("")).alias(c) for c in text), *(F.coalesce(c, F.lit(0)).alias(c) for c in numbers), *(F.coalesce(c, none).alias(c) for c in lists), F.coalesce("children", none).alias("children"), F.coalesce("retrieval_ready", F.lit(False)).alias("retrieval_ready"), F.col("type").isin(*tree.FRONT_TYPES).alias("is_front_matter"))
 
@@ -194,3 +225,13 @@ def slim_results(jobs: DataFrame, most: int = 1_500_000) -> DataFrame:
     structure = F.coalesce(get("$.structure_vrag"), get("$.structure"))
     errors = F.from_json(get("$.validation.errors"), "array<string>")
     return jobs.select("doc_id", get("$.pipeline").alias("pipeline"), get("$.status").alias("status"), get("$.page_count").try_cast("int").alias("page_count"), get("$.retrieval_ready").try_cast("boolean").alias("retrieval_ready"), get("$.validation.error_count").try_cast("int").alias("error_count"), F.slice(errors, 1, 15).alias("errors"), F.when(F.length(structure) <= most, structure).alias("structure"))
+
+
+def merged_results(jobs: DataFrame, runs: DataFrame) -> DataFrame:
+    """jobs: doc_id, status, results (JSON); runs: doc_id, result, structure (JSON, null: none). One row a
+    job: the run's result before the stored one, the run's structure before the stored one."""
+    j = jobs.join(runs.select("doc_id", "result", F.col("structure").alias("made")), "doc_id", "left")
+    get = lambda p: F.get_json_object("results", p)
+    own = lambda k: F.coalesce(F.get_json_object("result", f"$.{k}"), F.when(F.col("result").isNull(), get(f"$.{k}")))
+    structure = F.coalesce("made", own("structure_vrag"), get("$.structure_vrag"))
+    return j.select("doc_id", F.coalesce(own("status"), "status").alias("status"), own("page_count").try_cast("int").alias("page_count"), own("validation.error_count").try_cast("int").alias("error_count"), structure.alias("structure"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
+from quire.operators import store
 
 #: Breaks by priority; the last one in the window counts, and it belongs to the chunk before.
 BREAKS = ("\n\n", ". ", "? ", "! ", ".\n", "?\n", "!\n", "\n", " ")
@@ -89,3 +90,47 @@ def dialogue_pairs(conversations: DataFrame) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     n = conversations.withColumn("next", F.lead("text").over(w)).withColumn("next_role", F.lead("role").over(w))
     return n.where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), F.col("next").alias("answer"))
+
+
+#: Modes and document kinds of an upload.
+MODES, KINDS = ("pageindex", "vector", "hybrid"), ("book", "notice_reply", "faq")
+
+
+def _plain(c: Column, default: str) -> Column:
+    return F.lower(F.trim(F.coalesce(F.nullif(c, F.lit("")), F.lit(default))))
+
+
+def upload_error(file_name: Column, mode: Column, doc_type: Column, size: Column, overlap: Column, whole: Column) -> Column:
+    """The first fault of an upload, null if there is none; chunk settings count for books only, and a
+    null size or overlap is the default one."""
+    size, overlap = F.coalesce(size, F.lit(1000)), F.coalesce(overlap, F.lit(200))
+    book = _plain(doc_type, "book") == "book"
+    return (
+        F.when(~F.lower(F.coalesce(file_name, F.lit(""))).endswith(".pdf"), "Only PDF files are supported.")
+        .when(~_plain(mode, "hybrid").isin(*MODES), f"mode must be one of: {', '.join(MODES)}")
+        .when(~_plain(doc_type, "book").isin(*KINDS), f"doc_type must be one of: {', '.join(KINDS)}")
+        .when(book & (size < 100), "chunk_size must be >= 100")
+        .when(book & (overlap < 0), "chunk_overlap must be >= 0")
+        .when(book & (overlap >= size) & ~F.coalesce(whole, F.lit(False)), "chunk_overlap must be < chunk_size")
+    )
+
+
+def routed(pages: DataFrame, kinds: DataFrame, table: DataFrame, size: int = 1000, overlap: int = 200) -> tuple[DataFrame, DataFrame]:
+    """pages: doc_id, page, text; kinds: doc_id, doc_type (null: book), one row a document. New vector rows
+    of all documents, and the failed ones: doc_id, error. Books are cut into windows; a notice with its
+    reply, and each question with its answer, are pairs of which the first text is embedded. A notice
+    without one of its parts fails, so does an unknown kind, and a document without pairs."""
+    named = pages.join(kinds.select("doc_id", _plain(F.col("doc_type"), "book").alias("doc_type")), "doc_id")
+    of = lambda kind: named.where(F.col("doc_type") == kind).drop("doc_type")
+    joined = lambda p: p.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    split = notices(of("notice_reply"))
+    both = split.where("missing = ''").select("doc_id", F.lit(0).alias("pair"), F.col("notice_text").alias("notice"), F.col("reply_text").alias("reply"))
+    asked = faq_pairs(joined(of("faq")))
+    candidates = store.pair_rows(both, "notice_reply", ("notice", "reply")).unionByName(store.pair_rows(asked, "faq", ("question", "answer")))
+    rows, _ = store.ingested_pairs(table, candidates)
+    book = store.completed(store.embedded(store.vector_rows(chunks(joined(of("book")), size, overlap)), "chunk_text")).withColumn("role", F.lit(None).cast("string")).withColumn("pair_id", F.lit(None).cast("string"))
+    out = ["id", "doc_id", "doc_type", "role", "pair_id", "chunk_index", "chunk_text", "content_hash", "status", "embedding"]
+    failed = split.where("missing <> ''").select("doc_id", F.concat(F.lit("missing: "), "missing").alias("error"))
+    failed = failed.unionByName(of("faq").select("doc_id").distinct().join(asked.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit("no pairs").alias("error")))
+    failed = failed.unionByName(named.where(~F.col("doc_type").isin(*KINDS)).select("doc_id", F.concat(F.lit("Unknown doc_type: "), "doc_type").alias("error")).distinct())
+    return rows.select(*out).unionByName(book.select(*out)), failed

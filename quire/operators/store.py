@@ -85,6 +85,29 @@ def sequenced(jobs: DataFrame) -> DataFrame:
     return jobs.where("seq_id IS NOT NULL").unionByName(numbered.select(*jobs.columns))
 
 
+def pair_rows(pairs: DataFrame, doc_type: str, roles: tuple[str, str]) -> DataFrame:
+    """pairs: doc_id, pair, two texts named by the roles. Two candidate rows for each pair: the first role
+    at chunk 0, the second at chunk 1; ids and pair_id are hashes, so a second run gives the same."""
+    parts = [F.struct(F.lit(i).alias("chunk_index"), F.lit(role).alias("role"), F.col(role).alias("chunk_text")) for i, role in enumerate(roles)]
+    key = lambda *c: F.substring(F.sha2(F.concat_ws("\x1f", F.lit(doc_type), F.col("doc_id").cast("string"), F.col("pair").cast("string"), *c), 256), 1, 32)
+    rows = pairs.select("doc_id", "pair", F.explode(F.array(*parts)).alias("x")).select("doc_id", "pair", "x.*").where("chunk_text IS NOT NULL")
+    return rows.withColumn("id", key(F.col("role"))).withColumn("pair_id", key()).withColumn("content_hash", F.sha2("chunk_text", 256)).withColumn("doc_type", F.lit(doc_type))
+
+
+def ingested_pairs(table: DataFrame, candidates: DataFrame, embed: Callable[[list[str]], np.ndarray] = hashing_embedder) -> tuple[DataFrame, DataFrame]:
+    """New rows and links of candidates (pair_rows). Of one text the row that the table (id, content_hash,
+    created_at) holds, the oldest, else the first candidate by doc_id, pair, chunk is the only one. Rows
+    of chunk 0 are embedded, the others stay without a vector. Links: every candidate with row_id, the
+    row that holds its text, and is_new."""
+    known = table.groupBy("content_hash").agg(F.min_by("id", F.struct("created_at", "id")).alias("known_id"))
+    first = candidates.groupBy("content_hash").agg(F.min_by("id", F.struct("doc_id", "pair", "chunk_index")).alias("first_id"))
+    owners = first.join(known, "content_hash", "left").select("content_hash", F.coalesce("known_id", "first_id").alias("row_id"))
+    linked = candidates.join(owners, "content_hash").withColumn("is_new", F.col("id") == F.col("row_id"))
+    rows = embedded(linked.where("is_new").drop("row_id", "is_new"), "chunk_text", F.col("chunk_index") == 0, embed)
+    rows = rows.withColumn("status", F.when(F.col("chunk_index") == 0, "embedded").otherwise("not_embedded"))
+    return rows, linked.select("doc_id", "pair", "pair_id", "role", "row_id", "is_new")
+
+
 def synced(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     """Nodes with their job's seq_id and file_name; their own where there is no job."""
     j = jobs.select("doc_id", F.col("seq_id").alias("_s"), F.col("file_name").alias("_f"))
@@ -130,16 +153,24 @@ def status_list(jobs: DataFrame, vectors: DataFrame, limit: int = 100, oldest: b
     return out.orderBy(F.desc("created_at"), "doc_id").limit(limit)
 
 
-def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """vectors: id, embedding; queries: query_id, embedding (a stated, small query set, broadcast). The k
-    nearest of each query by cosine, in double precision: query_id, id, cosine, rank. An extension:
-    the index this stands for is only declared, never searched. Each task keeps k candidates a query
-    before the final ranking."""
+def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = 1024, parts: int = 32) -> DataFrame:
+    """vectors: id, embedding; queries: query_id, embedding (a stated query set). The k nearest of each
+    query by cosine, in double precision: query_id, id, cosine, rank. An extension: the index this
+    stands for is only declared, never searched. Queries are counted: up to ``most`` are broadcast;
+    beyond, blocks of at most about ``most`` queries meet ``parts`` parts of the vectors by a shuffled
+    join on (block, part), with the same rows. k candidates of a query and part go on to the ranking."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(dot(c, c))
-    v = vectors.select("id", d("embedding").alias("e")).withColumn("n", norm(F.col("e")))
+    v = vectors.select("id", d("embedding").alias("e")).withColumn("n", norm(F.col("e"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     q = queries.select("query_id", d("embedding").alias("qe")).withColumn("qn", norm(F.col("qe")))
-    pairs = v.join(F.broadcast(q), F.lit(True)).select("query_id", "id", F.round(F.try_divide(dot(F.col("e"), F.col("qe")), F.col("n") * F.col("qn")), 6).alias("cosine"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = -(-queries.count() // most)
+    if blocks <= 1:
+        pairs = v.join(F.broadcast(q), F.lit(True))
+    else:
+        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt.hint("shuffle_hash"), ["block", "part"])
+    scored = pairs.select("query_id", "id", "part", F.round(F.try_divide(dot(F.col("e"), F.col("qe")), F.col("n") * F.col("qn")), 6).alias("cosine"))
+    order = [F.desc("cosine"), F.col("id")]
+    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "id", "cosine", "rank")

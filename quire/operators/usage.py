@@ -242,6 +242,8 @@ def alerts_by_time(events: DataFrame, **where) -> DataFrame:
     return timed.orderBy(F.desc("created_at"), F.desc("event_id"), "alert_type")
 
 
-def dashboard(events: DataFrame, needle: str) -> DataFrame:
-    """Events whose page, operation, model or accuracy contains the needle, case aside."""
-    return events.where(F.lower(F.concat_ws(" ", F.col("page_number").cast("string"), "operation", "model", "accuracy")).contains(needle.lower()))
+def dashboard(events: DataFrame, needle: str, by: str | None = None, descending: bool = False) -> DataFrame:
+    """Events whose page, operation, model or accuracy contains the needle, case aside; by: sorted by a
+    column, nulls first when ascending, then by event_id."""
+    found = events.where(F.lower(F.concat_ws(" ", F.col("page_number").cast("string"), "operation", "model", "accuracy")).contains(needle.lower()))
+    return found if by is None else found.orderBy(F.desc(by) if descending else F.asc(by), "event_id")

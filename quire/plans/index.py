@@ -69,6 +69,17 @@ def _built(s: SparkSession, d: str) -> DataFrame:
     return enrich.enriched(chunks)
 
 
+def _merged_results(s: SparkSession, d: str) -> DataFrame:
+    """A stored result for every event, and a run's for some, with or without a structure."""
+    e = s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("k"))
+    n = F.col("k").cast("string")
+    stored = F.when(F.col("k") % 5 > 0, F.concat(F.lit('{"status": "done", "page_count": '), n, F.lit(', "validation": {"error_count": 4}, "structure_vrag": [1]}')))
+    jobs = e.select(F.col("k").alias("doc_id"), F.lit("running").alias("status"), stored.alias("results"))
+    run = F.when(F.col("k") % 4 == 0, F.concat(F.lit('{"status": "ready", "page_count": 7, "structure_vrag": ['), n, F.lit("]}")))
+    runs = e.where("k % 2 = 0").select(F.col("k").alias("doc_id"), run.alias("result"), F.when(F.col("k") % 6 == 0, "[0]").alias("structure"))
+    return build.merged_results(jobs, runs)
+
+
 QUERIES = {
     "enrich_metadata": lambda s, d: _titled(s).select("i", F.array_join(enrich.aliases(F.col("title"), F.col("raw_content")), "|").alias("aliases"), F.array_join(enrich.keywords(F.col("title"), F.col("raw_content")), "|").alias("keywords"), F.array_join(enrich.synonyms(enrich.aliases(F.col("title"), F.col("raw_content")), F.col("title")), "|").alias("synonyms")),
     "enrich_summaries": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.micro_summary(F.lit("6.1 Part"), "text").alias("summary")).select("doc_id", "summary", enrich.capped_summary("summary").alias("capped")),
@@ -78,6 +89,7 @@ QUERIES = {
     "index_provider_trees": lambda s, d: build.with_pages(build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string")))),
     "index_declared_types": lambda s, d: _titled(s).selectExpr("i", f"{build.declared_type(r.SPARK.strip('title'), 'i % 2 = 0')} AS declared", f"{build.container_type(r.SPARK.strip('title'))} AS container"),
     "index_slim_results": lambda s, d: build.slim_results(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"pipeline": "p", "page_count": '), F.col("event_id"), F.lit(', "validation": {"error_count": 2, "errors": ["a", "b"]}, "structure": '), "props", F.lit("}")).alias("results")), 9).select("doc_id", "page_count", "error_count", F.array_join("errors", ",").alias("errors"), "structure"),
+    "index_merged_results": lambda s, d: _merged_results(s, d),
     "validate_node_errors": lambda s, d: validate.node_errors(sections(s, d)),
     "validate_gates": lambda s, d: validate.gates(validate.node_errors(sections(s, d)), sections(s, d)),
     "validate_all_errors": lambda s, d: validate.errors(sections(s, d)).groupBy("doc_id", "error").agg(F.count("*").alias("n")),
@@ -87,6 +99,8 @@ QUERIES = {
 _GATE_SQL = ", ".join(f"NOT coalesce(bool_or({' OR '.join(f'contains(lower(error), {chr(39)}{p.lower()}{chr(39)})' for p in (parts or ('no retrieval',)))}), false) AS {g}" for g, parts in validate.GATES.items())
 _UNDER = "(VALUES " + ", ".join(f"('{p}', '{c}')" for p, cs in tree.UNDER.items() for c in cs) + ") v(pt, ct)"
 ORACLE_SQL = {
+    "index_merged_results": """SELECT event_id AS doc_id, CASE WHEN event_id % 4 = 0 THEN 'ready' WHEN event_id % 5 > 0 THEN 'done' ELSE 'running' END AS status, CAST(CASE WHEN event_id % 4 = 0 THEN 7 WHEN event_id % 5 > 0 THEN event_id END AS INT) AS page_count,
+        CASE WHEN event_id % 4 > 0 AND event_id % 5 > 0 THEN 4 END AS error_count, CASE WHEN event_id % 6 = 0 THEN '[0]' WHEN event_id % 4 = 0 THEN '[' || event_id || ']' WHEN event_id % 5 > 0 THEN '[1]' END AS structure FROM events""",
     "index_slim_results": """SELECT event_id AS doc_id, CAST(event_id AS INT) AS page_count, 2 AS error_count, 'a,b' AS errors, CASE WHEN length(replace(props, ' ', '')) <= 9 THEN replace(props, ' ', '') END AS structure FROM events""",
     "validate_node_errors": f"WITH {_NODES} {_ERRORS}",
     "validate_all_errors": f"""WITH {_NODES}, lv AS (SELECT * FROM n WHERE type = 'CONTENT' AND raw <> '' AND NOT is_front_matter),

@@ -51,7 +51,44 @@ def _chunked(s: SparkSession, d: str) -> DataFrame:
     return chunking.chunks(_t(s, d, "documents").select("doc_id", "text"))
 
 
+def _pairs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Questions and answers of all conversations, against a table of those of every seventh one."""
+    c = _t(s, d, "conversations")
+    old = c.where("conv_id % 7 = 0 AND text IS NOT NULL").select(F.concat_ws("-", F.lit("old"), "conv_id", "turn").alias("id"), F.sha2("text", 256).alias("content_hash"), F.lit("2024-01-01").cast("timestamp_ntz").alias("created_at"))
+    asked = chunking.dialogue_pairs(c).select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pair"), "question", "answer")
+    return store.ingested_pairs(old, store.pair_rows(asked, "faq", ("question", "answer")))
+
+
+_PAIRS = """a AS (SELECT conv_id AS doc_id, turn AS pair, text AS question, nt AS answer FROM (SELECT *, lead(text) OVER w AS nt, lead(role) OVER w AS nr FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND nr = 'assistant'),
+    b AS (SELECT doc_id, pair, 0 AS chunk_index, 'question' AS role, question AS t FROM a UNION ALL SELECT doc_id, pair, 1, 'answer', answer FROM a),
+    c AS (SELECT *, substring(sha256(concat_ws(chr(31), 'faq', doc_id, pair, role)), 1, 32) AS id, substring(sha256(concat_ws(chr(31), 'faq', doc_id, pair)), 1, 32) AS pair_id, sha256(t) AS h FROM b WHERE t IS NOT NULL),
+    o AS (SELECT sha256(text) AS h, min('old-' || conv_id || '-' || turn) AS old FROM conversations WHERE conv_id % 7 = 0 GROUP BY 1),
+    l AS (SELECT c.*, coalesce(old, first_value(id) OVER (PARTITION BY h ORDER BY doc_id, pair, chunk_index)) AS row_id FROM c LEFT JOIN o USING (h))"""
+
+
+def _uploads(s: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    name = F.concat(F.lit("f"), k.cast("string"), F.when(k % 5 == 0, ".txt").otherwise(".PDF"))
+    kind = F.when(k % 13 == 0, "memo").when(k % 3 == 0, "FAQ").when(k % 3 == 1, " book ")
+    fault = chunking.upload_error(name, F.when(k % 11 == 0, "both").when(k % 2 == 0, "Vector"), kind, F.when(k % 17 > 0, k % 400), (k % 7) * 50 - 10, k % 4 == 0)
+    return _t(s, d, "orders").select("o_orderkey", fault.alias("error"))
+
+
+def _routed(s: SparkSession, d: str) -> DataFrame:
+    """All documents as books, with the small notices and question lists."""
+    x = _t(s, d, "documents")
+    pages = x.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(1).alias("page"), "text").unionByName(_pages(s)).unionByName(s.createDataFrame([(i, 1, t) for i, t in FAQS], "doc_id string, page int, text string"))
+    kinds = [(i, "notice_reply") for i in ("a", "b", "c")] + [(i, "FAQ ") for i, _ in FAQS]
+    given = x.select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("doc_type")).unionByName(s.createDataFrame(kinds, "doc_id string, doc_type string"))
+    rows, _ = chunking.routed(pages, given, _vectors(s, d).select(F.col("id").cast("string").alias("id"), "content_hash", "created_at"))
+    return rows.select("id", "doc_id", "doc_type", "role", "chunk_index", "status", F.size("embedding").alias("dim"))
+
+
 QUERIES = {
+    "ingest_pair_rows": lambda s, d: _pairs(s, d)[0].select("id", "doc_id", "pair_id", "role", "status", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim")),
+    "ingest_pair_links": lambda s, d: _pairs(s, d)[1],
+    "ingest_upload_errors": _uploads,
+    "ingest_routed": _routed,
     "ingest_chunks": _chunked,
     "ingest_vector_rows": lambda s, d: store.completed(store.embedded(store.vector_rows(_chunked(s, d)), "chunk_text", F.col("chunk_index") % 2 == 0)).select("id", "doc_id", "chunk_index", "status", F.size("embedding").alias("dim")),
     "ingest_notice_pages": lambda s, d: chunking.notice_pages(_pages(s)).select("doc_id", "page", "part"),
@@ -78,6 +115,11 @@ QUERIES = {
 }
 _P = f"p AS (SELECT * FROM {_values(PAGES)} v(doc_id, page, text)), m AS (SELECT *, CASE WHEN contains(upper(text), 'GST / NOTICE') THEN 'notice' WHEN contains(upper(text), 'GST / REPLY') THEN 'reply' END AS mark FROM p), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS part FROM m)"
 ORACLE_SQL = {
+    "ingest_pair_rows": f"WITH {_PAIRS} SELECT id, doc_id, pair_id, role, CASE chunk_index WHEN 0 THEN 'embedded' ELSE 'not_embedded' END AS status, CASE chunk_index WHEN 0 THEN 64 ELSE -1 END AS dim FROM l WHERE id = row_id",
+    "ingest_pair_links": f"WITH {_PAIRS} SELECT doc_id, pair, pair_id, role, row_id, id = row_id AS is_new FROM l",
+    "ingest_upload_errors": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN k % 17 > 0 THEN k % 400 ELSE 1000 END AS size, k % 7 * 50 - 10 AS over, k % 13 <> 0 AND k % 3 <> 0 AS book FROM orders)
+        SELECT k AS o_orderkey, CASE WHEN k % 5 = 0 THEN 'Only PDF files are supported.' WHEN k % 11 = 0 THEN 'mode must be one of: pageindex, vector, hybrid' WHEN k % 13 = 0 THEN 'doc_type must be one of: book, notice_reply, faq'
+        WHEN book AND size < 100 THEN 'chunk_size must be >= 100' WHEN book AND over < 0 THEN 'chunk_overlap must be >= 0' WHEN book AND over >= size AND k % 4 > 0 THEN 'chunk_overlap must be < chunk_size' END AS error FROM u""",
     "ingest_notice_pages": f"WITH {_P} SELECT doc_id, page, part FROM s WHERE part IS NOT NULL",
     "ingest_faq_pairs": f"""WITH t AS (SELECT doc_id, string_split(regexp_replace(text, '(?i)(?:Question|Q)\\s*[:\\-]\\s*', chr(30), 'g'), chr(30))[2:] AS qs FROM {_values(FAQS)} v(doc_id, text)), x AS (SELECT doc_id, unnest(range(len(qs))) AS pair, string_split(regexp_replace(unnest(qs), '(?i)(?:Answer|A)\\s*[:\\-]\\s*', chr(31)), chr(31)) AS qa FROM t)
         SELECT doc_id, CAST(pair AS INT) AS pair, regexp_replace(qa[1], '^\\s+|\\s+$', '', 'g') AS question, regexp_replace(qa[2], '^\\s+|\\s+$', '', 'g') AS answer FROM x WHERE trim(qa[2], chr(10) || ' ') <> ''""",

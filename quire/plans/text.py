@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
+from quire.functions import unicode
 
 #: Lines as they stand in guides, acts and notices, for branches that no generated document reaches.
 TITLES = [
@@ -92,6 +93,7 @@ _PAIRS = {
     "text_row_ids": _fixture_pair([(7, "c1"), (12, "content_0042"), (123456, "0007")], "seq node", lambda d: {"seq": "seq", "id": r.row_id(d, "seq", "node")}),
 }
 QUERIES = {k: v[0] for k, v in _PAIRS.items()}
+QUERIES["text_nfkc"] = lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(unicode.nfkc("text")).alias("form"))
 ORACLE_SQL = {k: v[1] for k, v in _PAIRS.items()}
 
 

@@ -63,6 +63,7 @@ QUERIES = {
     "usage_latest_job": lambda s, d: usage.latest_job(jobs(events(s, d))),
     "usage_events_of_job": lambda s, d: usage.events_of(events(s, d), 5000, job_id=8).select("event_id", "operation", "credits_used", "timestamp"),
     "usage_dashboard": lambda s, d: usage.dashboard(events(s, d), "click large").select("event_id", "page_number", "operation", "model", "accuracy"),
+    "usage_dashboard_sorted": lambda s, d: usage.dashboard(events(s, d), "view", "latency_ms", True).select("event_id", "operation", "latency_ms"),
     "usage_page_summary": lambda s, d: usage.page_summary(events(s, d), document_id=8, page_number=3),
     "usage_appended": lambda s, d: usage.appended(events(s, d).where("event_id % 3 > 0"), events(s, d).where("event_id % 2 = 0")).select("event_id", "operation"),
     "usage_alerts_by_time": lambda s, d: usage.alerts_by_time(events(s, d), job_id=8).select("event_id", "alert_type", "created_at"),
@@ -117,6 +118,7 @@ ORACLE_SQL = {
     "usage_latest_job": _WITH + _JOBS + "SELECT job_id % 40 AS document_id, arg_max(job_id, (started_at, job_id)) AS job_id FROM j GROUP BY 1",
     "usage_events_of_job": _WITH + 'SELECT event_id, operation, credits_used, "timestamp" FROM e WHERE job_id = 8 ORDER BY "timestamp", event_id LIMIT 5000',
     "usage_dashboard": _WITH + "SELECT event_id, page_number, operation, model, accuracy FROM e WHERE operation = 'click' AND model = 'large'",
+    "usage_dashboard_sorted": _WITH + "SELECT event_id, operation, latency_ms FROM e WHERE contains(lower(concat_ws(' ', page_number, operation, model, accuracy)), 'view') ORDER BY latency_ms DESC, event_id",
     "usage_appended": _WITH + "SELECT event_id, operation FROM e WHERE event_id % 3 > 0 OR event_id % 2 = 0",
     "usage_alerts_by_time": _WITH + "SELECT event_id, unnest(CASE WHEN credits_used > 1 THEN ['page_cost_high'] ELSE [] END || CASE WHEN status = 'failed' AND credits_used > 0 THEN ['wasted_credits'] ELSE [] END) AS alert_type, \"timestamp\" AS created_at FROM e WHERE job_id = 8",
     "usage_page_summary": _WITH + f'SELECT operation, round(sum(credits_used), 6) AS credits, {_LONG} AS note FROM e WHERE document_id = 8 AND page_number = 3 GROUP BY operation',

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
+from quire.functions import unicode
 from quire.functions.register import register
 from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, tree, usage, validate
 from quire.plans import index as sections_plan
@@ -264,3 +265,60 @@ def test_placed_covers_documents(spark):
     d = "/root/testdata/sf0.001"
     ids = {str(r.doc_id) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()} | {"h"}
     assert {r.doc_id for r in handbook.QUERIES["structure_placed"](spark, d).select("doc_id").distinct().collect()} == ids
+
+
+def test_compatibility_form(spark):
+    import unicodedata
+
+    texts = ["plain", None, "", "ﬁne ½ Ⅳ", "e\u0301", "ＧＳＴＲ－１", "日本 ㍿"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", unicode.nfkc("t").alias("t")).orderBy("i").collect()
+    assert [x.t for x in got] == [None if t is None else unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_leaves_of_one_number_are_merged(spark):
+    body = "the levy covers every supply made in the state by a registered person"
+    rows = [
+        ("d", 1, 0, "6 Rates", body, 1, 3, "content", "chapter:1"),
+        ("d", 4, 0, "7 Other", "nothing in common with any of them at all", 4, 5, "content", "chapter:1"),
+        ("d", 6, 0, "6 rates ", body + " today", 6, 8, "content", "chapter:1"),
+        ("d", 9, 0, "6 Rates", body, 9, 10, "content", "chapter:2"),
+        ("d", 11, 0, "6.1 Rates", body, 11, 12, "content", "unit:1"),
+        ("d", 13, 0, "6.1 Rates", body, 13, 14, "content", "unit:1"),
+        ("d", 15, 0, "Plain", body, 15, 16, "content", "chapter:1"),
+        ("d", 17, 0, "6 Rates", "wholly different words stand here instead", 17, 18, "content", "chapter:1"),
+    ]
+    got = build.merged_siblings(spark.createDataFrame(rows, build._SIBLING)).orderBy("line_idx").collect()
+    assert [(x.line_idx, x.start, x.end) for x in got] == [(1, 1, 8), (4, 4, 5), (9, 9, 10), (11, 11, 12), (13, 13, 14), (15, 15, 16), (17, 17, 18)]
+    assert got[0].raw_content == body + "\n" + body + " today"
+
+
+def test_cosine_in_blocks_is_the_same(spark):
+    v = spark.range(200).select("id", F.array(*(F.sin(F.col("id") * i + i) for i in range(1, 7))).alias("embedding"))
+    v = v.unionByName(spark.createDataFrame([(900, [0.0] * 6), (901, None)], "id long, embedding array<double>"))
+    q = v.where("id % 10 = 0").withColumnRenamed("id", "query_id")
+    rows = lambda **k: sorted(map(tuple, store.cosine_top_k(v, q, 3, **k).collect()))
+    one = rows()
+    assert len(one) == 63 and one == rows(most=4, parts=3) == rows(most=1, parts=1)
+
+
+def test_pairs_and_routing(spark):
+    pairs = [("x", 0, "What?", "A form."), ("x", 1, "When?", "A form."), ("y", 0, "What?", "Soon."), ("z", 0, "Old?", None)]
+    c = store.pair_rows(spark.createDataFrame(pairs, "doc_id string, pair int, question string, answer string"), "faq", ("question", "answer"))
+    old = spark.createDataFrame([("o2", "Old?", 2), ("o1", "Old?", 1)], "id string, t string, created_at int").select("id", F.sha2("t", 256).alias("content_hash"), "created_at")
+    rows, links = store.ingested_pairs(old, c)
+    assert sorted((x.chunk_text, x.status, x.embedding is not None) for x in rows.collect()) == [("A form.", "not_embedded", False), ("Soon.", "not_embedded", False), ("What?", "embedded", True), ("When?", "embedded", True)]
+    at = {(x.doc_id, x.pair, x.role): x for x in links.collect()}
+    assert at["x", 0, "answer"].row_id == at["x", 1, "answer"].row_id and at["x", 0, "question"].row_id == at["y", 0, "question"].row_id
+    assert at["z", 0, "question"].row_id == "o1" and len(at) == 7 and sum(x.is_new for x in at.values()) == 4
+    pages = spark.createDataFrame([("n", 1, "GST / NOTICE\nTax is short"), ("n", 2, "GST / REPLY\nIt is not"), ("m", 1, "GST / REPLY only"), ("f", 1, "Q: Why?\nA: So."), ("g", 1, "no marks"), ("b", 1, "A book. " * 40), ("u", 1, "x")], "doc_id string, page int, text string")
+    kinds = spark.createDataFrame([("n", "Notice_Reply "), ("m", "notice_reply"), ("f", "faq"), ("g", "faq"), ("b", None), ("u", "memo")], "doc_id string, doc_type string")
+    new, failed = chunking.routed(pages, kinds, old)
+    assert sorted((x.doc_id, x.role or "", x.status) for x in new.collect()) == [("b", "", "completed"), ("f", "answer", "not_embedded"), ("f", "question", "embedded"), ("n", "notice", "embedded"), ("n", "reply", "not_embedded")]
+    assert sorted(map(tuple, failed.collect())) == [("g", "no pairs"), ("m", "missing: notice"), ("u", "Unknown doc_type: memo")]
+
+
+def test_dedup_stats(spark):
+    body = "this text is long enough to be kept by the rule"
+    docs = spark.createDataFrame([(0, body), (1, body.upper()), (2, "short"), (3, body + " x")], "id long, text string")
+    assert similarity.dedup_stats(similarity.greedy_dedup(docs)).first().asDict() == {"rejected_exact": 1, "rejected_overlap": 1, "too_short": 1, "accepted": 1}
+    assert similarity.dedup_stats(docs.limit(0).withColumn("outcome", F.lit("exact"))).first().accepted == 0

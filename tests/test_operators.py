@@ -322,3 +322,10 @@ def test_dedup_stats(spark):
     docs = spark.createDataFrame([(0, body), (1, body.upper()), (2, "short"), (3, body + " x")], "id long, text string")
     assert similarity.dedup_stats(similarity.greedy_dedup(docs)).first().asDict() == {"rejected_exact": 1, "rejected_overlap": 1, "too_short": 1, "accepted": 1}
     assert similarity.dedup_stats(docs.limit(0).withColumn("outcome", F.lit("exact"))).first().accepted == 0
+
+
+def test_nodes_without_bodies(spark):
+    n = index_queries.sections(spark, "/root/testdata/sf0.001").withColumn("token_count_raw", F.lit(1))
+    whole, slim = build.exported(n), build.exported(n, body=False)
+    assert set(whole.columns) - set(slim.columns) == {"raw_content", "compressed_content"}
+    assert whole.drop("raw_content", "compressed_content").exceptAll(slim).isEmpty() and whole.count() == slim.count()

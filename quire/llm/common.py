@@ -69,6 +69,13 @@ def id_remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(text.cast("binary")) % F.lit(modulus)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the crc32 of a short ASCII text: byte by byte, bit by bit."""
+    bit = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384::BIGINT) ELSE v // 2 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: {bit})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({text}, '')]), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
 def id_order(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
 

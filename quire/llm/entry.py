@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import class_lm, language_id, media, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
+from quire.llm import class_lm, conversations, exact_dedup, language_id, media, merkle, mixing, packing, pii, quality_rules, simhash, substring_dedup, toxicity
 from quire.llm.common import documents, id_remainder, table
 
 
@@ -58,6 +58,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.manifest(documents(spark, sf_dir)))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(documents(spark, sf_dir), digest_all=True)
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_toxicity": op2_toxicity,
@@ -69,9 +82,15 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_mixing": op9_mixing,
     "op10_media_columns": op10_media_columns,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
         win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, range(1, len(w) - 48) AS r(i) WHERE len(w) >= 50),

@@ -1,19 +1,23 @@
 """Trees as adjacency rows: paths, order, roll-ups, links and repairs.
 
 A node row has doc_id, node_id, parent_id (null: root), ordinal (place among all nodes of the
-document), type, title. Depth is bounded by the level lattice, so trees are walked by a bounded
-number of self joins on (doc_id, parent_id); nothing is nested and nothing is collected.
+document), type, title. A chapter may stand under a chapter, so depth has no bound: chains of parents are
+found by pointer doubling, where each round of joins on (doc_id, node_id) doubles how far a node sees, so
+log2(depth) rounds reach the roots. Only nodes that are parents take part; leaves look up their parent's chain
+once. A node whose chain never ends is on a cycle or below one. Nothing is collected.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import rules
+from quire.sources.shared import discard, materialized
 
 #: Levels of the node types, and the types that may stand under each.
 LEVEL = {
@@ -33,8 +37,6 @@ UNDER = {
 }
 CONTAINERS = ("ROOT", "DOCUMENT", "FRONT_MATTER", "CHAPTER", "APPENDIX", "SECTION", "UNIT", "TOPIC", "SUBTOPIC")
 FRONT_TYPES = ("TABLE_OF_CONTENTS", "PREFACE", "COURSE_INFO", "OBJECTIVES", "SYLLABUS", "REFERENCES")
-#: Levels of the lattice and a grouped chapter.
-DEPTH = 9
 _KEY = ["doc_id", "node_id"]
 
 
@@ -46,33 +48,64 @@ def valid_pairs(spark) -> DataFrame:
     return spark.createDataFrame([(p, c) for p, cs in UNDER.items() for c in cs], "parent_type string, type string")
 
 
-def chains(nodes: DataFrame, carried: Column, depth: int = DEPTH) -> DataFrame:
-    """doc_id, node_id, chain: structs (id, v) of the node and its ancestors, upwards, v being the
-    carried column of each; rooted: whether the chain ends at a node without a parent. One join a
-    level, on (doc_id, parent)."""
-    ups = nodes.select("doc_id", F.col("node_id").alias("next"), F.col("parent_id").alias("after"), F.struct(F.col("node_id").alias("id"), carried.alias("v")).alias("link"))
-    out = nodes.select("doc_id", "node_id", F.col("parent_id").alias("next"), F.array(F.struct(F.col("node_id").alias("id"), carried.alias("v"))).alias("chain"), F.lit(False).alias("lost"))
-    for _ in range(depth):
-        step = out.join(ups, ["doc_id", "next"], "left")
-        lost = F.col("lost") | (F.col("next").isNotNull() & F.col("link").isNull())
-        chain = F.when(F.col("link").isNull(), F.col("chain")).otherwise(F.concat("chain", F.array("link")))
-        out = step.select("doc_id", "node_id", F.col("after").alias("next"), chain.alias("chain"), lost.alias("lost"))
-    return out.select("doc_id", "node_id", "chain", (~F.col("lost") & F.col("next").isNull()).alias("rooted"))
-
-
-def paths(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+def _parents(rows: DataFrame) -> DataFrame:
+    """The rows (doc_id, node_id, parent_id, ...) whose node is a parent."""
+    used = rows.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id").alias("node_id")).distinct()
+    return rows.join(used, _KEY, "left_semi")
+
+
+def _climbed(inner: DataFrame, link: Column | None) -> DataFrame:
+    """inner (doc_id, node_id, parent_id, ...) with next, the first ancestor beyond those that a node sees (null: it
+    sees a root, or lost is true and an ancestor is missing), and with a link chain: the links of the node and all that
+    it sees. Where next is not null after the last round, the node is on a cycle or below one.
+
+    A round appends to each open node what the node at its end sees. While there is an open node that a root
+    will be reached from, one of them ends within the next round, so a round in which none ends is the last.
+    """
+    kept = [] if link is None else ["chain"]
+    first = [] if link is None else [F.array(link).alias("chain")]
+    state = materialized(inner.select("doc_id", "node_id", F.col("parent_id").alias("next"), F.lit(False).alias("lost"), *first), "climb")
+    before, open_ = -1, state.where("next IS NOT NULL").count()
+    while open_ and open_ != before:
+        ups = state.select("doc_id", F.col("node_id").alias("next"), F.col("next").alias("after"), F.col("lost").alias("beyond"), *(F.col(c).alias("more") for c in kept))
+        seen = state.where("next IS NOT NULL").join(ups, ["doc_id", "next"], "left")
+        none = F.array().cast(state.schema["chain"].dataType) if kept else None
+        longer = [F.concat("chain", F.coalesce("more", none)).alias("chain")] if kept else []
+        step = seen.select("doc_id", "node_id", F.col("after").alias("next"), F.coalesce("beyond", F.lit(True)).alias("lost"), *longer)
+        grown = materialized(state.where("next IS NULL").unionByName(step), "climb")
+        discard(state)
+        state = grown
+        before, open_ = open_, state.where("next IS NOT NULL").count()
+    return state
+
+
+def chains(nodes: DataFrame, carried: Column) -> DataFrame:
+    """doc_id, node_id, chain: structs (id, v) of the node and its ancestors, upwards, v being the carried
+    column of each; rooted: whether the chain ends at a node without a parent (not at a missing one). Nodes on a
+    cycle or below one have no row."""
+    link = F.struct(F.col("node_id").alias("id"), carried.alias("v"))
+    rows = nodes.select(*_KEY, "parent_id", link.alias("link"))
+    ups = _climbed(_parents(rows), F.col("link")).select("doc_id", F.col("node_id").alias("parent_id"), "next", "lost", F.col("chain").alias("more"))
+    seen = rows.join(ups, ["doc_id", "parent_id"], "left").where("next IS NULL")
+    none = F.array().cast(ups.schema["more"].dataType)
+    rooted = F.col("parent_id").isNull() | ~F.coalesce("lost", F.lit(True))
+    return seen.select(*_KEY, F.concat(F.array("link"), F.coalesce("more", none)).alias("chain"), rooted.alias("rooted"))
+
+
+def paths(nodes: DataFrame) -> DataFrame:
     """Adds path ('ROOT > CHAPTER_X > ...'; a root that isn't of type ROOT stands under it) and depth.
     Nodes that no root reaches are left out."""
-    found = chains(nodes, F.expr(rules.path_segment(rules.SPARK, "title", "type")), depth).where("rooted")
+    found = chains(nodes, F.expr(rules.path_segment(rules.SPARK, "title", "type"))).where("rooted")
     n = nodes.join(found, _KEY)
     top = F.element_at("chain", -1)["v"]
     path = F.array_join(F.transform(F.reverse("chain"), lambda x: x["v"]), " > ")
     return n.withColumn("path", F.when(top == "ROOT", path).otherwise(F.concat(F.lit("ROOT > "), path))).withColumn("depth", F.size("chain") - 1).drop("chain", "rooted")
 
 
-def preorder(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Adds seq, 1 up in each document: depth first, children by node_id. Orphans are roots."""
-    keys = chains(nodes, F.lit(0), depth).select("doc_id", "node_id", F.reverse(F.transform("chain", lambda x: x["id"])).alias("key"))
+def preorder(nodes: DataFrame) -> DataFrame:
+    """Adds seq, 1 up in each document: depth first, children by node_id. Orphans are roots; nodes on a cycle or
+    below one are left out."""
+    keys = chains(nodes, F.lit(0)).select(*_KEY, F.reverse(F.transform("chain", lambda x: x["id"])).alias("key"))
     return nodes.join(keys, _KEY).withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))).drop("key")
 
 
@@ -96,15 +129,26 @@ def with_parent(nodes: DataFrame) -> DataFrame:
     return nodes.join(p, ["doc_id", "parent_id"], "left")
 
 
-def ancestors(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, node_id, ancestor_id, distance (0: itself)."""
-    return chains(nodes, F.lit(0), depth).select("doc_id", "node_id", F.posexplode("chain").alias("distance", "c")).select("doc_id", "node_id", F.col("c.id").alias("ancestor_id"), "distance")
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """doc_id, node_id, ancestor_id, distance (0: itself); none of nodes on a cycle or below one."""
+    return chains(nodes, F.lit(0)).select(*_KEY, F.posexplode("chain").alias("distance", "c")).select(*_KEY, F.col("c.id").alias("ancestor_id"), "distance")
+
+
+def gathered(nodes: DataFrame, values: DataFrame, how: Callable[[str], Column]) -> DataFrame:
+    """values (doc_id, node_id, parent_id, measures) summed up, by sum, max or the like, over the nodes at or below
+    each node that has any: first by parent, so a chain is unfolded once a parent, not once a value."""
+    measures = [c for c in values.columns if c not in (*_KEY, "parent_id")]
+    each = [how(c).alias(c) for c in measures]
+    by_parent = values.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(*each)
+    inner = _climbed(_parents(nodes.select(*_KEY, "parent_id")), F.col("node_id")).where("next IS NULL")
+    above = by_parent.join(inner.select(*_KEY, "chain"), _KEY).select("doc_id", F.explode("chain").alias("node_id"), *measures)
+    return above.unionByName(values.select(*_KEY, *measures)).groupBy(*_KEY).agg(*each)
 
 
 def rollup(nodes: DataFrame, *measures: str) -> DataFrame:
-    """doc_id, node_id, sums of the measures over CONTENT nodes at or below each node."""
-    leaves = nodes.where("type = 'CONTENT'").select("doc_id", "node_id", *measures)
-    at = ancestors(nodes).join(leaves, _KEY).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(*(F.sum(m).alias(m) for m in measures))
+    """doc_id, node_id, sums of the measures over CONTENT nodes at or below each node. What is on a cycle or below one
+    adds to no other node."""
+    at = gathered(nodes, nodes.where("type = 'CONTENT'").select(*_KEY, "parent_id", *measures), F.sum)
     return nodes.select(*_KEY).join(at, _KEY, "left").na.fill(0, list(measures))
 
 
@@ -119,10 +163,10 @@ def chapter_groups(nodes: DataFrame, last_leaf: int = 82) -> DataFrame:
     """doc_id, node_id of chapters and appendices right under a DOCUMENT, and their group: 'Main
     Guidance' if their last leaf is among the first last_leaf of the document (or there is none)."""
     order = Window.partitionBy("doc_id").orderBy("ordinal")
-    leaves = nodes.where("type = 'CONTENT'").select("doc_id", "node_id", F.row_number().over(order).alias("leaf"))
+    leaves = nodes.where("type = 'CONTENT'").select(*_KEY, "parent_id", F.row_number().over(order).alias("leaf"))
     documents = nodes.where("type = 'DOCUMENT'").select("doc_id", F.col("node_id").alias("parent_id"))
     chapters = nodes.where("type IN ('CHAPTER', 'APPENDIX')").join(documents, ["doc_id", "parent_id"]).select(*_KEY)
-    last = ancestors(nodes).join(leaves, _KEY).groupBy("doc_id", F.col("ancestor_id").alias("node_id")).agg(F.max("leaf").alias("last"))
+    last = gathered(nodes, leaves, F.max).withColumnRenamed("leaf", "last")
     return chapters.join(last, _KEY, "left").select(*_KEY, F.when(F.coalesce("last", F.lit(0)) <= last_leaf, "Main Guidance").otherwise("Appendices").alias("grouped_under"))
 
 
@@ -204,10 +248,11 @@ def reparented(nodes: DataFrame, most: int | None = None) -> DataFrame:
     return nodes.join(moved, _KEY, "left")
 
 
-def cyclic(nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Nodes whose chain of parents comes back to where it was, or is longer than depth."""
-    far = ancestors(nodes, depth + 1)
-    return far.where((F.col("distance") > depth) | ((F.col("distance") > 0) & (F.col("ancestor_id") == F.col("node_id")))).select(*_KEY).distinct()
+def cyclic(nodes: DataFrame) -> DataFrame:
+    """Nodes whose chain of parents never ends: those on a cycle and those below one."""
+    links = nodes.select(*_KEY, "parent_id").distinct()
+    stuck = _climbed(_parents(links), None).where("next IS NOT NULL").select("doc_id", F.col("node_id").alias("parent_id"))
+    return links.join(stuck, ["doc_id", "parent_id"], "left_semi").select(*_KEY).distinct()
 
 
 def orphans(nodes: DataFrame) -> DataFrame:
@@ -223,7 +268,9 @@ def front_matter_first(nodes: DataFrame) -> DataFrame:
 
 def container_summaries(nodes: DataFrame) -> DataFrame:
     """'title: includes a, b, ...' of the first six children of each container."""
-    kids = nodes.where("parent_id IS NOT NULL").groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ordinal", "title"))), 1, 6), lambda x: x["title"]).alias("titles"))
+    place = F.row_number().over(Window.partitionBy("doc_id", "parent_id").orderBy("ordinal"))
+    first = nodes.where("parent_id IS NOT NULL").select("doc_id", F.col("parent_id"), "ordinal", "title").withColumn("place", place).where("place <= 6")
+    kids = first.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: x["title"]).alias("titles"))
     n = nodes.where(F.col("type").isin(*CONTAINERS)).join(kids, _KEY, "left")
     return n.select(*_KEY, F.when(F.size("titles") > 0, F.concat("title", F.lit(": includes "), F.array_join("titles", ", "), F.lit("."))).otherwise(F.concat("title", F.lit(" (structural section)."))).alias("micro_summary"))
 
@@ -242,21 +289,18 @@ def grouped(nodes: DataFrame, last_leaf: int = 82) -> DataFrame:
     return n.withColumn("parent_id", F.coalesce("group_id", "parent_id")).select(*(F.col(c).cast(kinds[c]) for c in nodes.columns)).unionByName(new)
 
 
-def nested(nodes: DataFrame, fields: tuple[str, ...] = ("node_id", "type", "title"), depth: int = DEPTH) -> DataFrame:
-    """doc_id, tree: a document's nodes as one JSON array of roots, each with its children under nodes, by
-    ordinal. Built from the lowest level up, one join a level; an orphan is a root."""
-    at = chains(nodes, F.lit(0), depth).select(*_KEY, (F.size("chain") - 1).alias("depth"))
-    n = nodes.join(at, _KEY).select(*_KEY, "parent_id", "ordinal", "depth", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
-    none = F.expr("CAST(array() AS array<string>)")
-    listed = lambda c: F.concat(F.lit("["), F.array_join(c, ","), F.lit("]"))
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "json"))), lambda x: x["json"])
-    below = None
-    for level in range(depth, -1, -1):
-        here = n.where(F.col("depth") == level)
-        here = here.withColumn("kids", none) if below is None else here.join(below, _KEY, "left").withColumn("kids", F.coalesce("kids", none))
-        json = F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"nodes":'), listed(F.col("kids")), F.lit("}"))
-        done = here.select("doc_id", "parent_id", "ordinal", json.alias("json"))
-        if level:
-            below = done.groupBy("doc_id", F.col("parent_id").alias("node_id")).agg(in_order.alias("kids"))
-        else:
-            return done.groupBy("doc_id").agg(listed(in_order).alias("tree"))
+def nested(nodes: DataFrame, fields: tuple[str, ...] = ("node_id", "type", "title")) -> DataFrame:
+    """doc_id, tree: a document's nodes as one JSON array of roots, each with its children under nodes, by ordinal
+    and id. Nodes are written in preorder, each closing what the next one doesn't stand under, so depth
+    costs no joins. An orphan is a root; nodes on a cycle or below one are left out."""
+    keys = chains(nodes, F.col("ordinal")).select(*_KEY, F.reverse(F.transform("chain", lambda x: F.struct(x["v"].alias("v"), x["id"].alias("id")))).alias("key"))
+    body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    n = nodes.select(*_KEY, body.alias("body")).select(*_KEY, F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"nodes":[')).alias("open"))
+    order = Window.partitionBy("doc_id").orderBy("key")
+    depth = F.size("key")
+    following = F.lead(depth).over(order)
+    close = F.repeat(F.lit("]}"), F.greatest(depth - F.coalesce(following, F.lit(1)) + 1, F.lit(0)))
+    comma = F.when(following <= depth, ",").otherwise("")
+    parts = n.join(keys, _KEY).select("doc_id", F.row_number().over(order).alias("seq"), F.concat("open", close, comma).alias("part"))
+    written = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy("doc_id").agg(F.concat(F.lit("["), written, F.lit("]")).alias("tree"))

@@ -45,6 +45,29 @@ def repeated(s: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", "node_id", "parent_id", (F.col("o") * 2).cast("long").alias("ordinal")).unionByName(leaf)
 
 
+def deep(s: SparkSession, d: str) -> DataFrame:
+    """Parts as chapters in chapters, part p below part p div 2, and their line items as leaves."""
+    part, item = (s.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
+    key = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    k = F.col("p_partkey")
+    top = s.range(2).select(F.when(F.col("id") == 0, "w").otherwise("d").alias("node_id"), F.when(F.col("id") == 1, "w").alias("parent_id"), F.when(F.col("id") == 0, "ROOT").otherwise("DOCUMENT").alias("type"), F.lit("World").alias("title"), (F.col("id") - 2).alias("ordinal"), F.lit(0).cast("long").alias("measure"))
+    chapters = part.select(key(k), F.when(k == 0, "d").otherwise(key(F.floor(k / 2))), F.lit("CHAPTER"), F.col("p_name"), k.cast("long"), F.lit(0).cast("long"))
+    number = (F.col("l_orderkey") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey") + 100_000_000
+    leaves = item.select(F.concat_ws("_", F.lit("l"), "l_orderkey", "l_partkey", "l_suppkey"), key(F.col("l_partkey")), F.lit("CONTENT"), F.col("l_returnflag"), number, F.round("l_quantity").cast("long"))
+    return top.unionAll(chapters).unionAll(leaves).withColumn("doc_id", F.lit("d"))
+
+
+def looped(s: SparkSession, d: str) -> DataFrame:
+    """deep() with part 3 below part 6, which is below part 3; what is not below part 3 is clean."""
+    return deep(s, d).withColumn("parent_id", F.when(F.col("node_id") == "p3", "p6").otherwise(F.col("parent_id")))
+
+
+DEEP = """
+    SELECT 'w' AS node_id, NULL AS parent_id, 'ROOT' AS type, 'World' AS title, -2 AS ordinal, 0 AS measure UNION ALL SELECT 'd', 'w', 'DOCUMENT', 'World', -1, 0
+    UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey = 0 THEN 'd' ELSE 'p' || (p_partkey // 2) END, 'CHAPTER', p_name, p_partkey, 0 FROM part
+    UNION ALL SELECT 'l_' || l_orderkey || '_' || l_partkey || '_' || l_suppkey, 'p' || l_partkey, 'CONTENT', l_returnflag, (l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey + 100000000, CAST(round(l_quantity) AS BIGINT) FROM lineitem
+"""
+_DEEP = f"WITH RECURSIVE n AS ({DEEP})"
 _LEVEL = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in tree.LEVEL.items()) + " END"
 _N = f"WITH RECURSIVE n0 AS ({NODES}), n AS (SELECT 'd' AS doc_id, *, {_LEVEL} * 100000000 + coalesce(try_cast(substring(node_id, 2) AS BIGINT), 0) AS ordinal FROM n0)"
 _UP = ", up(node_id, ancestor_id, distance) AS (SELECT node_id, node_id, 0 FROM n UNION ALL SELECT up.node_id, n.parent_id, distance + 1 FROM up JOIN n ON n.node_id = up.ancestor_id WHERE n.parent_id IS NOT NULL)"
@@ -52,6 +75,8 @@ _SEG = r.path_segment(r.DUCK, "n.title", "n.type")
 _PAIRS_SQL = "(VALUES " + ", ".join(f"('{p}', '{c}')" for p, cs in tree.UNDER.items() for c in cs) + ") v(pt, ct)"
 _ORDER = ", k AS (SELECT node_id, parent_id, [node_id] AS key FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.parent_id, list_append(k.key, n.node_id) FROM n JOIN k ON n.parent_id = k.node_id), s AS (SELECT *, CAST(row_number() OVER (ORDER BY key) AS INT) AS seq FROM k)"
 _BAD = f", bad AS (SELECT n.*, p.type AS parent_type FROM n JOIN n p ON n.parent_id = p.node_id WHERE (p.type, n.type) NOT IN (SELECT pt, ct FROM {_PAIRS_SQL}))"
+_SUMS = " SELECT ancestor_id AS node_id, CAST(sum(CASE WHEN type = 'CONTENT' THEN measure ELSE 0 END) AS BIGINT) AS measure FROM up JOIN n USING (node_id) GROUP BY ancestor_id"
+_LOOPED = f"WITH RECURSIVE n0 AS ({DEEP}), n AS (SELECT * REPLACE (CASE node_id WHEN 'p3' THEN 'p6' ELSE parent_id END AS parent_id) FROM n0), ok AS (SELECT node_id FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id FROM n JOIN ok ON n.parent_id = ok.node_id)"
 
 QUERIES = {
     "tree_paths": lambda s, d: tree.paths(nodes(s, d)).select("node_id", "path", "depth"),
@@ -65,14 +90,18 @@ QUERIES = {
     "tree_misplaced": lambda s, d: tree.misplaced(nodes(s, d)).select("node_id", "type", "parent_type"),
     "tree_reparented": lambda s, d: tree.reparented(nodes(s, d)).where("new_parent IS NOT NULL").select("node_id", "new_parent"),
     "tree_relinked": lambda s, d: tree.relinked(repeated(s, d)).select("node_id", "parent_id", "ordinal"),
-    "tree_grouped": lambda s, d: tree.grouped(nodes(s, d), 10_000).where("type <> 'CONTENT'").select("node_id", "parent_id", "type", "title"),
-    "tree_nested": lambda s, d: tree.nested(nodes(s, d).where("type <> 'CONTENT'"), ("node_id", "type")),
+    "tree_grouped": lambda s, d: tree.grouped(nodes(s, d), 10_000).select("node_id", "parent_id", "type", "title"),
+    "tree_nested": lambda s, d: tree.nested(nodes(s, d), ("node_id", "type")),
     "tree_unique_ids": lambda s, d: tree.unique_ids(nodes(s, d).withColumn("node_id", F.when(F.col("type") == "CONTENT", F.concat(F.lit("x"), F.col("measure") % 5000)).otherwise(F.col("node_id")))).select("ordinal", "node_id", "new_id"),
     "tree_orphans": lambda s, d: tree.orphans(nodes(s, d).where("node_id <> 'n3'")).select("node_id", "parent_id"),
-    "tree_cycles": lambda s, d: tree.cyclic(nodes(s, d).where("type <> 'CONTENT'").withColumn("parent_id", F.when(F.col("node_id") == "w", F.lit("n2")).otherwise(F.col("parent_id")))).select("node_id"),
+    "tree_cycles": lambda s, d: tree.cyclic(looped(s, d)).select("node_id"),
+    "tree_deep_paths": lambda s, d: tree.paths(deep(s, d)).select("node_id", "path", "depth"),
+    "tree_deep_preorder": lambda s, d: tree.preorder(deep(s, d)).select("node_id", "seq"),
+    "tree_deep_nested": lambda s, d: tree.nested(deep(s, d), ("node_id", "measure")),
+    "tree_deep_rollup": lambda s, d: tree.rollup(deep(s, d), "measure").select("node_id", "measure"),
+    "tree_looped_rollup": lambda s, d: tree.rollup(looped(s, d), "measure").select("node_id", "measure"),
     "tree_cycles_all": lambda s, d: tree.cyclic(nodes(s, d).withColumn("parent_id", F.when(F.col("node_id") == "w", F.lit("n2")).otherwise(F.col("parent_id")))).select("node_id"),
-    "tree_front_matter_first": lambda s, d: tree.front_matter_first(nodes(s, d).withColumn("type", F.when(F.col("type") == "FRONT_MATTER", "PREFACE").otherwise(F.col("type")))).where("type <> 'CONTENT'").select("node_id", "type"),
-    "tree_front_matter_first_all": lambda s, d: tree.front_matter_first(nodes(s, d).withColumn("type", F.when(F.col("type") == "FRONT_MATTER", "PREFACE").otherwise(F.col("type")))).select("node_id", "type"),
+    "tree_front_matter_first": lambda s, d: tree.front_matter_first(nodes(s, d).withColumn("type", F.when(F.col("type") == "FRONT_MATTER", "PREFACE").otherwise(F.col("type")))).select("node_id", "type"),
     "tree_container_summaries": lambda s, d: tree.container_summaries(nodes(s, d)).select("node_id", "micro_summary"),
 }
 ORACLE_SQL = {
@@ -90,15 +119,21 @@ ORACLE_SQL = {
     "tree_relinked": _N + """, c AS (SELECT CASE WHEN o % 2 = 1 THEN 'c' ELSE node_id END AS node_id, parent_id, o FROM (SELECT *, CASE WHEN type IN ('SECTION', 'TOPIC', 'FRONT_MATTER') THEN row_number() OVER (PARTITION BY type IN ('SECTION', 'TOPIC', 'FRONT_MATTER') ORDER BY substring(node_id, 2)::BIGINT) END AS o FROM n WHERE node_id LIKE 'c%')),
         k AS (SELECT *, count(*) FILTER (o % 2 = 1) OVER (ORDER BY o) - 2 AS j FROM c), s AS (SELECT *, CASE WHEN o % 2 = 0 OR j < 0 THEN node_id WHEN j < 26 THEN 'c_' || chr(CAST(97 + j AS INT)) ELSE 'c_z' || repeat('a', CAST(j - 25 AS INT)) END AS id FROM k)
         SELECT id AS node_id, parent_id, o * 2 AS ordinal FROM s UNION ALL SELECT 'l' || o, id, o * 2 + 1 FROM s""",
-    "tree_grouped": _N + _UP + ", l AS (SELECT node_id, row_number() OVER (ORDER BY ordinal) AS leaf FROM n WHERE type = 'CONTENT'), m AS (SELECT ancestor_id AS node_id, max(leaf) AS last FROM up JOIN l USING (node_id) GROUP BY 1), g AS (SELECT node_id, ordinal, parent_id, CASE WHEN coalesce(last, 0) <= 10000 THEN 1 ELSE 2 END AS g FROM n LEFT JOIN m USING (node_id) WHERE type IN ('CHAPTER', 'APPENDIX')) SELECT n.node_id, CASE WHEN g IS NULL THEN n.parent_id ELSE 'ch_g' || g || '_' || g END AS parent_id, type, title FROM n LEFT JOIN g USING (node_id) WHERE type <> 'CONTENT' UNION ALL SELECT 'ch_g' || g || '_' || g, arg_min(parent_id, ordinal), 'CHAPTER', CASE g WHEN 1 THEN 'Main Guidance' ELSE 'Appendices' END FROM g GROUP BY g",
-    "tree_nested": _N + """, x AS (SELECT * FROM n WHERE type <> 'CONTENT'), j AS (SELECT node_id, parent_id, ordinal, '{"node_id":"' || node_id || '","type":"' || type || '","nodes":' AS h FROM x),
-        a AS (SELECT parent_id, '[' || string_agg(h || '[]}', ',' ORDER BY ordinal) || ']' AS kids FROM j WHERE node_id LIKE 'c%' GROUP BY 1), b AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN a ON a.parent_id = j.node_id WHERE node_id LIKE 'n%' GROUP BY 1),
+    "tree_grouped": _N + _UP + ", l AS (SELECT node_id, row_number() OVER (ORDER BY ordinal) AS leaf FROM n WHERE type = 'CONTENT'), m AS (SELECT ancestor_id AS node_id, max(leaf) AS last FROM up JOIN l USING (node_id) GROUP BY 1), g AS (SELECT node_id, ordinal, parent_id, CASE WHEN coalesce(last, 0) <= 10000 THEN 1 ELSE 2 END AS g FROM n LEFT JOIN m USING (node_id) WHERE type IN ('CHAPTER', 'APPENDIX')) SELECT n.node_id, CASE WHEN g IS NULL THEN n.parent_id ELSE 'ch_g' || g || '_' || g END AS parent_id, type, title FROM n LEFT JOIN g USING (node_id) UNION ALL SELECT 'ch_g' || g || '_' || g, arg_min(parent_id, ordinal), 'CHAPTER', CASE g WHEN 1 THEN 'Main Guidance' ELSE 'Appendices' END FROM g GROUP BY g",
+    "tree_nested": _N + """, j AS (SELECT node_id, parent_id, ordinal, '{"node_id":"' || node_id || '","type":"' || type || '","nodes":' AS h FROM n),
+        e AS (SELECT parent_id, '[' || string_agg(h || '[]}', ',' ORDER BY ordinal) || ']' AS kids FROM j WHERE node_id LIKE 'o%' GROUP BY 1), a AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN e ON e.parent_id = j.node_id WHERE node_id LIKE 'c%' GROUP BY 1), b AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN a ON a.parent_id = j.node_id WHERE node_id LIKE 'n%' GROUP BY 1),
         c AS (SELECT j.parent_id, '[' || string_agg(h || coalesce(kids, '[]') || '}', ',' ORDER BY ordinal) || ']' AS kids FROM j LEFT JOIN b ON b.parent_id = j.node_id WHERE node_id LIKE 'r%' GROUP BY 1) SELECT 'd' AS doc_id, '[' || h || kids || '}]' AS tree FROM j JOIN c ON c.parent_id = j.node_id""",
     "tree_orphans": _N + " SELECT node_id, parent_id FROM n WHERE parent_id = 'n3'",
     # the root hangs under n2, so every chain runs into the loop
-    "tree_cycles": _N + " SELECT node_id FROM n WHERE type <> 'CONTENT'",
     "tree_cycles_all": _N + " SELECT node_id FROM n",
-    "tree_front_matter_first": _N + ", m AS (SELECT node_id, CASE WHEN type = 'FRONT_MATTER' THEN 'PREFACE' ELSE type END AS type, ordinal FROM n WHERE type <> 'CONTENT'), q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS k FROM m) SELECT node_id, type FROM q WHERE type <> 'PREFACE' OR k = 1",
-    "tree_front_matter_first_all": _N + ", m AS (SELECT node_id, CASE WHEN type = 'FRONT_MATTER' THEN 'PREFACE' ELSE type END AS type, ordinal FROM n), q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS k FROM m) SELECT node_id, type FROM q WHERE type <> 'PREFACE' OR k = 1",
+    "tree_cycles": _LOOPED + " SELECT node_id FROM n ANTI JOIN ok USING (node_id)",
+    "tree_deep_paths": _DEEP + f", p AS (SELECT node_id, {_SEG} AS path, 0 AS depth FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id, p.path || ' > ' || {_SEG}, depth + 1 FROM n JOIN p ON n.parent_id = p.node_id) SELECT * FROM p",
+    "tree_deep_preorder": _DEEP + _ORDER + " SELECT node_id, seq FROM s",
+    "tree_deep_rollup": _DEEP + _UP + _SUMS,
+    "tree_looped_rollup": _LOOPED + ", m AS (SELECT n.* FROM n JOIN ok USING (node_id))" + _UP.replace("FROM n ", "FROM m ").replace("JOIN n ", "JOIN m AS n ") + ", t AS (SELECT ancestor_id AS node_id, sum(measure) AS measure FROM up JOIN m USING (node_id) GROUP BY 1) SELECT n.node_id, CAST(coalesce(t.measure, n.measure) AS BIGINT) AS measure FROM n LEFT JOIN t USING (node_id)",
+    # texts in preorder of (ordinal, id), each closing what the next one isn't below
+    "tree_deep_nested": _DEEP + """, k AS (SELECT node_id, measure, [(ordinal, node_id)] AS key FROM n WHERE parent_id IS NULL UNION ALL SELECT n.node_id, n.measure, list_append(k.key, (n.ordinal, n.node_id)) FROM n JOIN k ON n.parent_id = k.node_id),
+        o AS (SELECT *, len(key) AS dep, lead(len(key)) OVER (ORDER BY key) AS nxt FROM k) SELECT 'd' AS doc_id, '[' || string_agg('{"node_id":"' || node_id || '","measure":' || measure || ',"nodes":[' || repeat(']}', CAST(greatest(dep - coalesce(nxt, 1) + 1, 0) AS INT)) || CASE WHEN nxt <= dep THEN ',' ELSE '' END, '' ORDER BY key) || ']' AS tree FROM o""",
+    "tree_front_matter_first": _N + ", m AS (SELECT node_id, CASE WHEN type = 'FRONT_MATTER' THEN 'PREFACE' ELSE type END AS type, ordinal FROM n), q AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY ordinal) AS k FROM m) SELECT node_id, type FROM q WHERE type <> 'PREFACE' OR k = 1",
     "tree_container_summaries": _N + ", c AS (SELECT parent_id AS node_id, title, row_number() OVER (PARTITION BY parent_id ORDER BY ordinal) AS k FROM n WHERE parent_id IS NOT NULL), t AS (SELECT node_id, string_agg(title, ', ' ORDER BY k) AS titles FROM c WHERE k <= 6 GROUP BY 1) SELECT node_id, CASE WHEN titles IS NULL THEN title || ' (structural section).' ELSE title || ': includes ' || titles || '.' END AS micro_summary FROM n LEFT JOIN t USING (node_id) WHERE type <> 'CONTENT'",
 }

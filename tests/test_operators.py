@@ -329,3 +329,39 @@ def test_nodes_without_bodies(spark):
     whole, slim = build.exported(n), build.exported(n, body=False)
     assert set(whole.columns) - set(slim.columns) == {"raw_content", "compressed_content"}
     assert whole.drop("raw_content", "compressed_content").exceptAll(slim).isEmpty() and whole.count() == slim.count()
+
+
+def nested_chapters(spark, depth):
+    """ROOT > DOCUMENT > depth chapters > CONTENT, one below the other."""
+    kinds = ["ROOT", "DOCUMENT", *["CHAPTER"] * depth, "CONTENT"]
+    rows = [("d", f"n{i:04d}", f"n{i - 1:04d}" if i else None, i, k, f"Title {i}", 5 if k == "CONTENT" else 0) for i, k in enumerate(kinds)]
+    return spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, ordinal int, type string, title string, n long")
+
+
+@pytest.mark.parametrize("depth", [1, 12, 1000])
+def test_trees_of_any_depth(spark, depth):
+    nodes = nested_chapters(spark, depth)
+    total = depth + 3
+    placed = {r.node_id: r for r in tree.paths(nodes).collect()}
+    assert {k: r.depth for k, r in placed.items()} == {f"n{i:04d}": i for i in range(total)}
+    assert placed[f"n{total - 1:04d}"].path.count(" > ") == total - 1
+    assert {r.n for r in tree.rollup(nodes, "n").collect()} == {5}
+    assert tree.misplaced(nodes).isEmpty() and tree.cyclic(nodes).isEmpty() and tree.orphans(nodes).isEmpty()
+    assert [r.seq for r in tree.preorder(nodes).orderBy("ordinal").collect()] == list(range(1, total + 1))
+    text = tree.nested(nodes, ("node_id",)).first().tree
+    assert text == "[" + "".join(f'{{"node_id":"n{i:04d}","nodes":[' for i in range(total)) + "]}" * total + "]"
+
+
+def test_a_cycle_beside_clean_nodes(spark):
+    links = [("a", None), ("b", "a"), ("c", "b"), ("x", "z"), ("y", "x"), ("z", "y"), ("below", "y"), ("self", "self"), ("orphan", "gone"), ("kid", "orphan")]
+    rows = [("d", i, p, k, "CONTENT", i, 1) for k, (i, p) in enumerate(links)] + [("e", "x", None, 0, "ROOT", "x", 1)]
+    nodes = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, ordinal int, type string, title string, n long")
+    assert {tuple(r) for r in tree.cyclic(nodes).collect()} == {("d", i) for i in ("x", "y", "z", "below", "self")}
+    assert {(r.doc_id, r.node_id) for r in tree.paths(nodes).collect()} == {("d", "a"), ("d", "b"), ("d", "c"), ("e", "x")}
+    sums = {r.node_id: r.n for r in tree.rollup(nodes, "n").where("doc_id = 'd'").collect()}
+    assert sums == {"a": 3, "b": 2, "c": 1, "orphan": 2, "kid": 1, "x": 1, "y": 1, "z": 1, "below": 1, "self": 1}
+    assert {r.node_id for r in tree.preorder(nodes).where("doc_id = 'd'").collect()} == {"a", "b", "c", "orphan", "kid"}
+    found = {(r.node_id, r.ancestor_id, r.distance) for r in tree.ancestors(nodes).where("doc_id = 'd'").collect()}
+    assert ("c", "a", 2) in found and ("kid", "orphan", 1) in found and not any(n == "below" for n, *_ in found)
+    empty = nodes.limit(0)
+    assert tree.paths(empty).isEmpty() and tree.cyclic(empty).isEmpty() and tree.nested(empty).isEmpty()

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import rules as r
 from quire.functions import unicode
 from quire.functions.register import register
-from quire.operators import build, chunking, enrich, retrieval, similarity, store, structure, tree, usage, validate
+from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, tree, usage, validate
 from quire.plans import index as sections_plan
 from quire.plans import index as index_queries
 from quire.plans import structure as handbook
@@ -365,3 +366,38 @@ def test_a_cycle_beside_clean_nodes(spark):
     assert ("c", "a", 2) in found and ("kid", "orphan", 1) in found and not any(n == "below" for n, *_ in found)
     empty = nodes.limit(0)
     assert tree.paths(empty).isEmpty() and tree.cyclic(empty).isEmpty() and tree.nested(empty).isEmpty()
+
+
+@pytest.mark.parametrize("task_links", [200_000, 5])
+def test_settling_by_component_equals_one_by_one(spark, task_links):
+    rnd = random.Random(3)
+    links = sorted({tuple(sorted(rnd.sample(range(300), 2))) for _ in range(350)})
+    out = set()
+    for b in sorted({b for _, b in links}):
+        if {a for a, x in links if x == b} - out:
+            out.add(b)
+    got = similarity.rejected(spark.createDataFrame(links * 2, "a long, b long"), task_links)
+    assert sorted(r.id for r in got.collect()) == sorted(out)
+
+
+def test_a_chain_of_a_thousand_is_settled_in_a_few_rounds(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1000)], "a long, b long")
+    assert {r.id for r in similarity.rejected(links).collect()} == set(range(1, 1001, 2))
+    roots = components.components(links.union(spark.createDataFrame([(2000, 2000), (3000, 3001)], "a long, b long"))).collect()
+    assert {r.node: r.root for r in roots} == {**{i: 0 for i in range(1001)}, 2000: 2000, 3000: 3000, 3001: 3000}
+    assert components.components(links.limit(0)).isEmpty() and similarity.rejected(links.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("first", [(4, 64), (1,), (2, 3)])
+def test_section_overlaps_equal_all_pairs(spark, first):
+    rnd = random.Random(9)
+    words = [f"w{i}w" for i in range(60)]
+    rows = [(f"d{i % 2}", i, f"{i % 3}.{i % 2} T{i % 7}", " ".join(rnd.sample(words, rnd.choice([1, 4, 9, 14])))) for i in range(120)]
+    rows += [("d0", 200, "1.1 Same", rows[3][3]), ("d1", 201, "no number", rows[3][3]), ("d0", 202, "1.1 Empty", "")]
+    sets = {(d, o): (t, t.split()[0] if t[0].isdigit() else "", set(x.split()), x) for d, o, t, x in rows}
+    want = set()
+    for (d, o), (t, sec, w, x) in sets.items():
+        hits = [o2 for (d2, o2), (t2, sec2, w2, x2) in sets.items() if d2 == d and o2 < o and sec and sec2 == sec and t2 != t and x2 != x and w & w2 and len(w & w2) / len(w | w2) >= 0.15]
+        want |= {(d, o, min(hits))} if hits else set()
+    got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), first_nodes=first)
+    assert {tuple(r) for r in got.collect()} == want

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import chunking, store
+from quire.operators import chunking, store, vectors
 from quire.plans import usage as up
 from quire.plans.text import NOTICES, _values
 from quire.sources import files
@@ -84,6 +84,14 @@ def _routed(s: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "doc_id", "doc_type", "role", "chunk_index", "status", F.size("embedding").alias("dim"))
 
 
+def _searched(s: SparkSession, d: str, probed: bool) -> DataFrame:
+    """The hits of the exact search over inverted lists, or how many of them a probing one finds."""
+    rows = _t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    index, asked = vectors.build(rows), _queries(s, d)
+    exact = vectors.search(index, asked)
+    return vectors.recall(vectors.search(index, asked, probes=vectors.tuned_probes(index, asked)), exact) if probed else exact
+
+
 QUERIES = {
     "ingest_pair_rows": lambda s, d: _pairs(s, d)[0].select("id", "doc_id", "pair_id", "role", "status", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim")),
     "ingest_pair_links": lambda s, d: _pairs(s, d)[1],
@@ -110,6 +118,8 @@ QUERIES = {
     "store_synced": lambda s, d: store.synced(_vectors(s, d).select("id", "doc_id").withColumn("seq_id", F.lit(-1).cast("long")).withColumn("file_name", F.lit("own")), _jobs(s, d)),
     "store_last_of_each": lambda s, d: store.last_of_each(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", order="l_linenumber"),
     "store_cosine_top_k": lambda s, d: store.cosine_top_k(_t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _queries(s, d)).select("query_id", "id", "cosine", "rank"),
+    "vectors_exact": lambda s, d: _searched(s, d, False),
+    "vectors_probed_recall": lambda s, d: _searched(s, d, True),
     "stream_credit_windows": lambda s, d: stream.credit_windows(up.events(s, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "operation", "credits", "n"),
     "stream_job_sessions": lambda s, d: stream.job_sessions(up.events(s, d)).select("job_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "credits"),
 }
@@ -138,6 +148,7 @@ ORACLE_SQL = {
     "store_synced": f"WITH {_JOBS}, {_VECTORS} SELECT id, vec.doc_id, coalesce(seq_id, -1) AS seq_id, coalesce(file_name, 'own') AS file_name FROM vec LEFT JOIN jobs ON vec.doc_id = jobs.doc_id",
     "store_last_of_each": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1",
     "store_cosine_top_k": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, c AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
+    "vectors_exact": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, c AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
     "stream_credit_windows": up._WITH + "SELECT date_trunc('hour', \"timestamp\") AS start, operation, round(sum(credits_used), 6) AS credits, count(*) AS n FROM e GROUP BY ALL",
     "stream_job_sessions": up._WITH + ", g AS (SELECT *, CASE WHEN \"timestamp\" - lag(\"timestamp\") OVER (PARTITION BY job_id ORDER BY \"timestamp\") < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e), k AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY \"timestamp\" ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, min(\"timestamp\") AS start, count(*) AS n, round(sum(credits_used), 6) AS credits FROM k GROUP BY job_id, k",
 }

@@ -5,13 +5,14 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
 from quire.functions import unicode
 from quire.functions.register import register
-from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, tree, usage, validate
+from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, tree, usage, validate, vectors
 from quire.plans import index as sections_plan
 from quire.plans import index as index_queries
 from quire.plans import structure as handbook
@@ -401,3 +402,38 @@ def test_section_overlaps_equal_all_pairs(spark, first):
         want |= {(d, o, min(hits))} if hits else set()
     got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), first_nodes=first)
     assert {tuple(r) for r in got.collect()} == want
+
+
+def directions(spark, n, dim=8, seed=2):
+    rnd = np.random.default_rng(seed)
+    rows = [(i, [float(x) for x in rnd.normal(size=dim) + 3 * np.eye(dim)[i % 4]]) for i in range(n)]
+    return spark.createDataFrame(rows, "id long, embedding array<float>")
+
+
+@pytest.mark.parametrize("lists", [1, 7, None])
+def test_inverted_lists_are_exact(spark, monkeypatch, lists):
+    monkeypatch.setattr(vectors, "PART_ROWS", 40)
+    rows = directions(spark, 500).unionByName(spark.createDataFrame([(900 + i, [1.0] * 8) for i in range(150)] + [(2000, [0.0] * 8), (2001, None), (2002, [float("nan")] * 8)], "id long, embedding array<float>"))
+    asked = rows.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    index = vectors.build(rows, lists)
+    assert index.vectors.count() == 650 and index.lists.agg(F.max("parts")).first()[0] > 1
+    got = vectors.search(index, asked, 4)
+    want = store.cosine_top_k(vectors.usable(rows), vectors.usable(asked), 4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    tie = [r.id for r in got.where("query_id = 950").orderBy("rank").collect()]
+    assert tie == [900, 901, 902, 903]
+
+
+def test_probing_reaches_the_recall_that_was_asked_for(spark):
+    rows = directions(spark, 3000, 16)
+    index = vectors.build(rows, 40)
+    asked = rows.where("id % 10 = 0").select(F.col("id").alias("query_id"), "embedding")
+    probes = vectors.tuned_probes(index, asked)
+    assert 1 <= probes < 40
+    sums = vectors.recall(vectors.search(index, asked, 5, probes), vectors.search(index, asked, 5)).agg(F.sum("found"), F.sum("wanted")).first()
+    assert sums[1] == 1500 and sums[0] / sums[1] >= 0.9
+
+
+def test_vectors_of_an_empty_table(spark):
+    index = vectors.build(directions(spark, 3).limit(0))
+    assert vectors.search(index, directions(spark, 3).withColumnRenamed("id", "query_id")).isEmpty()

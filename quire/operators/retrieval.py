@@ -9,6 +9,7 @@ the driver is one row of corpus counts.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -80,20 +81,93 @@ def postings(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def rank_queries(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """docs: doc_id, text; queries: query_id, query. The k best documents of every query, by a join of
-    the queries' terms with the postings, which are written once. Each task keeps k hits a query
-    before they are ranked."""
+#: Blocks of a term: its postings by impact, so many to a unit of the saturated term frequency (below 2.5).
+LEVELS = 8
+#: Postings that one task joins for a block of a term; documents are dealt to as many parts as the largest block needs.
+PART_POSTINGS = 50_000
+#: For each wanted hit: postings of a query's best blocks, and documents of those that are scored in full for a threshold.
+SEEDS, TRIED = 200, 10
+#: What a sum of doubles may lose against a bound, and half a place of a rounded score.
+_SLACK = 1e-6
+
+
+@dataclass
+class Pruned:
+    """postings: term, level, part, doc_id, s (saturated frequency); blocks: query_id, term, level, w (what s is worth in
+    the query), ub (the most that a posting of the block adds to a score), n, read (whether the block is read);
+    bounds: query_id, least (of the k-th score), unread (the most that unread blocks add)."""
+
+    postings: DataFrame
+    blocks: DataFrame
+    bounds: DataFrame
+    parts: int
+
+    def dealt(self, blocks: DataFrame) -> DataFrame:
+        """Blocks met with their postings, each part of a block for itself."""
+        return blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1)))).join(self.postings, ["term", "level", "part"])
+
+    def share_read(self) -> float:
+        """Of the postings that the queries' terms have, those in blocks that are read."""
+        row = self.blocks.agg(F.sum(F.when(F.col("read"), F.col("n"))), F.sum("n")).first()
+        return (row[0] or 0) / row[1] if row[1] else 0.0
+
+
+def pruned(docs: DataFrame, queries: DataFrame, k: int = 5) -> Pruned:
+    """Which blocks of postings can bring a document into a query's k best.
+
+    The postings of a term stand in blocks by impact, each with its largest one. Of the documents in the best blocks of
+    a query (SEEDS * k postings), the TRIED * k that gain most there are scored in full: their k-th score is a threshold that
+    the k-th of all reaches. Blocks are then left unread from the weakest on, as long as a document that stands
+    in unread ones alone stays below it.
+    """
+    terms = queries.select("query_id", F.explode(F.expr(r.query_tokens(D, "query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    terms = materialized(terms, "terms")
     index = materialized(postings(docs), "postings")
     n = max(docs.count(), 1)
     avgdl = max((index.agg(F.sum("tf")).first()[0] or 0) / n, 1.0)
-    terms = queries.select("query_id", F.explode(F.expr(r.query_tokens(D, "query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = materialized(terms, "terms")
-    found = index.join(terms.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    s = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (F.lit(0.25) + 0.75 * F.col("dl") / avgdl))
+    found = index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", s.alias("s")).withColumn("level", F.floor(F.col("s") * LEVELS).cast("int"))
+    found = materialized(found, "found")
+    tops = materialized(found.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("s").alias("top")), "blocks")  # a few rows a term
+    parts = max(1, -(-(tops.agg(F.max("n")).first()[0] or 0) // PART_POSTINGS))
+    df = tops.groupBy("term").agg(F.sum("n").alias("df"))
     idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    part = F.col("times") * idf * (F.col("tf") * 2.5) / (F.col("tf") + 1.5 * (F.lit(0.25) + 0.75 * F.col("dl") / avgdl))
-    scored = terms.join(df, "term").join(found, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    blocks = terms.join(df, "term").withColumn("w", F.col("times") * idf).join(tops, "term").select("query_id", "term", "level", "n", "w", (F.col("w") * F.col("top")).alias("ub"))
+    best_first = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
+    blocks = materialized(blocks.withColumn("before", F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")), "blocks")
+    laid = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")) if parts > 1 else found.withColumn("part", F.lit(0))
+    out = Pruned(laid, blocks, blocks, parts)
+
+    seeds = out.dealt(blocks.where(F.col("before") < SEEDS * k).select("query_id", "term", "level", "w"))
+    gains = seeds.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("gain"))
+    first = lambda rows, by, most: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by)))).where(F.col("rank") <= most)
+    tried = materialized(first(gains, "gain", TRIED * k).select("query_id", "doc_id"), "tried")
+    worth = blocks.select("query_id", "term", "w").distinct()
+    full = tried.join(worth, "query_id").join(laid.select("doc_id", "term", "s"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
+    least = first(full, "score", k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
+    # a term adds at most its largest unread block: what each further block adds to that, from the weakest on
+    of_term = Window.partitionBy("query_id", "term").orderBy("ub")
+    weakest_first = Window.partitionBy("query_id").orderBy("ub", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
+    more = F.col("ub") - F.coalesce(F.lag("ub").over(of_term), F.lit(0.0))
+    known = blocks.drop("before").withColumn("more", more).withColumn("unread", F.sum("more").over(weakest_first)).join(least, "query_id", "left")
+    known = known.withColumn("read", F.col("unread") >= F.coalesce("least", F.lit(0.0)) - _SLACK)
+    out.blocks = materialized(known.drop("more"), "blocks")
+    out.bounds = out.blocks.groupBy("query_id").agg(F.coalesce(F.max("least"), F.lit(0.0)).alias("least"), F.coalesce(F.max(F.when(~F.col("read"), F.col("unread"))), F.lit(0.0)).alias("unread"))
+    return out
+
+
+def rank_queries(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """docs: doc_id, text; queries: query_id, query. The k best documents of every query by BM25, exactly: query_id,
+    doc_id, score, rank; ties go to the smaller id. Documents of the blocks that pruned() reads are candidates where
+    what they miss could still bring them in; only for those the unread blocks are looked up."""
+    p = pruned(docs, queries, k)
+    seen = p.dealt(p.blocks.where("read").select("query_id", "term", "level", "w")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("sum"))
+    near = seen.join(p.bounds, "query_id").where(F.col("sum") + F.col("unread") >= F.col("least") - 2 * _SLACK).select("query_id", "doc_id", "sum")
+    near = materialized(near, "candidates")
+    left = p.blocks.where("NOT read").select("query_id", "term", "level", "w")
+    wanted = near.select("query_id", "doc_id").join(left, "query_id")
+    rest = wanted.join(p.postings.drop("part"), ["doc_id", "term", "level"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("rest"))
+    scored = near.join(rest, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("sum") + F.coalesce("rest", F.lit(0.0)), 6).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= k)
 

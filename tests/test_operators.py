@@ -389,8 +389,8 @@ def test_a_chain_of_a_thousand_is_settled_in_a_few_rounds(spark):
     assert components.components(links.limit(0)).isEmpty() and similarity.rejected(links.limit(0)).isEmpty()
 
 
-@pytest.mark.parametrize("first", [(4, 64), (1,), (2, 3)])
-def test_section_overlaps_equal_all_pairs(spark, first):
+@pytest.mark.parametrize("tile_bits", [8, 3, 0])
+def test_section_overlaps_equal_all_pairs(spark, tile_bits):
     rnd = random.Random(9)
     words = [f"w{i}w" for i in range(60)]
     rows = [(f"d{i % 2}", i, f"{i % 3}.{i % 2} T{i % 7}", " ".join(rnd.sample(words, rnd.choice([1, 4, 9, 14])))) for i in range(120)]
@@ -400,7 +400,7 @@ def test_section_overlaps_equal_all_pairs(spark, first):
     for (d, o), (t, sec, w, x) in sets.items():
         hits = [o2 for (d2, o2), (t2, sec2, w2, x2) in sets.items() if d2 == d and o2 < o and sec and sec2 == sec and t2 != t and x2 != x and w & w2 and len(w & w2) / len(w | w2) >= 0.15]
         want |= {(d, o, min(hits))} if hits else set()
-    got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), first_nodes=first)
+    got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), tile_bits=tile_bits)
     assert {tuple(r) for r in got.collect()} == want
 
 

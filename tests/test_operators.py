@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import rules as r
 from quire.functions import unicode
 from quire.functions.register import register
-from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, tree, usage, validate, vectors
+from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, summaries, temporal, tree, usage, validate, vectors
 from quire.plans import index as sections_plan
 from quire.plans import index as index_queries
 from quire.plans import structure as handbook
@@ -437,3 +437,43 @@ def test_probing_reaches_the_recall_that_was_asked_for(spark):
 def test_vectors_of_an_empty_table(spark):
     index = vectors.build(directions(spark, 3).limit(0))
     assert vectors.search(index, directions(spark, 3).withColumnRenamed("id", "query_id")).isEmpty()
+
+
+def test_range_and_interval_joins_equal_all_pairs(spark):
+    rnd = random.Random(4)
+    points = [(i, rnd.choice([None, *range(-50, 50)]), rnd.choice([1, 2, None])) for i in range(150)]
+    spans = [(i, lo := rnd.choice([None, *range(-60, 60)]), None if rnd.random() < 0.1 or lo is None else lo + rnd.choice([-2, 0, 1, 2, 3, 8, 40, 100]), rnd.choice([1, 2, None])) for i in range(60)]
+    p = spark.createDataFrame(points, "p int, x long, k int")
+    s = spark.createDataFrame(spans, "s int, lo long, hi long, k int")
+    inside = lambda x, lo, hi: None not in (x, lo, hi) and lo <= x < hi
+    got = temporal.range_join(p.drop("k"), s.drop("k"), "x", "lo", "hi")
+    assert sorted((r.p, r.s) for r in got.collect()) == sorted((a[0], b[0]) for a in points for b in spans if inside(a[1], b[1], b[2]))
+    keyed = temporal.range_join(p, s, "x", "lo", "hi", ("k",))
+    assert sorted((r.p, r.s) for r in keyed.collect()) == sorted((a[0], b[0]) for a in points for b in spans if a[2] == b[3] and a[2] and inside(a[1], b[1], b[2]))
+    t = s.select(F.col("s").alias("t"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), "k")
+    both = temporal.overlaps(s.drop("k"), t.drop("k"), ("lo", "hi"), ("lo2", "hi2"))
+    real = [x for x in spans if None not in x[1:3] and x[1] < x[2]]
+    assert sorted((r.s, r.t) for r in both.collect()) == sorted((a[0], b[0]) for a in real for b in real if a[1] < b[2] and b[1] < a[2])
+    assert temporal.range_join(p.drop("k"), s.drop("k").limit(0), "x", "lo", "hi").isEmpty()
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_asof_and_trailing_equal_brute_force(spark, width):
+    rnd = random.Random(5)
+    rows = lambda n: [(i, rnd.choice([None, *range(60)]), rnd.choice(["a", "a", "a", "b", None])) for i in range(n)]
+    left, right = rows(120), [*rows(50), (50, 3, "a"), (51, 3, "a")]
+    found = temporal.asof_join(spark.createDataFrame(left, "i int, x long, k string"), spark.createDataFrame(right, "j int, y long, k string"), "x", "y", ("k",), width, "j")
+    want = {}
+    for i, x, k in left:
+        known = [(y, j) for j, y, k2 in right if x is not None and y is not None and k2 == k and y <= x]
+        want[i] = max(known)[1] if known else None
+    assert {r.i: r.j for r in found.collect()} == want and found.count() == len(left)
+    sums = temporal.trailing(spark.createDataFrame(left, "i int, x long, k string"), "x", ("k",), width, n=F.count("*"), total=F.sum("i"))
+    slow = {i: (sum(k2 == k and x2 is not None and x - width <= x2 <= x for _, x2, k2 in left), sum(j for j, x2, k2 in left if k2 == k and x2 is not None and x - width <= x2 <= x)) if x is not None else (None, None) for i, x, k in left}
+    assert {r.i: (r.n, r.total) for r in sums.collect()} == slow
+
+
+def test_sketches_are_merged(spark):
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 7).alias("day"), (F.col("id") % 1000).cast("double").alias("v"))
+    got = summaries.estimates(summaries.merged(summaries.sketched(rows, ["day"], "id", "v"), []), (0.5,)).first()
+    assert got.n == 20_000 and abs(got.distinct - 20_000) < 1000 and abs(got.q[0] - 500) < 40

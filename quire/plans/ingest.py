@@ -12,6 +12,7 @@ from quire.plans import usage as up
 from quire.plans.text import NOTICES, _values
 from quire.sources import files
 from quire.streaming import ingest as stream
+from quire.streaming import jobs
 
 PAGES = [("a", 1, "cover"), ("a", 2, NOTICES[0]), ("a", 3, "more of the notice"), ("a", 4, "GST / REPLY and GST / NOTICE"), ("a", 5, "gst / reply\nWe deny it"), ("b", 1, "GST / REPLY only"), ("c", 1, "nothing")]
 FAQS = [("f", "Q: What is it?\nA: A form.\nQuestion - When is it due?\nAnswer: On the 11th.\nQ: Empty?\nA: \n"), ("g", "no pairs here"), ("h", "Q: One?\nA: Yes.")]
@@ -92,6 +93,20 @@ def _searched(s: SparkSession, d: str, probed: bool) -> DataFrame:
     return vectors.recall(vectors.search(index, asked, probes=vectors.tuned_probes(index, asked)), exact) if probed else exact
 
 
+def _windows(s: SparkSession, d: str) -> DataFrame:
+    """The windows that a stream of the events has open or closed when it has read them all."""
+    out = stream.drained(stream.credit_windows(up.streamed(s, d)), "windows", "complete")
+    last = out.agg(F.max("batch")).first()[0]
+    return out.where(F.col("batch") == last).select(F.col("start").cast("timestamp_ntz").alias("start"), "operation", "credits", "n")
+
+
+def _job_totals(s: SparkSession, d: str) -> DataFrame:
+    """Each job's last totals from a stream of the events."""
+    out = stream.drained(jobs.job_totals(up.streamed(s, d)), "job-totals", conf=jobs.STORE)
+    last = out.groupBy("job_id").agg(F.max_by(F.struct("events", "credits_nano", "retries"), "events").alias("t"), F.max("alert").alias("alert"))
+    return last.select("job_id", "t.*", "alert")
+
+
 QUERIES = {
     "ingest_pair_rows": lambda s, d: _pairs(s, d)[0].select("id", "doc_id", "pair_id", "role", "status", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim")),
     "ingest_pair_links": lambda s, d: _pairs(s, d)[1],
@@ -120,7 +135,8 @@ QUERIES = {
     "store_cosine_top_k": lambda s, d: store.cosine_top_k(_t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _queries(s, d)).select("query_id", "id", "cosine", "rank"),
     "vectors_exact": lambda s, d: _searched(s, d, False),
     "vectors_probed_recall": lambda s, d: _searched(s, d, True),
-    "stream_credit_windows": lambda s, d: stream.credit_windows(up.events(s, d)).select(F.col("start").cast("timestamp_ntz").alias("start"), "operation", "credits", "n"),
+    "stream_credit_windows": _windows,
+    "stream_job_totals": _job_totals,
     "stream_job_sessions": lambda s, d: stream.job_sessions(up.events(s, d)).select("job_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "credits"),
 }
 _P = f"p AS (SELECT * FROM {_values(PAGES)} v(doc_id, page, text)), m AS (SELECT *, CASE WHEN contains(upper(text), 'GST / NOTICE') THEN 'notice' WHEN contains(upper(text), 'GST / REPLY') THEN 'reply' END AS mark FROM p), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS part FROM m)"
@@ -148,6 +164,7 @@ ORACLE_SQL = {
     "store_synced": f"WITH {_JOBS}, {_VECTORS} SELECT id, vec.doc_id, coalesce(seq_id, -1) AS seq_id, coalesce(file_name, 'own') AS file_name FROM vec LEFT JOIN jobs ON vec.doc_id = jobs.doc_id",
     "store_last_of_each": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC) = 1",
     "store_cosine_top_k": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, c AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
+    "stream_job_totals": "SELECT CAST(user_id AS VARCHAR) AS job_id, count(*) AS events, CAST(sum(CAST(round(value * 1000000000) AS BIGINT)) AS BIGINT) AS credits_nano, count(*) FILTER (event_type = 'error') AS retries, CASE WHEN count(*) FILTER (event_type = 'error') >= 5 THEN 'retry_explosion' END AS alert FROM events GROUP BY user_id",
     "vectors_exact": "WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS c FROM embeddings v JOIN embeddings q ON q.vec_id % 100 = 0) SELECT query_id, id, c AS cosine, CAST(row_number() OVER (PARTITION BY query_id ORDER BY c DESC, id) AS INT) AS rank FROM p QUALIFY rank <= 5",
     "stream_credit_windows": up._WITH + "SELECT date_trunc('hour', \"timestamp\") AS start, operation, round(sum(credits_used), 6) AS credits, count(*) AS n FROM e GROUP BY ALL",
     "stream_job_sessions": up._WITH + ", g AS (SELECT *, CASE WHEN \"timestamp\" - lag(\"timestamp\") OVER (PARTITION BY job_id ORDER BY \"timestamp\") < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e), k AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY \"timestamp\" ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT job_id, min(\"timestamp\") AS start, count(*) AS n, round(sum(credits_used), 6) AS credits FROM k GROUP BY job_id, k",

@@ -21,7 +21,16 @@ EVENTS = """SELECT event_id, user_id AS job_id, user_id % 40 AS document_id, CAS
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return shaped(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a stream of files."""
+    known = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return shaped(spark.readStream.schema(known).parquet(f"{sf_dir}/events.parque[t]"))  # a pattern: one file or a folder
+
+
+def shaped(e: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     return e.select(
         "event_id", F.col("user_id").alias("job_id"), (F.col("user_id") % 40).alias("document_id"), (F.col("event_id") % 6).cast("int").alias("page_number"), F.col("event_type").alias("operation"),

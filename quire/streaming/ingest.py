@@ -3,11 +3,14 @@ for is polling and resumable batches."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import rules as r
-from quire.operators.store import replaced
+from quire.sources.buckets import BucketTable, newest
+from quire.sources.shared import folder
 
 
 def credit_windows(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
@@ -27,30 +30,37 @@ def job_sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 min
     return by.select("job_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "credits")
 
 
+def drained(stream: DataFrame, label: str, mode: str = "append", conf: dict[str, str] | None = None) -> DataFrame:
+    """What a stream has given when it has read all there is now: its rows with batch, the number of their micro-batch.
+    State, checkpoint and rows stand in the shared folder. conf holds while the stream runs."""
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    for k, v in (conf or {}).items():
+        spark.conf.set(k, v)
+    try:
+        batch = lambda rows, n: rows.write.mode("overwrite").parquet(f"{path}/rows/batch={n}")
+        stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/rows")
+
+
 def landing_documents(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
     """A stream of JSON documents (doc_id, text, landed), each content once within the watermark."""
     docs = spark.readStream.schema("doc_id string, text string, landed timestamp").json(path)
     return docs.withColumn("content_hash", F.expr(r.content_hash(r.SPARK, "text"))).withWatermark("landed", late).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str):
-    """Start a query that upserts each micro-batch into the Parquet table by doc_id. The new version is
-    written beside the old one and named in a one-row pointer, so a batch that is run again gives the
-    same table."""
+def ingest(stream: DataFrame, table: str, checkpoint: str, buckets: int = 64):
+    """Start a query that upserts each micro-batch by doc_id, the latest landing of each, into a table of hash buckets:
+    a batch rewrites the buckets of its documents only, and one that is run again changes nothing."""
+    spark = stream.sparkSession
+    target = BucketTable(spark, table).create(stream.schema, ["doc_id"], buckets)
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        pointer = f"{table}/current"
-        try:
-            version = spark.read.text(pointer).orderBy("value").first()
-        except Exception as e:  # no version yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            version = None
-        old = spark.read.parquet(f"{table}/{version.value}") if version and version.value != f"v{number}" else None
-        last = rows.groupBy("doc_id").agg(F.max_by(F.struct(*rows.columns), "landed").alias("r")).select("r.*")
-        new = last if old is None else replaced(old, last, "doc_id")
-        new.write.mode("overwrite").parquet(f"{table}/v{number}")
-        spark.createDataFrame([(f"v{number}",)], "value string").coalesce(1).write.mode("overwrite").text(pointer)
+        target.write(rows, newest("landed", "doc_id"), ("ingest", number))
+        target.vacuum()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -16,8 +16,9 @@ from quire.operators import build, chunking, components, enrich, retrieval, simi
 from quire.plans import index as sections_plan
 from quire.plans import index as index_queries
 from quire.plans import structure as handbook
-from quire.sources import files
+from quire.sources import buckets, files
 from quire.streaming import ingest
+from quire.streaming import jobs as jobs_stream
 
 E = "event_id string, job_id string, document_id string, page_number int, operation string, model string, input_tokens int, output_tokens int, credits_used double, latency_ms int, cache_hit boolean, accuracy string, status string, timestamp timestamp"
 
@@ -239,8 +240,7 @@ def test_stream_upserts(spark, tmp_path):
     ingest.ingest(ingest.landing_documents(spark, str(landing)), table, f"{tmp_path}/cp").awaitTermination()
     put("2.json", [{"doc_id": "a", "text": "changed", "landed": "2024-01-01T00:30:00"}])
     ingest.ingest(ingest.landing_documents(spark, str(landing)), table, f"{tmp_path}/cp").awaitTermination()
-    version = spark.read.text(f"{table}/current").first().value
-    got = {x.doc_id: x.text for x in spark.read.parquet(f"{table}/{version}").collect()}
+    got = {x.doc_id: x.text for x in buckets.BucketTable(spark, table).read().collect()}
     assert got == {"a": "changed", "b": "second"}
 
 
@@ -477,3 +477,55 @@ def test_sketches_are_merged(spark):
     rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 7).alias("day"), (F.col("id") % 1000).cast("double").alias("v"))
     got = summaries.estimates(summaries.merged(summaries.sketched(rows, ["day"], "id", "v"), []), (0.5,)).first()
     assert got.n == 20_000 and abs(got.distinct - 20_000) < 1000 and abs(got.q[0] - 500) < 40
+
+
+def test_bucket_table_rewrites_what_it_must(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame(list(x), "k long, v string, t int")
+    t = buckets.BucketTable(spark, f"{tmp_path}/t").create(rows().schema, ["k"], 8)
+    with pytest.raises(ValueError):
+        buckets.BucketTable(spark, f"{tmp_path}/none").read()
+    merge = buckets.newest("t", "k")
+    t.write(rows(*[(i, "a", 1) for i in range(40)], (None, "a", 1)), merge, ("w", 0))
+    before = t.manifest()["folders"]
+    t.write(rows((3, "b", 2), (3, "old", 0), (4, "older", 0), (100, "new", 1)), merge, ("w", 1))
+    after = t.manifest()["folders"]
+    assert sum(before.get(b) == f for b, f in after.items()) >= 5  # untouched buckets keep their files
+    got = {r.k: (r.v, r.t) for r in t.read().collect()}
+    assert got == {**{i: ("a", 1) for i in (None, *range(40))}, 3: ("b", 2), 100: ("new", 1)}
+    assert {r.k: r.v for r in t.read(1).collect()}[3] == "a"  # a version stays as it was
+    version = t.versions()[-1]
+    assert t.write(rows((5, "again", 9)), merge, ("w", 1)) == version and t.read().where("v = 'again'").isEmpty()
+    t.write(rows((7, "x", 1), (7, "y", 1)), buckets.replacing("k"))
+    assert sorted(r.v for r in t.read().where("k = 7").collect()) == ["x", "y"] and t.read().count() == 43
+    assert t.vacuum(1) > 0 and t.read().count() == 43 and len(t.versions()) == 1
+    t.write(rows(), merge)
+    assert t.read().count() == 43
+    with pytest.raises(buckets.Conflict):
+        t._publish(t.versions()[-1], t.manifest())
+
+
+def test_job_totals_with_late_and_repeated_rows(spark, tmp_path):
+    land, out, cp = (tmp_path / x for x in ("in", "out", "cp"))
+    land.mkdir()
+    before = {k: spark.conf.get(k, None) for k in jobs_stream.STORE}
+    for k, v in jobs_stream.STORE.items():
+        spark.conf.set(k, v)
+
+    def run(name, rows):
+        (land / name).write_text("\n".join(json.dumps(dict(zip(["event_id", "job_id", "timestamp", "credits_used", "status"], r, strict=True))) for r in rows))
+        events = spark.readStream.schema("event_id string, job_id string, timestamp timestamp, credits_used double, status string").json(str(land))
+        q = jobs_stream.job_totals(events, limit=2).writeStream.outputMode("append").format("parquet").option("checkpointLocation", str(cp)).trigger(availableNow=True).start(str(out))
+        q.awaitTermination()
+        rows = spark.read.schema(jobs_stream.TOTALS).parquet(str(out)).orderBy("events", "alert").collect()
+        return {r.job_id: tuple(r)[1:] for r in rows}  # the last row of each job
+
+    try:
+        t = lambda m: f"2024-01-01T00:{m:02d}:00Z"
+        first = run("1.json", [("e1", "a", t(30), 0.1, "failed"), ("e1", "a", t(30), 0.1, "failed"), ("e2", "a", t(31), 0.2, "success"), ("e3", "b", t(32), None, None)])
+        assert first == {"a": (2, 300_000_000, 1, None), "b": (1, 0, 0, None)}
+        # a restart goes on with the state; e2 is repeated, e0 is later than the watermark (22), e4 is not
+        last = run("2.json", [("e2", "a", t(31), 0.2, "success"), ("e0", "a", t(1), 5.0, "failed"), ("e4", "a", t(25), 0.5, "failed")])
+        assert last["a"] == (3, 800_000_000, 2, "retry_explosion")
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

@@ -88,8 +88,21 @@ def tree_of(placed: DataFrame, chunks: DataFrame, max_title: int = 85) -> DataFr
     return named.join(up, ["doc_id", "parent_key"], "left").select("doc_id", "node_id", "parent_id", "ordinal", "type", "title", "raw_content", "start", "end", (F.col("parent_key") == "front").alias("is_front_matter"))
 
 
+def without_contained(nodes: DataFrame) -> DataFrame:
+    """nodes whose text is emptied where it stands in the text of a parent that has one (containers have none), or
+    is nearly the same: the parent's own text, before any is emptied, decides."""
+    ups = nodes.where(~F.col("type").isin(*tree.CONTAINERS) & (F.coalesce("raw_content", F.lit("")) != "")).select("doc_id", F.col("node_id").alias("parent_id"), F.trim("raw_content").alias("parent_text"))
+    pairs = nodes.where("raw_content <> ''").select("doc_id", "node_id", "parent_id", F.trim("raw_content").alias("text")).join(ups, ["doc_id", "parent_id"])
+    gone = similarity.contained(pairs).where("duplicates_parent").select("doc_id", "node_id", F.lit(True).alias("_gone"))
+    out = nodes.join(gone, ["doc_id", "node_id"], "left").withColumn("raw_content", F.when(F.col("_gone"), "").otherwise(F.col("raw_content")))
+    if "retrieval_ready" in nodes.columns:
+        out = out.withColumn("retrieval_ready", F.when(F.col("_gone"), False).otherwise(F.col("retrieval_ready")))
+    return out.select(*nodes.columns)
+
+
 def finished(nodes: DataFrame, lines: DataFrame, settings=None) -> DataFrame:
     """Spans, metadata, summaries, paths, token roll-ups and hashes of a tree of nodes."""
+    nodes = without_contained(nodes)
     target, least = (0.70, 0.60) if settings is None else (settings.compression_target_ratio, settings.compression_min_ratio)
     leaves = nodes.where("type = 'CONTENT'")
     spans = st.char_spans(lines.withColumn("doc_id", F.col("doc_id").cast("string")), leaves.select("doc_id", "node_id", "start", "end")).drop("start", "end")

@@ -158,14 +158,14 @@ def _taken(pool: list[str], enough: int, limit: int) -> tuple[list[str], int]:
 LONG, MOST, FILLED, REPAIRED = 400, 0.92, 0.85, 0.88
 
 
-def compress(raw: str, target: float = 0.70, least: float = 0.60) -> str:
+def compress(raw: str, target: float = 0.70, least: float = 0.60, key_chars: int | None = None) -> str:
     """The best sentences, in the order of their first occurrence, up to the target share of the text and at
-    least the least."""
+    least the least. Sentences are the same if all their words are, or with key_chars if so many characters are."""
     if not raw or not raw.strip():
         return ""
     first: dict[str, str] = {}
     for s in sentences(raw):
-        first.setdefault(" ".join(s.lower().split())[:200], s)
+        first.setdefault(" ".join(s.lower().split())[:key_chars], s)
     unique = list(first.values())
     if not unique:
         return raw.strip()

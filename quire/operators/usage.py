@@ -8,25 +8,60 @@ timestamp, then event_id. Sums of credits are rounded to six digits.
 
 from __future__ import annotations
 
+import contextlib
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Credits per page and per 1000 tokens, upload and poll rates.
+#: Which rate a page of an operation costs.
 PAGE_RATE = {
-    "ocr_extraction": 0.12,
-    "structure_detection": 0.03,
-    "compression_generation": 0.21,
-    "micro_summary_generation": 0.04,
-    "alias_generation": 0.02,
-    "keyword_generation": 0.02,
-    "document_parsing": 0.03,
-    "heading_detection": 0.03,
-    "chunk_generation": 0.03,
+    "ocr_extraction": "page_ocr",
+    "structure_detection": "page_structure",
+    "compression_generation": "page_compression",
+    "micro_summary_generation": "page_summary",
+    "alias_generation": "page_metadata",
+    "keyword_generation": "page_metadata",
+    "document_parsing": "page_structure",
+    "heading_detection": "page_structure",
+    "chunk_generation": "page_structure",
 }
-INPUT_RATE, OUTPUT_RATE, UPLOAD_BASE, UPLOAD_MB, POLL_RATE = 0.01, 0.015, 0.05, 0.01, 0.002
+
+
+@dataclass(frozen=True)
+class Rates:
+    """Credits per page, per 1000 tokens, per upload and its MB, per poll, and the limits beyond which alerts are given."""
+
+    page_ocr: float = 0.12
+    page_structure: float = 0.03
+    page_compression: float = 0.21
+    page_summary: float = 0.04
+    page_metadata: float = 0.02
+    input_1k: float = 0.01
+    output_1k: float = 0.015
+    upload: float = 0.05
+    upload_mb: float = 0.01
+    poll: float = 0.002
+    page_limit: float = 1.0
+    job_limit: float = 25.0
+    retry_limit: float = 5.0
+
+    @classmethod
+    def from_env(cls, found: Mapping[str, str] = os.environ) -> Rates:
+        """QUIRE_RATE_<NAME> in place of a default; what is no number is left out."""
+        out = {}
+        for f in fields(cls):
+            with contextlib.suppress(KeyError, ValueError):
+                out[f.name] = float(found[f"QUIRE_RATE_{f.name.upper()}"])
+        return cls(**out)
+
+
+RATES = Rates()
+RETRY_LIMIT = int(RATES.retry_limit)
 #: Shares of a page's cost by operation, where only a job's total is known.
 PAGE_SHARES = {"ocr_extraction": 0.12, "structure_detection": 0.03, "compression_generation": 0.21, "micro_summary_generation": 0.04, "keyword_generation": 0.02}
-PAGE_LIMIT, JOB_LIMIT, RETRY_LIMIT = 1.0, 25.0, 5
 
 def _tokens() -> Column:
     return F.sum(F.col("input_tokens") + F.col("output_tokens"))
@@ -157,18 +192,18 @@ def split_over_pages(stages: DataFrame) -> DataFrame:
     return rows.select("stage_id", (F.col("page_start") + F.col("i")).alias("page_number"), F.round(F.col("credits") / F.col("n"), 6).alias("credits"), F.expr("tokens div n").alias("tokens"), F.expr("latency_ms div n").alias("latency_ms"))
 
 
-def credits_from_tokens(operation: Column, pages: Column, input_tokens: Column, output_tokens: Column) -> Column:
-    rate = F.element_at(F.create_map(*(F.lit(x) for kv in PAGE_RATE.items() for x in kv)), operation)
+def credits_from_tokens(operation: Column, pages: Column, input_tokens: Column, output_tokens: Column, rates: Rates = RATES) -> Column:
+    rate = F.element_at(F.create_map(*(F.lit(x) for o, name in PAGE_RATE.items() for x in (o, getattr(rates, name)))), operation)
     page = F.coalesce(rate, F.lit(0.0)) * F.greatest(pages, F.lit(1))
-    return F.round(page + input_tokens / 1000.0 * INPUT_RATE + output_tokens / 1000.0 * OUTPUT_RATE, 6)
+    return F.round(page + input_tokens / 1000.0 * rates.input_1k + output_tokens / 1000.0 * rates.output_1k, 6)
 
 
-def upload_credits(size: Column) -> Column:
-    return F.round(F.lit(UPLOAD_BASE) + size / (1024.0 * 1024.0) * UPLOAD_MB, 6)
+def upload_credits(size: Column, rates: Rates = RATES) -> Column:
+    return F.round(F.lit(rates.upload) + size / (1024.0 * 1024.0) * rates.upload_mb, 6)
 
 
-def poll_credits(attempt: Column) -> Column:
-    return F.round(F.lit(POLL_RATE) * attempt, 6)
+def poll_credits(attempt: Column, rates: Rates = RATES) -> Column:
+    return F.round(F.lit(rates.poll) * attempt, 6)
 
 
 def provider_usage(body: Column) -> Column:
@@ -192,17 +227,17 @@ def provider_usage(body: Column) -> Column:
     return F.when(credits.isNotNull(), found)
 
 
-def event_alerts(events: DataFrame) -> DataFrame:
+def event_alerts(events: DataFrame, rates: Rates = RATES) -> DataFrame:
     """page_cost_high above the page limit; wasted_credits of failed events."""
-    high = events.where(F.col("credits_used") > PAGE_LIMIT).select("job_id", "event_id", F.lit("page_cost_high").alias("alert_type"), F.lit(PAGE_LIMIT).alias("threshold"), F.col("credits_used").alias("actual_value"))
+    high = events.where(F.col("credits_used") > rates.page_limit).select("job_id", "event_id", F.lit("page_cost_high").alias("alert_type"), F.lit(rates.page_limit).alias("threshold"), F.col("credits_used").alias("actual_value"))
     wasted = events.where((F.col("status") == "failed") & (F.col("credits_used") > 0)).select("job_id", "event_id", F.lit("wasted_credits").alias("alert_type"), F.lit(None).cast("double").alias("threshold"), F.col("credits_used").alias("actual_value"))
     return high.unionByName(wasted)
 
 
-def job_alerts(jobs: DataFrame) -> DataFrame:
+def job_alerts(jobs: DataFrame, rates: Rates = RATES) -> DataFrame:
     """job_cost_spike above the job limit; retry_explosion from the retry limit on."""
-    spike = jobs.where(F.col("total_credits") > JOB_LIMIT).select("job_id", F.lit("job_cost_spike").alias("alert_type"), F.lit(JOB_LIMIT).alias("threshold"), F.col("total_credits").alias("actual_value"))
-    retry = jobs.where(F.col("retries") >= RETRY_LIMIT).select("job_id", F.lit("retry_explosion").alias("alert_type"), F.lit(float(RETRY_LIMIT)).alias("threshold"), F.col("retries").cast("double").alias("actual_value"))
+    spike = jobs.where(F.col("total_credits") > rates.job_limit).select("job_id", F.lit("job_cost_spike").alias("alert_type"), F.lit(rates.job_limit).alias("threshold"), F.col("total_credits").alias("actual_value"))
+    retry = jobs.where(F.col("retries") >= rates.retry_limit).select("job_id", F.lit("retry_explosion").alias("alert_type"), F.lit(float(rates.retry_limit)).alias("threshold"), F.col("retries").cast("double").alias("actual_value"))
     return spike.unionByName(retry)
 
 

@@ -54,6 +54,17 @@ def _overview(s: SparkSession, d: str) -> DataFrame:
     return usage.overview(events(s, d))
 
 
+def _other_rates(s: SparkSession, d: str) -> DataFrame:
+    """Costs and alerts under rates of one's own; latencies stand for sizes of uploads, page numbers for polls."""
+    rates = usage.Rates.from_env({"QUIRE_RATE_PAGE_OCR": "0.5", "QUIRE_RATE_OUTPUT_1K": "0.03", "QUIRE_RATE_PAGE_LIMIT": "50", "QUIRE_RATE_POLL": "none"})
+    e = events(s, d)
+    high = usage.event_alerts(e, rates).where("alert_type = 'page_cost_high'").select("event_id", F.lit(True).alias("high"))
+    kind = F.when(F.col("page_number") == 1, "ocr_extraction").otherwise(F.col("operation"))
+    tokens = usage.credits_from_tokens(kind, F.lit(1), F.col("input_tokens"), F.col("output_tokens"), rates)
+    costs = e.select("event_id", tokens.alias("tokens"), usage.upload_credits(F.col("latency_ms") * 1000, rates).alias("upload"), usage.poll_credits(F.col("page_number"), rates).alias("polls"))
+    return costs.join(high, "event_id", "left").withColumn("high", F.coalesce("high", F.lit(False)))
+
+
 QUERIES = {
     "usage_job_totals": lambda s, d: usage.job_totals(events(s, d)),
     "usage_credits_breakdown": lambda s, d: usage.credits_breakdown(events(s, d)),
@@ -64,6 +75,7 @@ QUERIES = {
     "usage_overview": _overview,
     "usage_synthetic_pages": lambda s, d: usage.synthetic_pages(jobs(events(s, d))),
     "usage_split_over_pages": lambda s, d: usage.split_over_pages(events(s, d).select(F.col("event_id").alias("stage_id"), "page_number", F.col("page_number").alias("page_start"), (F.col("page_number") + F.col("event_id") % 4).alias("page_end"), F.col("credits_used").alias("credits"), F.col("output_tokens").alias("tokens"), "latency_ms").drop("page_number")),
+    "usage_other_rates": lambda s, d: _other_rates(s, d),
     "usage_pricing": lambda s, d: events(s, d).select("event_id", usage.credits_from_tokens(F.when(F.col("page_number") == 1, "ocr_extraction").when(F.col("page_number") == 2, "keyword_generation").otherwise(F.col("operation")), F.col("page_number"), F.col("input_tokens"), F.col("output_tokens")).alias("token_credits"), usage.upload_credits(F.col("event_id") * 1000).alias("upload_credits"), usage.poll_credits(F.col("page_number")).alias("poll_credits")),
     "usage_provider_answer": lambda s, d: _provider(s, d),
     "usage_event_alerts": lambda s, d: usage.event_alerts(events(s, d)),
@@ -75,7 +87,7 @@ QUERIES = {
     "usage_dashboard_sorted": lambda s, d: usage.dashboard(events(s, d), "view", "latency_ms", True).select("event_id", "operation", "latency_ms"),
     "usage_page_summary": lambda s, d: usage.page_summary(events(s, d), document_id=8, page_number=3),
     "usage_appended": lambda s, d: usage.appended(events(s, d).where("event_id % 3 > 0"), events(s, d).where("event_id % 2 = 0")).select("event_id", "operation"),
-    "usage_alerts_by_time": lambda s, d: usage.alerts_by_time(events(s, d), job_id=8).select("event_id", "alert_type", "created_at"),
+    "usage_alerts_by_time": lambda s, d: usage.alerts_by_time(events(s, d)).select("event_id", "alert_type", "created_at"),
 }
 
 
@@ -119,6 +131,7 @@ ORACLE_SQL = {
     "usage_synthetic_pages": _WITH + _JOBS + """, r AS (SELECT job_id, total_credits / (job_id % 5) AS per, CAST(unnest(range(1, job_id % 5 + 1)) AS INT) AS page_number FROM j WHERE job_id % 5 > 0 AND total_credits > 0)
         SELECT job_id, page_number, round(per, 6) AS total_credits, operation, round(per * share / 0.42::DOUBLE, 6) AS credits, 'ESTIMATED_ALLOCATION' AS accuracy FROM r, (VALUES ('ocr_extraction', 0.12::DOUBLE), ('structure_detection', 0.03::DOUBLE), ('compression_generation', 0.21::DOUBLE), ('micro_summary_generation', 0.04::DOUBLE), ('keyword_generation', 0.02::DOUBLE)) v(operation, share)""",
     "usage_split_over_pages": _WITH + "SELECT event_id AS stage_id, page_number + unnest(range(0, event_id % 4 + 1)) AS page_number, round(credits_used / (event_id % 4 + 1), 6) AS credits, output_tokens // (event_id % 4 + 1) AS tokens, latency_ms // (event_id % 4 + 1) AS latency_ms FROM e",
+    "usage_other_rates": _WITH + "SELECT event_id, round(CASE operation WHEN 'ocr_extraction' THEN 0.5::DOUBLE ELSE 0::DOUBLE END + input_tokens / 1000.0::DOUBLE * 0.01::DOUBLE + output_tokens / 1000.0::DOUBLE * 0.03::DOUBLE, 6) AS tokens, round(0.05::DOUBLE + latency_ms * 1000.0::DOUBLE / 1048576.0::DOUBLE * 0.01::DOUBLE, 6) AS upload, round(0.002::DOUBLE * page_number, 6) AS polls, credits_used > 50 AS high FROM (SELECT * REPLACE (CASE page_number WHEN 1 THEN 'ocr_extraction' ELSE operation END AS operation) FROM e)",
     "usage_pricing": _WITH + "SELECT event_id, round(CASE page_number WHEN 1 THEN 0.12::DOUBLE WHEN 2 THEN 0.02::DOUBLE ELSE 0::DOUBLE END * greatest(page_number, 1) + input_tokens / 1000.0::DOUBLE * 0.01::DOUBLE + output_tokens / 1000.0::DOUBLE * 0.015::DOUBLE, 6) AS token_credits, round(0.05::DOUBLE + event_id * 1000 / 1048576.0::DOUBLE * 0.01::DOUBLE, 6) AS upload_credits, round(0.002::DOUBLE * page_number, 6) AS poll_credits FROM e",
     "usage_provider_answer": "WITH k AS (SELECT event_id, value, CAST(props->>'$.k' AS BIGINT) AS k, event_id % 4 AS r FROM events) SELECT event_id, CASE WHEN r < 3 THEN value END AS credits, CASE r WHEN 0 THEN k WHEN 1 THEN k WHEN 2 THEN 0 END AS input_tokens, CASE r WHEN 0 THEN 0 WHEN 1 THEN 7 WHEN 2 THEN k END AS output_tokens FROM k",
     "usage_event_alerts": _WITH + "SELECT job_id, event_id, 'page_cost_high' AS alert_type, 1.0::DOUBLE AS threshold, credits_used AS actual_value FROM e WHERE credits_used > 1 UNION ALL SELECT job_id, event_id, 'wasted_credits', NULL, credits_used FROM e WHERE status = 'failed' AND credits_used > 0",
@@ -129,6 +142,6 @@ ORACLE_SQL = {
     "usage_dashboard": _WITH + "SELECT event_id, page_number, operation, model, accuracy FROM e WHERE operation = 'click' AND model = 'large'",
     "usage_dashboard_sorted": _WITH + "SELECT event_id, operation, latency_ms FROM e WHERE contains(lower(concat_ws(' ', page_number, operation, model, accuracy)), 'view') ORDER BY latency_ms DESC, event_id",
     "usage_appended": _WITH + "SELECT event_id, operation FROM e WHERE event_id % 3 > 0 OR event_id % 2 = 0",
-    "usage_alerts_by_time": _WITH + "SELECT event_id, unnest(CASE WHEN credits_used > 1 THEN ['page_cost_high'] ELSE [] END || CASE WHEN status = 'failed' AND credits_used > 0 THEN ['wasted_credits'] ELSE [] END) AS alert_type, \"timestamp\" AS created_at FROM e WHERE job_id = 8",
+    "usage_alerts_by_time": _WITH + "SELECT event_id, unnest(CASE WHEN credits_used > 1 THEN ['page_cost_high'] ELSE [] END || CASE WHEN status = 'failed' AND credits_used > 0 THEN ['wasted_credits'] ELSE [] END) AS alert_type, \"timestamp\" AS created_at FROM e",
     "usage_page_summary": _WITH + f'SELECT operation, round(sum(credits_used), 6) AS credits, {_LONG} AS note FROM e WHERE document_id = 8 AND page_number = 3 GROUP BY operation',
 }

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, fields
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NODE = "struct<doc_id:string,node_id:string,parent_id:string,ordinal:bigint,title:string,text:string,summary:string,page_start:int,page_end:int>"
+from quire.sources.shared import materialized
+
+NODE = "doc_id string, node_id string, parent_id string, ordinal long, title string, text string, summary string, page_start int, page_end int"
+NODE_COLUMNS = [x.split()[0] for x in NODE.split(", ")]
 
 
 def page_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -45,28 +46,45 @@ def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
-def _flat(doc_id: str, tree) -> list[dict]:
-    """A saved tree as rows, depth first. A tree is a list of nodes, {'nodes': [...]}, or one node."""
-    first = lambda node, *keys: next((node[k] for k in keys if node.get(k)), None)
-    top = tree if isinstance(tree, list) else tree["nodes"] if isinstance(tree.get("nodes"), list) and not tree.get("title") else [tree]
-    out, todo = [], [(None, n) for n in reversed(top)]
-    while todo:
-        parent, node = todo.pop()
-        start = int(first(node, "page_start", "start_index", "page_index", "physical_index") or 0)
-        row = {"doc_id": doc_id, "node_id": f"{len(out) + 1:04d}", "parent_id": parent, "ordinal": len(out), "title": (node.get("title") or "").strip(), "text": first(node, "raw_content", "text", "content") or "", "summary": first(node, "summary", "prefix_summary", "micro_summary") or "", "page_start": start, "page_end": max(start, int(first(node, "page_end", "end_index") or 0))}
-        out.append(row)
-        todo += [(row["node_id"], n) for n in reversed(node.get("nodes") or [])]
-    return out
+def _told(node: str, keys: tuple[str, ...]) -> str:
+    """SQL: the first of a node's keys whose value says something: not missing, null, empty, 0 or false."""
+    return "coalesce(" + ", ".join(f"nullif(nullif(nullif(try_variant_get({node}, '$.{k}', 'string'), ''), '0'), 'false')" for k in keys) + ")"
 
 
 def trees(saved: DataFrame) -> DataFrame:
-    """saved: doc_id, json (one tree a row). One row a node: ids by place, parents, pages, text. A JSON
-    tree has no fixed depth, so a row is unfolded by an Arrow-batched function."""
-    @F.pandas_udf(f"array<{NODE}>")
-    def unfold(doc_id: pd.Series, tree: pd.Series) -> pd.Series:
-        return pd.Series([_flat(d, json.loads(t)) if t else [] for d, t in zip(doc_id, tree, strict=True)])
-
-    return saved.select(F.explode(unfold(F.col("doc_id").cast("string"), F.col("json"))).alias("n")).select("n.*")
+    """saved: doc_id, json (one tree a row: a list of nodes, {'nodes': [...]}, or one node). One row a node: ids by
+    place in the document, depth first, parents, title, text, summary, pages. A document without JSON has no rows.
+
+    The JSON is parsed once into a VARIANT and unfolded level by level, as long as a level has nodes: nodes that
+    stand in a list of their parent's. A node's place is the path of positions to it, so places sort depth first.
+    """
+    nodes_of = lambda v: F.expr(f"CASE WHEN schema_of_variant(variant_get({v}, '$.nodes')) LIKE 'ARRAY%' THEN try_variant_get({v}, '$.nodes', 'array<variant>') END")
+    whole = saved.where("trim(coalesce(json, '')) <> ''").select(F.col("doc_id").cast("string").alias("doc_id"), F.expr("parse_json(json)").alias("v"))
+    listed = F.expr("CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN CAST(v AS array<variant>) END")
+    untitled = F.expr(f"{_told('v', ('title',))} IS NULL")
+    top = F.coalesce(listed, F.when(untitled, nodes_of("v")), F.array("v"))
+    level = whole.select("doc_id", F.posexplode(top).alias("i", "v")).select("doc_id", F.array("i").alias("place"), "v")
+    found = []
+    while True:
+        level = materialized(level, "tree-level")
+        if level.isEmpty():
+            break
+        found.append(level)
+        level = level.select("doc_id", "place", F.posexplode(nodes_of("v")).alias("i", "v")).select("doc_id", F.concat("place", F.array("i")).alias("place"), "v")
+    if not found:
+        return saved.sparkSession.createDataFrame([], NODE)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    order = Window.partitionBy("doc_id").orderBy("place")
+    told = lambda *keys: F.expr(_told("v", keys))
+    number = lambda *keys: F.coalesce(told(*keys).cast("double").cast("int"), F.lit(0))
+    start = number("page_start", "start_index", "page_index", "physical_index")
+    rows = every.select("doc_id", "place", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), F.regexp_replace(F.coalesce(told("title"), F.lit("")), r"^\s+|\s+$", "").alias("title"), F.coalesce(told("raw_content", "text", "content"), F.lit("")).alias("text"), F.coalesce(told("summary", "prefix_summary", "micro_summary"), F.lit("")).alias("summary"), start.alias("page_start"), F.greatest(start, number("page_end", "end_index")).alias("page_end"))
+    rows = materialized(rows.withColumn("node_id", F.format_string("%04d", F.col("ordinal") + 1)), "tree-nodes")
+    ups = rows.select(F.col("doc_id"), F.col("place").alias("up"), F.col("node_id").alias("parent_id"))
+    up = F.when(F.size("place") > 1, F.slice("place", 1, F.size("place") - 1))
+    return rows.withColumn("up", up).join(ups, ["doc_id", "up"], "left").select(*(F.col(c) for c in NODE_COLUMNS))
 
 
 def write_index(nodes: DataFrame, path: str) -> None:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
 from quire.functions import rules as r
 
@@ -40,3 +43,33 @@ def register(spark: SparkSession) -> None:
     """Create every function as a temporary one of the session."""
     for name, (arguments, result, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {result} RETURN {body}")
+
+
+def register_tables(spark: SparkSession) -> None:
+    """Create the table functions of the session, for SQL:
+
+    sliding_chunks(text, size, overlap): chunk_index, chunk_text of one text (LATERAL).
+    page_chunks(TABLE(pages) PARTITION BY (doc_id) ORDER BY (page), size, overlap): doc_id, chunk_index, chunk_text of the
+    pages (doc_id, page, text) of a document, joined by blank lines in their order. Null texts have no chunk.
+    """
+    from quire.operators.chunking import windows  # here, as operators use the functions of this package
+
+    class SlidingChunks:
+        def eval(self, text: str | None, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+            yield from enumerate(windows(text, size, overlap))
+
+    class PageChunks:
+        def __init__(self) -> None:
+            self.doc_id, self.parts, self.bounds = None, [], (1000, 200)
+
+        def eval(self, page, size: int, overlap: int) -> None:
+            self.doc_id, self.bounds = page["doc_id"], (size, overlap)
+            if (page["text"] or "").strip():
+                self.parts.append(page["text"].strip())
+
+        def terminate(self) -> Iterator[tuple]:
+            for i, chunk in enumerate(windows("\n\n".join(self.parts), *self.bounds)):
+                yield self.doc_id, i, chunk
+
+    spark.udtf.register("sliding_chunks", udtf(SlidingChunks, returnType="chunk_index int, chunk_text string"))
+    spark.udtf.register("page_chunks", udtf(PageChunks, returnType="doc_id string, chunk_index int, chunk_text string"))

@@ -86,6 +86,7 @@ QUERIES = {
     "enrich_compressed": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", enrich.compressed(F.col("text")).alias("compressed")),
     "enrich_chunks": lambda s, d: _built(s, d).select("doc_id", "start", "title", "compressed_content", "micro_summary"),
     "index_build": lambda s, d: build.build_index(sp.everything(s, d)).select("doc_id", "node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
+    "index_build_library": lambda s, d: build.build_index(sp.library(s, d)).select("doc_id", "node_id", "parent_id", "type", "title", "path", "page_start", "token_count_raw", "retrieval_ready"),
     "index_provider_trees": lambda s, d: build.with_pages(build.normalized_trees(files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in PROVIDER_TREES], "doc_id string, json string")))),
     "index_declared_types": lambda s, d: _titled(s).selectExpr("i", f"{build.declared_type(r.SPARK.strip('title'), 'i % 2 = 0')} AS declared", f"{build.container_type(r.SPARK.strip('title'))} AS container"),
     "index_slim_results": lambda s, d: build.slim_results(s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("doc_id"), F.concat(F.lit('{"pipeline": "p", "page_count": '), F.col("event_id"), F.lit(', "validation": {"error_count": 2, "errors": ["a", "b"]}, "structure": '), "props", F.lit("}")).alias("results")), 9).select("doc_id", "page_count", "error_count", F.array_join("errors", ",").alias("errors"), "structure"),

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import chunking, store, vectors
+from quire.functions import register
+from quire.functions import rules as r
+from quire.operators import chunking, store, tree, vectors
 from quire.plans import usage as up
 from quire.plans.text import NOTICES, _values
 from quire.sources import files
@@ -16,7 +18,6 @@ from quire.streaming import jobs
 
 PAGES = [("a", 1, "cover"), ("a", 2, NOTICES[0]), ("a", 3, "more of the notice"), ("a", 4, "GST / REPLY and GST / NOTICE"), ("a", 5, "gst / reply\nWe deny it"), ("b", 1, "GST / REPLY only"), ("c", 1, "nothing")]
 FAQS = [("f", "Q: What is it?\nA: A form.\nQuestion - When is it due?\nAnswer: On the 11th.\nQ: Empty?\nA: \n"), ("g", "no pairs here"), ("h", "Q: One?\nA: Yes.")]
-TREES = [("t", {"nodes": [{"title": "One", "page_index": 1, "nodes": [{"title": "One.A", "start_index": 2, "end_index": 4, "text": "x"}, {"title": " One.B ", "page_index": 0}]}, {"title": "Two", "page_start": 5, "page_end": 3}]}), ("u", [{"title": "Solo", "content": "body"}]), ("v", {"title": "Single", "summary": "s", "nodes": []})]
 
 
 def _t(s: SparkSession, d: str, name: str) -> DataFrame:
@@ -107,6 +108,31 @@ def _job_totals(s: SparkSession, d: str) -> DataFrame:
     return last.select("job_id", "t.*", "alert")
 
 
+def _saved_trees(s: SparkSession, d: str) -> DataFrame:
+    """A JSON tree for each nation (region, nation, customers, orders), and the rows that it unfolds to."""
+    region, nation, customer, orders = (_t(s, d, t) for t in ("region", "nation", "customer", "orders"))
+    key = F.col("n_nationkey").cast("string").alias("doc_id")
+    n = nation.join(region, F.col("r_regionkey") == F.col("n_regionkey"))
+    c = customer.withColumnRenamed("c_nationkey", "n_nationkey")
+    o = orders.join(c.select("c_custkey", "n_nationkey"), F.col("c_custkey") == F.col("o_custkey"))
+    row = lambda df, node, parent, ordinal, title, text, start: df.select(key, node.alias("node_id"), parent.alias("parent_id"), ordinal.cast("long").alias("ordinal"), title.alias("title"), text.cast("string").alias("text"), start.cast("int").alias("page_start"))
+    own, no, of = lambda c: F.concat(F.lit("c"), c), F.lit(None).cast("string"), F.col
+    every = row(n, F.lit("r"), no, F.lit(0), of("r_name"), no, no)
+    every = every.unionAll(row(n, F.lit("n"), F.lit("r"), F.lit(0), F.concat(F.lit(" "), of("n_name")), F.lit(""), F.lit(0)))
+    every = every.unionAll(row(c, own(of("c_custkey")), F.lit("n"), of("c_custkey"), of("c_name"), of("c_mktsegment"), of("c_custkey") % 50))
+    every = every.unionAll(row(o, F.concat(F.lit("o"), of("o_orderkey")), own(of("o_custkey")), of("o_orderkey"), of("o_orderpriority"), of("o_orderstatus"), of("o_orderkey") % 50))
+    every = every.withColumn("page_end", F.col("page_start") + F.col("ordinal") % 3 - 1)
+    return files.trees(tree.nested(every.withColumn("type", F.lit("")), ("title", "text", "page_start", "page_end")).withColumnRenamed("tree", "json"))
+
+
+def _chunks_by_sql(s: SparkSession, d: str) -> DataFrame:
+    """Sliding windows by a table function in SQL, next to the session's functions."""
+    register.register(s)
+    register.register_tables(s)
+    _t(s, d, "documents").createOrReplaceTempView("chunked_documents")
+    return s.sql("SELECT doc_id, chunk_index, chunk_text, content_hash(chunk_text) AS hash FROM chunked_documents, LATERAL sliding_chunks(text, 1000, 200)")
+
+
 QUERIES = {
     "ingest_pair_rows": lambda s, d: _pairs(s, d)[0].select("id", "doc_id", "pair_id", "role", "status", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dim")),
     "ingest_pair_links": lambda s, d: _pairs(s, d)[1],
@@ -119,7 +145,8 @@ QUERIES = {
     "ingest_faq_pairs": lambda s, d: chunking.faq_pairs(s.createDataFrame(FAQS, "doc_id string, text string")),
     "ingest_dialogue_pairs": lambda s, d: chunking.dialogue_pairs(_t(s, d, "conversations")),
     "ingest_page_texts": lambda s, d: files.page_texts(_pages(s)),
-    "ingest_saved_trees": lambda s, d: files.trees(s.createDataFrame([(k, json.dumps(v)) for k, v in TREES], "doc_id string, json string")),
+    "ingest_saved_trees": _saved_trees,
+    "ingest_chunks_by_sql": _chunks_by_sql,
     "store_sequenced": lambda s, d: store.sequenced(_jobs(s, d)).select("doc_id", "seq_id"),
     "store_new_by_hash": lambda s, d: store.new_by_hash(_vectors(s, d).where("id % 2 = 0"), _vectors(s, d)).select("id", "content_hash"),
     "store_linked_by_hash": lambda s, d: store.linked_by_hash(_vectors(s, d).where("id % 2 = 0"), _vectors(s, d)),
@@ -140,7 +167,25 @@ QUERIES = {
     "stream_job_sessions": lambda s, d: stream.job_sessions(up.events(s, d)).select("job_id", F.col("start").cast("timestamp_ntz").alias("start"), "n", "credits"),
 }
 _P = f"p AS (SELECT * FROM {_values(PAGES)} v(doc_id, page, text)), m AS (SELECT *, CASE WHEN contains(upper(text), 'GST / NOTICE') THEN 'notice' WHEN contains(upper(text), 'GST / REPLY') THEN 'reply' END AS mark FROM p), s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page) AS part FROM m)"
+#: Windows of 1000 characters, each after the first 200 before the end of the one before; a window that isn't the last
+#: ends after the last of the first kind of break that it holds, unless that lies in its first third.
+_AT = lambda b: f"CASE WHEN strpos(reverse(win), reverse({b})) > 0 THEN length(win) - strpos(reverse(win), reverse({b})) + 1 END"
+_BREAKS = ", ".join(_AT(x) for x in ("chr(10) || chr(10)", "'. '", "'? '", "'! '", "'.' || chr(10)", "'?' || chr(10)", "'!' || chr(10)", "chr(10)", "' '"))
+_CHUNKS = f"""WITH RECURSIVE t0 AS (SELECT doc_id, {r.DUCK.strip("regexp_replace(coalesce(text, ''), '[ ' || chr(9) || ']+', ' ', 'g')")} AS x FROM documents), t AS (SELECT doc_id, regexp_replace(x, chr(10) || '{{3,}}', chr(10) || chr(10), 'g') AS x FROM t0),
+    c AS (SELECT doc_id, 0 AS start, -1 AS stop, '' AS win FROM t UNION ALL SELECT doc_id, nxt, CAST(CASE WHEN nxt + 1000 < n AND at_ >= 333 THEN nxt + at_ ELSE nxt + 1000 END AS INT), win
+        FROM (SELECT *, coalesce({_BREAKS}) AS at_ FROM (SELECT c.doc_id, length(x) AS n, CASE WHEN stop < 0 THEN 0 ELSE greatest(0, stop - 200) END AS nxt, substr(x, CASE WHEN stop < 0 THEN 0 ELSE greatest(0, stop - 200) END + 1, 1000) AS win FROM c JOIN t USING (doc_id) WHERE stop < length(x)) q) p),
+    p AS (SELECT doc_id, start, {r.DUCK.strip("substr(win, 1, stop - start)")} AS chunk_text FROM c WHERE stop >= 0),
+    k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS chunk_index, chunk_text FROM p WHERE chunk_text <> '')"""
 ORACLE_SQL = {
+    "ingest_chunks": f"{_CHUNKS} SELECT doc_id, chunk_index, chunk_text, sha256(chunk_text) AS content_hash, {r.tokens_ceil(r.DUCK, 'chunk_text')} AS token_count FROM k",
+    "ingest_chunks_by_sql": f"{_CHUNKS} SELECT doc_id, chunk_index, chunk_text, {r.content_hash(r.DUCK, 'chunk_text')} AS hash FROM k",
+    "ingest_saved_trees": """WITH n AS (SELECT * FROM nation JOIN region ON r_regionkey = n_regionkey), t AS (
+            SELECT n_nationkey AS doc, 0 AS a, -1 AS c, -1 AS o, r_name AS title, '' AS text, 0 AS page_start, 0 AS page_end FROM n UNION ALL SELECT n_nationkey, 1, -1, -1, n_name, '', 0, 0 FROM n
+            UNION ALL SELECT c_nationkey, 2, c_custkey, -1, c_name, c_mktsegment, c_custkey % 50, c_custkey % 50 + c_custkey % 3 - 1 FROM customer
+            UNION ALL SELECT c_nationkey, 2, c_custkey, o_orderkey, o_orderpriority, o_orderstatus, o_orderkey % 50, o_orderkey % 50 + o_orderkey % 3 - 1 FROM orders JOIN customer ON c_custkey = o_custkey),
+        k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY a, c, o) - 1 AS ordinal FROM t)
+        SELECT CAST(k.doc AS VARCHAR) AS doc_id, printf('%04d', k.ordinal + 1) AS node_id, CASE WHEN k.a = 1 THEN '0001' WHEN k.o >= 0 THEN printf('%04d', p.ordinal + 1) WHEN k.a = 2 THEN '0002' END AS parent_id, k.ordinal, k.title, k.text, '' AS summary, CAST(k.page_start AS INT) AS page_start, CAST(greatest(k.page_start, k.page_end) AS INT) AS page_end
+        FROM k LEFT JOIN k p ON p.doc = k.doc AND p.c = k.c AND p.o = -1 AND p.a = 2 AND k.o >= 0""",
     "ingest_pair_rows": f"WITH {_PAIRS} SELECT id, doc_id, pair_id, role, CASE chunk_index WHEN 0 THEN 'embedded' ELSE 'not_embedded' END AS status, CASE chunk_index WHEN 0 THEN 64 ELSE -1 END AS dim FROM l WHERE id = row_id",
     "ingest_pair_links": f"WITH {_PAIRS} SELECT doc_id, pair, pair_id, role, row_id, id = row_id AS is_new FROM l",
     "ingest_upload_errors": """WITH u AS (SELECT o_orderkey AS k, CASE WHEN k % 17 > 0 THEN k % 400 ELSE 1000 END AS size, k % 7 * 50 - 10 AS over, k % 13 <> 0 AND k % 3 <> 0 AS book FROM orders)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules as r
 from quire.functions import unicode
-from quire.functions.register import register
+from quire.functions.register import register, register_tables
 from quire.operators import build, chunking, components, enrich, retrieval, similarity, store, structure, summaries, temporal, tree, usage, validate, vectors
 from quire.plans import index as sections_plan
 from quire.plans import index as index_queries
@@ -529,3 +529,12 @@ def test_job_totals_with_late_and_repeated_rows(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_page_chunks_take_a_partition_in_order(spark):
+    register_tables(spark)
+    pages = [("a", 2, "second " * 40), ("a", 1, "first"), ("a", 3, None), ("b", 1, " "), ("c", 1, "word " * 300)]
+    spark.createDataFrame(pages, "doc_id string, page int, text string").createOrReplaceTempView("some_pages")
+    got = spark.sql("SELECT * FROM page_chunks(TABLE(some_pages) PARTITION BY (doc_id) ORDER BY (page), 200, 20)").collect()
+    want = {d: chunking.windows("\n\n".join((t or "").strip() for k, p, t in sorted(pages) if k == d and (t or "").strip()), 200, 20) for d in "abc"}
+    assert sorted(map(tuple, got)) == sorted((d, i, c) for d, parts in want.items() for i, c in enumerate(parts))

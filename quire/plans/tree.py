@@ -48,6 +48,7 @@ def repeated(s: SparkSession, d: str) -> DataFrame:
 def deep(s: SparkSession, d: str) -> DataFrame:
     """Parts as chapters in chapters, part p below part p div 2, and their line items as leaves."""
     part, item = (s.read.parquet(f"{d}/{t}.parquet") for t in ("part", "lineitem"))
+    item = item.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("l_returnflag"), F.sum(F.round("l_quantity")).alias("l_quantity"))  # an id each
     key = lambda c: F.concat(F.lit("p"), c.cast("string"))
     k = F.col("p_partkey")
     top = s.range(2).select(F.when(F.col("id") == 0, "w").otherwise("d").alias("node_id"), F.when(F.col("id") == 1, "w").alias("parent_id"), F.when(F.col("id") == 0, "ROOT").otherwise("DOCUMENT").alias("type"), F.lit("World").alias("title"), (F.col("id") - 2).alias("ordinal"), F.lit(0).cast("long").alias("measure"))
@@ -65,7 +66,7 @@ def looped(s: SparkSession, d: str) -> DataFrame:
 DEEP = """
     SELECT 'w' AS node_id, NULL AS parent_id, 'ROOT' AS type, 'World' AS title, -2 AS ordinal, 0 AS measure UNION ALL SELECT 'd', 'w', 'DOCUMENT', 'World', -1, 0
     UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_partkey = 0 THEN 'd' ELSE 'p' || (p_partkey // 2) END, 'CHAPTER', p_name, p_partkey, 0 FROM part
-    UNION ALL SELECT 'l_' || l_orderkey || '_' || l_partkey || '_' || l_suppkey, 'p' || l_partkey, 'CONTENT', l_returnflag, (l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey + 100000000, CAST(round(l_quantity) AS BIGINT) FROM lineitem
+    UNION ALL SELECT 'l_' || l_orderkey || '_' || l_partkey || '_' || l_suppkey, 'p' || l_partkey, 'CONTENT', min(l_returnflag), (l_orderkey * 100000 + l_partkey) * 10000 + l_suppkey + 100000000, CAST(sum(round(l_quantity)) AS BIGINT) FROM lineitem GROUP BY l_orderkey, l_partkey, l_suppkey
 """
 _DEEP = f"WITH RECURSIVE n AS ({DEEP})"
 _LEVEL = "CASE type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in tree.LEVEL.items()) + " END"

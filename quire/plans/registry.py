@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quire.plans import extension, index, ingest, retrieval, structure, text, tree, usage
+from quire.plans import extension, index, ingest, pdf, retrieval, structure, text, tree, usage
 
-_MODULES = (usage, text, retrieval, tree, structure, index, ingest, extension)
+_MODULES = (usage, text, retrieval, tree, structure, index, ingest, pdf, extension)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

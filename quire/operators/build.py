@@ -181,11 +181,15 @@ def declared_type(t: str = "title", body: str = "has_body") -> str:
 
 
 def provider_title(t: str = "t", lines: str = "lines") -> str:
-    """SQL: the declared, stripped title if it is structural, else the first heading in the first lines
-    of the body, else a chapter or book title, else empty."""
+    """SQL: the declared, stripped title if it is structural, else the first heading in the first lines of the body, else
+    what the declared title or the first line says of a chapter (as Chapter, its number, its name) or part of a book, else empty."""
     usable = f"{t} <> '' AND NOT {D.has(t, r'(?i)^section[_\s-]*\d+$')} AND NOT {r.legal_title(D, t)} AND NOT ({r.paragraph_title(D, t)} AND NOT {r.structural_line(D, t)}) AND NOT {r.synthetic_title(D, t)}"
-    book = f"({D.has(t, CHAPTER)} OR ({D.has(t, BOOK)} AND length({t}) < 90))"
-    return f"CASE WHEN {usable} THEN {t} ELSE coalesce(get(filter(slice({lines}, 1, 6), x -> {r.structural_line(D, 'x')}), 0), CASE WHEN {book} THEN {t} ELSE '' END) END"
+
+    def named(c: str) -> str:
+        chapter = f"concat('Chapter ', {D.group(c, CHAPTER, 1)}, ' ', {D.group(c, CHAPTER, 2)})"
+        return f"CASE WHEN {D.has(c, CHAPTER)} THEN {r.tidy_title(D, chapter)} WHEN {D.has(c, BOOK)} AND length({c}) < 90 THEN {c} END"
+
+    return f"CASE WHEN {usable} THEN {t} ELSE coalesce(get(filter(slice({lines}, 1, 6), x -> {r.structural_line(D, 'x')}), 0), {named(t)}, {named(f'get({lines}, 0)')}, '') END"
 
 
 def normalized_trees(flat: DataFrame) -> DataFrame:

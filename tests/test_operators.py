@@ -538,3 +538,11 @@ def test_page_chunks_take_a_partition_in_order(spark):
     got = spark.sql("SELECT * FROM page_chunks(TABLE(some_pages) PARTITION BY (doc_id) ORDER BY (page), 200, 20)").collect()
     want = {d: chunking.windows("\n\n".join((t or "").strip() for k, p, t in sorted(pages) if k == d and (t or "").strip()), 200, 20) for d in "abc"}
     assert sorted(map(tuple, got)) == sorted((d, i, c) for d, parts in want.items() for i, c in enumerate(parts))
+
+
+def test_provider_titles(spark):
+    """A usable title stays; else a heading of the body; else the chapter or part that the title or the first line names."""
+    long = "where the person who is liable to pay the tax has not paid it, and the officer has reason to believe that it is due"
+    rows = [("6.2 Rates", ["x"]), ("section_3", ["1.2 Rates of tax", "more"]), ("section_3", ["Glossary of all the words that this book uses often", "more"]), (f"Part IV: {long}.", ["plain words"]), ("", ["plain words"]), ("", [])]
+    got = spark.createDataFrame(rows, "t string, lines array<string>").selectExpr("t", f"{build.provider_title()} AS title").collect()
+    assert [r.title for r in got] == ["6.2 Rates", "1.2 Rates of tax", "Glossary of all the words that this book uses often", f"Chapter IV {long}.", "", ""]

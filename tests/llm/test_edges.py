@@ -1,5 +1,7 @@
 """Every operator and stage on nulls, empty and long texts, repeats, ties, empty tables, clashing columns."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +51,37 @@ OPERATORS = {
 }
 
 
+NOTHING = hashlib.sha256(b"").hexdigest()
+#: What each operator gives for a text of no words: null, empty, white space only.
+WORDLESS = {
+    "language": {"lang_pred": "und", "score": 0.0},
+    "lm": {"n_tokens": 1, "n_known": 1},
+    "substring": {"n_words": 0, "n_removed": 0, "kept_sha256": NOTHING},
+    "quality": {"n_words": 0, "word_chars": 0, "n_symbols": 0, "n_dup_lines": 0, "n_repeat_words": 0, "base_failed": True, "kept": False},
+    "simhash": {"fingerprint": "0" * 16, "component_id": 2},
+    "pii": {"n_email": 0, "n_ip": 0, "n_card": 0, "n_phone": 0, "base_sha256": NOTHING, "spans": ""},
+    "mixing": {"size": 0, "taken": 0},
+    "media": {"payload_bytes": 64},
+}
+
+
+def test_values_of_single_rows(spark):
+    """Wordless texts, and what the table was made to hold: equal texts, an address, a phone number."""
+    span = lambda kind, i, x: f"{kind}:{ROWS[i][1].index(x)}:{ROWS[i][1].index(x) + len(x)}"
+    got = {name: OPERATORS[name](spark, docs(spark), False).collect() for name in WORDLESS}
+    for name, wanted in WORDLESS.items():
+        rows = [r for r in got[name] if r.doc_id in (2, 3, 4)]
+        assert len(rows) == 3
+        for r in rows:
+            assert {c: r[c] for c in wanted} == wanted, (name, r.doc_id)
+    assert [r.component_id for r in got["simhash"] if r.doc_id in (1, 8)].count(1) >= 3
+    assert sorted((r.n_ip, r.spans) for r in got["pii"] if r.doc_id is None) == [(0, ""), (1, span("ip", 4, "10.0.0.1"))]
+    assert sorted((r.n_phone, r.spans) for r in got["pii"] if r.doc_id == 1) == [(0, ""), (0, ""), (1, span("phone", 2, "+1 (555) 555-1234"))]
+    assert [(r.n_words, r.kept) for r in got["quality"] if r.doc_id == 6] == [(3, False)]
+    same = [r for r in got["media"] if r.doc_id == 8 or r.doc_id == 1 and r.n_bytes == 540]
+    assert len(same) == 3 and len({tuple(r)[1:] for r in same}) == 1
+
+
 @pytest.mark.parametrize("empty", [False, True])
 @pytest.mark.parametrize("name", OPERATORS)
 def test_operator(spark, name, empty):

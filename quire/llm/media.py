@@ -188,7 +188,9 @@ def stored(docs: DataFrame) -> DataFrame:
 
 def features(media: DataFrame) -> DataFrame:
     """Sizes, digests and hash of each image of stored(), from the bytes that are read back. A damaged
-    image ends the job with a ValueError."""
+    image ends the job with a ValueError; stored() makes none of a null text (it is an empty one), so
+    each row has an image. A null doc_id comes back null, repeated rows give repeated rows, an empty
+    table gives an empty one; other columns are not carried."""
     return written(media.select("doc_id", "n_bytes", "media").mapInArrow(_read_rows, OUT), "features")
 
 

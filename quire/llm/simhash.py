@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the row's own included. Null and empty texts have fingerprint zero and link like
     any other. A null doc_id is the largest id: it is a component_id (null) only where
     no other row is reachable. Repeated rows give repeated rows; an empty table gives
-    an empty one; other columns are not carried.
+    an empty one; long texts are read whole; other columns are not carried.
     """
     out = _classes(docs)
     component = F.when(F.col("component_id") == F.lit(2**63 - 1), F.lit(None)).otherwise(F.col("component_id"))

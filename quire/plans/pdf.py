@@ -19,13 +19,9 @@ _MAP = b"begincmap 1 begincodespacerange <0000> <FFFF> endcodespacerange 3 begin
 
 
 def _shown(line: str) -> str:
-    """A TJ operand: words between blanks, every fourth gap a step instead of a blank."""
-    parts: list[str] = []
-    for i, word in enumerate(line.split(" ")):
-        if i:
-            parts.append("-300" if i % 4 == 0 else "<0020>")
-        parts.append(f"<{word.encode('utf-16-be', 'surrogatepass').hex()}>")
-    return " ".join(parts)
+    """A TJ operand: four words with their blanks a string, a step instead of a blank between strings."""
+    words = line.split(" ")
+    return " -300 ".join(f"<{' '.join(words[i : i + 4]).encode('utf-16-be', 'surrogatepass').hex()}>" for i in range(0, len(words), 4))
 
 
 def written(lines: Iterable[str]) -> bytes:

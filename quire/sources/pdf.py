@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import math
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
@@ -305,11 +306,11 @@ def glyph(name: str) -> str:
     return "�"
 
 
-class Map:
-    """A ToUnicode map, code to UTF-16BE: single codes, and ranges that are looked into for the codes that are shown."""
+class Map(dict):
+    """Code to UTF-16BE: what is told of single codes, and ranges that are looked into when a code is first shown."""
 
-    def __init__(self, cmap: bytes) -> None:
-        self.known: dict[int, bytes] = {}
+    def __init__(self, known: dict[int, bytes], cmap: bytes = b"") -> None:
+        super().__init__(known)
         self.ranges: list[tuple[int, int, bytes | list]] = []
         scanner, held = Scanner(cmap), []
         while (value := scanner.value()) is not END:
@@ -317,19 +318,23 @@ class Map:
                 held.append(value)
                 continue
             if value == "endbfchar":
-                self.known.update((_number(a), b) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(b, bytes))
+                self.update((_number(a), b) for a, b in zip(held[::2], held[1::2], strict=False) if isinstance(b, bytes))
             elif value == "endbfrange":
                 self.ranges.extend((_number(a), _number(b), to) for a, b, to in zip(held[::3], held[1::3], held[2::3], strict=False))
             held = []
+        for first, last, _ in self.ranges:  # a range wins over the font's own encoding
+            for code in [c for c in known if first <= c <= last]:
+                self.pop(code, None)
 
-    def get(self, code: int) -> bytes | None:
-        if code not in self.known:
-            first, to = next(((a, to) for a, b, to in self.ranges if a <= code <= b), (code, None))
-            if isinstance(to, bytes):
-                self.known[code] = to[:-2] + ((_number(to[-2:]) + code - first) & 0xFFFF).to_bytes(2, "big")
-            elif to is not None and code - first < len(to):
-                self.known[code] = to[code - first]
-        return self.known.get(code)
+    def __missing__(self, code: int) -> bytes:
+        first, to = next(((a, to) for a, b, to in self.ranges if a <= code <= b), (code, None))
+        told = b"\xff\xfd"
+        if isinstance(to, bytes):
+            told = to[:-2] + ((_number(to[-2:]) + code - first) & 0xFFFF).to_bytes(2, "big")
+        elif to is not None and code - first < len(to):
+            told = to[code - first]
+        self[code] = told
+        return told
 
 
 def _number(code: bytes) -> int:
@@ -340,17 +345,21 @@ def _number(code: bytes) -> int:
 class Font:
     name: str = ""
     wide: bool = False
-    known: dict[int, bytes] = field(default_factory=dict)
-    map: Map | None = None
+    known: dict[int, bytes] = field(default_factory=lambda: Map({}))
     widths: dict[int, float] = field(default_factory=dict)
     default: float = 500.0
 
     def codes(self, shown: bytes) -> list[int]:
-        return [int.from_bytes(shown[i : i + 2], "big") for i in range(0, len(shown), 2)] if self.wide else list(shown)
+        if not self.wide:
+            return list(shown)
+        odd = len(shown) % 2
+        return [*struct.unpack(f">{len(shown) // 2}H", shown[: len(shown) - odd]), *shown[len(shown) - odd :]]
+
+    def width(self, codes: list[int]) -> float:
+        return sum(self.widths.get(c, self.default) for c in codes) if self.widths else self.default * len(codes)
 
     def text(self, codes: list[int]) -> str:
-        told = self.map.get if self.map else self.known.get
-        return b"".join(told(c) or self.known.get(c, b"\xff\xfd") for c in codes).decode("utf-16-be", "replace")
+        return b"".join(map(self.known.__getitem__, codes)).decode("utf-16-be", "replace")
 
 
 def _font(doc: Document, value: Any) -> Font:
@@ -383,8 +392,8 @@ def _font(doc: Document, value: Any) -> Font:
                 at += 1
         first = doc.of(head.get("FirstChar", 0))
         font.widths = {first + i: doc.of(w) for i, w in enumerate(_listed(doc.of(head.get("Widths"))))}
-    if isinstance(cmap := doc.of(head.get("ToUnicode")), Stream):
-        font.map = Map(doc.decoded(cmap))
+    cmap = doc.of(head.get("ToUnicode"))
+    font.known = Map(font.known, doc.decoded(cmap) if isinstance(cmap, Stream) else b"")
     return font
 
 
@@ -418,7 +427,7 @@ class Page:
         font, codes = s["font"], s["font"].codes(shown)
         at = _times(s["tm"], s["ctm"])
         blanks = 0 if font.wide else codes.count(32)
-        width = (sum(font.widths.get(c, font.default) for c in codes) / 1000 * s["size"] + len(codes) * s["tc"] + blanks * s["tw"]) * s["tz"]
+        width = (font.width(codes) / 1000 * s["size"] + len(codes) * s["tc"] + blanks * s["tw"]) * s["tz"]
         s["tm"] = _times((1, 0, 0, 1, width, 0), s["tm"])
         end = _times(s["tm"], s["ctm"])
         size = round(abs(s["size"]) * math.hypot(at[2], at[3]), 4)

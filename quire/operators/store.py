@@ -114,8 +114,11 @@ def synced(nodes: DataFrame, jobs: DataFrame) -> DataFrame:
     return nodes.join(j, "doc_id", "left").withColumn("seq_id", F.coalesce("_s", "seq_id")).withColumn("file_name", F.coalesce("_f", "file_name")).drop("_s", "_f")
 
 
-def last_of_each(rows: DataFrame, *key: str, order: str) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+def last_of_each(rows: DataFrame, *key: str, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """The row of each key that comes last by order; of rows that tie, the first by the columns of ties, which are left
+    out of the result."""
+    last = Window.partitionBy(*key).orderBy(F.desc(order), *ties)
+    return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r", *ties)
 
 
 def clustered(rows: DataFrame, *order: str) -> DataFrame:

@@ -158,7 +158,8 @@ QUERIES = {
     "store_status_oldest": lambda s, d: store.status_list(_jobs(s, d).where("seq_id IS NOT NULL"), _vectors(s, d), oldest=True),
     "store_page": lambda s, d: store.page(_jobs(s, d), 20, 10, F.col("seq_id").asc_nulls_last(), "doc_id").select("doc_id", "seq_id"),
     "store_synced": lambda s, d: store.synced(_vectors(s, d).select("id", "doc_id").withColumn("seq_id", F.lit(-1).cast("long")).withColumn("file_name", F.lit("own")), _jobs(s, d)),
-    "store_last_of_each": lambda s, d: store.last_of_each(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", order="l_linenumber"),
+    # line numbers repeat in an order: of equal ones the first in the files stays, as in SQL
+    "store_last_of_each": lambda s, d: store.last_of_each(_t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")), "l_orderkey", order="l_linenumber", ties=("file", "place")),
     "store_cosine_top_k": lambda s, d: store.cosine_top_k(_t(s, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), _queries(s, d)).select("query_id", "id", "cosine", "rank"),
     "vectors_exact": lambda s, d: _searched(s, d, False),
     "vectors_probed_recall": lambda s, d: _searched(s, d, True),

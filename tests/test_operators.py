@@ -546,3 +546,10 @@ def test_provider_titles(spark):
     rows = [("6.2 Rates", ["x"]), ("section_3", ["1.2 Rates of tax", "more"]), ("section_3", ["Glossary of all the words that this book uses often", "more"]), (f"Part IV: {long}.", ["plain words"]), ("", ["plain words"]), ("", [])]
     got = spark.createDataFrame(rows, "t string, lines array<string>").selectExpr("t", f"{build.provider_title()} AS title").collect()
     assert [r.title for r in got] == ["6.2 Rates", "1.2 Rates of tax", "Glossary of all the words that this book uses often", f"Chapter IV {long}.", "", ""]
+
+
+def test_last_of_each_breaks_ties_by_place(spark):
+    rows = spark.createDataFrame([(k, n, float(p), p) for p in reversed(range(300)) for k, n in [(p % 3, p % 7 // 6)]], "k int, n int, v double, place int").repartition(7)
+    got = {x.k: x.v for x in store.last_of_each(rows, "k", order="n", ties=("place",)).collect()}
+    assert got == {k: float(next(p for p in range(300) if p % 3 == k and p % 7 == 6)) for k in range(3)}
+    assert store.last_of_each(rows, "k", order="n", ties=("place",)).columns == ["k", "n", "v"]

@@ -210,12 +210,13 @@ def provider_usage(body: Column) -> Column:
     """struct<credits, input_tokens, output_tokens> of a provider's JSON answer; null without credits.
 
     The usage object is the first of three keys that holds one, else the body itself; of alternative
-    keys the first that is neither missing nor zero counts."""
+    keys the first that is neither missing nor zero counts, else one that says zero: an answer of zero credits is exact."""
     get = lambda *path: F.get_json_object(body, "$." + ".".join(path))
     boxes = ("usage", "credit_usage", "billing")
 
     def first(names: tuple[str, ...], kind: str) -> Column:
-        tried = lambda box: F.coalesce(*(F.nullif(get(*box, n).try_cast(kind), F.lit(0).cast(kind)) for n in names), get(*box, names[-1]).try_cast(kind))
+        values = lambda box: [get(*box, n).try_cast(kind) for n in names]
+        tried = lambda box: F.coalesce(*(F.nullif(v, F.lit(0).cast(kind)) for v in values(box)), *values(box))
         column = tried(())
         for b in reversed(boxes):
             column = F.when(get(b).startswith("{"), tried((b,))).otherwise(column)

@@ -553,3 +553,9 @@ def test_last_of_each_breaks_ties_by_place(spark):
     got = {x.k: x.v for x in store.last_of_each(rows, "k", order="n", ties=("place",)).collect()}
     assert got == {k: float(next(p for p in range(300) if p % 3 == k and p % 7 == 6)) for k in range(3)}
     assert store.last_of_each(rows, "k", order="n", ties=("place",)).columns == ["k", "n", "v"]
+
+
+def test_a_provider_answer_of_zero_credits(spark):
+    bodies = ['{"usage": {"credits_used": 0, "credits": 0.0, "prompt_tokens": 9}}', '{"credits": 0.0, "completion_tokens": 4}', '{"billing": {"total_credits": 0}}', '{"usage": {"credits_used": 0, "credits": 2.5}}', '{"usage": {"input_tokens": 3}}']
+    got = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").select("i", usage.provider_usage(F.col("body")).alias("u")).orderBy("i").collect()
+    assert [tuple(x.u) if x.u else None for x in got] == [(0.0, 9, 0), (0.0, 0, 4), (0.0, 0, 0), (2.5, 0, 0), None]

@@ -8,6 +8,7 @@ a text at a time.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -92,17 +93,24 @@ def synonyms(names: Column, title: Column) -> Column:
     return _first_of_each(F.concat(forms, F.array(title)), lambda x: F.trim(F.lower(x)), 2, 18)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row, however often it is used: Spark writes out a column in every place
+    that names it, and inside a lambda function it would be computed again for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def micro_summary(title: Column, raw_name: str) -> Column:
     """Up to three sentences: the numbered title, sentences with domain words, then others."""
+    return _let(F.expr(r.sentences(r.SPARK, raw_name)), lambda sents: _let(_first_sentences(title, sents), lambda joined: F.when((F.trim(F.coalesce(F.col(raw_name), F.lit(""))) == "") | (joined == ""), F.concat(F.lit("Section: "), title, F.lit("."))).otherwise(joined)))
+
+
+def _first_sentences(title: Column, sents: Column) -> Column:
     cut = lambda s: F.when(F.length(s) <= 220, s).otherwise(F.concat(F.substring(s, 1, 217), F.lit("...")))
-    sents = F.expr(r.sentences(r.SPARK, raw_name))
     domain = F.filter(sents, lambda s: (F.length(s) >= 20) & F.lower(s).rlike("|".join(SUMMARY_WORDS)))
     head = F.when(F.trim(title).rlike(r"^\d+\.\d+"), F.array(F.concat(F.lit("Covers "), F.trim(title), F.lit(".")))).otherwise(F.expr("CAST(array() AS array<string>)"))
     room = F.lit(3) - F.size(head)
-    picked = F.concat(head, F.transform(F.slice(domain, 1, room), cut))
-    others = F.transform(F.filter(sents, lambda s: ~F.array_contains(picked, s)), cut)
-    joined = F.array_join(F.slice(F.concat(picked, others), 1, 3), " ")
-    return F.when((F.trim(F.coalesce(F.col(raw_name), F.lit(""))) == "") | (joined == ""), F.concat(F.lit("Section: "), title, F.lit("."))).otherwise(joined)
+    others = lambda picked: F.transform(F.slice(F.filter(sents, lambda s: ~F.array_contains(picked, s)), 1, 3), cut)
+    return _let(F.concat(head, F.transform(F.slice(domain, 1, room), cut)), lambda picked: F.array_join(F.slice(F.concat(picked, others(picked)), 1, 3), " "))
 
 
 def capped_summary(text: str) -> Column:
@@ -172,17 +180,18 @@ def compress(raw: str, target: float = 0.70, least: float = 0.60, key_chars: int
     limit, enough = int(len(raw) * target), int(len(raw) * least)
     ranked = sorted(unique, key=lambda s: -worth(s))
     kept, total = _taken([s for s in ranked if worth(s) >= 0], enough, limit)
+    held = set(kept)
     for s in ranked if total < enough else []:
-        if s in kept:
+        if s in held:
             continue
         if kept and total + len(s) > int(len(raw) * FILLED):
             break
         kept.append(s)
+        held.add(s)
         total += len(s) + 1
         if total >= enough:
             break
-    chosen = set(kept)
-    result = "\n".join(s for s in unique if s in chosen).strip() or raw.strip()
+    result = "\n".join(s for s in unique if s in held).strip() or raw.strip()
     if len(raw) > LONG and len(result) > MOST * len(raw):
         result = "\n".join(_taken(unique, enough, limit)[0]).strip() or result
         if len(result) > MOST * len(raw):

@@ -4,6 +4,7 @@ import json
 import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -559,3 +560,12 @@ def test_a_provider_answer_of_zero_credits(spark):
     bodies = ['{"usage": {"credits_used": 0, "credits": 0.0, "prompt_tokens": 9}}', '{"credits": 0.0, "completion_tokens": 4}', '{"billing": {"total_credits": 0}}', '{"usage": {"credits_used": 0, "credits": 2.5}}', '{"usage": {"input_tokens": 3}}']
     got = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, body string").select("i", usage.provider_usage(F.col("body")).alias("u")).orderBy("i").collect()
     assert [tuple(x.u) if x.u else None for x in got] == [(0.0, 9, 0), (0.0, 0, 4), (0.0, 0, 0), (2.5, 0, 0), None]
+
+
+def test_summary_of_a_long_text_takes_one_pass(spark):
+    """Sentences are split once a text, not once a sentence."""
+    text = " ".join(f"Plain sentence number {i} stands here." for i in range(8000)) + " The tax form is due on the portal."
+    began = time.monotonic()
+    row = spark.createDataFrame([("6.1 Part", text)], "title string, raw_content string").select(enrich.micro_summary(F.col("title"), "raw_content").alias("s")).first()
+    assert row.s == "Covers 6.1 Part. The tax form is due on the portal. Plain sentence number 0 stands here."
+    assert time.monotonic() - began < 30

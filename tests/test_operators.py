@@ -569,3 +569,39 @@ def test_summary_of_a_long_text_takes_one_pass(spark):
     row = spark.createDataFrame([("6.1 Part", text)], "title string, raw_content string").select(enrich.micro_summary(F.col("title"), "raw_content").alias("s")).first()
     assert row.s == "Covers 6.1 Part. The tax form is due on the portal. Plain sentence number 0 stands here."
     assert time.monotonic() - began < 30
+
+
+def test_many_repeated_ids_take_one_pass():
+    """The place of a suffix is found without trying all before it, and names are not made on the way."""
+    began = time.monotonic()
+    got = tree.suffixes(["k"] * 200_000)
+    assert got[0] is None and got[1] == ("k", 0) and got[-1] == ("k", 199_998)
+    assert time.monotonic() - began < 20
+    rng = random.Random(5)
+    for _ in range(200):
+        ids = [rng.choice(["x", "x_a", "x_b", "x_c", "x_z", "x_za", "x_zaa", "x_7", "_a", "y_y", "x_a_b"]) for _ in range(60)]
+        taken: set = set()
+        out = []
+        for i in ids:
+            if i in taken:
+                cut = re.fullmatch(r"(.*)_([a-z0-9]+)", i, re.S)
+                base, tail = cut.groups() if cut else (i, "")
+                later = lambda t: chr(ord(t) + 1) if len(t) == 1 and "a" <= t <= "y" else t + "a"
+                tail = later(tail) if len(tail) == 1 and "a" <= tail <= "y" else "a"
+                while f"{base}_{tail}" in taken:
+                    tail = later(tail)
+                i = f"{base}_{tail}"
+            taken.add(i)
+            out.append(i)
+        assert tree.renamed(ids) == out
+
+
+def test_numbers_and_trees_over_several_ranges(spark, monkeypatch):
+    rows = spark.createDataFrame([("a" if i % 3 else None, i, (i * 37) % 101) for i in range(101)], "g string, i int, at int").repartition(5)
+    got = tree.numbered(rows, ["g"], ["at"], "n").collect()
+    for g in ("a", None):
+        assert [x.n for x in sorted((x for x in got if x.g == g), key=lambda x: x.at)] == list(range(1, sum(x.g == g for x in got) + 1))
+    monkeypatch.setattr(tree, "NESTED", 3)
+    n = spark.createDataFrame([("d", f"n{i}", f"n{(i - 1) // 2}" if i else None, i) for i in range(20)], "doc_id string, node_id string, parent_id string, ordinal int")
+    kids = lambda i: {"node_id": f"n{i}", "nodes": [kids(k) for k in (2 * i + 1, 2 * i + 2) if k < 20]}
+    assert json.loads(tree.nested(n, ("node_id",)).first().tree) == [kids(0)]

@@ -605,3 +605,29 @@ def test_numbers_and_trees_over_several_ranges(spark, monkeypatch):
     n = spark.createDataFrame([("d", f"n{i}", f"n{(i - 1) // 2}" if i else None, i) for i in range(20)], "doc_id string, node_id string, parent_id string, ordinal int")
     kids = lambda i: {"node_id": f"n{i}", "nodes": [kids(k) for k in (2 * i + 1, 2 * i + 2) if k < 20]}
     assert json.loads(tree.nested(n, ("node_id",)).first().tree) == [kids(0)]
+
+
+def test_similarity_join_equals_all_pairs_with_few_candidates(spark, monkeypatch):
+    """Sets over few words, which share nearly all tokens singly: rows of pairs stay near those that are returned."""
+    import random
+
+    rnd = random.Random(5)
+    sets = [set(rnd.sample(range(300), rnd.choice([1, 2, 5, 6, 7, 40, 120, 200]))) for _ in range(150)]
+    for s in list(sets):
+        sets.append({*sorted(s)[len(s) // 14 :], *rnd.sample(range(300, 320), len(s) // 14)})
+    rows = [(i, [(x + 1) * 0x9E3779B97F4A7C15 % 2**63 for x in s]) for i, s in enumerate(sets)]
+    d = similarity.materialized(spark.createDataFrame(rows, "id long, tokens array<long>"), "sets")
+    sizes = {}
+
+    def seen(df, label, f=similarity.materialized):
+        out = f(df, label)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "materialized", seen)
+    for t in (0.5, 0.85, 1.0):
+        want = sorted((a, b) for b in range(300) for a in range(b) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= t)
+        got = similarity.jaccard_join(d, d, t)
+        assert sorted((x.a, x.b) for x in got.collect()) == want and sorted((x.a, x.b) for x in similarity.jaccard_join(d, d.select("*"), t).collect()) == want
+        assert t < 0.85 or sizes["pairs"] <= 2 * len(want) + 100
+    assert sorted((x.a, x.b) for x in similarity.jaccard_join(d, d, 0.85, d.where("id % 2 = 0").select("id")).collect()) == sorted((a, b) for b in range(0, 300, 2) for a in range(0, b, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85)

@@ -22,8 +22,8 @@ def spans(s: SparkSession, d: str, kind: str, prefix: str) -> DataFrame:
 
 def _range(s: SparkSession, d: str) -> DataFrame:
     """Of each error, what happens while it lasts, whoever does it."""
-    hits = temporal.range_join(events(s, d).select("event_id", "at", "value"), spans(s, d, "error", "error").drop("user_id"), "at", "error_from", "error_to")
-    return hits.groupBy("error_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    totals = temporal.range_totals(events(s, d).select("at", "value"), spans(s, d, "error", "error"), "at", "error_from", "error_to", "error_id", "value")
+    return totals.select("error_id", "n", F.round("total", 4).alias("total"))
 
 
 def _overlaps(s: SparkSession, d: str) -> DataFrame:

@@ -631,3 +631,23 @@ def test_similarity_join_equals_all_pairs_with_few_candidates(spark, monkeypatch
         assert sorted((x.a, x.b) for x in got.collect()) == want and sorted((x.a, x.b) for x in similarity.jaccard_join(d, d.select("*"), t).collect()) == want
         assert t < 0.85 or sizes["pairs"] <= 2 * len(want) + 100
     assert sorted((x.a, x.b) for x in similarity.jaccard_join(d, d, 0.85, d.where("id % 2 = 0").select("id")).collect()) == sorted((a, b) for b in range(0, 300, 2) for a in range(0, b, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.85)
+
+
+def test_range_totals_equal_all_pairs(spark, monkeypatch):
+    """Nulls, infinite values, repeated keys and empty intervals; no table holds pairs."""
+    rnd = random.Random(6)
+    values = [None, 0.1, 2.25, -7.5, 1e9, 0.0]
+    points = [(rnd.choice([None, *range(-50, 50)]), rnd.choice(values)) for _ in range(400)] + [(500, float("nan")), (600, float("inf")), (700, float("-inf")), (800, None)]
+    spans = [(i // 2, lo := rnd.choice([None, *range(-60, 60)]), None if rnd.random() < 0.1 or lo is None else lo + rnd.choice([-2, 0, 1, 2, 40, 100])) for i in range(60)]
+    spans += [(100, 490, 510), (101, 590, 601), (102, 590, 701), (103, 700, 701), (104, 790, 900), (105, 600, 600)]
+    want = {}
+    for key, lo, hi in spans:
+        for x, v in points:
+            if None not in (lo, hi, x) and lo <= x < hi:
+                want.setdefault(key, []).append(v)
+    rows = []
+    monkeypatch.setattr(temporal, "materialized", lambda df, label, f=temporal.materialized: [out := f(df, label), rows.append(out.count())][0])
+    got = temporal.range_totals(spark.createDataFrame(points, "x long, v double"), spark.createDataFrame(spans, "s int, lo long, hi long"), "x", "lo", "hi", "s", "v")
+    total = lambda vs: sum(known) if (known := [v for v in vs if v is not None]) else None
+    assert {r.s: (r.n, repr(r.total and round(r.total, 4))) for r in got.collect()} == {k: (len(v), repr((t := total(v)) and round(t, 4))) for k, v in want.items()}
+    assert rows and max(rows) <= len(points) + 2 * len(spans)

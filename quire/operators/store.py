@@ -7,8 +7,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def hashing_embedder(texts: list[str], dim: int = 64) -> np.ndarray:
@@ -156,24 +160,72 @@ def status_list(jobs: DataFrame, vectors: DataFrame, limit: int = 100, oldest: b
     return out.orderBy(F.desc("created_at"), "doc_id").limit(limit)
 
 
+#: Vectors of one product, and the queries that it takes at a time.
+PART_VECTORS, QUERY_ROWS = 16_384, 256
+
+
+def _matrices(table: pa.Table, at: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length, the rows of a column of vectors that have no null in them, and their matrix."""
+    lists = table.column(at).combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    out = {}
+    for n in set(sizes[sizes > 0].tolist()):
+        rows = np.flatnonzero(sizes == n)
+        values = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+        nulls = lists.take(pa.array(rows)).flatten().is_null().to_numpy(zero_copy_only=False).reshape(-1, n).any(axis=1)
+        out[n] = rows[~nulls], values[~nulls].astype(np.float64)
+    return out
+
+
+def _nearest(k: int, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of the vectors (block, part, id, e) and queries (block, part, query_id, qe) of one group: the k nearest of each query."""
+
+    def one(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not vectors.num_rows or not queries.num_rows:
+            return schema.empty_table()
+        vectors = vectors.take(pc.sort_indices(vectors, [("id", "ascending")]))  # ties go to the smaller id
+        sides = _matrices(vectors, 3), _matrices(queries, 3)
+        at, ids, cosines = [], [], []
+        for first in range(0, queries.num_rows, QUERY_ROWS):
+            n = min(QUERY_ROWS, queries.num_rows - first)
+            cosine, known = np.zeros((n, vectors.num_rows)), np.zeros((n, vectors.num_rows), bool)
+            for size, (rows, e) in sides[0].items():
+                asked, q = sides[1].get(size, (np.array([], int), e[:0]))
+                mine = (asked >= first) & (asked < first + n)
+                place = np.ix_(asked[mine] - first, rows)
+                norms = np.sqrt((q[mine] ** 2).sum(axis=1))[:, None] * np.sqrt((e**2).sum(axis=1))[None, :]
+                with np.errstate(all="ignore"):
+                    c = (q[mine] @ e.T) / norms
+                cosine[place], known[place] = np.sign(c) * np.floor(np.abs(c) * 1e6 + 0.5) / 1e6, norms != 0
+            order = np.where(known, np.where(np.isnan(cosine), np.inf, cosine), -np.inf)
+            last = min(k, vectors.num_rows)
+            least = np.partition(order, vectors.num_rows - last, axis=1)[:, vectors.num_rows - last]
+            for i in range(n):
+                more, same = np.flatnonzero(order[i] > least[i]), np.flatnonzero(order[i] == least[i])
+                hits = np.concatenate([more, same[: last - len(more)]])
+                at.append(np.full(last, first + i))
+                ids.append(hits)
+                cosines.append(pa.array(cosine[i, hits], mask=~known[i, hits]))
+        return pa.table([queries.column(2).take(pa.array(np.concatenate(at))), vectors.column(2).take(pa.array(np.concatenate(ids))), pa.concat_arrays(cosines)], ["query_id", "id", "cosine"])
+
+    return one
+
+
 def cosine_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, most: int = 1024, parts: int = 32) -> DataFrame:
     """vectors: id, embedding; queries: query_id, embedding (a stated query set). The k nearest of each
     query by cosine, in double precision: query_id, id, cosine, rank. An extension: the index this
-    stands for is only declared, never searched. Queries are counted: up to ``most`` are broadcast;
-    beyond, blocks of at most about ``most`` queries meet ``parts`` parts of the vectors by a shuffled
-    join on (block, part), with the same rows. k candidates of a query and part go on to the ranking."""
+    stands for is only declared, never searched. Both are counted: blocks of about ``most`` queries meet ``parts``
+    parts of the vectors, more where these would be long, as products of matrices, and k candidates of a query and part
+    go on to the ranking. A cosine is null where a vector is null, has a null or no length, or the lengths differ."""
     d = lambda c: F.transform(c, lambda x: x.cast("double"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(dot(c, c))
-    v = vectors.select("id", d("embedding").alias("e")).withColumn("n", norm(F.col("e"))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    q = queries.select("query_id", d("embedding").alias("qe")).withColumn("qn", norm(F.col("qe")))
-    blocks = -(-queries.count() // most)
-    if blocks <= 1:
-        pairs = v.join(F.broadcast(q), F.lit(True))
-    else:
-        dealt = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        pairs = v.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt.hint("shuffle_hash"), ["block", "part"])
-    scored = pairs.select("query_id", "id", "part", F.round(F.try_divide(dot(F.col("e"), F.col("qe")), F.col("n") * F.col("qn")), 6).alias("cosine"))
+    parts = max(parts, -(-vectors.count() // PART_VECTORS))
+    blocks = max(1, -(-queries.count() // most))
+    dealt = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = vectors.select(every(blocks).alias("block"), dealt("id", parts).alias("part"), "id", d("embedding").alias("e"))
+    q = queries.select(dealt("query_id", blocks).alias("block_"), every(parts).alias("part_"), "query_id", d("embedding").alias("qe"))
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("id", vectors.schema["id"].dataType), StructField("cosine", DoubleType())])
+    near = v.groupBy("block", "part").cogroup(q.groupBy("block_", "part_")).applyInArrow(_nearest(k, to_arrow_schema(schema)), schema)
     order = [F.desc("cosine"), F.col("id")]
-    near = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))).where(F.col("rank") <= k)
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k).select("query_id", "id", "cosine", "rank")

@@ -651,3 +651,17 @@ def test_range_totals_equal_all_pairs(spark, monkeypatch):
     total = lambda vs: sum(known) if (known := [v for v in vs if v is not None]) else None
     assert {r.s: (r.n, repr(r.total and round(r.total, 4))) for r in got.collect()} == {k: (len(v), repr((t := total(v)) and round(t, 4))) for k, v in want.items()}
     assert rows and max(rows) <= len(points) + 2 * len(spans)
+
+
+def test_cosine_of_copies_nulls_and_other_lengths(spark):
+    """Of equal vectors the smaller ids come first; what has no cosine comes last, and what is no number first."""
+    v = [(i, [1.0, 2.0]) for i in range(40)] + [(50, [2.0, 1.0]), (51, [1.0, None]), (52, [1.0, 2.0, 3.0]), (53, []), (54, [-1.0, -2.0])]
+    df = spark.createDataFrame(v, "id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [2.0, 4.0]), (2, [0.0, 0.0]), (3, [2.0, 1.0]), (4, None), (5, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    for parts in (1, 4):
+        got = {}
+        for r in store.cosine_top_k(df, q, 3, parts=parts).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, r.cosine))
+        none = [(0, None), (1, None), (2, None)]
+        assert got == {1: [(0, 1.0), (1, 1.0), (2, 1.0)], 2: none, 3: [(50, 1.0), (0, 0.8), (1, 0.8)], 4: none, 5: [(52, 0.267261), (0, None), (1, None)]}
+    assert "CartesianProduct" not in (plan := store.cosine_top_k(df, q, 3)._jdf.queryExecution().toString()) and "NestedLoop" not in plan

@@ -9,10 +9,15 @@ the driver is one row of corpus counts.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.functions import rules as r
 from quire.sources.shared import materialized
@@ -81,94 +86,95 @@ def postings(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-#: Blocks of a term: its postings by impact, so many to a unit of the saturated term frequency (below 2.5).
-LEVELS = 8
-#: Postings that one task joins for a block of a term; documents are dealt to as many parts as the largest block needs.
-PART_POSTINGS = 50_000
-#: For each wanted hit: postings of a query's best blocks, and documents of those that are scored in full for a threshold.
-SEEDS, TRIED = 200, 10
-#: What a sum of doubles may lose against a bound, and half a place of a rounded score.
-_SLACK = 1e-6
-
-
-@dataclass
-class Pruned:
-    """postings: term, level, part, doc_id, s (saturated frequency); blocks: query_id, term, level, w (what s is worth in
-    the query), ub (the most that a posting of the block adds to a score), n, read (whether the block is read);
-    bounds: query_id, least (of the k-th score), unread (the most that unread blocks add)."""
-
-    postings: DataFrame
-    blocks: DataFrame
-    bounds: DataFrame
-    parts: int
-
-    def dealt(self, blocks: DataFrame) -> DataFrame:
-        """Blocks met with their postings, each part of a block for itself."""
-        return blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts - 1)))).join(self.postings, ["term", "level", "part"])
-
-    def share_read(self) -> float:
-        """Of the postings that the queries' terms have, those in blocks that are read."""
-        row = self.blocks.agg(F.sum(F.when(F.col("read"), F.col("n"))), F.sum("n")).first()
-        return (row[0] or 0) / row[1] if row[1] else 0.0
-
-
-def pruned(docs: DataFrame, queries: DataFrame, k: int = 5) -> Pruned:
-    """Which blocks of postings can bring a document into a query's k best.
-
-    The postings of a term stand in blocks by impact, each with its largest one. Of the documents in the best blocks of
-    a query (SEEDS * k postings), the TRIED * k that gain most there are scored in full: their k-th score is a threshold that
-    the k-th of all reaches. Blocks are then left unread from the weakest on, as long as a document that stands
-    in unread ones alone stays below it.
-    """
-    terms = queries.select("query_id", F.explode(F.expr(r.query_tokens(D, "query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+#: Documents and queries that one task scores against each other.
+PART_DOCS, BLOCK_QUERIES = 4096, 256
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, dl, terms, tf of texts (doc_id, tokens: hashes): a row a text, each term once."""
+    for whole in batches:
+        for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+            lists = batch.column(1)
+            sizes = np.diff(lists.offsets.to_numpy())
+            names, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            pair, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(names), 1) + code, return_counts=True)
+            ends = np.searchsorted(pair, np.arange(len(sizes) + 1) * max(len(names), 1)).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(ends), pa.array(x))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), listed(names[pair % max(len(names), 1)]), listed(tf.astype(np.int32))], ["doc_id", "dl", "terms", "tf"])
+
+
+def _packed_postings(docs: DataFrame) -> DataFrame:
+    """doc_id, dl, terms (64-bit hashes), tf: the postings of a document in one row; rows of one id and length are one."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.transform(F.expr(r.query_tokens(D, "text")), lambda x: F.xxhash64(x)).alias("tokens"))
+    rows = materialized(rows.mapInArrow(_packed, f"doc_id {kind}, dl int, terms array<bigint>, tf array<int>"), "postings")
+    again = materialized(rows.groupBy("doc_id", "dl").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "dl"), "repeated")
+    if again.isEmpty():
+        return rows
+    same = rows.alias("x").join(again.alias("y"), F.expr("x.doc_id <=> y.doc_id AND x.dl = y.dl"), "left_semi")
+    one = same.select("doc_id", "dl", F.explode(F.arrays_zip("terms", "tf")).alias("p")).groupBy("doc_id", "dl", "p.terms").agg(F.sum("p.tf").cast("int").alias("tf"))
+    one = one.groupBy("doc_id", "dl").agg(F.collect_list(F.struct("terms", "tf")).alias("p")).select("doc_id", "dl", "p.terms", "p.tf")
+    return materialized(rows.alias("x").join(again.alias("y"), F.expr("x.doc_id <=> y.doc_id AND x.dl = y.dl"), "left_anti").unionByName(one), "postings")
+
+
+def _best(k: int, avgdl: float, schema: pa.Schema) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Of the documents (block, part, doc_id, dl, terms, tf) and the terms of queries (block, part, query_id, term, w) of one group:
+    the k best documents of each query."""
+
+    def one(docs: pa.Table, terms: pa.Table) -> pa.Table:
+        if not docs.num_rows or not terms.num_rows:
+            return schema.empty_table()
+        docs = docs.take(pc.sort_indices(docs, [("doc_id", "ascending")])).combine_chunks()  # ties go to the smaller id
+        ids, asked = terms.column(2).combine_chunks().unique(), pc.index_in(terms.column(2), terms.column(2).combine_chunks().unique()).to_numpy()
+        lists, coded = docs.column(4), pc.dictionary_encode(docs.column(2).combine_chunks(), null_encoding="encode")
+        own = coded.dictionary  # rows of one id count as one document
+        row = np.repeat(np.arange(docs.num_rows), pc.list_value_length(lists).to_numpy())
+        at = coded.indices.to_numpy()[row]
+        tf, dl = pc.list_flatten(docs.column(5)).to_numpy(), docs.column(3).to_numpy()[row]
+        s = tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+        by_term = np.argsort(term := pc.list_flatten(lists).to_numpy(), kind="stable")
+        at, s, term = at[by_term], s[by_term], term[by_term]
+        wanted = np.argsort(names := terms.column(3).to_numpy(), kind="stable")
+        names, first = np.unique(names[wanted], return_index=True)
+        score = np.zeros((len(ids), len(own)))
+        for q, lo, hi in zip(np.split(wanted, first[1:]), np.searchsorted(term, names), np.searchsorted(term, names, "right"), strict=True):
+            if hi > lo:
+                gain, place = np.outer(terms.column(4).to_numpy()[q], s[lo:hi]), np.ix_(asked[q], at[lo:hi])
+                if len(own) == docs.num_rows:
+                    score[place] += gain
+                else:
+                    np.add.at(score, place, gain)
+        found = score > 0
+        score = np.where(found, np.floor(score * 1e6 + 0.5) / 1e6, -1.0)
+        last = min(k, len(own))
+        least = np.partition(score, len(own) - last, axis=1)[:, len(own) - last]
+        hits = [np.concatenate([more := np.flatnonzero((x > y) & f), np.flatnonzero((x == y) & f)[: last - len(more)]]) for x, y, f in zip(score, least, found, strict=True)]
+        of, hits = np.repeat(np.arange(len(ids)), [len(h) for h in hits]), np.concatenate(hits).astype(int)
+        return pa.table([ids.take(pa.array(of)), own.take(pa.array(hits)), pa.array(score[of, hits])], schema.names)
+
+    return one
+
+
+def rank_queries(docs: DataFrame, queries: DataFrame, k: int = 5, part_docs: int = PART_DOCS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+    """docs: doc_id, text; queries: query_id, query. The k best documents of every query by BM25, exactly: query_id,
+    doc_id, score, rank; ties go to the smaller id. Parts of the documents, a row each, meet blocks of the queries' terms,
+    and scores are summed up inside a task: what leaves it is k documents of a query, never a row a posting and query."""
+    terms = queries.select("query_id", F.explode(F.expr(r.query_tokens(D, "query"))).alias("word")).groupBy("query_id", F.xxhash64("word").alias("term")).agg(F.count("*").alias("times"))
     terms = materialized(terms, "terms")
-    index = materialized(postings(docs), "postings")
+    index = _packed_postings(docs)
     n = max(docs.count(), 1)
-    avgdl = max((index.agg(F.sum("tf")).first()[0] or 0) / n, 1.0)
-    s = F.col("tf") * 2.5 / (F.col("tf") + 1.5 * (F.lit(0.25) + 0.75 * F.col("dl") / avgdl))
-    found = index.join(terms.select("term").distinct(), "term", "left_semi").select("term", "doc_id", s.alias("s")).withColumn("level", F.floor(F.col("s") * LEVELS).cast("int"))
-    found = materialized(found, "found")
-    tops = materialized(found.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("s").alias("top")), "blocks")  # a few rows a term
-    parts = max(1, -(-(tops.agg(F.max("n")).first()[0] or 0) // PART_POSTINGS))
-    df = tops.groupBy("term").agg(F.sum("n").alias("df"))
+    avgdl = max((index.agg(F.sum(F.aggregate("tf", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0) / n, 1.0)
+    df = index.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    blocks = terms.join(df, "term").withColumn("w", F.col("times") * idf).join(tops, "term").select("query_id", "term", "level", "n", "w", (F.col("w") * F.col("top")).alias("ub"))
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("ub"), "term")
-    blocks = materialized(blocks.withColumn("before", F.sum("n").over(best_first.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")), "blocks")
-    laid = found.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")) if parts > 1 else found.withColumn("part", F.lit(0))
-    out = Pruned(laid, blocks, blocks, parts)
-
-    seeds = out.dealt(blocks.where(F.col("before") < SEEDS * k).select("query_id", "term", "level", "w"))
-    gains = seeds.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("gain"))
-    first = lambda rows, by, most: rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by)))).where(F.col("rank") <= most)
-    tried = materialized(first(gains, "gain", TRIED * k).select("query_id", "doc_id"), "tried")
-    worth = blocks.select("query_id", "term", "w").distinct()
-    full = tried.join(worth, "query_id").join(laid.select("doc_id", "term", "s"), ["doc_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("score"))
-    least = first(full, "score", k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
-    # a term adds at most its largest unread block: what each further block adds to that, from the weakest on
-    of_term = Window.partitionBy("query_id", "term").orderBy("ub")
-    weakest_first = Window.partitionBy("query_id").orderBy("ub", "term", "level").rowsBetween(Window.unboundedPreceding, 0)
-    more = F.col("ub") - F.coalesce(F.lag("ub").over(of_term), F.lit(0.0))
-    known = blocks.drop("before").withColumn("more", more).withColumn("unread", F.sum("more").over(weakest_first)).join(least, "query_id", "left")
-    known = known.withColumn("read", F.col("unread") >= F.coalesce("least", F.lit(0.0)) - _SLACK)
-    out.blocks = materialized(known.drop("more"), "blocks")
-    out.bounds = out.blocks.groupBy("query_id").agg(F.coalesce(F.max("least"), F.lit(0.0)).alias("least"), F.coalesce(F.max(F.when(~F.col("read"), F.col("unread"))), F.lit(0.0)).alias("unread"))
-    return out
-
-
-def rank_queries(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """docs: doc_id, text; queries: query_id, query. The k best documents of every query by BM25, exactly: query_id,
-    doc_id, score, rank; ties go to the smaller id. Documents of the blocks that pruned() reads are candidates where
-    what they miss could still bring them in; only for those the unread blocks are looked up."""
-    p = pruned(docs, queries, k)
-    seen = p.dealt(p.blocks.where("read").select("query_id", "term", "level", "w")).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("sum"))
-    near = seen.join(p.bounds, "query_id").where(F.col("sum") + F.col("unread") >= F.col("least") - 2 * _SLACK).select("query_id", "doc_id", "sum")
-    near = materialized(near, "candidates")
-    left = p.blocks.where("NOT read").select("query_id", "term", "level", "w")
-    wanted = near.select("query_id", "doc_id").join(left, "query_id")
-    rest = wanted.join(p.postings.drop("part"), ["doc_id", "term", "level"]).groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("s")).alias("rest"))
-    scored = near.join(rest, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.round(F.col("sum") + F.coalesce("rest", F.lit(0.0)), 6).alias("score"))
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
+    blocks, parts = max(1, -(-terms.select("query_id").distinct().count() // block_queries)), -(-n // part_docs)
+    dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    worth = materialized(terms.join(df, "term").select("query_id", "term", (F.col("times") * idf).alias("w")), "worth")
+    right = worth.select(dealt("query_id", blocks).alias("block_"), every(parts).alias("part_"), "query_id", "term", "w")
+    left = index.select(every(blocks).alias("block"), dealt("doc_id", parts).alias("part"), "doc_id", "dl", "terms", "tf")
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), StructField("doc_id", docs.schema["doc_id"].dataType), StructField("score", DoubleType())])
+    near = left.groupBy("block", "part").cogroup(right.groupBy("block_", "part_")).applyInArrow(_best(k, avgdl, to_arrow_schema(schema)), schema)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return ranked.where(F.col("rank") <= k)
 
 

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -665,3 +666,32 @@ def test_cosine_of_copies_nulls_and_other_lengths(spark):
         none = [(0, None), (1, None), (2, None)]
         assert got == {1: [(0, 1.0), (1, 1.0), (2, 1.0)], 2: none, 3: [(50, 1.0), (0, 0.8), (1, 0.8)], 4: none, 5: [(52, 0.267261), (0, None), (1, None)]}
     assert "CartesianProduct" not in (plan := store.cosine_top_k(df, q, 3)._jdf.queryExecution().toString()) and "NestedLoop" not in plan
+
+
+def test_many_queries_equal_brute_force_without_rows_of_pairs(spark, monkeypatch):
+    """Copies, repeated ids, empty and null texts, in one part and several; no table grows with documents times queries."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    docs = [(i, text(rnd.choice([1, 5, 30]))) for i in range(120)]
+    docs += [(200, docs[0][1]), (201, None), (202, ""), (7, docs[7][1]), (9, docs[9][1] + " w1 w2"), (300, docs[5][1])]
+    queries = [(f"q{i}", text(12)) for i in range(30)] + [("none", "zzz"), ("empty", "")]
+    index, n = {}, len(docs)
+    for i, t in docs:
+        tokens = (t or "").split()
+        for w in tokens:
+            index.setdefault(w, Counter())[i, len(tokens)] += 1
+    avgdl = sum(len((t or "").split()) for _, t in docs) / n
+    want = []
+    for q, t in queries:
+        score = Counter()
+        for w, times in Counter(t.split()).items():
+            for (i, dl), tf in index.get(w, {}).items():
+                score[i] += times * math.log((n - len(index[w]) + 0.5) / (len(index[w]) + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))
+        want += [(q, i, rank + 1) for rank, (i, _) in enumerate(sorted(score.items(), key=lambda x: (-round(x[1], 6), x[0]))[:5])]
+    sizes = []
+    monkeypatch.setattr(retrieval, "materialized", lambda df, label, f=retrieval.materialized: [out := f(df, label), sizes.append(out.count())][0])
+    x, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "query_id string, query string")
+    for split in ({}, {"part_docs": 20, "block_queries": 4}):
+        assert sorted((r.query_id, r.doc_id, r["rank"]) for r in retrieval.rank_queries(x, y, **split).collect()) == sorted(want)
+    assert max(sizes) <= sum(len(set(t.split())) for _, t in queries)

@@ -695,3 +695,25 @@ def test_many_queries_equal_brute_force_without_rows_of_pairs(spark, monkeypatch
     for split in ({}, {"part_docs": 20, "block_queries": 4}):
         assert sorted((r.query_id, r.doc_id, r["rank"]) for r in retrieval.rank_queries(x, y, **split).collect()) == sorted(want)
     assert max(sizes) <= sum(len(set(t.split())) for _, t in queries)
+
+
+def test_nodes_left_over_meet_many_tiles_in_one_group(spark, monkeypatch):
+    """Nodes that overlap with none but their neighbour: groups grow with nodes, not with pairs of tiles."""
+    pairs = 48
+    rows = [("d", i, f"1.1 T{i}", f"only{i // 2} word{i // 2} text{i // 2} own{i}") for i in range(2 * pairs)]
+    kept = similarity._wide_hits
+    acc = spark.sparkContext.accumulator(0)
+
+    def counted(threshold, size):
+        one = kept(threshold, size)
+
+        def run(nodes, earlier):
+            acc.add(1)
+            return one(nodes, earlier)
+
+        return run
+
+    monkeypatch.setattr(similarity, "_wide_hits", counted)
+    got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), tile_bits=1)
+    assert sorted(tuple(r) for r in got.collect()) == [("d", 2 * i + 1, 2 * i) for i in range(pairs)]
+    assert 0 < acc.value <= 12 * 7 * 2

@@ -717,3 +717,17 @@ def test_nodes_left_over_meet_many_tiles_in_one_group(spark, monkeypatch):
     got = similarity.section_overlaps(spark.createDataFrame(rows, "doc_id string, ordinal int, title string, text string"), tile_bits=1)
     assert sorted(tuple(r) for r in got.collect()) == [("d", 2 * i + 1, 2 * i) for i in range(pairs)]
     assert 0 < acc.value <= 12 * 7 * 2
+
+
+def test_node_rules_read_a_text_once(spark):
+    random.seed(3)
+    signs = ["a", "Z", "9", "-", " ", "\t", "\n", "\x0b", ".", "É", "İ", "K", "ß"]
+    texts = ["".join(random.choices(signs, k=random.randrange(14))) for _ in range(600)] + [None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = df.selectExpr("t", f"slice({r.query_tokens(r.SPARK, 't')}, 1, 3) AS all", f"{r.first_query_tokens('t', 3)} AS first", f"{r.SPARK.strip('t')} AS stripped", f"{r.SPARK.spaced('t')} AS spaced").collect()
+    blank = " \t\n\x0b\x0c\r"
+    for x in got:
+        assert x.all == x["first"]
+        assert (x.stripped, x.spaced) == ((None, None) if x.t is None else (x.t.strip(blank), re.sub(f"[{blank}]+", " ", x.t)))
+    plan = validate.node_errors(validate_nodes(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"lower\((?:raw|trim\(coalesce\(text)", plan)) <= 2  # one for the rules, one for the hash

@@ -731,3 +731,12 @@ def test_node_rules_read_a_text_once(spark):
         assert (x.stripped, x.spaced) == ((None, None) if x.t is None else (x.t.strip(blank), re.sub(f"[{blank}]+", " ", x.t)))
     plan = validate.node_errors(validate_nodes(spark))._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"lower\((?:raw|trim\(coalesce\(text)", plan)) <= 2  # one for the rules, one for the hash
+
+
+def test_readiness_finds_errors_once_and_joins_no_texts(spark):
+    nodes = validate_nodes(spark)
+    ready = validate.readiness(nodes, validate.node_errors(nodes))
+    plan = ready._jdf.queryExecution().optimizedPlan().toString()
+    assert "Garbage artifact" not in plan  # the rules are not part of it: their rows are a table
+    for join in re.findall(r"Join LeftOuter.*\n(?:.*\n){2}", plan):
+        assert "raw#" not in join

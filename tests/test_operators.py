@@ -740,3 +740,16 @@ def test_readiness_finds_errors_once_and_joins_no_texts(spark):
     assert "Garbage artifact" not in plan  # the rules are not part of it: their rows are a table
     for join in re.findall(r"Join LeftOuter.*\n(?:.*\n){2}", plan):
         assert "raw#" not in join
+
+
+def test_near_pairs_of_long_ids_write_no_keys(spark, monkeypatch):
+    nodes = validate_nodes(spark)
+    tables = []
+    kept = similarity.materialized
+    monkeypatch.setattr(similarity, "materialized", lambda df, label: (tables.append((label, df.columns)), kept(df, label))[1])
+    ids = F.concat(F.lit("a very long id of a text "), "node_id")
+    found = similarity.near_duplicate_pairs(nodes.select(ids.alias("id"), F.col("raw_content").alias("text")))
+    want = similarity.near_duplicate_pairs(nodes.select(F.col("node_id").alias("id"), F.col("raw_content").alias("text")))
+    strip = lambda x: {tuple(sorted(i.split(" ")[-1] for i in (p.a, p.b))) for p in x.collect()}
+    assert strip(found) == strip(want)
+    assert all("keys" != label for label, _ in tables)  # one side: keys go straight to the count of their sets

@@ -8,6 +8,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -753,3 +754,57 @@ def test_near_pairs_of_long_ids_write_no_keys(spark, monkeypatch):
     strip = lambda x: {tuple(sorted(i.split(" ")[-1] for i in (p.a, p.b))) for p in x.collect()}
     assert strip(found) == strip(want)
     assert all("keys" != label for label, _ in tables)  # one side: keys go straight to the count of their sets
+
+
+def test_job_totals_call_the_state_a_few_times_a_job():
+    """3000 events of a job, each twice, in batches of 1000: ids are told apart over batches, and calls don't grow with them."""
+
+    class State:
+        def __init__(self):
+            self.calls, self.rows = 0, []
+
+        def get(self):
+            self.calls += 1
+            return list(self.rows) if self.listed else (self.rows[0] if self.rows else None)
+
+        def appendValue(self, row):
+            self.calls, self.rows = self.calls + 1, [*self.rows, row]
+
+        def put(self, rows):
+            self.calls, self.rows = self.calls + 1, list(rows)
+
+        def update(self, row):
+            self.calls, self.rows = self.calls + 1, [row]
+
+    class Handle:
+        def state(self, *_):
+            return State()
+
+        def getValueState(self, *_):
+            s = State()
+            s.listed = False
+            return s
+
+        def getListState(self, *_):
+            s = State()
+            s.listed = True
+            return s
+
+    class Timer:
+        now = 0
+
+        def getCurrentWatermarkInMs(self):
+            return self.now
+
+    job, timer = jobs_stream.JobTotals(5), Timer()
+    job.init(Handle())
+    ids = [f"e{i}" for i in range(3000)] * 2
+    frame = lambda some, ms: pd.DataFrame({"event_id": some, "ms": [ms] * len(some), "credits_nano": [2] * len(some), "retry": [0] * len(some)})
+    out = [*job.handleInputRows(("j",), iter([frame(ids[i : i + 1000], 10) for i in range(0, 6000, 1000)]), timer)][0]
+    assert (out.events[0], out.credits_nano[0]) == (3000, 6000) and job.seen.calls + job.totals.calls < 20
+    timer.now = 10  # at the watermark they are still known
+    assert [*job.handleInputRows(("j",), iter([frame(["e1"], 12)]), timer)][0].events[0] == 3000
+    timer.now = 11  # seen in this batch, and forgotten after it, but for what is new
+    assert [*job.handleInputRows(("j",), iter([frame(["e1", "f1"], 12)]), timer)][0].events[0] == 3001
+    assert [*job.handleInputRows(("j",), iter([frame(["e1", "f1"], 12)]), timer)][0].events[0] == 3002
+    assert job.seen.rows == [(["f1"], [12]), (["e1"], [12])]

@@ -808,3 +808,15 @@ def test_job_totals_call_the_state_a_few_times_a_job():
     assert [*job.handleInputRows(("j",), iter([frame(["e1", "f1"], 12)]), timer)][0].events[0] == 3001
     assert [*job.handleInputRows(("j",), iter([frame(["e1", "f1"], 12)]), timer)][0].events[0] == 3002
     assert job.seen.rows == [(["f1"], [12]), (["e1"], [12])]
+
+
+def test_contained_makes_token_sets_once(spark):
+    words = [f"word{i}" for i in range(60)]
+    text = lambda w: " ".join(w)
+    cases = [(text(words), text(words[5:40]), True), (text(words), text(words[::-1]), True), (text(words), text(words[:55][::-1]), True), (text(words), text(words[:52][::-1]), False), (text(words), "word1 word2", False), ("", text(words), False), (None, text(words), False), (text(words), None, False), ("." * 50, "-" * 50, False), (text(words), "-" * 50, False)]
+    df = spark.createDataFrame([(i, p, c) for i, (p, c, _) in enumerate(cases)], "i int, parent_text string, text string")
+    found = similarity.contained(df)
+    assert found.columns == ["i", "parent_text", "text", "duplicates_parent"]
+    assert [x.duplicates_parent for x in found.orderBy("i").collect()] == [x for _, _, x in cases]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct(regexp_extract_all(") == 2  # one of each text

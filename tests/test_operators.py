@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -820,3 +821,17 @@ def test_contained_makes_token_sets_once(spark):
     assert [x.duplicates_parent for x in found.orderBy("i").collect()] == [x for _, _, x in cases]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_distinct(regexp_extract_all(") == 2  # one of each text
+
+
+def test_preorder_and_nesting_read_their_nodes_once(spark, tmp_path):
+    """Costly nodes (a join, a grouping) are made once, not once a step: each time they are made leaves a file."""
+    def made(batches):
+        (tmp_path / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = [("d", "a", None, 0), ("d", "b", "a", 1), ("d", "c", "b", 2), ("d", "e", "a", 3), ("d", "lost", "gone", 4), ("d", "x", "y", 5), ("d", "y", "x", 6)]
+    given = spark.createDataFrame(rows, "doc_id string, node_id string, parent_id string, ordinal long").coalesce(1)
+    text = tree.nested(given.mapInArrow(made, given.schema), ("node_id",)).first().tree
+    leaf = lambda name, *below: {"node_id": name, "nodes": list(below)}
+    assert json.loads(text) == [leaf("a", leaf("b", leaf("c")), leaf("e")), leaf("lost")]
+    assert len(list(tmp_path.iterdir())) == 1

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import rules as r
 from quire.sources import files, pdf
-from quire.sources.shared import materialized
 
 #: Words on a line, lines on a page, size of a page's first line (bold) and of the others.
 WIDTH, HEIGHT, HEAD, BODY = 12, 40, 14, 10
@@ -46,7 +45,8 @@ def written(lines: Iterable[str]) -> bytes:
 
 
 def _read(s: SparkSession, d: str) -> DataFrame:
-    """The runs of a PDF made of each document."""
+    """The lines of a PDF made of each document. Documents are dealt by their id, as a file of them may be one
+    partition, to more tasks than run at a time; a task sets and decodes its files one after another, so they are never a table."""
 
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,8 +56,9 @@ def _read(s: SparkSession, d: str) -> DataFrame:
     words = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / WIDTH).cast("int")), lambda i: F.array_join(F.slice(w, i * WIDTH + 1, WIDTH), " "))
     set_lines = F.flatten(F.transform(F.filter(words, lambda w: F.size(w) > 0), cut))
-    docs = s.read.parquet(f"{d}/documents.parquet")
-    return pdf.runs(materialized(docs.select("doc_id", set_lines.alias("lines")).mapInArrow(made, "doc_id long, content binary"), "pdf-files"))
+    tasks = max(4 * s.sparkContext.defaultParallelism, int(s.conf.get("spark.sql.shuffle.partitions")))
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").repartition(tasks, "doc_id")
+    return pdf.in_lines(docs.select("doc_id", set_lines.alias("lines")).mapInArrow(made, "doc_id long, content binary"))
 
 
 _SET = rf"""src AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -161,3 +161,25 @@ def test_empty_pages_nulls_and_empty_tables(spark):
     assert sorted((r.doc_id or "", r.page, r.text) for r in pdf.pages(read).collect()) == [("", 1, "one line"), ("a", 1, ""), ("b", 1, "x y\nz w")]
     assert {(r.doc_id, r.error) for r in pdf.errors(read).collect()} == {("n", "ValueError: no PDF header")}
     assert pdf.lines(pdf.runs(given.limit(0))).collect() == pdf.pages(pdf.runs(given.limit(0))).collect() == []
+
+
+def test_lines_of_the_map_equal_those_of_windows(spark):
+    """Runs of a line meet where they are decoded: gaps, steps back, sizes, bold fonts, empty and damaged pages as by windows."""
+    wide = one_page(b"BT /F 10 Tf 0 700 Td (a) Tj 30 0 Td (b ) Tj 30 0 Td (c) Tj -90 0 Td (back) Tj 0 3 Td /F 20 Tf (up) Tj 0 -40 Td (down) Tj ET", HELVETICA.replace(b"Helvetica", b"Helvetica-BOLD"))
+    data = [("w", wide), ("e", written([])), ("n", None), (None, written(["one line"])), ("m", written([f"line {i} of many words in several pieces of four" for i in range(95)])), ("cut", one_page(b"BT /F 12 Tf (x) Tj ET (a) 1 Td"))]
+    given = spark.createDataFrame(data, "doc_id string, content binary")
+    runs, placed = pdf.runs(given), pdf.in_lines(given)
+    for what in (pdf.raw_lines, pdf.lines, pdf.pages, pdf.errors):
+        a, b = (sorted(map(str, what(x).collect())) for x in (runs, placed))
+        assert a == b and a
+        assert what(runs).columns == what(placed).columns
+
+
+def test_content_is_read_in_chunks_and_arrays_in_one_piece(monkeypatch):
+    """Few values are scanned one by one: a line of twelve words is one array, and the words between arrays are cut at once."""
+    whole, calls = written([" ".join(["word"] * 12)] * 400), []
+    plain = pdf.Scanner.value
+    monkeypatch.setattr(pdf.Scanner, "value", lambda self: (calls.append(1), plain(self))[1])
+    assert len(texts(whole)) == 1200
+    assert len(calls) < 1200  # one by one they are 4000
+    assert texts(one_page(rb"BT/F 12 Tf 0 0 Td[(a)-300<62 63>]TJ[<646>-300<65>]TJ 0 -20 Td (x)Tj BI /W 1 ID [<61>]TJ EI 0 -20 Td(y)Tj ET")) == ["a", "bcd`", "e", "x", "y"]

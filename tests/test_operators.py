@@ -835,3 +835,24 @@ def test_preorder_and_nesting_read_their_nodes_once(spark, tmp_path):
     leaf = lambda name, *below: {"node_id": name, "nodes": list(below)}
     assert json.loads(text) == [leaf("a", leaf("b", leaf("c")), leaf("e")), leaf("lost")]
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def ready_section(i, **more):
+    """A sound leaf of the section p, and what differs."""
+    raw = " ".join(f"levy{i}x{k}" for k in range(12)) + "."
+    own = {"doc_id": "d", "node_id": f"n{i}", "parent_id": "p", "ordinal": i, "type": "CONTENT", "title": f"1.{i} Levy", "path": "d > 1", "raw_content": raw, "compressed_content": raw, "micro_summary": raw, "aliases": ["a"], "keywords": ["b"], "synonyms": ["c"], "page_start": 1, "page_end": 2, "char_start": 0, "char_end": 9, "content_hash": None, "retrieval_ready": False, "is_front_matter": False}
+    return {**own, **more}
+
+
+def ready_nodes(spark, *rows):
+    head = ready_section(0, node_id="p", parent_id=None, type="SECTION", title="SECTION A", raw_content="", compressed_content="", micro_summary="", content_hash="")
+    schema = "doc_id string, node_id string, parent_id string, ordinal long, type string, title string, path string, raw_content string, compressed_content string, micro_summary string, aliases array<string>, keywords array<string>, synonyms array<string>, page_start int, page_end int, char_start long, char_end long, content_hash string, retrieval_ready boolean, is_front_matter boolean"
+    df = spark.createDataFrame([tuple(x[c.split()[0]] for c in schema.split(", ")) for x in (head, *rows)], schema)
+    return df.withColumn("content_hash", F.coalesce("content_hash", F.expr(r.content_hash(r.SPARK, "raw_content"))))
+
+
+def test_a_summary_is_grounded_in_the_whole_text(spark):
+    words = " ".join(f"filler{i}" for i in range(800))
+    nodes = ready_nodes(spark, ready_section(1, raw_content=f"{words} levy", micro_summary="Levy closes."), ready_section(2, raw_content=words, micro_summary="Levy closes."))
+    of = lambda **k: {x.node_id for x in validate.node_errors(nodes, **k).where("error LIKE '%grounded%'").collect()}
+    assert of() == {"n2"} and of(start=4000) == {"n1", "n2"}

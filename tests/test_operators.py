@@ -856,3 +856,21 @@ def test_a_summary_is_grounded_in_the_whole_text(spark):
     nodes = ready_nodes(spark, ready_section(1, raw_content=f"{words} levy", micro_summary="Levy closes."), ready_section(2, raw_content=words, micro_summary="Levy closes."))
     of = lambda **k: {x.node_id for x in validate.node_errors(nodes, **k).where("error LIKE '%grounded%'").collect()}
     assert of() == {"n2"} and of(start=4000) == {"n1", "n2"}
+
+
+def test_gates_and_readiness_read_rules_of_two_nodes(spark, monkeypatch):
+    same = ready_section(1)["raw_content"]
+    nodes = ready_nodes(spark, ready_section(1), ready_section(2, parent_id="gone"), ready_section(3, raw_content=same, compressed_content=same, micro_summary=same))
+    monkeypatch.setattr(index_queries, "sections", lambda s, d: nodes)
+    gates = index_queries.QUERIES["validate_gates"](spark, "").first()
+    assert not (gates.no_orphans or gates.hierarchy_valid or gates.no_duplicate_chunks) and gates.no_cycles and gates.no_parser_artifacts
+    assert [tuple(x) for x in index_queries.QUERIES["validate_readiness"](spark, "").collect()] == [("d", 3, 0, False)]
+
+
+def test_readiness_asks_the_rules_of_a_candidate(spark):
+    """Wrong pages close no gate and are no rule of a candidate; a numbered paragraph as title is no error, but such a rule."""
+    ready = lambda *x: tuple(validate.readiness(ready_nodes(spark, *x), validate.node_errors(ready_nodes(spark, *x))).first())
+    long = "1.2 The person shall pay the levy, and the officer may extend the time for the payment of it, where the person has applied for that in writing."
+    assert ready(ready_section(1), ready_section(2, page_start=9)) == ("d", 2, 2, True)
+    assert spark.range(1).selectExpr(r.paragraph_title(r.SPARK, f"'{long}'")).first()[0]
+    assert ready(ready_section(1), ready_section(2, title=long)) == ("d", 2, 1, False)

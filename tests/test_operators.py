@@ -874,3 +874,13 @@ def test_readiness_asks_the_rules_of_a_candidate(spark):
     assert ready(ready_section(1), ready_section(2, page_start=9)) == ("d", 2, 2, True)
     assert spark.range(1).selectExpr(r.paragraph_title(r.SPARK, f"'{long}'")).first()[0]
     assert ready(ready_section(1), ready_section(2, title=long)) == ("d", 2, 1, False)
+
+
+def test_chunks_are_folded_in_one_stream_of_headings_made_once(spark):
+    x = handbook.everything(spark, "/root/testdata/sf0.001")
+    made = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode")
+    found = structure.headings(x)
+    kept = structure.without_clusters(found)
+    spans = structure.ranges(kept, x)
+    assert made(kept) == made(found) and made(spans) == made(found) + 1  # and once for the number of lines
+    assert "CoGroup" not in structure.semantic_chunks(x, spans)._jdf.queryExecution().optimizedPlan().toString()

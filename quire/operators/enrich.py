@@ -124,7 +124,7 @@ def capped_summary(text: str) -> Column:
 
 # --- compression --------------------------------------------------------------------------------------
 
-_KEEP, _DROP = re.compile(r.KEEP), re.compile("(?i)" + "|".join(r.DROP))
+_KEEP, _DROP, _DIGIT = re.compile(r.KEEP), re.compile("(?i)" + "|".join(r.DROP)), re.compile("[0-9]")
 
 
 def sentences(text: str, longer_than: int = 10) -> list[str]:
@@ -132,8 +132,12 @@ def sentences(text: str, longer_than: int = 10) -> list[str]:
     return [p for p in parts if len(p) > longer_than]
 
 
+def _numbered(s: str) -> bool:
+    return bool(_DIGIT.search(s)) or (not s.isascii() and any(c.isdigit() for c in s))
+
+
 def worth(s: str) -> float:
-    return 1.0 + 3.0 * bool(_KEEP.search(s)) + 1.5 * any(c.isdigit() for c in s) - 0.5 * (len(s) < 30) - 10.0 * bool(_DROP.match(s))
+    return 1.0 + 3.0 * bool(_KEEP.search(s)) + 1.5 * _numbered(s) - 0.5 * (len(s) < 30) - 10.0 * bool(_DROP.match(s))
 
 
 def _closed(s: str) -> str:
@@ -178,8 +182,9 @@ def compress(raw: str, target: float = 0.70, least: float = 0.60, key_chars: int
     if not unique:
         return raw.strip()
     limit, enough = int(len(raw) * target), int(len(raw) * least)
-    ranked = sorted(unique, key=lambda s: -worth(s))
-    kept, total = _taken([s for s in ranked if worth(s) >= 0], enough, limit)
+    worths = {s: worth(s) for s in unique}
+    ranked = sorted(unique, key=lambda s: -worths[s])
+    kept, total = _taken([s for s in ranked if worths[s] >= 0], enough, limit)
     held = set(kept)
     for s in ranked if total < enough else []:
         if s in held:

@@ -884,3 +884,11 @@ def test_chunks_are_folded_in_one_stream_of_headings_made_once(spark):
     spans = structure.ranges(kept, x)
     assert made(kept) == made(found) and made(spans) == made(found) + 1  # and once for the number of lines
     assert "CoGroup" not in structure.semantic_chunks(x, spans)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_sentence_is_weighed_once(monkeypatch):
+    text = " ".join(f"The levy number {i} covers every supply of goods." for i in range(40))
+    asked, worth = [], enrich.worth
+    monkeypatch.setattr(enrich, "worth", lambda s: (asked.append(s), worth(s))[1])
+    assert enrich.compressed_text(text) and len(asked) == len(set(asked)) == 40
+    assert all(enrich._numbered(s) == any(c.isdigit() for c in s) for s in ("", "a1", "x²", "٣", "plain", "é", "½"))
